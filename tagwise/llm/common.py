@@ -20,6 +20,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20
             if b.num_rows:
                 yield b
             continue
-        size, start = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)), 0
+        size, start = np.asarray(pc.fill_null(pc.binary_length(col), 0)), 0
         total = 0
         for i, n in enumerate(size):
             if total and total + n > limit:
@@ -116,8 +117,8 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table
         cols = [b.column(k) for k in key]
         change = np.zeros(b.num_rows, bool)
         for c in cols:
-            eq = pa.compute.equal(c.slice(1), c.slice(0, b.num_rows - 1)) if b.num_rows > 1 else pa.array([], pa.bool_())
-            change[1:] |= ~np.asarray(pa.compute.fill_null(eq, False), dtype=bool)
+            eq = pc.equal(c.slice(1), c.slice(0, b.num_rows - 1)) if b.num_rows > 1 else pa.array([], pa.bool_())
+            change[1:] |= ~np.asarray(pc.fill_null(eq, False), dtype=bool)
         first = tuple(c[0].as_py() for c in cols)
         if held and first != last:
             yield pa.Table.from_batches(held)
