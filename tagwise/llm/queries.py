@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, neardup, quality, substring, token_counts, warc
+from . import bpe, chat, decontaminate, langid, neardup, quality, substring, token_counts, warc
 
 #: Where the vocabulary comes from; a parameter of the operators.
 VOCABULARY, PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
@@ -44,6 +44,10 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(docs).select("doc_id", "class_id", (F.col("key") == F.col("representative")).alias("kept"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "distance")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs, normal=True).select(
