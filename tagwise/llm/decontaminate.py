@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import pieces, prepare
 
-EDIT_EVERY = 20
+EDIT_EVERY = 14
 #: Characters of the items in one block.
 BLOCK_CHARS = 4 << 20
 
