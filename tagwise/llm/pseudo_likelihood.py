@@ -15,11 +15,11 @@ tables give empty results.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,15 @@ from .common import partitions, pieces, prepare
 
 #: Words and shape buckets; together CLASSES * CLASSES.
 FREQUENT, SHAPES, CLASSES = 896, 128, 32
-REACH, HIDDEN, BATCH, RATE, SEED = 2, 16, 2048, 0.2, 7
+REACH, HIDDEN, BATCH, RATE, SEED = 2, 16, 4096, 0.2, 7
+#: Softmax weights stay within this bound, so that exponentials can't overflow: HIDDEN * MOST + a bias is below 88.
+MOST = 3.0
 SIZE = FREQUENT + SHAPES
 PAD = SIZE
 BLOCKS = 32
 #: Words that a task remembers while it counts or looks them up.
 CACHE_WORDS = 400_000
-_RUNS = re.compile(r"[^\W\d_]+|\d+|(.)\1*", re.S)
+_KINDS = bytes(97 if chr(b).islower() or b > 127 else 65 if chr(b).isupper() else 57 if chr(b).isdigit() else b for b in range(256))
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -44,10 +46,9 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def shape(word: bytes) -> int:
-    """Bucket of a rare word: its pattern of capitals, letters, digits and other signs, and its rough length."""
-    t = word.decode("utf-8", "replace")
-    out = [("A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a") if m[0][0].isalpha() else "9" if m[0][0].isdigit() else m[0][0] for m in _RUNS.finditer(t)]
-    return FREQUENT + zlib.crc32(f"{''.join(out)[:8]} {min(len(t), 24) // 6}".encode()) % SHAPES
+    """Bucket of a rare word: capitals, letters, digits and other signs at its two ends, and its rough length."""
+    t = word.translate(_KINDS)
+    return FREQUENT + zlib.crc32(t[:2] + t[-3:], min(len(t), 24) // 6) % SHAPES
 
 
 class Ids(dict):
@@ -68,7 +69,7 @@ class Ids(dict):
         """All tokens with REACH pads around each text; the places of real tokens, and the text of each."""
         docs = [words(t) for t in texts]
         n = np.array([len(d) for d in docs], np.int64)
-        flat = np.fromiter((self[w] for d in docs for w in d), np.int64, int(n.sum()))
+        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.int64, int(n.sum()))
         doc = np.repeat(np.arange(len(docs)), n)
         place = np.arange(len(flat)) + REACH * (2 * doc + 1)
         padded = np.full(len(flat) + 2 * REACH * len(docs), PAD, np.int64)
@@ -124,27 +125,24 @@ class Network:
         c, w = target // CLASSES, target % CLASSES
         order = np.argsort(c, kind="stable")
         cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        z = h @ self.cls + self.cls_bias
-        pc = np.exp(z - z.max(1, keepdims=True))
-        pc /= pc.sum(1, keepdims=True)
+        pc = np.exp(h @ self.cls + self.cls_bias)
         pw = np.empty((len(place), CLASSES), np.float32)
         for k in range(CLASSES):
             rows = order[cuts[k] : cuts[k + 1]]
             if len(rows):
-                y = h[rows] @ self.own[k] + self.own_bias[k]
-                y = np.exp(y - y.max(1, keepdims=True))
-                pw[rows] = y / y.sum(1, keepdims=True)
-        at = np.arange(len(place))
-        logp = np.log(pc[at, c] + 1e-12) + np.log(pw[at, w] + 1e-12)
-        return logp, (context, h, c, w, pc, pw, order, cuts)
+                pw[rows] = np.exp(h[rows] @ self.own[k] + self.own_bias[k])
+        at, ones = np.arange(len(place)), np.ones(CLASSES, np.float32)
+        sum_c, sum_w = pc @ ones, pw @ ones
+        logp = np.log(pc[at, c]) - np.log(sum_c) + np.log(pw[at, w]) - np.log(sum_w)
+        return logp, (context, h, c, w, pc, pw, order, cuts, sum_c, sum_w)
 
     def gradients(self, state) -> list[np.ndarray]:
-        context, h, c, w, pc, pw, order, cuts = state
+        context, h, c, w, pc, pw, order, cuts, sum_c, sum_w = state
         at, n = np.arange(len(c)), np.float32(len(c))
-        pc[at, c] -= 1
-        pw[at, w] -= 1
-        pc /= n
-        pw /= n
+        pc *= (1 / (sum_c * n))[:, None]
+        pw *= (1 / (sum_w * n))[:, None]
+        pc[at, c] -= 1 / n
+        pw[at, w] -= 1 / n
         dh = pc @ self.cls.T
         down, down_bias = np.zeros_like(self.own), np.zeros_like(self.own_bias)
         for k in range(CLASSES):
@@ -174,6 +172,8 @@ class Trainer:
             for a, q, g in zip(self.net.arrays(), self.squares, self.net.gradients(state), strict=True):
                 q += g * g
                 a -= RATE * g / np.sqrt(q)
+            for a in self.net.arrays()[1:]:
+                np.clip(a, -4 * MOST if a.ndim < 2 or a is self.net.own_bias else -MOST, MOST, out=a)
         self.n += len(place)
 
 
