@@ -31,35 +31,37 @@ from .common import pieces, prepare
 
 #: Longer matches are merged with a heap instead of a recursion step for each merge.
 LONG_WORD = 48
-#: Words that a task remembers, and new words in one recursive query.
+#: Words in each of the two generations that a task remembers, and new words in one recursive query.
 CACHE_WORDS, QUERY_WORDS = 500_000, 20_000
-#: Documents in one decoding query.
-DECODE_ROWS = 128
+#: Ids in one decoding query, about; a document stays whole.
+DECODE_IDS = 500_000
 #: A vocabulary file above this size is refused: it is sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
 
-#: ``k`` is the word times 256 plus the position of the token's first byte.
+#: ``p`` packs the word, the position of the token's first byte (8 bits) and the token (16 bits), so that one sort puts
+#: neighbours side by side.
 ENCODE_SQL = """
-WITH RECURSIVE bpe(step, k, tok) AS (
-  SELECT 0, w * 256 + pos, tok FROM start_tokens
+WITH RECURSIVE bpe(step, p) AS (
+  SELECT 0, (w * 256 + pos) * 65536 + tok FROM start_tokens
   UNION ALL
   SELECT * FROM (
     WITH next AS (
-      SELECT step, k, tok, lead(tok) OVER (ORDER BY k) AS right_tok, lead(k) OVER (ORDER BY k) AS right_k FROM bpe
+      SELECT step, p, lead(p) OVER (ORDER BY p) AS r FROM bpe
     ), pair AS (
       SELECT n.*, m.merged FROM next n
-      LEFT JOIN merges m ON m.pair = n.tok * 4294967296 + n.right_tok AND (n.right_k >> 8) = (n.k >> 8)
+      LEFT JOIN merges m ON m.pair = (n.p & 65535) * 65536 + (n.r & 65535) AND (n.r >> 24) = (n.p >> 24)
     ), best AS (
-      SELECT k >> 8 AS w, min(merged * 256 + (k & 255)) AS least, arg_min(right_k, merged * 256 + (k & 255)) AS gone
-      FROM pair WHERE merged IS NOT NULL GROUP BY k >> 8
+      SELECT p >> 24 AS w, min(merged * 256 + ((p >> 16) & 255)) AS least, arg_min(r, merged * 256 + ((p >> 16) & 255)) AS gone
+      FROM pair WHERE merged IS NOT NULL GROUP BY p >> 24
     )
-    SELECT p.step + 1, p.k, CASE WHEN (p.k & 255) = (b.least & 255) THEN b.least >> 8 ELSE p.tok END
-    FROM pair p JOIN best b ON (p.k >> 8) = b.w WHERE p.k <> b.gone
+    SELECT p.step + 1, CASE WHEN ((p.p >> 16) & 255) = (b.least & 255) THEN (p.p - (p.p & 65535)) + (b.least >> 8) ELSE p.p END
+    FROM pair p JOIN best b ON (p.p >> 24) = b.w WHERE p.p <> b.gone
   )
+), last AS (
+  SELECT p >> 24 AS w, max(step) AS step FROM bpe GROUP BY p >> 24
 )
-SELECT w, list(tok ORDER BY k) AS ids
-FROM (SELECT k >> 8 AS w, k, tok, step, max(step) OVER (PARTITION BY k >> 8) AS last FROM bpe)
-WHERE step = last GROUP BY w ORDER BY w
+SELECT w, list(p & 65535 ORDER BY p) AS ids
+FROM bpe b JOIN last l ON b.step = l.step AND (b.p >> 24) = l.w GROUP BY w ORDER BY w
 """
 
 DECODE_SQL = """
@@ -118,7 +120,7 @@ class Codec:
             if (a := self.ranks.get(tok[:i])) is not None and (b := self.ranks.get(tok[i:])) is not None
         ]
         l, r, m = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True)) if rows else [pa.array([], pa.int64())] * 3
-        merge_rows = pa.table({"pair": pc.add(pc.multiply(l, 1 << 32), r), "merged": m})
+        merge_rows = pa.table({"pair": pc.add(pc.multiply(l, 1 << 16), r), "merged": m})
         tokens = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]})
         self.db.register("merge_rows", merge_rows)
         self.db.register("tokens", tokens)
@@ -127,6 +129,9 @@ class Codec:
         self.db.unregister("tokens")
         #: int32 ids of the words seen
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        if max(self.ranks.values()) >= 1 << 16:
+            raise ValueError("token ids of more than 16 bits")
 
     def learn(self, words: list[str]) -> None:
         """Encode words not seen before, a bounded number in each recursive query."""
@@ -161,8 +166,12 @@ class Codec:
         docs = [self.split((t or b"").decode("utf-8", "replace")) for t in texts]
         words = set(chain.from_iterable(docs))
         if len(self.known) > CACHE_WORDS:
-            self.known = {w: ids for w in words if (ids := self.known.get(w)) is not None}
-        self.learn([w for w in words if w not in self.known])
+            self.known, self.older = {}, self.known
+        new = [w for w in words if w not in self.known]
+        if self.older:
+            self.known.update((w, ids) for w in new if (ids := self.older.get(w)) is not None)
+            new = [w for w in new if w not in self.known]
+        self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, d)) for d in docs]
 
@@ -201,11 +210,11 @@ def _vocabulary(spark, path: str):
     return spark.sparkContext.broadcast(data)
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with ``out_col`` array<int>: the ids of each whole text, without special tokens."""
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with ``out_col`` array<int>: the ids of each whole text, without special tokens."""
     prepare(docs.sparkSession)
     held = _vocabulary(docs.sparkSession, vocabulary_path)
-    kept = [c for c in docs.columns if c != out_col]
+    kept = [c for c in docs.columns if c != out_col and (keep is None or c in keep)]
     raw = "__text_bytes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +239,11 @@ def decode(docs: DataFrame, vocabulary_path: str, pattern: str, ids_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held.value, pattern)
         for b in batches:
-            for s in range(0, b.num_rows, DECODE_ROWS):
-                part = b.slice(s, DECODE_ROWS)
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(b.column(ids_col)), 0)).astype(np.int64))
+            s = 0
+            while s < b.num_rows:
+                n = max(1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + DECODE_IDS, "right")) - s)
+                part, s = b.slice(s, n), s + n
                 out = pa.array(codec.decode(part.column(ids_col)), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [out], [*kept, out_col])
 

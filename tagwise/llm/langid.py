@@ -219,11 +219,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 RESULT = (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType()))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score``, ``cross_entropy`` and ``rejected``; no shuffle."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with ``lang_pred``, ``score``, ``cross_entropy`` and ``rejected``; no shuffle."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the rows that it was fitted on
-    kept = [c for c in docs.columns if c not in dict(RESULT)]
+    kept = [c for c in docs.columns if c not in dict(RESULT) and (keep is None or c in keep)]
     raw = "__text_bytes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

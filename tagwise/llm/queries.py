@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    ids = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, PATTERN).drop("text")
+    ids = bpe.encode(_read(spark, sf_dir, "documents"), path, PATTERN, keep=["doc_id"])
     out = bpe.decode(ids, path, PATTERN)
     return out.select(
         "doc_id",
@@ -29,8 +29,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, public_tokenizers.path(VOCABULARY), PATTERN).select("doc_id", "n_tokens")
+    docs = _read(spark, sf_dir, "documents")
+    return token_counts.count_tokens(docs, public_tokenizers.path(VOCABULARY), PATTERN, keep=["doc_id"])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs, where=~langid.held_out())
-    return langid.identify(docs.select("doc_id", "text"), model).select(
+    return langid.identify(docs, model, keep=["doc_id"]).select(
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
     )
 

@@ -81,11 +81,11 @@ class TrieCounter:
 _counters: dict[tuple[int, str], TrieCounter] = {}
 
 
-def count_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
-    """``docs`` with ``out_col`` long: tokens of the best segmentation of each whole text."""
+def count_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out_col: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with ``out_col`` long: tokens of the best segmentation of each whole text."""
     prepare(docs.sparkSession)
     held = _vocabulary(docs.sparkSession, vocabulary_path)
-    kept = [c for c in docs.columns if c != out_col]
+    kept = [c for c in docs.columns if c != out_col and (keep is None or c in keep)]
     raw = "__text_bytes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
