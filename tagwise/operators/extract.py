@@ -281,23 +281,24 @@ def resolve(df: DataFrame, field: str, text: str = "text", as_of: str | None = N
 
 def map_fields(df: DataFrame, keys: list[str], text: str = "text", as_of: str | None = None) -> DataFrame:
     """Long form: a row per key and field with value, evidence, confidence; fields without a candidate have confidence none."""
-    base = df.select(*keys, X.normalize_text(F.col(text)).alias("norm"))
-    parts = None
+    out = df.select(*keys, X.normalize_text(F.col(text)).alias("norm"))
+    results = []
     for field in V.FIELDS:
-        r = best(candidates(base, field), as_of)
-        part = r.select(
-            *keys,
+        top = F.col("best")
+        row = F.struct(
             F.lit(field).alias("field"),
-            *(F.col("best")[k].alias(f"v_{k}") for k in _EMPTY),
-            X.cut(F.col("norm"), F.col("best")["start"], F.col("best")["end"]).alias("raw_evidence"),
-            F.col("best")["label_matched"].alias("label_matched"),
-            F.col("best")["score"].alias("score"),
-            "confidence",
-            "ambiguous",
-            F.when(F.col("best").isNotNull(), F.concat(F.col("best")["reason_codes"], _codes("NEAREST_VALUE"))).alias("reason_codes"),
+            *(top[k].alias(f"v_{k}") for k in _EMPTY),
+            X.cut(F.col("norm"), top["start"], top["end"]).alias("raw_evidence"),
+            top["label_matched"].alias("label_matched"),
+            top["score"].alias("score"),
+            F.col("confidence").alias("confidence"),
+            F.col("ambiguous").alias("ambiguous"),
+            F.when(top.isNotNull(), F.concat(top["reason_codes"], _codes("NEAREST_VALUE"))).alias("reason_codes"),
         )
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+        out = best(candidates(out, field), as_of).withColumn(f"__{field}", row).select(*keys, "norm", *(f"__{f}" for f in [*results, field]))
+        results.append(field)
+    # one pass over the texts; exploding keeps later filters from repeating the extraction
+    return out.select(*keys, F.explode(F.array(*(F.col(f"__{f}") for f in results))).alias("r")).select(*keys, "r.*")
 
 
 def finalize(df: DataFrame) -> DataFrame:

@@ -16,8 +16,7 @@ def contract(mapped: DataFrame, keys: list[str]) -> DataFrame:
     name = X.lookup(V.CONTRACT_NAMES, F.col("field"))
     method = F.col("method") if "method" in mapped.columns else F.lit(None).cast("string")
     present = F.coalesce(*(F.col(f"v_{k}").cast("string") for k in ("amount", "text", "date", "phone", "email"))).isNotNull()
-    rows = mapped.select(
-        *keys,
+    own = F.struct(
         name.alias("field_name"),
         F.when(present, F.col("raw_evidence")).alias("raw_value"),
         F.col("v_amount").alias("amount"),
@@ -25,16 +24,16 @@ def contract(mapped: DataFrame, keys: list[str]) -> DataFrame:
         F.when(present, F.coalesce(X.lookup(V.CONFIDENCE_VALUE, F.col("confidence")), F.lit(0.0))).otherwise(0.0).alias("confidence"),
         F.when(~present, "none").otherwise(F.coalesce(method, F.lit("regex"))).alias("method"),
         F.lit(None).cast("string").alias("notes"),
-    ).where("field_name IS NOT NULL")
-    scans = rows.select(*keys).distinct()
-    constant = F.explode(
-        F.array(
-            F.struct(F.lit("commodity_name").alias("field_name"), F.lit("Packaged Product").alias("raw_value"), F.lit("regex").alias("method")),
-            F.struct(F.lit("country_of_origin"), F.lit(None).cast("string"), F.lit("none")),
-        )
     )
-    fixed = scans.select(*keys, constant.alias("c")).select(*keys, "c.*", F.lit(0.0).alias("confidence"))
-    return rows.unionByName(fixed, allowMissingColumns=True)
+
+    def constant(field: str, value: str | None) -> Column:
+        empty = {c: F.lit(None).cast(t).alias(c) for c, t in (("amount", "double"), ("unit", "string"), ("notes", "string"))}
+        how = F.lit("none" if value is None else "regex").alias("method")
+        return F.struct(F.lit(field).alias("field_name"), F.lit(value).cast("string").alias("raw_value"), empty["amount"], empty["unit"], F.lit(0.0).alias("confidence"), how, empty["notes"])
+
+    # the constant rows come with the first field of each key, so that the fields are computed once
+    extra = F.when(F.col("field") == V.FIELDS[0], F.array(own, constant("commodity_name", "Packaged Product"), constant("country_of_origin", None))).otherwise(F.array(own))
+    return mapped.select(*keys, F.explode(extra).alias("r")).select(*keys, "r.*").where("field_name IS NOT NULL")
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -58,19 +57,12 @@ def is_present() -> Column:
 def violations(fields: DataFrame, scans: DataFrame, keys: list[str], rule_rows: DataFrame | None = None, mandatory: tuple[str, ...] = V.MANDATORY) -> DataFrame:
     """One row per broken rule.  ``fields``: contract rows; ``scans``: all keys, so that a scan without fields counts.
 
-    Presence is one aggregation of the present names per scan, then an array difference: no join with a dimension."""
+    One aggregation of the contract rows per scan gathers present names and wrong formats; the gaps are an array
+    difference, and the rule table is broadcast."""
     rule = (rule_rows if rule_rows is not None else rules(fields.sparkSession)).select(
         F.lower("field").alias("rule_field"), "clause", "penalty_ref", F.col("severity").alias("rule_severity"), "valid_units", "regex_pattern"
     )
-    have = fields.where(is_present()).groupBy(*keys).agg(F.collect_set("field_name").alias("have"))
-    wanted = F.array(*map(F.lit, mandatory))
-    gaps = F.array_except(wanted, F.coalesce("have", F.array().cast("array<string>")))
-    missing = scans.select(*keys).join(have, keys, "left").select(*keys, F.posexplode(gaps).alias("ord", "field_name"))
-    message = F.when(F.col("field_name") == "FONT_SIZE", "Rule 9 Font Calibration is pending or could not be auto-detected (requires manual coin tap).").otherwise(
-        F.concat(F.lit("'"), F.col("field_name"), F.lit("' is missing from the label"))
-    )
     with_rule = lambda df: df.join(F.broadcast(rule), F.lower("field_name") == F.col("rule_field"), "left")  # noqa: E731  a table of a few rows
-    absent = with_rule(missing).select(*keys, "field_name", message.alias("issue"), severity(F.col("rule_severity")).alias("severity"), F.col("clause").alias("legal_reference"))
     unit = F.lower("unit")
     issue = (
         F.when((F.col("field_name") == "mrp") & F.col("regex_pattern").isNotNull() & ~F.expr("raw_value RLIKE concat('(?i)', regex_pattern)"), "MRP is present but does not declare 'inclusive of all taxes' as required")
@@ -81,10 +73,19 @@ def violations(fields: DataFrame, scans: DataFrame, keys: list[str], rule_rows:
         )
         .when((F.col("field_name") == "FONT_SIZE") & F.col("notes").contains("FAIL"), F.concat(F.lit("Text height ("), F.col("raw_value"), F.lit(") is below the required statutory minimum.")))
     )
-    wrong = with_rule(fields.where(is_present())).select(
-        *keys, "field_name", issue.alias("issue"), severity(F.col("rule_severity")).alias("severity"), legal_reference(F.col("clause"), F.col("penalty_ref")).alias("legal_reference")
-    ).where("issue IS NOT NULL")
-    return absent.unionByName(wrong)
+    here = with_rule(fields.where(is_present())).select(*keys, "field_name", issue.alias("issue"))
+    wrong = F.when(F.col("issue").isNotNull(), F.struct("field_name", "issue"))
+    gathered = here.groupBy(*keys).agg(F.collect_set("field_name").alias("have"), F.collect_list(wrong).alias("wrong"))
+    nothing = lambda kind: F.array().cast(kind)
+    gaps = F.array_except(F.array(*map(F.lit, mandatory)), F.coalesce("have", nothing("array<string>")))
+    absent = F.transform(gaps, lambda f: F.struct(f.alias("field_name"), F.lit(None).cast("string").alias("issue")))
+    every = F.concat(absent, F.coalesce("wrong", nothing("array<struct<field_name:string,issue:string>>")))
+    rows = scans.select(*keys).join(gathered, keys, "left").select(*keys, F.explode(every).alias("v")).select(*keys, "v.*")
+    missing = F.when(F.col("field_name") == "FONT_SIZE", "Rule 9 Font Calibration is pending or could not be auto-detected (requires manual coin tap).").otherwise(
+        F.concat(F.lit("'"), F.col("field_name"), F.lit("' is missing from the label"))
+    )
+    reference = F.when(F.col("issue").isNull(), F.col("clause")).otherwise(legal_reference(F.col("clause"), F.col("penalty_ref")))
+    return with_rule(rows).select(*keys, "field_name", F.coalesce("issue", missing).alias("issue"), severity(F.col("rule_severity")).alias("severity"), reference.alias("legal_reference"))
 
 
 def scores(scans: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

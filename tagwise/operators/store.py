@@ -18,9 +18,12 @@ def metrics(scans: DataFrame, violations: DataFrame, officer: str | None = None)
         scans = scans.where(F.col("officer_id") == officer)
         violations = violations.join(scans.select("scan_id"), "scan_id")
     totals = scans.agg(F.count("*").alias("total"), F.count_if("is_compliant").alias("compliant"))
-    top = violations.groupBy("field_name").count().agg(F.max_by("field_name", F.struct("count", F.expr("-ascii(field_name)"))).alias("top_violation"))
-    return totals.crossJoin(top).select(  # one row each
-        "total", _percent(F.col("compliant"), F.col("total")).alias("pass_rate"), F.when(F.col("total") == 0, "None").otherwise(F.coalesce("top_violation", F.lit("None"))).alias("top_violation")
+    top = violations.groupBy("field_name").count().orderBy(F.desc("count"), "field_name").limit(1).select(F.col("field_name").alias("top_violation"))
+    one = totals.join(top, F.lit(True), "left")  # one row each
+    return one.select(
+        "total",
+        _percent(F.col("compliant"), F.col("total")).alias("pass_rate"),
+        F.when(F.col("total") == 0, "None").otherwise(F.coalesce("top_violation", F.lit("None"))).alias("top_violation"),
     )
 
 

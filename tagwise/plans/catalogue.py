@@ -1,11 +1,512 @@
-"""All queries of this library and their SQL twins."""
+"""All queries of this library over the driver's tables, and their SQL twins.
+
+Label texts are rendered from the tables; the SQL computes what they should yield from the source columns directly.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions import vocabulary as V
+from ..operators import evaluate, extract, fontsize, merge, report, rules, secondpass, spatial, store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL twin."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def _fixed(c: Column) -> Column:
+    return F.format_string("%.2f", c)
+
+
+def _best(name: str) -> Column:
+    return F.col("best")[name]
+
+
+# --- extraction
+
+
+@query("SELECT p_partkey, round(p_retailprice, 2) AS amount, 1.0::DOUBLE AS score, 'high' AS confidence, 'MRP' AS label_matched FROM part")
+def extract_mrp(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select("p_partkey", _text("Fine goods M.R.P Rs. ", _fixed(F.col("p_retailprice")), "/- incl. of all taxes").alias("text"))
+    out = extract.resolve(rows, "MRP")
+    return out.select("p_partkey", _best("amount").alias("amount"), _best("score").alias("score"), "confidence", _best("label_matched").alias("label_matched"))
+
+
+@query("""SELECT p_partkey, p_size::DOUBLE AS amount, CASE p_partkey % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'kg' WHEN 2 THEN 'ml' ELSE 'pieces' END AS unit,
+  CASE WHEN p_partkey % 5 = 0 THEN 0.98 ELSE 1.0 END::DOUBLE AS score FROM part""")
+def extract_net_quantity(spark, sf_dir):
+    unit = F.element_at(F.array(*map(F.lit, ("g", "kilograms", "ml", "pcs"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    colon = F.when(F.col("p_partkey") % 5 == 0, ":").otherwise("")
+    rows = _read(spark, sf_dir, "part").select("p_partkey", _text("Net Qty", colon, " ", F.col("p_size").cast("string"), " ", unit, " Protein 3 g").alias("text"))
+    return extract.resolve(rows, "NET_QUANTITY").select("p_partkey", _best("amount").alias("amount"), _best("unit").alias("unit"), _best("score").alias("score"))
+
+
+@query("SELECT s_suppkey, s_name || ', ' || n_name AS manufacturer, 'high' AS confidence FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def extract_manufacturer(spark, sf_dir):
+    rows = _read(spark, sf_dir, "supplier").join(F.broadcast(_read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows
+    rows = rows.select("s_suppkey", _text("MRP 20 Manufactured by: ", F.col("s_name"), ", ", F.col("n_name"), " Net Qty 5 g").alias("text"))
+    return extract.resolve(rows, "MANUFACTURER_ADDRESS").select("s_suppkey", _best("text").alias("manufacturer"), "confidence")
+
+
+_DATE_FORM = "(l_orderkey + l_linenumber) % 6"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey,
+  CASE {_DATE_FORM} WHEN 3 THEN '20' || strftime(l_shipdate, '%y-%m-%d') WHEN 4 THEN strftime(l_shipdate, '%Y-%m') WHEN 5 THEN '20' || strftime(l_shipdate, '%y-%m')
+    ELSE strftime(l_shipdate, '%Y-%m-%d') END AS mfg_date,
+  CASE WHEN {_DATE_FORM} >= 3 THEN 'low' ELSE 'high' END AS confidence FROM lineitem""")
+def extract_mfg_date(spark, sf_dir):
+    d = lambda f: F.date_format("l_shipdate", f)
+    form = F.expr(_DATE_FORM)
+    text = (
+        F.when(form == 0, _text("Mfg Date ", d("dd/MM/yyyy")))
+        .when(form == 1, _text("MFD ", d("yyyy-MM-dd")))
+        .when(form == 2, _text("Pkd. Date ", F.upper(d("dd MMM yyyy"))))
+        .when(form == 3, _text("MFD: ", d("dd.MM.yy")))
+        .when(form == 4, _text("Packed On ", d("MM/yyyy")))
+        .otherwise(_text("MFG ", d("MM/yy"), "-12/99"))
+    )
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", _text(text, " Batch No. 12").alias("text"))
+    return extract.resolve(rows, "MANUFACTURING_DATE").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", _best("date").alias("mfg_date"), "confidence")
+
+
+@query("""SELECT s_suppkey, '1800-' || (100 + s_suppkey % 900) || '-' || (1000 + s_suppkey % 9000) AS phone,
+  CASE WHEN s_suppkey % 3 > 0 THEN 'care' || s_suppkey || '@example.com' END AS email, CASE WHEN s_suppkey % 3 > 0 THEN 'high' ELSE 'low' END AS confidence FROM supplier""")
+def extract_consumer_care(spark, sf_dir):
+    k = F.col("s_suppkey")
+    phone = _text("1800-", (100 + k % 900).cast("string"), "-", (1000 + k % 9000).cast("string"))
+    email = F.when(k % 3 > 0, _text(" care", k.cast("string"), " @ example . com")).otherwise("")
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", _text("Customer Care No. ", phone, email).alias("text"))
+    return extract.resolve(rows, "CONSUMER_CARE").select("s_suppkey", _best("phone").alias("phone"), _best("email").alias("email"), "confidence")
+
+
+@query("SELECT doc_id, nullif(regexp_extract(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}'), '') AS email FROM documents")
+def document_contacts(spark, sf_dir):
+    found = F.regexp_extract("text", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", 0)
+    return _read(spark, sf_dir, "documents").select("doc_id", F.nullif(found, F.lit("")).alias("email"))
+
+
+@query("SELECT p_partkey, round(p_retailprice, 2) AS amount, 1::BIGINT AS n_candidates FROM part")
+def offer_price_suppressed(spark, sf_dir):
+    text = _text("MRP Offer Price Rs ", F.col("p_size").cast("string"), ".00 MRP Rs ", _fixed(F.col("p_retailprice")))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    return extract.resolve(rows, "MRP").select("p_partkey", _best("amount").alias("amount"), F.size("candidates").cast("long").alias("n_candidates"))
+
+
+@query("SELECT p_partkey, 10.0::DOUBLE AS amount, p_size % 2 = 1 AS ambiguous FROM part")
+def ambiguous_candidates(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select("p_partkey", _text("MRP Rs 10.00 MRP Rs ", (10 + F.col("p_size") % 2).cast("string"), ".00").alias("text"))
+    return extract.resolve(rows, "MRP").select("p_partkey", _best("amount").alias("amount"), "ambiguous")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'NEGATIVE_OR_SIGNED_REJECTED' WHEN 1 THEN 'TRAILING_ALPHA_REJECTED' WHEN 2 THEN 'MALFORMED_NUMERIC_REJECTED' ELSE 'CONFLICT_SUPPRESSED' END AS reason,
+  'none' AS confidence FROM part""")
+def rejected_prices(spark, sf_dir):
+    n = F.col("p_size").cast("string")
+    forms = F.array(_text("MRP Rs -", n, ".00"), _text("MRP Rs ", n, "abc"), _text("MRP Rs 1,23,", F.lpad((F.col("p_size") % 100).cast("string"), 2, "0")), _text("MRP Rs ", n, " Protein Offer"))
+    text = F.element_at(forms, (F.col("p_partkey") % 4 + 1).cast("int"))
+    text = F.when(F.col("p_partkey") % 4 == 3, F.lit("x")).otherwise(text)
+    rows = _read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    out = extract.resolve(rows, "MRP")
+    reason = F.element_at(F.get("candidates", F.lit(0))["reason_codes"], -1)
+    return out.select("p_partkey", F.coalesce(reason, F.lit("CONFLICT_SUPPRESSED")).alias("reason"), "confidence")
+
+
+def _tokens(words: Column) -> Column:
+    """Words as OCR tokens."""
+    none = F.lit(None).cast("array<array<double>>")
+    return F.transform(words, lambda w, i: F.struct(w.alias("text"), none.alias("bbox"), (0.3 + (i % 2) * 0.4).cast("double").alias("confidence"), F.when(i % 3 == 2, "hi").otherwise("en").alias("language")))
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS w FROM part)
+SELECT p_partkey, i - 1 AS token_index, len(array_to_string(w[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS token_start, len(array_to_string(w[1:i], ' ')) AS token_end
+FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM w)""")
+def token_offsets(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select("p_partkey", X.token_index(_tokens(F.split(F.concat_ws(" ", "p_name", "p_type"), " "))).alias("t"))
+    return rows.select("p_partkey", F.explode("t").alias("t")).select(
+        "p_partkey", F.col("t.i").cast("long").alias("token_index"), F.col("t.start").cast("long").alias("token_start"), F.col("t.end").cast("long").alias("token_end")
+    )
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS w FROM part), t AS (
+  SELECT p_partkey, i, len(array_to_string(w[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS s, len(array_to_string(w[1:i], ' ')) AS e, w[i] AS x
+  FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM w)
+) SELECT p_partkey, string_agg(x, '|' ORDER BY i) AS evidence, round(avg(CASE WHEN i % 2 = 0 THEN 0.7 ELSE 0.3 END), 6) AS confidence FROM t WHERE e > 4 AND s < 9 GROUP BY p_partkey""")
+def span_overlap(spark, sf_dir):
+    index = X.token_index(_tokens(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", X.supporting(index, F.lit(4), F.lit(9)).alias("t"))
+    return rows.select("p_partkey", F.array_join(F.transform("t", lambda t: t["text"]), "|").alias("evidence"), F.round(X.mean_confidence(F.col("t")), 6).alias("confidence"))
+
+
+@query("SELECT s_suppkey, s_name AS manufacturer, 1::BIGINT AS n_tokens, 'low' AS confidence, 'en' AS language FROM supplier")
+def evidence_provenance(spark, sf_dir):
+    """Back-mapped evidence tokens of an address whose OCR was unsure."""
+    token = F.array(F.struct(_text("Manufactured  by:  ", F.col("s_name")).alias("text"), F.lit(None).cast("array<array<double>>").alias("bbox"), F.lit(0.3).alias("confidence"), F.lit("en").alias("language")))
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", token.alias("tokens")).withColumns({"text": X.joined_text(F.col("tokens")), "index": X.token_index(F.col("tokens"))})
+    mapped = X.normalize_with_map(rows, "text").withColumns({"norm": F.col("mapped.t"), "offsets": F.col("mapped.o")})
+    out = extract.finalize(extract.best(extract.candidates(mapped, "MANUFACTURER_ADDRESS")))
+    return out.select("s_suppkey", _best("text").alias("manufacturer"), F.size("evidence_tokens").cast("long").alias("n_tokens"), "confidence", "language")
+
+
+# --- scans: extraction, contract, rules
+
+
+def _scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label text per order; declarations are left out by the key."""
+    k = F.col("o_orderkey")
+    part = lambda n, text: F.when(k % n != 0, text).otherwise("")
+    quantity = F.when(k % 11 == 0, F.lit(" Net Qty 5 mg")).otherwise(F.lit(" Net Qty 5 g"))
+    text = _text(
+        "Goods ", part(5, _text("MRP Rs ", _fixed(F.col("o_totalprice") / 1000))), part(7, quantity), part(3, F.lit(" Manufactured by Acme Foods Ltd")),
+        part(13, F.lit(" Mfg Date 05/06/2024")), part(17, F.lit(" Customer Care 1800-123-4567 a@example.com")),
+    )
+    return _read(spark, sf_dir, "orders").select(k.alias("scan_id"), text.alias("text"))
+
+
+def check_scans(texts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Violations and scores of scans given as texts."""
+    fields = rules.contract(extract.map_fields(texts, keys), keys)
+    found = rules.violations(fields, texts, keys)
+    return found, rules.scores(texts, found, keys)
+
+
+_VIOLATIONS = """
+SELECT o_orderkey AS scan_id, field_name, severity, clause AS legal_reference FROM orders, (VALUES
+  ('mrp', 5, 'critical', 'Rule 6(1)(e)'), ('net_quantity', 7, 'major', 'Rule 6(1)(c)'), ('manufacturer', 3, 'major', 'Rule 6(1)(a)'),
+  ('mfg_date', 13, 'major', 'Rule 6(1)(d)'), ('consumer_care', 17, 'minor', 'Rule 6(1)(h)'), ('FONT_SIZE', 1, 'major', NULL)) v(field_name, n, severity, clause)
+WHERE o_orderkey % n = 0
+UNION ALL SELECT o_orderkey, 'net_quantity', 'major', 'Rule 6(1)(c) -- Section 36(1) of Legal Metrology Act, 2009' FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 7 <> 0
+"""
+
+
+@query(_VIOLATIONS.replace("('FONT_SIZE', 1, 'major', NULL)", "('FONT_SIZE', 1, 'major', 'Rule 9(1)')"))
+def scan_violations(spark, sf_dir):
+    return check_scans(_scan_texts(spark, sf_dir), ["scan_id"])[0].select("scan_id", "field_name", "severity", "legal_reference")
+
+
+@query(f"SELECT field_name, severity, count(*) AS n FROM ({_VIOLATIONS}) GROUP BY ALL")
+def violations_by_field(spark, sf_dir):
+    return check_scans(_scan_texts(spark, sf_dir), ["scan_id"])[0].groupBy("field_name", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT scan_id, count(*) AS n_violations, greatest(0, 100 - sum(CASE severity WHEN 'critical' THEN 30 WHEN 'major' THEN 15 ELSE 5 END))::DOUBLE AS score, FALSE AS is_compliant
+FROM ({_VIOLATIONS}) GROUP BY scan_id""")
+def compliance_score(spark, sf_dir):
+    return check_scans(_scan_texts(spark, sf_dir), ["scan_id"])[1]
+
+
+@query("""SELECT o_orderkey AS scan_id, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 3 = 0 THEN 'MANUFACTURER_ADDRESS,MRP' WHEN o_orderkey % 5 = 0 THEN 'MRP' ELSE 'MANUFACTURER_ADDRESS' END AS missing
+FROM orders WHERE (o_orderkey % 5 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 7 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0""")
+def missing_fields(spark, sf_dir):
+    k = F.col("scan_id")
+    texts = _scan_texts(spark, sf_dir).where((k % 7 != 0) & (k % 13 != 0) & (k % 17 != 0))
+    return secondpass.missing_fields(extract.map_fields(texts, ["scan_id"]), ["scan_id"]).select("scan_id", F.array_join("missing", ",").alias("missing"))
+
+
+# --- second pass and images
+
+
+@query("""SELECT p_partkey, greatest(round(p_retailprice, 2), p_size::DOUBLE) AS amount FROM part""")
+def sweep_largest_price(spark, sf_dir):
+    text = _text("USP ", F.col("p_size").cast("string"), " Offer Price ", _fixed(F.col("p_retailprice")), " INR 1")
+    return _read(spark, sf_dir, "part").select("p_partkey", secondpass.normalize_mrp(secondpass.sweep_mrp(text)["evidence"]).alias("amount"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey,
+  CASE l_linenumber % 3 WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 1 THEN strftime(l_shipdate, '%Y-%m') ELSE '20' || strftime(l_shipdate, '%y-%m') END AS day FROM lineitem""")
+def normalize_dates(spark, sf_dir):
+    """Second-pass dates: day forms, month forms, and named months, which lose their day."""
+    d = lambda f: F.date_format("l_shipdate", f)
+    text = F.when(F.col("l_linenumber") % 3 == 0, d("dd-MM-yyyy")).when(F.col("l_linenumber") % 3 == 1, d("MM.yyyy")).otherwise(F.upper(d("dd/MMM/yy")))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", secondpass.normalize_date(text).alias("day"))
+
+
+@query("""SELECT s_suppkey, '1-1800-' || (100 + s_suppkey % 900) || '-' || (1000 + s_suppkey % 9000) AS phone, 'x' || s_suppkey || '@a.org' AS email FROM supplier""")
+def normalize_contacts(spark, sf_dir):
+    k = F.col("s_suppkey")
+    care = secondpass.normalize_care(_text("1800-", (100 + k % 900).cast("string"), "-", (1000 + k % 9000).cast("string"), " x", k.cast("string"), "@a.org"))
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", care["phone"].alias("phone"), care["email"].alias("email"))
+
+
+@query("""SELECT p_partkey, field, CASE WHEN field = 'MRP' AND p_partkey % 2 = 0 THEN 99.5 WHEN field = 'MRP' THEN round(p_retailprice, 2) WHEN field = 'NET_QUANTITY' THEN p_size::DOUBLE END AS amount,
+  CASE WHEN field IN ('MRP', 'NET_QUANTITY') THEN 'high' ELSE 'none' END AS confidence
+FROM part, (VALUES ('MRP'), ('NET_QUANTITY'), ('MANUFACTURER_ADDRESS'), ('MANUFACTURING_DATE'), ('CONSUMER_CARE')) f(field)""")
+def second_pass_override(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    first = extract.map_fields(part.select("p_partkey", _text("MRP Rs ", _fixed(F.col("p_retailprice")), " Net Qty ", F.col("p_size").cast("string"), " g").alias("text")), ["p_partkey"])
+    second = part.where("p_partkey % 2 = 0").select("p_partkey", F.lit("MRP").alias("field"), F.lit("PRICE 99.50").alias("value"))
+    return secondpass.override(first, second, ["p_partkey"]).select("p_partkey", "field", F.col("v_amount").alias("amount"), "confidence")
+
+
+@query("""SELECT p_partkey, field, CASE WHEN field = 'MRP' THEN round(p_retailprice, 2) WHEN field = 'NET_QUANTITY' AND p_partkey % 3 = 0 THEN 7.0 END AS amount,
+  CASE WHEN field = 'MRP' THEN 'regex' WHEN field = 'NET_QUANTITY' AND p_partkey % 3 = 0 THEN 'llm' ELSE 'none' END AS method
+FROM part, (VALUES ('MRP'), ('NET_QUANTITY'), ('MANUFACTURER_ADDRESS'), ('MANUFACTURING_DATE'), ('CONSUMER_CARE')) f(field)""")
+def enrichment_fill(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    first = extract.map_fields(part.select("p_partkey", _text("MRP Rs ", _fixed(F.col("p_retailprice"))).alias("text")), ["p_partkey"])
+    first = first.withColumn("method", F.when(F.col("confidence") == "none", "none").otherwise("regex"))
+    extra = part.where("p_partkey % 3 = 0").select("p_partkey", F.explode(F.array(F.struct(F.lit("NET_QUANTITY").alias("field"), F.lit("7 pcs").alias("value")), F.struct(F.lit("MRP").alias("field"), F.lit("1").alias("value")))).alias("e")).select("p_partkey", "e.*")
+    return secondpass.enrich(first, extra, ["p_partkey"]).select("p_partkey", "field", F.col("v_amount").alias("amount"), "method")
+
+
+_LINES = "SELECT l_orderkey, l_linenumber, min(l_partkey) AS k, min(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("q"))
+
+
+@query(f"""SELECT l_orderkey AS scan_id, value, confidence, l_linenumber AS image_index FROM (
+  SELECT *, CASE WHEN k % 3 > 0 THEN q END AS value, CASE WHEN k % 3 = 0 THEN 'none' WHEN k % 2 = 0 THEN 'high' ELSE 'low' END AS confidence FROM ({_LINES}))
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY value IS NOT NULL DESC, CASE WHEN value IS NULL THEN 0 WHEN confidence = 'high' THEN 2 ELSE 1 END DESC, l_linenumber) = 1""")
+def merge_images(spark, sf_dir):
+    k = F.col("k")
+    rows = _lines(spark, sf_dir).select(
+        F.col("l_orderkey").alias("scan_id"), F.lit("MRP").alias("field"), F.col("l_linenumber").alias("image_index"), F.when(k % 3 > 0, F.col("q")).alias("value"),
+        F.when(k % 3 == 0, "none").when(k % 2 == 0, "high").otherwise("low").alias("confidence"),
+    )
+    return merge.merge_images(rows, ["scan_id"]).select("scan_id", "value", "confidence", "image_index")
+
+
+_BOXES = f"SELECT l_orderkey AS image_id, l_linenumber AS token_index, (k % 300)::DOUBLE AS xmin, (l_linenumber * 25)::DOUBLE AS ymin, (k % 300 + 40)::DOUBLE AS xmax, (l_linenumber * 25 + 30)::DOUBLE AS ymax FROM ({_LINES})"
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("k") % 300, F.col("l_linenumber") * 25
+    return _lines(spark, sf_dir).select(
+        F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("token_index"), x.cast("double").alias("xmin"), y.cast("double").alias("ymin"),
+        (x + 40).cast("double").alias("xmax"), (y + 30).cast("double").alias("ymax"),
+    )
+
+
+@query(f"""WITH t AS ({_BOXES}) SELECT a.image_id, a.token_index AS anchor, b.token_index AS neighbour,
+  round(sqrt(((b.xmin + b.xmax) / 2 - (a.xmin + a.xmax) / 2) ** 2 + ((b.ymin + b.ymax) / 2 - (a.ymin + a.ymax) / 2) ** 2), 4) AS distance
+FROM t a JOIN t b ON a.image_id = b.image_id AND a.token_index <> b.token_index
+WHERE b.xmin >= a.xmin - 40 AND b.xmin <= a.xmax + 400 AND b.ymin >= a.ymin - 40 AND b.ymax <= a.ymax + 60""")
+def spatial_neighbours(spark, sf_dir):
+    near = spatial.pairs(_boxes(spark, sf_dir), ["image_id"], spatial.in_window())
+    return near.select(F.col("a.image_id").alias("image_id"), F.col("a.token_index").alias("anchor"), F.col("b.token_index").alias("neighbour"), F.round(spatial.distance(), 4).alias("distance"))
+
+
+_OVERLAP = "greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))"
+
+
+@query(f"""WITH t AS ({_BOXES}) SELECT a.image_id, a.token_index AS i, b.token_index AS j, round({_OVERLAP} / (2400.0 - {_OVERLAP}), 6) AS iou
+FROM t a JOIN t b ON a.image_id = b.image_id AND a.token_index < b.token_index WHERE {_OVERLAP} > 0""")
+def token_iou(spark, sf_dir):
+    first = F.col("a.token_index") < F.col("b.token_index")
+    near = spatial.pairs(_boxes(spark, sf_dir), ["image_id"], first & (spatial.iou() > 0))
+    return near.select(F.col("a.image_id").alias("image_id"), F.col("a.token_index").alias("i"), F.col("b.token_index").alias("j"), F.round(spatial.iou(), 6).alias("iou"))
+
+
+@query(f"""WITH t AS (SELECT *, (token_index * 7 % 5) / 10.0 AS confidence FROM ({_BOXES})) SELECT a.image_id, a.token_index FROM t a WHERE NOT EXISTS (
+  SELECT 1 FROM t b WHERE a.image_id = b.image_id AND a.token_index <> b.token_index AND {_OVERLAP} / (2400.0 - {_OVERLAP}) > 0.05
+  AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND b.token_index < a.token_index)))""".replace("0.05", "0.5"))
+def merge_tokens(spark, sf_dir):
+    tokens = _boxes(spark, sf_dir).withColumn("confidence", F.col("token_index") * 7 % 5 / 10.0)
+    return spatial.merge_tokens(tokens, ["image_id"], dedupe=True).select("image_id", "token_index")
+
+
+@query(f"""WITH d AS (SELECT l_orderkey AS image_id, l_linenumber % 4 AS rotation, q, l_linenumber AS n FROM ({_LINES})), s AS (
+  SELECT image_id, rotation, round(sum(CASE WHEN n = 1 THEN 100 + 3 * q / 100 WHEN n % 2 = 0 THEN 7 * q / 100 ELSE q / 1000 END), 6) AS score FROM d GROUP BY ALL)
+SELECT image_id, rotation, score FROM s QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, rotation) = 1""")
+def best_rotation(spark, sf_dir):
+    n = F.col("l_linenumber")
+    text = F.when(n == 1, "MRP").when(n % 2 == 0, "abcdefg").otherwise("ab")
+    rows = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("image_id"), (n % 4).alias("rotation"), text.alias("text"), (F.col("q") / 100).alias("confidence"))
+    return spatial.best_rotation(rows)
+
+
+@query("""SELECT p_partkey, 'MRP' AS field, 1 AS anchor, 2 AS neighbour, 'Rs ' || p_size || '.00' AS value, 100.0::DOUBLE AS distance FROM part""")
+def anchor_pass(spark, sf_dir):
+    """The nearest price right of a price label, not the farther or the lower one."""
+    token = lambda i, text, x, y: F.struct(F.lit(i).alias("token_index"), text.alias("text"), F.lit(float(x)).alias("xmin"), F.lit(float(y)).alias("ymin"), F.lit(x + 50.0).alias("xmax"), F.lit(y + 20.0).alias("ymax"))
+    size = F.col("p_size").cast("string")
+    tokens = F.array(token(0, F.lit("Goods"), 0, 0), token(1, F.lit("MRP"), 0, 30), token(2, _text("Rs ", size, ".00"), 100, 30), token(3, F.lit("Rs 999.00"), 300, 30), token(4, F.lit("Rs 1.00"), 100, 300))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.explode(tokens).alias("t")).select("p_partkey", "t.*")
+    return spatial.anchored(rows, ["p_partkey"], "MRP", V.SWEEP["MRP"])
+
+
+# --- stored scans
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "pending_sync").otherwise("synced")
+    return _read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("scan_id"), F.col("o_custkey").alias("officer_id"), (F.col("o_orderstatus") == "F").alias("is_compliant"), F.round("o_totalprice", 2).alias("compliance_score"),
+        F.col("o_orderdate").alias("created_at"), status.alias("sync_status"), F.md5(F.col("o_orderkey").cast("string")).alias("scan_key"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("product_name"),
+    )
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id"), F.col("l_returnflag").alias("field_name")).distinct()
+    return rows.withColumn("issue", F.concat(F.lit("issue "), "field_name")).withColumn("severity", F.when(F.col("field_name") == "A", "critical").otherwise("minor"))
+
+
+_FOUND = "SELECT DISTINCT l_orderkey AS scan_id, l_returnflag AS field_name, 'issue ' || l_returnflag AS issue, CASE WHEN l_returnflag = 'A' THEN 'critical' ELSE 'minor' END AS severity FROM lineitem"
+_RATE = "coalesce(round_even(count(*) FILTER (o_orderstatus = 'F') * 100.0 / count(*), 1), 0)::DOUBLE"
+
+
+@query(f"""SELECT count(*) AS total, {_RATE} AS pass_rate, (SELECT field_name FROM ({_FOUND}) GROUP BY field_name ORDER BY count(*) DESC, field_name LIMIT 1) AS top_violation FROM orders""")
+def scan_metrics(spark, sf_dir):
+    return store.metrics(_scans(spark, sf_dir), _found(spark, sf_dir))
+
+
+@query(f"""WITH c AS (SELECT o_custkey, field_name, count(*) AS n FROM ({_FOUND}) JOIN orders ON o_orderkey = scan_id GROUP BY ALL), top AS (
+  SELECT o_custkey, field_name FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, field_name) = 1)
+SELECT o_custkey AS officer_id, count(*) AS total, {_RATE} AS pass_rate, coalesce(any_value(field_name), 'None') AS top_violation FROM orders LEFT JOIN top USING (o_custkey) GROUP BY o_custkey""")
+def metrics_by_officer(spark, sf_dir):
+    return store.metrics_by_officer(_scans(spark, sf_dir), _found(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey AS scan_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'Unregistered Product' END AS product_name FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 10""")
+def scan_history(spark, sf_dir):
+    return store.history(_scans(spark, sf_dir), 25, 10).select("scan_id", "product_name")
+
+
+@query("SELECT o_orderkey AS scan_id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
+def latest_scan(spark, sf_dir):
+    return store.latest(_scans(spark, sf_dir))
+
+
+@query(f"""SELECT o_orderkey AS scan_id, coalesce(string_agg(field_name || ':' || severity, ',' ORDER BY field_name), '') AS violations FROM orders LEFT JOIN ({_FOUND}) ON scan_id = o_orderkey GROUP BY o_orderkey""")
+def scan_detail(spark, sf_dir):
+    rows = store.detail(_scans(spark, sf_dir), _found(spark, sf_dir))
+    return rows.select("scan_id", F.array_join(F.transform("violations", lambda v: F.concat_ws(":", v["field_name"], v["severity"])), ",").alias("violations"))
+
+
+@query("SELECT o_orderkey AS scan_id, count(*) OVER () AS match_count FROM orders WHERE starts_with(upper(md5(o_orderkey::VARCHAR)), 'A7')")
+def prefix_lookup(spark, sf_dir):
+    return store.prefix_lookup(_scans(spark, sf_dir), "CERT-a7").select("scan_id", "match_count")
+
+
+_OVERRIDES = """SELECT o_orderkey AS scan_id, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'MRP' END AS field_name, CASE WHEN o_orderkey % 4 = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+  CASE WHEN o_orderkey % 5 > 0 THEN 'seen' END AS evidence FROM orders WHERE o_orderkey % 2 = 0"""
+
+
+@query(f"""SELECT scan_id, field_name, coalesce(evidence, issue) AS issue, CASE WHEN issue IS NULL THEN 'HIGH' ELSE severity END AS severity, status IS NOT NULL AS overridden
+FROM ({_FOUND}) FULL JOIN ({_OVERRIDES}) USING (scan_id, field_name) WHERE status IS NULL OR status <> 'PASS'""")
+def override_apply(spark, sf_dir):
+    k = F.col("o_orderkey")
+    one = _read(spark, sf_dir, "orders").where(k % 2 == 0).select(
+        k.alias("scan_id"), F.when(k % 3 == 0, "A").when(k % 3 == 1, "N").otherwise("MRP").alias("rule_key"), F.when(k % 4 == 0, "PASS").otherwise("FAIL").alias("status"),
+        F.when(k % 5 > 0, "seen").alias("evidence"), F.lit(2).alias("seq"),
+    )
+    earlier = one.withColumns({"status": F.lit("PASS"), "evidence": F.lit("old"), "seq": F.lit(1)})
+    return store.apply_overrides(_found(spark, sf_dir), one.unionByName(earlier))
+
+
+@query("SELECT o_orderkey AS scan_id, o_custkey AS officer_id, o_orderstatus = 'F' AS is_compliant, round(o_totalprice, 2) AS compliance_score, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'O'")
+def pending_sync(spark, sf_dir):
+    return store.pending(_scans(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 1 THEN 'pending_sync' ELSE 'synced' END AS sync_status, count(*) AS n FROM orders GROUP BY 1")
+def sync_update(spark, sf_dir):
+    scans = _scans(spark, sf_dir)
+    sent = store.pending(scans).where("scan_id % 2 = 0")
+    return store.mark_synced(scans, sent).groupBy("sync_status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS scan_id, CASE WHEN o_orderkey % 4 = 0 THEN 'pass' WHEN o_orderkey % 4 = 2 THEN 'fail' END AS calibrator_result, o_orderkey % 2 = 0 AS calibrator_used FROM orders")
+def calibration_update(spark, sf_dir):
+    scans = _scans(spark, sf_dir).withColumns({"calibrator_used": F.lit(False), "calibrator_result": F.lit(None).cast("string")})
+    results = scans.where("scan_id % 2 = 0").select("scan_id", (F.col("scan_id") % 4 == 0).alias("passed")).union(spark.createDataFrame([(-1, True)], "scan_id long, passed boolean"))
+    return store.set_calibration(scans, results).select("scan_id", "calibrator_result", "calibrator_used")
+
+
+@query("SELECT c_name AS email, c_custkey AS officer_id FROM customer")
+def seed_new_accounts(spark, sf_dir):
+    users = _read(spark, sf_dir, "customer").select(F.col("c_name").alias("email"), F.col("c_custkey").alias("officer_id"))
+    return store.add_missing(users.where("officer_id % 3 = 0"), users)
+
+
+@query("SELECT o_orderkey AS scan_id, coalesce(c_name || ', ' || c_mktsegment || ' (' || c_custkey || ')', 'N/A') AS officer FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def scan_officer(spark, sf_dir):
+    users = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("officer_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("role"))
+    return store.with_officer(_scans(spark, sf_dir), users).select("scan_id", "officer")
+
+
+@query("""SELECT o_orderkey AS scan_id, CASE WHEN o_orderkey % 3 = 0 THEN 'stored' WHEN o_custkey % 25 < 20 THEN 'place ' || (o_custkey % 25) END AS location_address FROM orders""")
+def scan_address(spark, sf_dir):
+    at = (F.col("officer_id") % 25).cast("double")
+    scans = _scans(spark, sf_dir).withColumns({"latitude": at + 0.0001, "longitude": at, "location_address": F.when(F.col("scan_id") % 3 == 0, "stored")})
+    n = F.col("n_nationkey")
+    places = _read(spark, sf_dir, "nation").where(n < 20).select(n.cast("double").alias("lat"), n.cast("double").alias("lon"), _text("place ", n.cast("string")).alias("address"))
+    return store.with_address(scans, places).select("scan_id", "location_address")
+
+
+# --- font size, certificates, evaluation
+
+
+@query("""WITH b AS (SELECT p_partkey, round((p_size + 5) * (21.93::DOUBLE / (2 * (20.37::DOUBLE + p_partkey % 30))), 3) AS measured_mm, CASE p_partkey % 3 WHEN 0 THEN p_size * 20.0 WHEN 1 THEN p_size * 20000.0 END AS q FROM part)
+SELECT p_partkey, measured_mm, CASE WHEN q < 200 THEN 1.0 WHEN q < 500 THEN 2.0 ELSE 4.0 END::DOUBLE AS required_mm, measured_mm >= CASE WHEN q < 200 THEN 1.0 WHEN q < 500 THEN 2.0 ELSE 4.0 END AS is_compliant,
+  CASE WHEN q IS NULL THEN 'low' ELSE 'high' END AS confidence FROM b""")
+def font_size_check(spark, sf_dir):
+    k = F.col("p_partkey")
+    boxes = _read(spark, sf_dir, "part").select(
+        "p_partkey", F.lit(0).alias("y1"), (F.col("p_size") + 5).alias("y2"), F.lit("1_rupee").alias("coin_key"), (20.37 + k % 30).alias("coin_radius_px"),
+        (F.col("p_size") * 20.0).alias("quantity"), F.element_at(F.array(F.lit("g"), F.lit("kg"), F.lit("pieces")), (k % 3 + 1).cast("int")).alias("unit"),
+    )
+    return fontsize.check(boxes).select("p_partkey", "measured_mm", "required_mm", "is_compliant", "confidence")
+
+
+@query("""SELECT o_orderkey AS scan_id, 'CERT-' || upper(md5(o_orderkey::VARCHAR)[1:8]) AS certificate, 'CR-' || year(o_orderdate) || '-' || upper(md5(o_orderkey::VARCHAR)[1:8]) AS report,
+  strftime(o_orderdate, '%d-%m-%Y') AS issued, CASE WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS verdict, 'Rs. ' || printf('%.2f', round(o_totalprice, 2)) AS mrp,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'Packaged Product' END AS commodity FROM orders""")
+def certificate_rows(spark, sf_dir):
+    s = _scans(spark, sf_dir)
+    return s.select(
+        "scan_id", report.certificate_number(F.col("scan_key")).alias("certificate"), report.report_number(F.col("scan_key"), F.col("created_at")).alias("report"), F.date_format("created_at", "dd-MM-yyyy").alias("issued"),
+        report.verdict(F.col("is_compliant")).alias("verdict"), report.format_mrp(F.col("compliance_score")).alias("mrp"), report.commodity(F.col("product_name")).alias("commodity"),
+    )
+
+
+@query("""SELECT coalesce(field, 'ALL') AS field, count(*) AS total, sum(ok)::BIGINT AS correct, round(avg(ok), 4) AS accuracy FROM (
+  SELECT 'MRP' AS field, CASE WHEN p_partkey % 10 > 0 THEN 1 ELSE 0 END AS ok FROM part UNION ALL SELECT 'NET_QUANTITY', CASE WHEN p_partkey % 4 > 0 THEN 1 ELSE 0 END FROM part) GROUP BY ROLLUP (field)""")
+def field_accuracy(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    price = part.select(F.lit("MRP").alias("field"), evaluate.expected_price(_text("MRP ₹ ", _fixed(F.col("p_retailprice")), "/-")).cast("string").alias("expected"), F.round(F.col("p_retailprice") + F.when(k % 10 == 0, 1.0).otherwise(0.0), 2).cast("string").alias("actual"))
+    found = evaluate.expected_quantity(_text(F.col("p_size").cast("string"), F.when(k % 4 == 0, " Pairs").otherwise(" Kilograms")))
+    quantity = part.select(F.lit("NET_QUANTITY").alias("field"), F.concat_ws(" ", found["amount"].cast("string"), found["unit"]).alias("expected"), F.concat_ws(" ", F.col("p_size").cast("double").cast("string"), F.lit("kg")).alias("actual"))
+    return evaluate.accuracy(price.unionByName(quantity))
+
+
+@query("""WITH w AS (SELECT p_partkey, list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: len(x) >= 2)) AS a, list_distinct(list_filter(string_split(lower(p_name || ' x9'), ' '), lambda x: len(x) >= 2)) AS b FROM part)
+SELECT p_partkey, round(len(list_intersect(a, b)) / len(a), 6) AS recall FROM w""")
+def word_recall(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", F.round(evaluate.recall(F.concat_ws(" ", "p_name", "p_type"), _text(F.col("p_name"), " x9")), 6).alias("recall"))
