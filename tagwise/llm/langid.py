@@ -63,12 +63,22 @@ def hashes(data: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _at(data: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """:func:`hashes` of the n-grams that end at the given places only."""
+    h = np.full(len(ends), n, np.uint64)
+    for k in range(n - 1, -1, -1):
+        part = np.where(ends >= k, data[np.maximum(ends - k, 0)], 0).astype(np.uint64)
+        h = (h ^ (part + np.uint64(1))) * _MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
 @dataclass
 class Model:
     """Sorted hash arrays of orders 1 to ORDER; row i of ``logp[n]`` and ``logb[n]`` belongs to ``keys[n][i]``.
 
-    ``logp``: log-probability of the n-gram's last character, NaN where a language hasn't seen it; ``logb``: log of the
-    back-off weight of the n-gram as a context, 0 where unseen.
+    ``logp``: log-probability of the n-gram's last character, backed off where a language hasn't seen the n-gram; ``logb``:
+    log of the back-off weight of the n-gram as a context, 0 where unseen.
     """
 
     languages: list[str]
@@ -81,21 +91,21 @@ class Model:
     def cross_entropies(self, texts: list[str]) -> np.ndarray:
         """Per text and language: mean negative log-probability of a character."""
         data, starts = code_points(texts)
-        total = np.zeros((len(data), len(self.languages)), np.float32)
-        open_ = np.ones((len(data), len(self.languages)), bool)
-        weight = np.zeros_like(total)
-        for n in range(ORDER, 0, -1):
-            h = hashes(data, n)
-            at, hit = find(self.keys[n - 1], h)
-            p = self.logp[n - 1][at]
-            use = open_ & hit[:, None] & ~np.isnan(p)
-            total[use] = (weight + p)[use]
-            open_ &= ~use
-            if n > 1:
-                # the context is the (n - 1)-gram that ends one place before
-                at, hit = find(self.keys[n - 2], np.concatenate([h[:1] * 0, hashes(data, n - 1)[:-1]]))
-                weight += np.where(hit[:, None] & open_, self.logb[n - 2][at], 0)
-        total[open_] = (weight + self.floor)[open_]
+        h = hashes(data, ORDER)
+        at, hit = find(self.keys[-1], h)
+        total = self.logp[-1][at]
+        left = np.flatnonzero(~hit)  # few: n-grams that no language has seen back off
+        weight = np.zeros((len(left), len(self.languages)), np.float32)
+        for n in range(ORDER - 1, 0, -1):
+            if not len(left):
+                break
+            # the context is the n-gram that ends one place before
+            at, hit = find(self.keys[n - 1], _at(data, np.maximum(left - 1, 0), n))
+            weight += np.where(hit[:, None], self.logb[n - 1][at], 0)
+            at, hit = find(self.keys[n - 1], _at(data, left, n))
+            total[left[hit]] = weight[hit] + self.logp[n - 1][at[hit]]
+            left, weight = left[~hit], weight[~hit]
+        total[left] = weight + self.floor
         for k in range(ORDER - 1):
             total[starts + k] = 0
         size = np.diff(np.append(starts, len(data))) - (ORDER - 1)
@@ -164,9 +174,25 @@ def estimate(counts: dict[str, list[dict]], alphabet: int) -> tuple[list[str], l
             if n > 1:
                 at, hit = find(keys[n - 2], group)
                 logb[n - 2][at[hit], j] = np.log(back[hit])
+    fill(counts, keys, logp, logb, float(floor))
     return languages, keys, logp, logb, float(floor)
 
 
+def fill(counts: dict[str, list], keys: list, logp: list, logb: list, floor: float) -> None:
+    """Back-off worked out once for every n-gram that some language has seen and another hasn't."""
+    logp[0][np.isnan(logp[0])] = floor
+    for n in range(2, ORDER + 1):
+        context, suffix = np.zeros(len(keys[n - 1]), np.uint64), np.zeros(len(keys[n - 1]), np.uint64)
+        for tables in counts.values():
+            key, c, x, _ = tables[n - 1]
+            at = np.searchsorted(keys[n - 1], key)
+            context[at], suffix[at] = c, x
+        at, hit = find(keys[n - 2], context)
+        back = np.where(hit[:, None], logb[n - 2][at], 0)
+        lower = logp[n - 2][find(keys[n - 2], suffix)[0]]
+        logp[n - 1] = np.where(np.isnan(logp[n - 1]), back + lower, logp[n - 1])
+
+
 def ngrams(texts: list[str], n: int) -> tuple[np.ndarray, ...]:
     """Distinct n-grams of the texts: hash, hash of the context (all but the last), of the suffix (all but the first), count."""
     data, starts = code_points(texts)
