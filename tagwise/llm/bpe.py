@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, prepare
+from .common import pieces, prepare, worker_state
 
 #: Longer matches are merged with a heap instead of a recursion step for each merge.
 LONG_WORD = 48
@@ -113,28 +113,36 @@ class Codec:
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         self.db.execute("SET preserve_insertion_order = false")
-        rows = [
-            (a, b, r)
-            for tok, r in self.ranks.items()
-            for i in range(1, len(tok))
-            if (a := self.ranks.get(tok[:i])) is not None and (b := self.ranks.get(tok[i:])) is not None
-        ]
-        l, r, m = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True)) if rows else [pa.array([], pa.int64())] * 3
-        merge_rows = pa.table({"pair": pc.add(pc.multiply(l, 1 << 16), r), "merged": m})
-        tokens = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]})
-        self.db.register("merge_rows", merge_rows)
-        self.db.register("tokens", tokens)
-        self.db.execute("CREATE TABLE merges AS FROM merge_rows; CREATE TABLE vocabulary AS FROM tokens")
-        self.db.unregister("merge_rows")
-        self.db.unregister("tokens")
+        self.tables: set[str] = set()
         #: int32 ids of the words seen
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("token ids of more than 16 bits")
 
+    def _table(self, name: str) -> None:
+        """Make a table when it is first needed: a worker may only encode, or only decode."""
+        if name in self.tables:
+            return
+        self.tables.add(name)
+        if name == "merges":
+            found = [
+                (a, b, r)
+                for tok, r in self.ranks.items()
+                for i in range(1, len(tok))
+                if (a := self.ranks.get(tok[:i])) is not None and (b := self.ranks.get(tok[i:])) is not None
+            ]
+            l, r, m = (pa.array(x, pa.int64()) for x in zip(*found, strict=True)) if found else [pa.array([], pa.int64())] * 3
+            rows = pa.table({"pair": pc.add(pc.multiply(l, 1 << 16), r), "merged": m})
+        else:
+            rows = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]})
+        self.db.register("rows", rows)
+        self.db.execute(f"CREATE TABLE {name} AS FROM rows")
+        self.db.unregister("rows")
+
     def learn(self, words: list[str]) -> None:
         """Encode words not seen before, a bounded number in each recursive query."""
+        self._table("merges")
         raw = []
         for w in words:
             b = w.encode("utf-8", "replace")
@@ -161,11 +169,11 @@ class Codec:
             flat = np.asarray(ids.values).astype(np.int32).tobytes()
             self.known.update((w, flat[s:e]) for (w, _), s, e in zip(part, cuts, cuts[1:], strict=False))
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+    def encode(self, texts: list[bytes | None], cache_words: int = CACHE_WORDS) -> list[bytes]:
         """The int32 ids of each text."""
         docs = [self.split((t or b"").decode("utf-8", "replace")) for t in texts]
         words = set(chain.from_iterable(docs))
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > cache_words:
             self.known, self.older = {}, self.known
         new = [w for w in words if w not in self.known]
         if self.older:
@@ -177,6 +185,7 @@ class Codec:
 
     def decode(self, ids: pa.Array) -> list[bytes]:
         """Bytes of each list of ids; null and empty lists give none."""
+        self._table("vocabulary")
         size = np.asarray(pc.fill_null(pc.list_value_length(ids), 0)).astype(np.int64)
         flat = pc.list_flatten(ids)
         table = pa.table(
@@ -191,15 +200,8 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
 def _codec(vocabulary: bytes, pattern: str) -> Codec:
-    key = (hash(vocabulary), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(vocabulary, pattern)
-    return _codecs[key]
+    return worker_state(("bpe", hash(vocabulary), pattern), lambda: Codec(vocabulary, pattern))
 
 
 def _vocabulary(spark, path: str):
@@ -210,8 +212,10 @@ def _vocabulary(spark, path: str):
     return spark.sparkContext.broadcast(data)
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (its columns ``keep``, or all) with ``out_col`` array<int>: the ids of each whole text, without special tokens."""
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with ``out_col`` array<int>: the ids of each whole text, without special tokens.
+
+    ``cache_words``: words in each generation that a task remembers; fewer take less memory and more time."""
     prepare(docs.sparkSession)
     held = _vocabulary(docs.sparkSession, vocabulary_path)
     kept = [c for c in docs.columns if c != out_col and (keep is None or c in keep)]
@@ -220,7 +224,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held.value, pattern)
         for b in pieces(batches, raw):
-            ids = codec.encode(b.column(raw).to_pylist())
+            ids = codec.encode(b.column(raw).to_pylist(), cache_words)
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             flat = np.frombuffer(b"".join(ids), np.int32)
             arrays = [b.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]

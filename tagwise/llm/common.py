@@ -11,6 +11,9 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -74,6 +77,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_held: dict = {}
+
+
+def worker_state(key, make=None):
+    """What a Python worker keeps from task to task: one thing at a time.
+
+    Spark reuses workers for all operators, so whatever another operator has kept is let go first, and freed memory goes
+    back to the system."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _held[key] = make() if make else None
+    return _held[key]
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """32 hex digits that identify id and text; rows with the same key are the same document."""
     return F.md5(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, prepare
+from .common import pieces, prepare, worker_state
 
 EDIT_EVERY = 14
 #: Characters of the items in one block.
@@ -128,6 +128,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         held = spark.sparkContext.broadcast(block)  # at most BLOCK_CHARS
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            worker_state("decontaminate")
             matcher = Matcher(held.value, every)
             for b in pieces(batches, "text"):
                 rows = [
@@ -159,6 +160,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            worker_state("decontaminate")
             matcher = Matcher(held.value, every)
             for b in pieces(batches, text):
                 clean = [not t or not matcher.find(normalise(t)) for t in b.column(text).to_pylist()]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, prepare
+from .common import pieces, prepare, worker_state
 
 ORDER = 4
 #: Labelled rows per language that the model is fitted on, about; languages that a model may have.
@@ -253,6 +253,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     raw = "__text_bytes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("langid")
         for b in pieces(batches, raw, 2 << 20):
             got = held.value.predict([None if t is None else t.decode("utf-8", "replace") for t in b.column(raw).to_pylist()])
             cols = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, pieces, prepare, row_key, runs
+from .common import materialize, partitions, pieces, prepare, row_key, runs, worker_state
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
@@ -138,6 +138,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weights: str) -> Dat
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("neardup")
         known = _Words()
         for b in pieces(batches, "text", 2 << 20):
             if len(known) > 300_000:
@@ -188,6 +189,7 @@ def linked(sets: list[np.ndarray], threshold: float) -> list[int]:
 
 
 def _links(batches: Iterator[pa.RecordBatch], threshold: float, weights: str) -> Iterator[pa.RecordBatch]:
+    worker_state("neardup")
     known = _Words()
     a: list[bytes] = []
     b: list[bytes] = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, pieces, prepare
+from .common import partitions, pieces, prepare, worker_state
 
 #: Words and shape buckets; together CLASSES * CLASSES.
 FREQUENT, SHAPES, CLASSES = 896, 128, 32
@@ -181,6 +181,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], np
     """The FREQUENT most frequent words of all texts, and the counts of all tokens: words first, then shapes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("pseudo_likelihood")
         found: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
@@ -214,6 +215,7 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], Network
     held = sc.broadcast((known, start))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("pseudo_likelihood")
         known, net = held.value
         ids, trainer = Ids(known), Trainer(net)
         for b in pieces(batches, "text", 2 << 20):
@@ -254,6 +256,7 @@ def score(docs: DataFrame, model: tuple[list[bytes], Network], id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("pseudo_likelihood")
         known, net = held.value
         ids = Ids(known)
         for b in pieces(batches, "text", 2 << 20):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, pieces, prepare, row_key, runs
+from .common import partitions, pieces, prepare, row_key, runs, worker_state
 
 WIDTH, GRAMS = 35, 4
 #: Buckets per shuffle partition; bytes that a task packs before it sends; words of one counting pass.
@@ -171,6 +171,7 @@ def repeated(strings: list[bytes], times: np.ndarray, width: int = WIDTH) -> tup
 
 
 def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    worker_state("substring")
     for t in runs(batches, ["bucket"]):
         unzip = zstandard.ZstdDecompressor().decompress
         strings: dict[bytes, int] = {}
@@ -203,6 +204,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     buckets = parts * BUCKETS_PER_PARTITION
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("substring")
         packer = Packer(buckets)
         for b in pieces(batches, "text", 4 << 20):
             packer.add(b.column("key").to_pylist(), super_kmers(b.column("text").to_pylist(), width))
@@ -241,12 +243,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [f"__c{i}" for i in range(len(kept))]
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("substring")
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             out = pa.array([None if t is None else z.compress(t) for t in b.column("__text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), b.column("__key"), out], [*names, "__key", "__text"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("substring")
         unzip = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = [

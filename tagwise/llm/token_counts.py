@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _vocabulary, read_ranks
-from .common import pieces, prepare
+from .common import pieces, prepare, worker_state
 
 RANK_OFFSET = 2
 #: Pre-tokens that a task remembers.
@@ -78,9 +78,6 @@ class TrieCounter:
         return np.array([sum(map(get, d)) for d in docs], np.int64)
 
 
-_counters: dict[tuple[int, str], TrieCounter] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out_col: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``keep``, or all) with ``out_col`` long: tokens of the best segmentation of each whole text."""
     prepare(docs.sparkSession)
@@ -89,12 +86,9 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, text_col:
     raw = "__text_bytes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (hash(held.value), pattern)
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = TrieCounter(held.value, pattern)
+        counter = worker_state(("token_counts", hash(held.value), pattern), lambda: TrieCounter(held.value, pattern))
         for b in pieces(batches, raw):
-            n = pa.array(_counters[key].count(b.column(raw).to_pylist()))
+            n = pa.array(counter.count(b.column(raw).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [n], [*kept, out_col])
 
     schema = T.StructType([docs.schema[c] for c in kept]).add(out_col, T.LongType())
