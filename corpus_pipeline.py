@@ -10,6 +10,8 @@ from tagwise.llm import bpe, decontaminate, langid, neardup, substring
 from tagwise.llm.common import materialize, prepare
 
 VOCABULARY, PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
+#: Fewer than the operator's own: earlier stages leave less memory to the tokenizer's workers.
+CACHE_WORDS = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
     path = public_tokenizers.path(VOCABULARY)
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, PATTERN), path, PATTERN)
+    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, PATTERN, cache_words=CACHE_WORDS), path, PATTERN)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
