@@ -83,13 +83,12 @@ def vote(rule: tuple[str, str, str]) -> Column:
     return F.expr(f"CASE WHEN {rule[1]} THEN -1 WHEN {rule[2]} THEN 1 ELSE 0 END").alias(f"vote_{rule[0]}")
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """EM over (votes, count): the share of good texts, and for each rule and vote its probability if good and if bad.
 
     Starts from bad votes that are rarely wrong, so that "good" stays the side that good votes point to; the estimated
     false alarms stay under :data:`FALSE_ALARM`.
     """
-    rules = len(patterns[0][0]) if patterns else 0
     prior = PRIOR_GOOD
     table = [{1: (0.795, 0.5), 0: (0.2, 0.2), -1: (FALSE_ALARM, 0.3)} for _ in range(rules)]
     for _ in range(ITERATIONS):
@@ -126,7 +125,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     names = [f"vote_{r[0]}" for r in rules]
     rows = materialize(features(docs, id_col, text_col).select("*", *map(vote, rules)), "quality")
     counts = rows.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
-    prior, table = fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counts))
+    prior, table = fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counts), len(names))
     odds = F.lit(math.log(prior / (1 - prior)))
     for name, t in zip(names, table, strict=True):
         w = {v: math.log(t[v][0] / t[v][1]) for v in VOTES}

@@ -1,0 +1,317 @@
+"""Each operator against brute force, and on odd tables: nulls, empty and long texts, repeated rows, clashing columns."""
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from sqltwin import check
+
+from tagwise.llm import bpe, chat, decontaminate, langid, neardup, pseudo_likelihood, quality, queries, substring, token_counts, warc
+
+SF = "/root/testdata/sf0.001"
+PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+RANKS = bpe.read_ranks(open(PATH, "rb").read())
+LONG = "longword" * 3000 + " and more words " * 500
+PASSAGE = " ".join(f"w{i}" for i in range(60))
+#: id, text and columns whose names the operators use inside
+ROWS = [
+    (1, None, "a", 1), (2, "", None, 2), (3, " \t\n", "c", None), (4, LONG, "d", 4), (5, "one two", "e", 5), (5, "one two", "e", 5),
+    (None, "no id here é日本 \x1c x", "f", 6), (7, PASSAGE + " tail seven", "g", 7), (8, "head eight " + PASSAGE, "h", 8), (9, PASSAGE + " tail seven", "i", 9),
+    (10, "Orre " * 300, "j", 10), (10, "other text under the same id", "k", 11),
+]
+SCHEMA = "doc_id long, text string, key string, n long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def bag(rows):
+    return collections.Counter(map(repr, rows))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    check(spark, name, SF, queries.queries(), queries.ORACLES)
+
+
+def test_bpe_equals_tiktoken_and_round_trips(docs):
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    out = bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH, PATTERN).collect()
+    assert bag((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in out) == bag((i, enc.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in ROWS)
+    assert bpe.encode(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_recursive_query_equals_the_heap():
+    codec = bpe.Codec(open(PATH, "rb").read(), PATTERN)
+    rng = random.Random(1)
+    some = ["".join(rng.choice("aeinrst ") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    codec.learn(some)
+    for w in some:
+        if w.encode() not in RANKS:
+            assert np.frombuffer(codec.known[w], np.int32).tolist() == bpe.heap_merge(w.encode(), RANKS)
+
+
+def test_token_counts_equal_plain_dynamic_programming(docs):
+    counter = token_counts.TrieCounter(open(PATH, "rb").read(), PATTERN)
+
+    def count(word):
+        raw, best = word.encode(), [(0.0, 0)]
+        for i in range(1, len(raw) + 1):
+            options = [(best[s][0] + counter.score[raw[s:i]], best[s][1] + 1) for s in range(i) if raw[s:i] in counter.score]
+            top = max(x[0] for x in options)
+            best.append(min(((x, n) for x, n in options if x > top - 1e-9), key=lambda x: x[1]))
+        return best[-1][1]
+
+    out = token_counts.count_tokens(docs.where("doc_id IS NULL OR doc_id <> 4"), PATH, PATTERN).collect()
+    assert bag((r["doc_id"], r["n_tokens"]) for r in out) == bag((i, sum(map(count, counter.split(t or "")))) for i, t, *_ in ROWS if i != 4)
+
+
+def test_quality_features_and_verdicts(spark, docs):
+    def features(text):
+        w = [x.decode() for x in words(text)]
+        seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        cover = {i + k for i in range(len(w) - 2) for k in range(3) if seen[tuple(w[i : i + 3])] > 1}
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        return len(w), sum(map(len, w)), sum(map((text or "").count, "#*$%&|<>")), len(lines) - len(set(lines)), len(cover)
+
+    out = quality.judge(docs).collect()
+    got = bag((r["doc_id"], (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])) for r in out)
+    assert got == bag((i, features(t)) for i, t, *_ in ROWS)
+    assert quality.judge(docs.limit(0)).count() == 0
+    good = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("NOT base_failed")
+    share = {r["quality"]: r["s"] for r in good.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share[1] > 0.97 and share[0] < 0.1
+
+
+def test_near_duplicate_classes_equal_brute_force(spark, docs):
+    rng = random.Random(2)
+    base = [f"v{rng.randint(0, 400)}" for _ in range(120)]
+    rows = list(ROWS)
+    for i in range(60):  # a group of near copies, most of them not near the first one
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 9999)}"
+        rows.append((100 + i, " ".join(w), "z", i))
+    sets = []
+    for _, t, *_ in rows:
+        w = words(t)
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    want = collections.Counter()
+    for r in set(root):
+        ids = [rows[i][0] for i in range(len(rows)) if root[i] == r]
+        least = min((x for x in ids if x is not None), default=None)
+        want.update((x, rows[root.index(r)][0] if not sets[r] else least) for x in ids)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = neardup.classes(df)
+    assert bag((r["doc_id"], r["class_id"]) for r in got.select("doc_id", "class_id").collect()) == bag(want.elements())
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == len(set(root))
+    assert neardup.classes(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_a_large_group_find_the_same_classes(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:59] + [f"t{rng.randint(0, 30)}"]), "z", i) for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(neardup, "BLOCK_WORDS", 300)
+    assert {r["class_id"] for r in neardup.classes(df).collect()} == {0}
+
+
+def test_dart_minhash_estimates_weighted_jaccard():
+    rng = np.random.default_rng(3)
+    e = rng.integers(0, 2**63, 300).astype(np.uint64)
+    a, b = rng.integers(1, 9, 300).astype(float), rng.integers(1, 9, 300).astype(float)
+    s = neardup.dart_minhash([e, e, np.zeros(0, np.uint64)], [a, b, np.zeros(0)], 2400)
+    assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
+    one = neardup.dart_minhash([e[:200], e[100:]], [np.ones(200), np.ones(200)], 2400)
+    assert abs((one[0] == one[1]).mean() - 100 / 300) < 0.05
+
+
+def test_pseudo_likelihood(spark, docs):
+    model = pseudo_likelihood.train(docs)
+    out = pseudo_likelihood.score(docs, model).collect()
+    assert bag((r["doc_id"], r["n_words"]) for r in out) == bag((i, len(words(t))) for i, t, *_ in ROWS)
+    assert all((r["mean_log_likelihood"] is None) == (r["n_words"] == 0) and np.isfinite(r["log_likelihood"]) for r in out)
+    assert pseudo_likelihood.score(docs.limit(0), pseudo_likelihood.train(docs.limit(0))).count() == 0
+    order = [f"a{i % 7}" for i in range(20_000)]
+    mixed = order[:]
+    random.Random(4).shuffle(mixed)
+    trained = pseudo_likelihood.train(spark.createDataFrame([(1, " ".join(order))] * 4, "doc_id long, text string"))
+    two = spark.createDataFrame([(1, " ".join(order[:500])), (2, " ".join(mixed[:500]))], "doc_id long, text string")
+    s = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudo_likelihood.score(two, trained).collect()}
+    assert s[1] > -0.2 > s[2] + 1
+
+
+def test_network_gradient_is_right():
+    net = pseudo_likelihood.Network.start(np.ones(pseudo_likelihood.SIZE))
+    rng = np.random.default_rng(0)
+    padded = rng.integers(0, pseudo_likelihood.SIZE, 60)
+    place = np.arange(2, 58)
+    loss = lambda: -net.forward(padded, place)[0].mean()
+    for a, g in zip(net.arrays(), net.gradients(net.forward(padded, place)[1]), strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old = a[at]
+        a[at] = old + 1e-2
+        up = loss()
+        a[at] = old - 1e-2
+        assert abs((up - loss()) / 2e-2 - g[at]) < 2e-3
+        a[at] = old
+
+
+def test_decontamination_equals_brute_force(spark):
+    def nearest(p, t):
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, d in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    items = [(i, say(12)) for i in range(8)] + [(8, None), (9, "  "), (10, "short"), (0, say(12))]
+    texts = [None, "", "a short text"]
+    for _ in range(40):
+        t = list(items[rng.randrange(8)][1])
+        for _ in range(rng.randint(0, 8)):
+            t[rng.randrange(len(t))] = rng.choice("abc ")
+        texts.append(say(20) + " " + "".join(t).upper() + "\n" + say(10))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    clean = [(i, decontaminate.normalise(t)) for i, t in items if t and t.strip()]
+    want = bag((d, i) for d, t in enumerate(texts) if t for i, p in clean if nearest(p, decontaminate.normalise(t)) <= len(p) // decontaminate.EDIT_EVERY)
+    got = decontaminate.matches(docs, bench)
+    assert bag((r["doc_id"], r["item_id"]) for r in got.collect()) == want and len(want) > 10
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.count() == len(texts) - got.select("doc_id").distinct().count()
+    assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(texts)
+
+
+def test_substring_dedup_equals_brute_force(docs):
+    seen = collections.Counter(tuple(w[j : j + 35]) for w in (words(t) for _, t, *_ in ROWS) for j in range(len(w) - 34))
+
+    def want(text):
+        w = words(text)
+        gone = {j + k for j in range(len(w) - 34) for k in range(35) if seen[tuple(w[j : j + 35])] > 1}
+        return len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()
+
+    out = substring.remove_repeats(docs, normal=True)
+    assert out.columns == ["doc_id", "text", "key", "n", "n_words", "n_removed"]
+    assert bag((r["doc_id"], (r["n_words"], r["n_removed"], r["text"] or "")) for r in out.collect()) == bag((i, want(t)) for i, t, *_ in ROWS)
+    assert substring.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_substring_counts_in_passes_and_in_spite_of_equal_hashes(monkeypatch):
+    texts = [PASSAGE.encode(), (PASSAGE + " x").encode(), b" ".join(f"q{i}".encode() for i in range(50))]
+    want = [x.tolist() for x in substring.repeated(texts, np.ones(3, np.int64))]
+    monkeypatch.setattr(substring, "PASS_WORDS", 20)
+    assert [x.tolist() for x in substring.repeated(texts, np.ones(3, np.int64))] == want
+    monkeypatch.setattr(substring, "PASS_WORDS", 1000)
+    monkeypatch.setattr(substring, "_mixed", lambda x: x * np.uint64(0))
+    assert [x.tolist() for x in substring.repeated(texts, np.ones(3, np.int64))] == want
+
+
+def test_chat_round_trip_and_turn_order(spark):
+    rng = random.Random(7)
+    parts = ["\\", "### ", "</turn>", " </turn>\n", ":", " ", "\n", "a", "é", "### User: "]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None, "x: y"]), "".join(rng.choices(parts, k=rng.randint(0, 9))) or None) for c in range(30) for t in range(5)]
+    rows += [(100, 0, "user", "q"), (100, 1, "assistant", "a"), (101, 0, "assistant", "a"), (None, 0, "user", None), (102, 0, "user", "b"), (102, 0, "user", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit("clash"))
+    formatted = chat.format_chats(df)
+    got = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
+    by = collections.defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
+        by[c].append((r or "", x or ""))
+    for c, turns in by.items():
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256("".join(x for r, x in turns if r == "assistant").encode()).hexdigest()
+    assert got[100]["valid"] and not got[101]["valid"] and not got[102]["valid"] and got[None]["valid"]
+    assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_language_id(spark, docs):
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(corpus, where=~langid.held_out())
+    out = langid.identify(corpus, model).where(langid.held_out())
+    right = out.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.avg(F.col("rejected").cast("int"))).first()
+    assert right[0] > 0.98 and right[1] < 0.02
+    odd = langid.identify(docs, model).collect()
+    for r in odd:
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) and 0 <= r["score"] <= 1
+    assert langid.identify(docs.limit(0), model).count() == 0
+    unlabelled = langid.train(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in langid.identify(docs, unlabelled).collect()} == {"und"}
+    assert [r[0] for r in spark.createDataFrame([(i,) for i in range(40)], "doc_id long").select(langid.held_out()).collect()] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(40)]
+
+
+def test_kneser_ney_sums_to_one():
+    model = langid.fit([("x", "abra cadabra abba " * 20, False), ("y", "zyx xyz yyz " * 20, False)])
+    text = "abracadab"
+    data, _ = langid.code_points([text])
+    letters = sorted({c for t in ("abra cadabra", "zyx") for c in t})
+    total = 0.0
+    for c in letters:
+        d = np.concatenate([data[: len(text) + langid.ORDER - 1], [ord(c)]]).astype(np.uint32)
+        h = langid.hashes(d, langid.ORDER)[-1:]
+        at, hit = langid.find(model.keys[-1], h)
+        if hit[0]:
+            total += float(np.exp(model.logp[-1][at[0], 0]))
+    assert 0.5 < total <= 1.01
+
+
+def test_warc_rejects_magic_in_payloads(spark):
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    big = "x" * 120
+    rows = [(1, "u", big), (2, "u\r\nEvil: 1", big), (3, None, None), (4, "u", fake), (5, "u", fake * 60 + "é"), (6, "u", "short"), (7, "u", "short"), (8, "u", "WARC/1.0\r\n" * 40)]
+    rows += [(None, "u", "nullid"), (9, "u", fake * 60 + "é"), (10, "u", "tail WARC/1.0"), (6, "u", "short"), (1, "u", big)] + [(i, "u", f"y{i}" * 30) for i in range(20, 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).coalesce(2)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        got = warc.round_trip(pages).collect()
+        assert warc.round_trip(pages.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    want, first = [], {}
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        p = (h or "").encode()
+        d, ref = hashlib.sha256(p).hexdigest(), None
+        if len(p) >= 100 and i is not None:
+            ref = first.setdefault(d, i)
+        ref = None if ref == i else ref
+        want.append((f"<urn:page:{'' if i is None else i}>", len(p), d, "revisit" if ref else "response", f"<urn:page:{ref}>" if ref else None))
+    assert bag((r["record_id"], r["payload_bytes"], r["payload_digest"], r["warc_type"], r["refers_to"]) for r in got) == bag(want)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF).collect()
+    given = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len({r["doc_id"] for r in out}) == len(out) and {r["doc_id"] for r in out} <= set(given)
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in out)
+    texts = collections.Counter(r["text"] for r in given.values())
+    assert len(out) < len(texts) and len(out) > 0.7 * len(texts)
