@@ -5,11 +5,12 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def rows(df):
     names = sorted(df.columns)
-    out = [tuple(None if x is None or (isinstance(x, float) and math.isnan(x)) else round(float(x), 6) if isinstance(x, float) else str(x) for x in r) for r in df[names].itertuples(index=False)]
+    out = [tuple(None if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)) else round(float(x), 6) if isinstance(x, float) else str(x) for x in r) for r in df[names].itertuples(index=False)]
     return names, sorted(out, key=str)
 
 
