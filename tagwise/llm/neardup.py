@@ -33,6 +33,8 @@ BANDS, ROWS = 42, 6
 K = BANDS * ROWS
 #: Words of the texts in one block of a hub's group.
 BLOCK_WORDS = 1_500_000
+#: Hubs of several blocks that may be broadcast; a longer list is shuffled.
+BROADCAST_ROWS = 100_000
 MAX_ROUNDS = 60
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -254,10 +256,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     hubs = ranked.groupBy("h").agg(F.max(F.struct("mates", "node")).alias("m")).select("h", F.col("m.node").alias("hub"))
     met = materialize(ranked.join(hubs, "h").select("hub", "node").distinct().join(nodes.select("node", "n", "key"), "node"), "dart-met")
     # blocks of bounded size; every two blocks of a hub meet, with the hub itself
-    blocks = met.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_WORDS).cast("int").alias("blocks"))
+    blocks = met.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_WORDS).cast("int").alias("blocks")).where("blocks > 1")
+    large = materialize(blocks, "dart-large-hubs")
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     is_hub = F.col("hub") == F.col("node")
-    dealt = met.join(blocks, "hub").select("hub", "node", "key", "blocks", own.alias("own"), is_hub.alias("is_hub"))
+    numbered = met.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = numbered.select("hub", "node", "key", "blocks", own.alias("own"), is_hub.alias("is_hub"))
     pairs = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
         "y", F.explode(F.when(F.col("is_hub"), F.sequence(F.col("x"), F.col("blocks") - 1)).otherwise(F.array("own")))
     )
