@@ -45,6 +45,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _times(n: int, by: np.uint64) -> np.uint64:
+    """A product modulo 2^64."""
+    return np.uint64(n * int(by) & 0xFFFFFFFFFFFFFFFF)
+
+
 class _Words(dict):
     """64-bit hashes of words, computed once."""
 
@@ -99,10 +104,10 @@ def dart_minhash(elements: list[np.ndarray], weights: list[np.ndarray], k: int =
         strip, low, width = 0, 0.0, 1.0
         while (own := np.flatnonzero(w > low)).size:
             rank, arrival = np.zeros(len(own)), 0
-            seed = _mixed(e[own] + np.uint64(strip) * _MIX2)
+            seed = _mixed(e[own] + _times(strip, _MIX2))
             while own.size:
                 arrival += 1
-                d = _mixed(seed + np.uint64(arrival) * _MIX)
+                d = _mixed(seed + _times(arrival, _MIX))
                 rank = rank - np.log(_uniform(d)) / width
                 near = rank <= limit[own]
                 own, rank, seed, d = own[near], rank[near], seed[near], d[near]
