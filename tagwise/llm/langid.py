@@ -41,7 +41,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalise(text: str) -> str:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower case, words of letters only; empty if the text has no letter (``\\w`` alone takes ``½`` and ``²`` too)."""
+    clean = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    return clean if any(map(str.isalpha, clean)) else ""
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -260,6 +260,7 @@ def test_language_id(spark, docs):
     for r in odd:
         assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) and 0 <= r["score"] <= 1
     assert langid.identify(docs.limit(0), model).count() == 0
+    assert [x[0] for x in model.predict(["½ ² 12 _", "٣", "é½"])][:2] == ["und", "und"] and model.predict(["é½"])[0][0] != "und"
     unlabelled = langid.train(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in langid.identify(docs, unlabelled).collect()} == {"und"}
     assert [r[0] for r in spark.createDataFrame([(i,) for i in range(40)], "doc_id long").select(langid.held_out()).collect()] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(40)]
