@@ -316,3 +316,66 @@ def test_pipeline(spark):
     assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in out)
     texts = collections.Counter(r["text"] for r in given.values())
     assert len(out) < len(texts) and len(out) > 0.7 * len(texts)
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Stages 2 to 5, each on what the stage before it kept, over a small table with planted copies, passages and leaks."""
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    rng, rows = random.Random(8), given.where("n_chars BETWEEN 300 AND 3000").orderBy("doc_id").limit(60).collect()
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(12)
+    items = [(r["item_id"], decontaminate.normalise(r["text"])) for r in bench.collect()]
+    table = [tuple(r) for r in rows]
+    for i, r in enumerate(rows[:20]):
+        w = r["text"].split(" ")
+        w[rng.randrange(len(w))] = "altered"
+        t = (" ".join(w), r["text"], r["text"] + "\n" + items[i % 12][1], r["text"] + " " + rows[50]["text"], PASSAGE + f" {i} " + r["text"][::-1])[i % 5]
+        table.append((900_000 + i, t, r["lang"], r["source"], len(t)))
+    spark.createDataFrame(table, given.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, steps = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/out-{name}")
+        now = spark.read.parquet(f"{tmp_path}/out-{name}")
+        steps.append({r["doc_id"]: r for r in now.collect()})
+    assert len(steps[0]) > 0.8 * len(table)
+    # near-duplicates
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, r in steps[0].items() if (w := words(r["text"]))}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sets:
+            if b < a and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    left = set(root.values()) | (steps[0].keys() - sets.keys())
+    assert set(steps[1]) == left and len(left) < len(steps[0])
+    # repeated passages
+    seen = collections.Counter(tuple(w[j : j + 35]) for w in (words(r["text"]) for r in steps[1].values()) for j in range(len(w) - 34))
+    want = {}
+    for i, r in steps[1].items():
+        w = words(r["text"])
+        gone = {j + k for j in range(len(w) - 34) for k in range(35) if seen[tuple(w[j : j + 35])] > 1}
+        if not gone or len(gone) < len(w):
+            want[i] = [x for k, x in enumerate(w) if k not in gone]
+    assert {i: words(r["text"]) for i, r in steps[2].items()} == want
+    assert all(steps[2][i]["text"] == steps[1][i]["text"] for i in want if len(want[i]) == len(words(steps[1][i]["text"])))
+    # leaks: the least distance of each item to any substring, one row of the table at a time
+    def leaks(text):
+        t = np.array([ord(c) for c in decontaminate.normalise(text)], np.int64)
+        at = np.arange(len(t) + 1)
+        for _, p in items:
+            row = np.zeros(len(t) + 1, np.int64)
+            for i, c in enumerate(p, 1):
+                new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (t != ord(c)))])
+                row = np.minimum.accumulate(new - at) + at
+            if row.min() <= len(p) // decontaminate.EDIT_EVERY:
+                return True
+        return False
+
+    clean = {i for i, r in steps[2].items() if not leaks(r["text"] or "")}
+    assert set(steps[3]) == clean and len(clean) < len(steps[2])
+    # token ids
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    assert {i: r["ids"] for i, r in steps[4].items()} == {i: enc.encode_ordinary(r["text"] or "") for i, r in steps[3].items()}
+    assert all(r["round_trip"] for r in steps[4].values())
