@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, prepare, worker_state
+from .common import pieces, prepare, tidied, worker_state
 
 ORDER = 4
 #: Labelled rows per language that the model is fitted on, about; languages that a model may have.
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + cols, [*kept, *dict(RESULT)])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, t) for n, t in RESULT])
-    return docs.select(*kept, F.col(text_col).cast("binary").alias(raw)).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("binary").alias(raw)).mapInArrow(tidied(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

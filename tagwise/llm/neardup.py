@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, pieces, prepare, row_key, runs, worker_state
+from .common import materialize, partitions, pieces, prepare, row_key, runs, tidied, worker_state
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
@@ -162,7 +162,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weights: str) -> Dat
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(row_key(id_col, text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, key binary, node binary, n long, bands array<long>")
+    return rows.mapInArrow(tidied(run), f"id {kind}, key binary, node binary, n long, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> list[int]:
@@ -275,7 +275,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts = docs.select(F.unhex(row_key(id_col, text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
     joined = meet.join(texts, "key").select("hub", "i", "j", "node", "text")
     groups = joined.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    edges = groups.mapInArrow(lambda it: _links(it, threshold, weights), "a binary, b binary")
+    edges = groups.mapInArrow(tidied(lambda it: _links(it, threshold, weights)), "a binary, b binary")
     roots = components(edges)
     # least id of each class, node by node, so that copies are summed up before they move
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))

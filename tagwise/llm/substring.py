@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, pieces, prepare, row_key, runs, worker_state
+from .common import partitions, pieces, prepare, row_key, runs, tidied, worker_state
 
 WIDTH, GRAMS = 35, 4
 #: Buckets per shuffle partition; bytes that a task packs before it sends; words of one counting pass.
-BUCKETS_PER_PARTITION, FLUSH_BYTES, PASS_WORDS = 8, 64 << 20, 8_000_000
+BUCKETS_PER_PARTITION, FLUSH_BYTES, PASS_WORDS = 8, 40 << 20, 8_000_000
+#: Buckets in one batch that a task sends.
+SEND_ROWS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
@@ -98,14 +100,16 @@ class Packer:
             total += 32
         self.bytes += total
 
-    def flush(self) -> pa.RecordBatch:
+    def flush(self) -> Iterator[pa.RecordBatch]:
         rows = [
             (b, self.zip.compress(b"\n".join(x[0])), self.zip.compress(np.array(x[1], np.int32).tobytes()), b"".join(x[2]), self.zip.compress(np.array(x[3], np.int32).tobytes()))
             for b, x in self.held.items()
         ]
         self.held, self.bytes = {}, 0
         kinds = (pa.int64(), *[pa.binary()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "strings", "which", "keys", "places"])
+        for s in range(0, len(rows), SEND_ROWS):
+            cols = zip(*rows[s : s + SEND_ROWS], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "strings", "which", "keys", "places"])
 
 
 def _word_ids(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,15 +213,15 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         for b in pieces(batches, "text", 4 << 20):
             packer.add(b.column("key").to_pylist(), super_kmers(b.column("text").to_pylist(), width))
             if packer.bytes >= FLUSH_BYTES:
-                yield packer.flush()
+                yield from packer.flush()
         if packer.held:
-            yield packer.flush()
+            yield from packer.flush()
 
     packed = docs.select(F.unhex(row_key(id_col, text_col)).alias("key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        pack, "bucket long, strings binary, which binary, keys binary, places binary"
+        tidied(pack), "bucket long, strings binary, which binary, keys binary, places binary"
     )
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(lambda it: _count(it, width), "key binary, first int, end int")
+    found = dealt.mapInArrow(tidied(lambda it: _count(it, width)), "key binary, first int, end int")
     return found.groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
@@ -264,10 +268,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, kept, strict=True)]
     small = docs.select(
         *(F.col(c).alias(n) for n, c in zip(names, kept, strict=True)), F.unhex(row_key(id_col, text_col)).alias("__key"), F.col(text_col).cast("binary").alias("__text")
-    ).mapInArrow(zipped, T.StructType([*fields, T.StructField("__key", T.BinaryType()), T.StructField("__text", T.BinaryType())]))
+    ).mapInArrow(tidied(zipped), T.StructType([*fields, T.StructField("__key", T.BinaryType()), T.StructField("__text", T.BinaryType())]))
     joined = small.join(found, small["__key"] == found["key"], "left").select(*names, "__text", "spans")
     schema = T.StructType([*fields, T.StructField("__text", T.BinaryType()), T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])
-    out = joined.mapInArrow(apply, schema)
+    out = joined.mapInArrow(tidied(apply), schema)
     by = dict(zip(kept, names, strict=True))
     columns = [(F.col("__text").cast("string") if c == text_col else F.col(by[c])).alias(c) for c in docs.columns if c in by or c == text_col]
     return out.select(*columns, F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"))
