@@ -4,10 +4,13 @@ A network sees :data:`REACH` words on each side of a masked word and predicts it
 and squashed, and a two-level softmax (class, then word of the class) gives its probability.  The sum of the logarithms
 over all words of a text is its score.
 
-The vocabulary is the most frequent words of the whole corpus; all others fall into buckets by their shape.  The network is
+The softmax tells the most frequent words of the whole corpus apart and, for all others, buckets by their shape.  Every word
+that occurs at least :data:`LEAST` times, however many they are, keeps its identity besides: it has an embedding of its own,
+added to its bucket's wherever it is context, and its share of its bucket's running words, which its bucket's probability is
+multiplied with.  The words below that count share the rest of their bucket evenly.  The network is
 trained here, in numpy, on every word of the corpus: each task trains on its documents from a common start, the tasks'
 weights are averaged by the shuffle (each block of weights on its own, in constant memory), and the average scores all
-documents.
+documents.  Embeddings of single words leave a task only if it has met the word, and are averaged by their uses.
 
 Null texts and texts without words: 0 words, log-likelihood 0, mean null.  Repeated rows train and are scored each.  Empty
 tables give empty results.
@@ -26,18 +29,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, pieces, prepare, worker_state
+from .common import materialize, partitions, pieces, prepare, worker_state
 
 #: Words and shape buckets; together CLASSES * CLASSES.
 FREQUENT, SHAPES, CLASSES = 896, 128, 32
 REACH, HIDDEN, BATCH, RATE, SEED = 2, 16, 4096, 0.2, 7
 #: Softmax weights stay within this bound, so that exponentials can't overflow: HIDDEN * MOST + a bias is below 88.
 MOST = 3.0
+#: Words that occur less often in the corpus have no identity of their own.
+LEAST = 5
 SIZE = FREQUENT + SHAPES
 PAD = SIZE
+#: Id of the first word that is kept beyond the FREQUENT ones.
+KEPT = SIZE + 1
 BLOCKS = 32
+#: Rows of single words' embeddings in a block of the average.
+ROWS = 1 << 15
 #: Words that a task remembers while it counts or looks them up.
 CACHE_WORDS = 400_000
+NAMES = ["block", "n", "note", "weights"]
 _KINDS = bytes(97 if chr(b).islower() or b > 127 else 65 if chr(b).isupper() else 57 if chr(b).isdigit() else b for b in range(256))
 
 
@@ -51,18 +61,31 @@ def shape(word: bytes) -> int:
     return FREQUENT + zlib.crc32(t[:2] + t[-3:], min(len(t), 24) // 6) % SHAPES
 
 
+@dataclass
+class Vocabulary:
+    """Words by falling count: the FREQUENT ones, then all others that are kept (joined, as words hold no blanks), the bucket
+    of each of these, and by id the logarithm of a word's share of its token's occurrences."""
+
+    frequent: list[bytes]
+    kept: bytes
+    bucket: np.ndarray
+    share: np.ndarray
+
+
 class Ids(dict):
-    """Token ids of words; rare words are worked out once."""
+    """Token ids of words; words that are not kept are worked out once."""
 
-    def __init__(self, vocabulary: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(vocabulary))
-        self.base = dict(self)
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__((w, i) for i, w in enumerate(vocabulary.frequent))
+        self.update((w, i) for i, w in enumerate(vocabulary.kept.split(), KEPT))
+        self.others: dict[bytes, int] = {}
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self.update(self.base)
-        i = self[w] = shape(w)
+        i = self.others.get(w)
+        if i is None:
+            if len(self.others) > CACHE_WORDS:
+                self.others.clear()
+            i = self.others[w] = shape(w)
         return i
 
     def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,17 +102,21 @@ class Ids(dict):
 
 @dataclass
 class Network:
-    """Weights: ``inner`` by context offset and token, ``cls`` and ``own`` the softmax levels with their biases."""
+    """Weights: ``inner`` by context offset and token, ``cls`` and ``own`` the softmax levels with their biases;
+    ``extra`` by kept word, whatever the offset; ``token`` is the softmax token of each id."""
 
     inner: np.ndarray
     cls: np.ndarray
     cls_bias: np.ndarray
     own: np.ndarray
     own_bias: np.ndarray
+    extra: np.ndarray
+    token: np.ndarray
 
     @classmethod
-    def start(cls, counts: np.ndarray) -> Network:
-        """Random embeddings; biases that give the words' overall frequencies."""
+    def start(cls, counts: np.ndarray, bucket: np.ndarray | None = None) -> Network:
+        """Random embeddings, kept words like their bucket; biases that give the tokens' overall frequencies."""
+        bucket = np.zeros(0, np.int64) if bucket is None else bucket
         rng = np.random.default_rng(SEED)
         p = (counts + 1.0).reshape(CLASSES, CLASSES)
         return cls(
@@ -98,30 +125,42 @@ class Network:
             np.log(p.sum(1) / p.sum()).astype(np.float32),
             rng.normal(0, 0.1, (CLASSES, HIDDEN, CLASSES)).astype(np.float32),
             np.log(p / p.sum(1, keepdims=True)).astype(np.float32),
+            np.zeros((len(bucket), HIDDEN), np.float32),
+            np.concatenate([np.arange(SIZE + 1), bucket]),
         )
 
     def arrays(self) -> list[np.ndarray]:
+        """All weights but ``extra``."""
         return [self.inner, self.cls, self.cls_bias, self.own, self.own_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays()])
 
-    def with_flat(self, x: np.ndarray) -> Network:
+    def with_flat(self, x: np.ndarray, extra: np.ndarray | None = None) -> Network:
         out, at = [], 0
         for a in self.arrays():
             out.append(x[at : at + a.size].reshape(a.shape).astype(np.float32))
             at += a.size
-        return Network(*out)
+        return Network(*out, self.extra.copy() if extra is None else extra, self.token)
 
     def forward(self, padded: np.ndarray, place: np.ndarray):
         """Log-probability of each token at ``place``, and what the gradient needs."""
         offsets = [o for o in range(-REACH, REACH + 1) if o]
-        context = [padded[place + o] for o in offsets]
+        start = place[0] - REACH if len(place) else 0
+        near = padded[start : place[-1] + REACH + 1] if len(place) else padded[:0]
+        token, local = self.token[near], place - start
+        context = [token[local + o] for o in offsets]
         h = self.inner[0][context[0]]
         for k in range(1, len(offsets)):
             h = h + self.inner[k][context[k]]
+        kept = np.flatnonzero(near >= KEPT)
+        if len(kept):
+            x = np.zeros((len(near), HIDDEN), np.float32)
+            x[kept] = self.extra[near[kept] - KEPT]
+            for o in offsets:
+                h += x[local + o]
         h = np.tanh(h)
-        target = padded[place]
+        target = token[local]
         c, w = target // CLASSES, target % CLASSES
         order = np.argsort(c, kind="stable")
         cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
@@ -134,10 +173,15 @@ class Network:
         at, ones = np.arange(len(place)), np.ones(CLASSES, np.float32)
         sum_c, sum_w = pc @ ones, pw @ ones
         logp = np.log(pc[at, c]) - np.log(sum_c) + np.log(pw[at, w]) - np.log(sum_w)
-        return logp, (context, h, c, w, pc, pw, order, cuts, sum_c, sum_w)
+        return logp, (context, h, c, w, pc, pw, order, cuts, sum_c, sum_w, (near, local, kept))
 
     def gradients(self, state) -> list[np.ndarray]:
-        context, h, c, w, pc, pw, order, cuts, sum_c, sum_w = state
+        """Of the mean log-probability, by the order of :meth:`arrays`."""
+        return self.backward(state)[0]
+
+    def backward(self, state) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Gradients of :meth:`arrays`; the rows of ``extra`` that were used, each once, and their gradients."""
+        context, h, c, w, pc, pw, order, cuts, sum_c, sum_w, (near, local, kept) = state
         at, n = np.arange(len(c)), np.float32(len(c))
         pc *= (1 / (sum_c * n))[:, None]
         pw *= (1 / (sum_w * n))[:, None]
@@ -156,29 +200,47 @@ class Network:
         for k, x in enumerate(context):
             for j in range(HIDDEN):
                 inner[k, :, j] = np.bincount(x, dh[:, j], SIZE + 1)
-        return [inner, h.T @ pc, pc.sum(0), down, down_bias]
+        rows, by_row = np.zeros(0, np.int64), np.zeros((0, HIDDEN), np.float32)
+        if len(kept):
+            at_place = np.zeros((len(near), HIDDEN), np.float32)
+            for o in range(-REACH, REACH + 1):
+                if o:
+                    at_place[local + o] += dh
+            order = np.argsort(near[kept], kind="stable")
+            ids = near[kept][order] - KEPT
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            rows, by_row = ids[first], np.add.reduceat(at_place[kept[order]], first, axis=0)
+        return [inner, h.T @ pc, pc.sum(0), down, down_bias], rows, by_row
 
 
 class Trainer:
-    """Adagrad over the batches of one task."""
+    """Adagrad over the batches of one task; one rate for all of a kept word's embedding."""
 
     def __init__(self, net: Network):
         self.net, self.n = net.with_flat(net.flat()), 0
         self.squares = [np.full_like(a, 1e-6) for a in net.arrays()]
+        self.row_squares = np.full(len(net.extra), 1e-6, np.float32)
+        self.uses = np.zeros(len(net.extra), np.int64)
 
     def train(self, padded: np.ndarray, place: np.ndarray) -> None:
         for s in range(0, len(place), BATCH):
             _, state = self.net.forward(padded, place[s : s + BATCH])
-            for a, q, g in zip(self.net.arrays(), self.squares, self.net.gradients(state), strict=True):
+            dense, rows, by_row = self.net.backward(state)
+            for a, q, g in zip(self.net.arrays(), self.squares, dense, strict=True):
                 q += g * g
                 a -= RATE * g / np.sqrt(q)
+            if len(rows):
+                q = self.row_squares[rows] + (by_row * by_row).mean(1)
+                self.row_squares[rows] = q
+                self.net.extra[rows] -= RATE * by_row / np.sqrt(q)[:, None]
+                self.uses[rows] += 1
             for a in self.net.arrays()[1:]:
                 np.clip(a, -4 * MOST if a.ndim < 2 or a is self.net.own_bias else -MOST, MOST, out=a)
         self.n += len(place)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """The FREQUENT most frequent words of all texts, and the counts of all tokens: words first, then shapes."""
+def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
+    """The words of all texts that are kept, and the counts of all tokens: words first, then shapes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("pseudo_likelihood")
@@ -197,59 +259,102 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], np
             yield out()
 
     counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "words")
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     known = [bytes(r["word"]) for r in top]
+    table = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").toArrow()
+    kept = table.column("word").to_pylist()[FREQUENT:]  # the first ones are `known`
+    n_kept = np.asarray(table.column("n"))[FREQUENT:].astype(np.float64)
+    bucket = np.fromiter(map(shape, kept), np.int64, len(kept))
+
+    def by_shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of, n_of = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
+        for b in batches:
+            at = np.fromiter(map(shape, b.column("word").to_pylist()), np.int64, b.num_rows)
+            np.add.at(words_of, at, 1)
+            np.add.at(n_of, at, np.asarray(b.column("n")))
+        used = np.flatnonzero(words_of)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words_of[used]), pa.array(n_of[used])], ["shape", "words", "n"])
+
+    others, n_others = np.zeros(SIZE), np.zeros(SIZE)
+    rare = counts.where(F.col("n") < LEAST).mapInArrow(by_shape, "shape long, words long, n long").groupBy("shape").agg(F.sum("words").alias("words"), F.sum("n").alias("n"))
+    for r in rare.collect():  # SHAPES rows
+        others[r["shape"]], n_others[r["shape"]] = r["words"], r["n"]
+    for r in top:
+        if r["n"] < LEAST:
+            others[shape(bytes(r["word"]))] -= 1
+            n_others[shape(bytes(r["word"]))] -= r["n"]
+    total = n_others + np.bincount(bucket, n_kept, SIZE)
+    share = np.zeros(KEPT + len(kept), np.float32)
+    # one more word, met once, stands for all that the corpus lacks
+    share[FREQUENT:SIZE] = np.log((n_others + 1) / (others + 1) / (total + 1))[FREQUENT:]
+    share[KEPT:] = np.log(n_kept / (total[bucket] + 1))
     n = np.zeros(SIZE)
     n[: len(known)] = [r["n"] for r in top]
     n[FREQUENT:] = max(1.0, n[: len(known)].min() if len(known) else 1.0)
-    return known, n
+    return Vocabulary(known, b" ".join(kept), bucket, share), n
 
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], Network]:
+def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]:
     """Vocabulary and network from every text of ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
     known, counts = vocabulary(docs, text_col)
-    start = Network.start(counts)
     sc = spark.sparkContext
-    held = sc.broadcast((known, start))  # of fixed size
+    held = sc.broadcast((known, counts))  # grows with the kept words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("pseudo_likelihood")
-        known, net = held.value
-        ids, trainer = Ids(known), Trainer(net)
+        known, counts = held.value
+        ids, trainer = Ids(known), Trainer(Network.start(counts, known.bucket))
         for b in pieces(batches, "text", 2 << 20):
             padded, place, _ = ids.of(b.column("text").to_pylist())
             trainer.train(padded, place)
         if trainer.n:
             parts = np.array_split(trainer.net.flat().astype(np.float64) * trainer.n, BLOCKS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BLOCKS), pa.int32()), pa.array([trainer.n] * BLOCKS, pa.int64()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["block", "n", "weights"]
+                [pa.array(range(BLOCKS), pa.int32()), pa.array([trainer.n] * BLOCKS, pa.int64()), pa.array([b""] * BLOCKS, pa.binary()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())],
+                NAMES,
             )
+            for k in range(0, len(trainer.uses), ROWS):
+                used = np.flatnonzero(trainer.uses[k : k + ROWS])
+                if len(used):
+                    uses = trainer.uses[k + used]
+                    note = np.stack([used, uses]).astype(np.int64).tobytes()
+                    weights = (trainer.net.extra[k + used] * uses[:, None]).astype(np.float32).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([BLOCKS + k // ROWS], pa.int32()), pa.array([0], pa.int64()), pa.array([note], pa.binary()), pa.array([weights], pa.binary())], NAMES)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for b in batches:
-            for k, n, w in zip(*(b.column(c).to_pylist() for c in ("block", "n", "weights")), strict=True):
-                x = total.setdefault(k, [0, 0.0])
-                x[0] += n
-                x[1] = x[1] + np.frombuffer(w, np.float32).astype(np.float64)
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(total, pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1].astype(np.float32).tobytes() for x in total.values()], pa.binary())],
-                ["block", "n", "weights"],
-            )
-
-    schema = "block int, n long, weights binary"
-    each = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
-    sums = each.repartition(min(BLOCKS, partitions(spark)), "block").mapInArrow(add, schema)
-    rows = sorted(sums.collect(), key=lambda r: r["block"])  # BLOCKS rows
-    if not rows:
-        return known, start
-    return known, start.with_flat(np.concatenate([np.frombuffer(r["weights"], np.float32) / r["n"] for r in rows]))
-
-
-def score(docs: DataFrame, model: tuple[list[bytes], Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for k, n, note, w in zip(*(b.column(c).to_pylist() for c in NAMES), strict=True):
+                w = np.frombuffer(w, np.float32)
+                if k < BLOCKS:
+                    x = total.setdefault(k, [0, 0.0])
+                    x[0] += n
+                    x[1] = x[1] + w.astype(np.float64)
+                else:
+                    used, uses = np.frombuffer(note, np.int64).reshape(2, -1)
+                    x = total.setdefault(k, [np.zeros(ROWS, np.int64), np.zeros((ROWS, HIDDEN), np.float32)])
+                    x[0][used] += uses
+                    x[1][used] += w.reshape(-1, HIDDEN)
+        for k, (n, x) in total.items():
+            x = x / (n if k < BLOCKS else np.maximum(n, 1)[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "weights"])
+
+    each = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "block int, n long, note binary, weights binary")
+    means = each.repartition(max(1, min(BLOCKS, partitions(spark))), "block").mapInArrow(add, "block int, weights binary").toArrow()
+    net = Network.start(counts, known.bucket)
+    if not means.num_rows:
+        return known, net
+    found = dict(zip(means.column("block").to_pylist(), means.column("weights").to_pylist(), strict=True))
+    for k in range(0, len(net.extra), ROWS):
+        if (w := found.get(BLOCKS + k // ROWS)) is not None:
+            net.extra[k : k + ROWS] = np.frombuffer(w, np.float32).reshape(ROWS, HIDDEN)[: len(net.extra) - k]
+    return known, net.with_flat(np.concatenate([np.frombuffer(found[k], np.float32) for k in range(BLOCKS)]), net.extra)
+
+
+def score(docs: DataFrame, model: tuple[Vocabulary, Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_likelihood, mean_log_likelihood) of each row."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -264,6 +369,7 @@ def score(docs: DataFrame, model: tuple[list[bytes], Network], id_col: str = "do
             logp = np.zeros(len(place))
             for s in range(0, len(place), 4 * BATCH):
                 logp[s : s + 4 * BATCH] = net.forward(padded, place[s : s + 4 * BATCH])[0]
+            logp += known.share[padded[place]]
             n, total = np.bincount(doc, minlength=b.num_rows), np.bincount(doc, logp, b.num_rows)
             mean = pa.array(np.round(total / np.maximum(n, 1), 6), mask=n == 0)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n.astype(np.int64)), pa.array(np.round(total, 4)), mean], [id_col, "n_words", "log_likelihood", "mean_log_likelihood"])

@@ -177,6 +177,40 @@ def test_network_gradient_is_right():
         a[at] = old
 
 
+def test_pseudo_likelihood_tells_rare_words_apart(spark):
+    """More words than FREQUENT, all of one shape: each has its own share and embedding, an unknown one has neither."""
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(3000)})
+    often = [w for i, w in enumerate(names) for _ in range(12 if i % 2 else 6)]
+    rng.shuffle(often)
+    known, net = pseudo_likelihood.train(spark.createDataFrame([(i, " ".join(often[i::4])) for i in range(4)], "doc_id long, text string"))
+    ids = pseudo_likelihood.Ids(known)
+    assert len({ids[w.encode()] for w in names}) == len(names) and len(net.extra) == len(names) - pseudo_likelihood.FREQUENT
+    assert (np.abs(net.extra).max(1) > 0).all()
+    assert all(np.exp(known.share[[b, *(np.flatnonzero(known.bucket == b) + pseudo_likelihood.KEPT)]].astype(float)).sum() == pytest.approx(1, abs=1e-3) for b in set(known.bucket.tolist()))
+    two = [next(w for w in names if ids[w.encode()] >= pseudo_likelihood.KEPT), "hgfedcbb"]
+    assert two[1] not in names and ids[b"hgfedcbb"] == known.bucket[ids[two[0].encode()] - pseudo_likelihood.KEPT]
+    s = [r["log_likelihood"] for r in pseudo_likelihood.score(spark.createDataFrame(list(enumerate(two)), "doc_id long, text string").coalesce(1), (known, net)).collect()]
+    assert s[0] > s[1] + 1
+
+
+def test_gradient_of_kept_words_is_right():
+    net = pseudo_likelihood.Network.start(np.ones(pseudo_likelihood.SIZE), np.arange(900, 920))
+    rng = np.random.default_rng(1)
+    padded, place = rng.integers(pseudo_likelihood.KEPT - 20, pseudo_likelihood.KEPT + 20, 60), np.arange(2, 58)
+    padded[padded == pseudo_likelihood.PAD] = 0
+    _, rows, by_row = net.backward(net.forward(padded, place)[1])
+    assert set(rows) == set(padded[padded >= pseudo_likelihood.KEPT] - pseudo_likelihood.KEPT)
+    loss = lambda: -net.forward(padded, place)[0].mean()
+    for r, g in zip(rows, by_row, strict=True):
+        j = np.abs(g).argmax()
+        net.extra[r, j] += 1e-2
+        up = loss()
+        net.extra[r, j] -= 2e-2
+        assert abs((up - loss()) / 2e-2 - g[j]) < 2e-3
+        net.extra[r, j] += 1e-2
+
+
 def test_decontamination_equals_brute_force(spark):
     def nearest(p, t):
         row = [0] * (len(t) + 1)
