@@ -291,7 +291,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.
     share[KEPT:] = np.log(n_kept / (total[bucket] + 1))
     n = np.zeros(SIZE)
     n[: len(known)] = [r["n"] for r in top]
-    n[FREQUENT:] = max(1.0, n[: len(known)].min() if len(known) else 1.0)
+    n[FREQUENT:] = total[FREQUENT:]
     return Vocabulary(known, b" ".join(kept), bucket, share), n
 
 

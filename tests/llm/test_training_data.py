@@ -194,6 +194,18 @@ def test_pseudo_likelihood_tells_rare_words_apart(spark):
     assert s[0] > s[1] + 1
 
 
+def test_vocabulary_counts_all_tokens(spark):
+    texts = [" ".join(f"w{i}" for i in range(k, 2500, k)) for k in (1, 1, 1, 1, 2, 3, 7)]
+    found = collections.Counter(w for t in texts for w in words(t))
+    known, n = pseudo_likelihood.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = collections.Counter()
+    for w, k in found.items():
+        if w not in known.frequent:
+            want[pseudo_likelihood.shape(w)] += k
+    assert n[: pseudo_likelihood.FREQUENT].tolist() == [found[w] for w in known.frequent] and n.sum() == sum(found.values())
+    assert {i: n[i] for i in range(pseudo_likelihood.FREQUENT, pseudo_likelihood.SIZE) if n[i]} == want
+
+
 def test_gradient_of_kept_words_is_right():
     net = pseudo_likelihood.Network.start(np.ones(pseudo_likelihood.SIZE), np.arange(900, 920))
     rng = np.random.default_rng(1)
