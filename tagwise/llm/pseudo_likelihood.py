@@ -18,6 +18,7 @@ tables give empty results.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from .common import materialize, partitions, pieces, prepare, worker_state
 
 #: Words and shape buckets; together CLASSES * CLASSES.
 FREQUENT, SHAPES, CLASSES = 896, 128, 32
-REACH, HIDDEN, BATCH, RATE, SEED = 2, 16, 4096, 0.2, 7
+REACH, HIDDEN, BATCH, RATE, SEED = 2, 16, 2048, 0.2, 7
 #: Softmax weights stay within this bound, so that exponentials can't overflow: HIDDEN * MOST + a bias is below 88.
 MOST = 3.0
 #: Words that occur less often in the corpus have no identity of their own.
@@ -50,15 +51,16 @@ CACHE_WORDS = 400_000
 NAMES = ["block", "n", "note", "weights"]
 _KINDS = bytes(97 if chr(b).islower() or b > 127 else 65 if chr(b).isupper() else 57 if chr(b).isdigit() else b for b in range(256))
 
+_RUNS = re.compile(rb"(.)\1+", re.DOTALL)
+
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
 def shape(word: bytes) -> int:
-    """Bucket of a rare word: capitals, letters, digits and other signs at its two ends, and its rough length."""
-    t = word.translate(_KINDS)
-    return FREQUENT + zlib.crc32(t[:2] + t[-3:], min(len(t), 24) // 6) % SHAPES
+    """Bucket of a rare word: its runs of capitals, letters, digits and each other sign, and its rough length."""
+    return FREQUENT + zlib.crc32(_RUNS.sub(rb"\1", word.translate(_KINDS)), min(len(word), 24) // 6) % SHAPES
 
 
 @dataclass

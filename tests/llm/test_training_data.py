@@ -206,6 +206,11 @@ def test_vocabulary_counts_all_tokens(spark):
     assert {i: n[i] for i in range(pseudo_likelihood.FREQUENT, pseudo_likelihood.SIZE) if n[i]} == want
 
 
+def test_shape_reads_the_whole_word():
+    assert len({pseudo_likelihood.shape(w) for w in (b"ab1234cdef", b"ab####cdef", b"abghijcdef")}) == 3
+    assert pseudo_likelihood.shape(b"ab1234cdef") == pseudo_likelihood.shape(b"xyz567defg")
+
+
 def test_gradient_of_kept_words_is_right():
     net = pseudo_likelihood.Network.start(np.ones(pseudo_likelihood.SIZE), np.arange(900, 920))
     rng = np.random.default_rng(1)
