@@ -32,10 +32,7 @@ BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship this package to the executors, bound Arrow batches and make sure that there is a checkpoint folder.
-
-    The folder named by ``spark.checkpoint.dir`` is used where it is set; else (tests, one machine) a temporary one.
-    """
+    """Ship this package to the executors and bound the rows of Arrow batches of this session."""
     sc = spark.sparkContext
     if not getattr(sc, "_tagwise_shipped", False):
         root = Path(__file__).resolve().parents[1]
@@ -49,10 +46,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary one is made, but only if all executors are on this machine (tests)."""
     sc = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not getattr(sc, "_tagwise_dir", None):
         sc._tagwise_dir = "file://" + tempfile.mkdtemp(prefix="tagwise-shared-")
     return sc._tagwise_dir
@@ -67,14 +68,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    deleted_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """Results read written tables when they are computed, so these stay until the driver ends."""
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this library wrote with :func:`new_path`."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a folder that this library wrote with :func:`new_path`, once nothing reads it any more."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` returned, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts: what partition counts are sized by."""
+    return docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+
+
+def aside(docs: DataFrame, *named: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but ``named`` under names that no operator uses, and what brings the old table back."""
+    held = {c: c if c in named else f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in held.items())), [F.col(n).alias(c) for c, n in held.items()]
 
 
 def give_back() -> None:

@@ -46,7 +46,7 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    return pseudo_likelihood.score_corpus(docs)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

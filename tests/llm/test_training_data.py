@@ -151,23 +151,81 @@ def test_pseudo_likelihood(spark, docs):
     out = pseudo_likelihood.score(docs, model).collect()
     assert bag((r["doc_id"], r["n_words"]) for r in out) == bag((i, len(words(t))) for i, t, *_ in ROWS)
     assert all((r["mean_log_likelihood"] is None) == (r["n_words"] == 0) and np.isfinite(r["log_likelihood"]) for r in out)
-    assert pseudo_likelihood.score(docs.limit(0), pseudo_likelihood.train(docs.limit(0))).count() == 0
+    assert bag(out) == bag(pseudo_likelihood.score_corpus(docs).collect())
+    assert pseudo_likelihood.score_corpus(docs.limit(0)).count() == 0 and pseudo_likelihood.score(docs, pseudo_likelihood.train(docs.limit(0))).count() == len(ROWS)
     order = [f"a{i % 7}" for i in range(20_000)]
     mixed = order[:]
     random.Random(4).shuffle(mixed)
-    trained = pseudo_likelihood.train(spark.createDataFrame([(1, " ".join(order))] * 4, "doc_id long, text string"))
+    trained = pseudo_likelihood.train(spark.createDataFrame([(i, " ".join(order)) for i in range(4)], "doc_id long, text string"))
     two = spark.createDataFrame([(1, " ".join(order[:500])), (2, " ".join(mixed[:500]))], "doc_id long, text string")
     s = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudo_likelihood.score(two, trained).collect()}
     assert s[1] > -0.2 > s[2] + 1
 
 
+def test_pseudo_likelihood_equals_plain_computation(spark):
+    """Every log-probability again, word by word: sums of embeddings, both softmax levels, shares by plain counting."""
+    P = pseudo_likelihood
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    known, net = P.train(given)
+    texts = {r["doc_id"]: words(r["text"]) for r in given.collect()}
+    found = collections.Counter(w for t in texts.values() for w in t)
+    assert [found[w] for w in known.frequent] == sorted(found.values(), reverse=True)[: P.FREQUENT]
+    tokens = {w: i for i, w in enumerate(known.frequent)}
+    token = lambda w: P.PAD if w is None else tokens.get(w, P.FREQUENT + P.shape(w))
+    total = collections.Counter()
+    for w, n in found.items():
+        total[token(w)] += n
+    assert known.counts.sum() == sum(found.values()) and all(known.counts[k] == n for k, n in total.items())
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def plain(text):
+        padded, out = [None, None, *text, None, None], 0.0
+        for i, w in enumerate(text):
+            h = np.zeros(P.HIDDEN)
+            for k, o in enumerate((-2, -1, 1, 2)):
+                c = padded[i + 2 + o]
+                h = h + net.inner[token(c), k] + (net.extra[P.slot(c)] if c is not None and c not in tokens else 0)
+            h, (c, j) = np.tanh(h), divmod(token(w), P.CLASSES)
+            out += np.log(softmax(h @ net.cls + net.cls_bias)[c]) + np.log(softmax(h @ net.own[c] + net.own_bias[c])[j])
+            out += 0 if w in tokens else np.log(found[w] / (total[token(w)] + 1))
+        return out
+
+    for r in P.score(given, (known, net)).collect():
+        if len(texts[r["doc_id"]]) < 300:
+            assert r["log_likelihood"] == pytest.approx(plain(texts[r["doc_id"]]), rel=1e-4, abs=1e-2)
+    # shares of a bucket's words and of all that the corpus lacks add up
+    for b in {token(w) for w in found} - set(tokens.values()):
+        assert sum(n / (total[b] + 1) for w, n in found.items() if token(w) == b) + 1 / (total[b] + 1) == pytest.approx(1)
+    new = spark.createDataFrame([(1, "Qzxv"), (2, next(w.decode() for w in found if w not in tokens and P.shape(w) == P.shape(b"Qzxv")))], "doc_id long, text string")
+    s = {r["doc_id"]: r["log_likelihood"] for r in P.score(new, (known, net)).collect()}
+    assert b"Qzxv" not in found and s[1] <= s[2]
+
+
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "CELL_BYTES", 60_000)  # several cells in each round
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    out = []
+    for n in (1, 16, 64):
+        out.append({r["doc_id"]: r["mean_log_likelihood"] or 0.0 for r in pseudo_likelihood.score_corpus(given.repartition(n)).collect()})
+    for x in out[1:]:
+        assert np.corrcoef(list(out[0].values()), [x[i] for i in out[0]])[0, 1] > 0.9999
+
+
 def test_network_gradient_is_right():
-    net = pseudo_likelihood.Network.start(np.ones(pseudo_likelihood.SIZE))
+    P = pseudo_likelihood
+    net = P.Network.start(np.ones(P.SIZE))
     rng = np.random.default_rng(0)
-    padded = rng.integers(0, pseudo_likelihood.SIZE, 60)
-    place = np.arange(2, 58)
-    loss = lambda: -net.forward(padded, place)[0].mean()
-    for a, g in zip(net.arrays(), net.gradients(net.forward(padded, place)[1]), strict=True):
+    token = rng.integers(0, P.SIZE, 60).astype(np.int16)
+    slots = np.where(token < P.FREQUENT, -1, rng.integers(0, 20, 60))
+    token[30:32], slots[30:32] = P.PAD, -1
+    rows = 60 - 2 * P.REACH - 2
+    loss = lambda: -net.forward(token, slots)[0].sum() / rows
+    dense, inner, extra = net.backward(net.forward(token, slots)[1])
+    whole = [np.zeros_like(net.inner), *dense, np.zeros_like(net.extra)]
+    for k, (at, g) in ((0, inner), (-1, extra)):
+        whole[k][at] = g.reshape(len(at), *whole[k].shape[1:])
+    assert set(extra[0]) == set(slots[slots >= 0])
+    for a, g in zip(net.arrays(), whole, strict=True):
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old = a[at]
         a[at] = old + 1e-2
@@ -177,33 +235,12 @@ def test_network_gradient_is_right():
         a[at] = old
 
 
-def test_pseudo_likelihood_tells_rare_words_apart(spark):
-    """More words than FREQUENT, all of one shape: each has its own share and embedding, an unknown one has neither."""
-    rng = random.Random(9)
-    names = sorted({"".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(3000)})
-    often = [w for i, w in enumerate(names) for _ in range(12 if i % 2 else 6)]
-    rng.shuffle(often)
-    known, net = pseudo_likelihood.train(spark.createDataFrame([(i, " ".join(often[i::4])) for i in range(4)], "doc_id long, text string"))
-    ids = pseudo_likelihood.Ids(known)
-    assert len({ids[w.encode()] for w in names}) == len(names) and len(net.extra) == len(names) - pseudo_likelihood.FREQUENT
-    assert (np.abs(net.extra).max(1) > 0).all()
-    assert all(np.exp(known.share[[b, *(np.flatnonzero(known.bucket == b) + pseudo_likelihood.KEPT)]].astype(float)).sum() == pytest.approx(1, abs=1e-3) for b in set(known.bucket.tolist()))
-    two = [next(w for w in names if ids[w.encode()] >= pseudo_likelihood.KEPT), "hgfedcbb"]
-    assert two[1] not in names and ids[b"hgfedcbb"] == known.bucket[ids[two[0].encode()] - pseudo_likelihood.KEPT]
-    s = [r["log_likelihood"] for r in pseudo_likelihood.score(spark.createDataFrame(list(enumerate(two)), "doc_id long, text string").coalesce(1), (known, net)).collect()]
-    assert s[0] > s[1] + 1
-
-
-def test_vocabulary_counts_all_tokens(spark):
-    texts = [" ".join(f"w{i}" for i in range(k, 2500, k)) for k in (1, 1, 1, 1, 2, 3, 7)]
-    found = collections.Counter(w for t in texts for w in words(t))
-    known, n = pseudo_likelihood.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
-    want = collections.Counter()
-    for w, k in found.items():
-        if w not in known.frequent:
-            want[pseudo_likelihood.shape(w)] += k
-    assert n[: pseudo_likelihood.FREQUENT].tolist() == [found[w] for w in known.frequent] and n.sum() == sum(found.values())
-    assert {i: n[i] for i in range(pseudo_likelihood.FREQUENT, pseudo_likelihood.SIZE) if n[i]} == want
+def test_cells_hold_whole_texts():
+    texts = [b"a b a", None, b"", b"c\xc3\xa9 a\x1c b \n b"]
+    x = {c: pseudo_likelihood.unpack(c, v) for c, v in pseudo_likelihood.pack(texts).items()}
+    run = [x["words"][i] for i in x["at"]]
+    assert run == [w for t in texts for w in (t or b"").split()] and x["sizes"].tolist() == [3, 0, 0, 4]
+    assert dict(zip(x["words"], x["n"].tolist(), strict=True)) == collections.Counter(run)
 
 
 def test_shape_reads_the_whole_word():
@@ -211,23 +248,6 @@ def test_shape_reads_the_whole_word():
     assert pseudo_likelihood.shape(b"ab1234cdef") == pseudo_likelihood.shape(b"xyz567defg")
 
 
-def test_gradient_of_kept_words_is_right():
-    net = pseudo_likelihood.Network.start(np.ones(pseudo_likelihood.SIZE), np.arange(900, 920))
-    rng = np.random.default_rng(1)
-    padded, place = rng.integers(pseudo_likelihood.KEPT - 20, pseudo_likelihood.KEPT + 20, 60), np.arange(2, 58)
-    padded[padded == pseudo_likelihood.PAD] = 0
-    _, rows, by_row = net.backward(net.forward(padded, place)[1])
-    assert set(rows) == set(padded[padded >= pseudo_likelihood.KEPT] - pseudo_likelihood.KEPT)
-    loss = lambda: -net.forward(padded, place)[0].mean()
-    for r, g in zip(rows, by_row, strict=True):
-        j = np.abs(g).argmax()
-        net.extra[r, j] += 1e-2
-        up = loss()
-        net.extra[r, j] -= 2e-2
-        assert abs((up - loss()) / 2e-2 - g[j]) < 2e-3
-        net.extra[r, j] += 1e-2
-
-
 def test_decontamination_equals_brute_force(spark):
     def nearest(p, t):
         row = [0] * (len(t) + 1)
