@@ -46,7 +46,7 @@ MOST = 3.0
 #: Words that are longer are never tokens of their own, so that the list of tokens is small.
 TOKEN_BYTES = 256
 #: Bytes of text in a cell, about; a longer document stays whole.
-CELL_BYTES, ROUNDS = 4 << 20, 4
+CELL_BYTES, ROUNDS = 8 << 20, 4
 #: Bytes of text for each partition of the deal, about.
 PARTITION_BYTES = 64 << 20
 BLOCKS = 32
@@ -54,9 +54,22 @@ _KINDS = bytes(97 if chr(b).islower() or b > 127 else 65 if chr(b).isupper() els
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 
 
+class _Shapes(dict):
+    """Buckets by kinds of characters; there are few of them among short words, and only those are kept."""
+
+    def __missing__(self, kinds: bytes) -> int:
+        out = zlib.crc32(_RUNS.sub(rb"\1", kinds), min(len(kinds), 24) // 6) % SHAPES
+        if len(kinds) < 16 and len(self) < 100_000:
+            self[kinds] = out
+        return out
+
+
+_shapes = _Shapes()
+
+
 def shape(word: bytes) -> int:
     """Bucket of a word: its runs of capitals, letters, digits and each other sign, and its rough length."""
-    return zlib.crc32(_RUNS.sub(rb"\1", word.translate(_KINDS)), min(len(word), 24) // 6) % SHAPES
+    return _shapes[word.translate(_KINDS)]
 
 
 def slot(word: bytes) -> int:
@@ -141,7 +154,7 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 @dataclass
 class Words:
-    """The frequent words, the occurrences of all tokens, and the written table (word, n, shape) of all words."""
+    """The frequent words, the occurrences of all tokens, and the written table (word, n, shape, cells) of all words."""
 
     frequent: list[bytes]
     counts: np.ndarray
@@ -165,7 +178,7 @@ def count_words(cells: DataFrame) -> Words:
                     yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n.astype(np.int64)), pa.array(s.astype(np.int32))], ["word", "n", "shape"])
 
     each = cells.select("words", "n", "shapes").mapInArrow(tidied(run), "word binary, n long, shape int")
-    table = materialize(each.groupBy("word").agg(F.sum("n").alias("n"), F.first("shape").alias("shape")), "words")
+    table = materialize(each.groupBy("word").agg(F.sum("n").alias("n"), F.first("shape").alias("shape"), F.count("*").alias("cells")), "words")
     short = table.where(F.octet_length("word") <= TOKEN_BYTES)
     top = short.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     counts = np.zeros(SIZE)
@@ -375,7 +388,8 @@ def train_cells(cells: DataFrame, words: Words) -> Network:
     return net
 
 
-def score_cells(cells: DataFrame, words: Words, net: Network, id_col: str, kind: str) -> DataFrame:
+def score_cells(cells: DataFrame, words: Words, net: Network, id_col: str, kind: str, foreign: bool) -> DataFrame:
+    """``foreign``: the words were not counted in these cells."""
     spark = cells.sparkSession
     frequent, counts = words.frequent, words.counts
     held = spark.sparkContext.broadcast(net)  # of fixed size
@@ -392,8 +406,10 @@ def score_cells(cells: DataFrame, words: Words, net: Network, id_col: str, kind:
                     yield pa.RecordBatch.from_arrays([pa.array([row["cell"]] * len(i)), pa.array([row["part"]] * len(i), pa.int32()), pa.array(i, pa.int32()), pa.array(w, pa.binary())], ["cell", "part", "i", "word"])
 
     named = cells.select("cell", "part", "words").mapInArrow(tidied(rare), "cell long, part int, i int, word binary")
-    met = named.join(words.table.select("word", F.col("n").alias("c")), "word").groupBy("cell", "part").agg(F.collect_list("i").alias("i"), F.collect_list("c").alias("c"))
-    joined = cells.select("cell", "part", "id", "words", "shapes", "slots", "at", "sizes").join(met, ["cell", "part"], "left")
+    # a word of one cell only has been counted there
+    shared = words.table if foreign else words.table.where("cells > 1")
+    met = named.join(shared.select("word", F.col("n").alias("c")), "word").groupBy("cell", "part").agg(F.collect_list("i").alias("i"), F.collect_list("c").alias("c"))
+    joined = cells.select("cell", "part", "id", "words", "n", "shapes", "slots", "at", "sizes").join(met, ["cell", "part"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("pseudo_likelihood")
@@ -401,10 +417,10 @@ def score_cells(cells: DataFrame, words: Words, net: Network, id_col: str, kind:
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
-                x = {c: unpack(c, row.column(c)[0].as_py()) for c in ("words", "shapes", "slots", "at", "sizes")}
+                x = {c: unpack(c, row.column(c)[0].as_py()) for c in ("words", "n", "shapes", "slots", "at", "sizes")}
                 tokens = own.tokens(x["words"], x["shapes"])
                 # words that the corpus lacks share one occurrence; frequent words are all of their token
-                n = np.ones(len(tokens))
+                n = np.ones(len(tokens)) if foreign else x["n"].astype(float)
                 if row.column("i").null_count == 0:
                     n[np.asarray(row.column("i").flatten())] = np.asarray(row.column("c").flatten())
                 share = np.where(tokens < FREQUENT, 0.0, np.log(n / (counts[tokens] + 1)))
@@ -431,11 +447,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
 def score(docs: DataFrame, model: tuple[Words, Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_likelihood, mean_log_likelihood) of each row."""
-    return score_cells(deal(docs, id_col, text_col), *model, id_col, docs.schema[id_col].dataType.simpleString())
+    return score_cells(deal(docs, id_col, text_col), *model, id_col, docs.schema[id_col].dataType.simpleString(), True)
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`score` under the model of ``docs`` itself; the texts are dealt once."""
     cells = deal(docs, id_col, text_col)
     words = count_words(cells)
-    return score_cells(cells, words, train_cells(cells, words), id_col, docs.schema[id_col].dataType.simpleString())
+    return score_cells(cells, words, train_cells(cells, words), id_col, docs.schema[id_col].dataType.simpleString(), False)
