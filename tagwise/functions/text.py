@@ -1,17 +1,23 @@
-"""Column functions over text: matches with offsets, normalisation, strict numbers, spans."""
+"""Column functions over text and tokens; those that Spark's own functions can't do in linear time are Arrow functions."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
+
+from ..shipping import ship
+from . import layout, reading
 
-from . import vocabulary as V
+#: Case-insensitive, with Unicode's letters, digits and blanks.
+FLAGS = "(?iuU)"
+#: Inputs of fewer bytes for each core are dealt anew before work that is bound by the processor.
+SPREAD_BYTES = 16 << 20
 
-#: Case-insensitive, Unicode-aware.
-FLAGS = "(?iu)"
-MATCHES = "array<struct<s:int,e:int,m:string>>"
+_BBOX = "array<array<double>>"
+INDEX = f"array<struct<start:int,end:int,i:int,text:string,confidence:double,language:string,bbox:{_BBOX}>>"
 
 
 def let(value: Column, f) -> Column:
@@ -19,106 +25,41 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
-def total(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0), lambda a, x: a + F.length(x))
-
-
-def finditer(text: Column, pattern: str, flags: str = FLAGS) -> Column:
-    """array<struct<s int, e int, m string>>: matches, left to right, with half-open offsets."""
-    p = flags + pattern
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores if the input is so small that its files may give fewer partitions than cores; a larger input
+    stays as it is read."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
-    def places(found: Column, between: Column) -> Column:
-        def place(m: Column, i: Column) -> Column:
-            s = total(F.slice(between, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
-            return let(s, lambda s: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))
 
-        return F.transform(found, place)
+def arrow(result: str, one):
+    """An Arrow function: ``one`` of each value, null included, gives a value of the type ``result``."""
+    ship(SparkSession.active())
+    kind = to_arrow_type(DataType.fromDDL(result))
 
-    return let(text, lambda t: let(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda found: F.when(F.size(found) > 0, let(F.split(t, p, -1), lambda between: places(found, between))).otherwise(F.array().cast(MATCHES))))
+    @F.arrow_udf(returnType=result)
+    def call(column: pa.Array) -> pa.Array:
+        return pa.array([one(x) for x in column.to_pylist()], kind)
 
-
-def starts(text: Column, patterns: list[str]) -> Column:
-    """Offsets at which any of the patterns matches, nested and overlapping ones too: one pass marks them with a
-    look-ahead, and the lengths between marks add up."""
-    ahead = f"{FLAGS}(?=(?:{'|'.join(patterns)}))"
-    parts = F.split(F.regexp_replace(text, ahead, "\x01"), "\x01", -1)
-    sums = lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda _, i: total(F.slice(p, F.lit(1), i + 1)))
-    return let(parts, sums)
+    return call
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def group(match: Column, pattern: str, k: int) -> Column:
-    """Group ``k`` of a whole match, null if it took no part."""
-    return F.nullif(F.regexp_extract(match, FLAGS + "^(?:" + pattern + ")", k), F.lit(""))
-
-
-def any_match(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike(FLAGS + p) for p in patterns))
-
-
-# ordered rewrites: pattern, replacement; the last ones are plain characters
-_REWRITES = [
-    (r"[ \t]+", " "),
-    (r"\n+", " \n "),
-    (r"\bM\s*\.?\s*R\s*\.?\s*P\.?\b", "MRP"),
-    (r"\bNet\s*Qty\.?\b", "Net Qty"),
-    (r"\bNet\s*Wt\.?\b", "Net Wt"),
-    (r"[ः：]", ":"),
-    (r"\bManuractured\b", "Manufactured"),
-    (r"\bconlact\b", "contact"),
-    (r"\bCuslomer\b", "Customer"),
-    (r"\bNet\s*Vol\.?\b", "Net Qty"),
-    (r"\bRs\s*\.\s*", "Rs "),
-]
-_DIGITS = ("०१२३४५६७८९\x01", "0123456789 ")
-
-
 def normalize_text(text: Column) -> Column:
-    t = F.translate(F.coalesce(text, F.lit("")), *_DIGITS)
-    for pattern, put in _REWRITES:
-        t = F.regexp_replace(t, FLAGS + pattern, put)
-    return F.btrim(t, F.lit(" \t\n\r\x0b\x0c"))
-
-
-def _rewrite(state: Column, pattern: str, put: str) -> Column:
-    """One rewrite of ``state.t`` together with ``state.o``, the original offset of each of its characters."""
-
-    def build(matches: Column) -> Column:
-        def piece(m: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.get(matches, i - 1)["e"]).otherwise(F.lit(0))
-            return F.concat(F.slice(state["o"], before + 1, m["s"] - before), F.array_repeat(F.get(state["o"], m["s"]), len(put)))
-
-        last = F.coalesce(F.get(matches, F.size(matches) - 1)["e"], F.lit(0))
-        tail = F.slice(state["o"], last + 1, F.greatest(F.size(state["o"]) - last, F.lit(0)))
-        return F.struct(F.regexp_replace(state["t"], FLAGS + pattern, put).alias("t"), F.concat(F.flatten(F.transform(matches, piece)), tail).alias("o"))
-
-    return let(finditer(state["t"], pattern), build)
+    """Blanks, spellings and digits made alike for matching; null as an empty text."""
+    return arrow("string", reading.normalise)(text)
 
 
 def normalize_with_map(df: DataFrame, text: str, name: str = "mapped") -> DataFrame:
-    """``df`` with struct<t, o>: the normalised text and, for each of its characters, the offset in the original.
-
-    A column per rewrite: each uses the one before once, so plans stay small."""
-    blanks = F.lit(" \t\n\r\x0b\x0c")
-    t = F.translate(F.coalesce(F.col(text), F.lit("")), *_DIGITS)
-    offsets = lambda x: F.when(F.length(x) > 0, F.sequence(F.lit(0), F.length(x) - 1)).otherwise(F.array().cast("array<int>"))
-    out = df.withColumn(name, let(t, lambda x: F.struct(x.alias("t"), offsets(x).alias("o"))))
-
-    def step(pattern: str, put: str):
-        return lambda s: _rewrite(s, pattern, put)
-
-    for pattern, put in _REWRITES:
-        out = out.withColumn(name, let(F.col(name), step(pattern, put)))
-
-    def trim(s: Column) -> Column:
-        lead = F.length(s["t"]) - F.length(F.ltrim(s["t"], blanks))
-        done = F.btrim(s["t"], blanks)
-        return F.struct(done.alias("t"), F.slice(s["o"], lead + 1, F.length(done)).alias("o"))
-
-    return out.withColumn(name, let(F.col(name), trim))
+    """``df`` with struct<t, o>: the normalised text and, for each of its characters, the offset in the original."""
+    both = arrow("struct<t:string,o:array<int>>", lambda t: dict(zip("to", reading.normalise_with_offsets(t), strict=True)))
+    return df.withColumn(name, both(F.col(text)))
 
 
 def back_map(offsets: Column, start: Column, end: Column, length: Column) -> Column:
@@ -131,37 +72,20 @@ def back_map(offsets: Column, start: Column, end: Column, length: Column) -> Col
     )
 
 
-def proximity(distance: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.round(0.2 - 0.02 * distance, 4))
-
-
-def parse_amount(raw: Column) -> Column:
-    """A positive amount in strict grouping with at most two decimals; else null, never a part of it."""
-    ok = raw.rlike("^" + V.INTEGER + r"(?:\.\d{1,2})?$")
-    v = F.when(ok, F.regexp_replace(raw, ",", "").try_cast("double"))
-    return F.when(v > 0, v)
-
-
-def parse_quantity(raw: Column) -> Column:
-    ok = raw.rlike("^" + V.INTEGER + r"(?:\.\d+)?$")
-    return F.when(ok, F.regexp_replace(raw, ",", "").try_cast("double"))
-
-
 def lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
-def normalize_unit(unit: Column) -> Column:
-    return F.coalesce(lookup(V.UNITS, F.lower(unit)), F.lower(unit))
+def _index(tokens: list[dict] | None) -> list[dict]:
+    return [
+        {"start": t.start, "end": t.end, "i": i, "text": t.text, "confidence": t.confidence, "language": t.language, "bbox": t.polygon}
+        for i, t in enumerate(layout.Page(tokens or []).tokens)
+    ]
 
 
 def token_index(tokens: Column) -> Column:
-    """array<struct<start, end, i, text>>: place of each non-null token in the blank-joined text."""
-    some = F.filter(tokens, lambda t: t["text"].isNotNull())
-    begin = lambda i: F.aggregate(F.slice(some, F.lit(1), i), F.lit(0), lambda a, t: a + F.length(t["text"]) + 1)
-    return F.transform(
-        some, lambda t, i: F.struct(begin(i).alias("start"), (begin(i) + F.length(t["text"])).alias("end"), i.alias("i"), t["text"].alias("text"), t["confidence"].alias("confidence"), t["language"].alias("language"), t["bbox"].alias("bbox"))
-    )
+    """array<struct<start, end, i, text, ...>>: place of each token that has a text in the blank-joined text."""
+    return arrow(INDEX, _index)(tokens)
 
 
 def joined_text(tokens: Column) -> Column:

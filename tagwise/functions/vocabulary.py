@@ -40,6 +40,15 @@ CARE_LABELS = [
     (r"\bQuestions\s*or\s*Comments\b", "Questions or Comments"), (r"\bToll\s*Free\b", "Toll Free"),
 ]
 
+LABELS = {"MRP": MRP_LABELS, "NET_QUANTITY": NET_QUANTITY_LABELS, "MANUFACTURER_ADDRESS": MANUFACTURER_LABELS, "MANUFACTURING_DATE": DATE_LABELS, "CONSUMER_CARE": CARE_LABELS}
+
+# Rewrites before matching, in order, and single characters that are replaced last.
+REWRITES = [
+    (r"[ \t]+", " "), (r"\n+", " \n "), (r"\bM\s*\.?\s*R\s*\.?\s*P\.?\b", "MRP"), (r"\bNet\s*Qty\.?\b", "Net Qty"), (r"\bNet\s*Wt\.?\b", "Net Wt"),
+    (r"\bManuractured\b", "Manufactured"), (r"\bconlact\b", "contact"), (r"\bCuslomer\b", "Customer"), (r"\bNet\s*Vol\.?\b", "Net Qty"), (r"\bRs\s*\.\s*", "Rs "),
+]
+CHARACTERS = ("०१२३४५६७८९ः：", "0123456789::")
+
 # Words that suppress a candidate or bound a window.
 MRP_NEGATIVE = [r"\bOffer\s*Price\b", r"\bOffer\b", r"\bDiscount\b", r"\bSave\b", r"\bSpecial\s*Price\b", r"\bYou\s*Pay\b"]
 NET_QUANTITY_NEGATIVE = [
@@ -81,6 +90,15 @@ WINDOW, AMOUNT_ONLY_WINDOW, RECOVERY_WINDOW, MANUFACTURER_WINDOW, DATE_WINDOW, C
 LABEL_BASE, CURRENCY_BONUS, RECOVERY_BONUS, AMOUNT_BONUS, UNIT_BONUS = 0.5, 0.3, 0.15, 0.1, 0.2
 HIGH_SCORE, LARGE_PRICE, LOW_OCR = 0.9, 1_000_000, 0.5
 
+# Second-pass normalizers.
+SECOND_PRICE = r"[\d,]+(?:\.\d{1,2})?"
+SECOND_QUANTITY = r"(\d+(?:\.\d+)?)\s*(kg|g|mg|l|ml|cl|dl|pair(?:s)?|unit(?:s)?|number|nos?|pcs?|pieces?)\b"
+SECOND_SINGULAR = {"pairs": "pair", "units": "unit", "nos": "no", "pcs": "pc", "pieces": "piece"}
+SECOND_DATES = {"full": r"\b(\d{1,2})/(\d{1,2})/(\d{2,4})\b", "month": r"\b(\d{1,2})/(\d{2,4})\b", "named": r"\b([A-Z]{3,})/?(\d{2,4})\b", "refused": r"^\d{6}$"}
+SECOND_PHONE = r"(?:\+91[\s-]?)?(?:\(?\d{2,4}\)?[\s-]?)?\d{3,5}[\s-]?\d{3,5}[\s-]?\d{3,5}"
+SECOND_EMAIL = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+TOLL_FREE = r"(?:^|[\s(])1[-\s]?[789]"
+
 # Second-pass patterns and spatial anchors.
 SWEEP = {
     "MRP": r"(?:RS|INR|₹|MRP|USP|PRICE)[^\d]*?([\d,]+(?:\.\d{1,2})?)",
@@ -114,6 +132,11 @@ SLABS = [(0.0, 200.0, 1.0), (200.0, 500.0, 2.0), (500.0, float("inf"), 4.0)]
 COIN_MM = {"1_rupee": 21.93, "2_rupee": 27.00, "5_rupee": 23.00, "10_rupee": 27.00}
 BASE_UNITS = {"g": 1.0, "gm": 1.0, "gram": 1.0, "grams": 1.0, "ml": 1.0, "millilitre": 1.0, "millilitres": 1.0, "kg": 1000.0, "l": 1000.0, "ltr": 1000.0, "litre": 1000.0, "litres": 1000.0}
 
+# Cleaners of expected values in evaluation.
+PRICE_WORDS, EXPECTED_PRICE = r"\b(?:MRP|MAXIMUM\s+RETAIL\s+PRICE|RS\.?|INR)\b", r"\d[\d,]*(?:\.\d+)?"
+UNIT_WORDS = {"millilitres": "ml", "milliliters": "ml", "kilograms": "kg", "kilogram": "kg", "grams": "g", "gram": "g", "litres": "l", "liters": "l"}
+EXPECTED_QUANTITY, RECALL_LEAST = r"(\d+(?:\.\d+)?)\s*(mg|kg|ml|g|l)\b", 0.6
+
 # Signals that the OCR passes look for.
 ROTATION_WORDS = r"(?:mrp|₹|rs\.?|net|qty|mfd|exp|batch|date|manufactur)"
 TRIGGER = r"(?:mrp|₹|rs\.?|mfd|exp|\d{2}[/.-]\d{2})"

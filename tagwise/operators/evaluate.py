@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..functions import vocabulary as V
+
 
 def expected_price(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(?i)\b(?:MRP|MAXIMUM\s+RETAIL\s+PRICE|RS\.?|INR)\b", " ")
+    t = F.regexp_replace(text, X.FLAGS + V.PRICE_WORDS, " ")
     t = F.regexp_replace(F.replace(F.translate(t, "₹$", "  "), F.lit("/-"), F.lit(" ")), r"(?<=\d)\s+(?=\d)", "")
-    return F.regexp_replace(F.nullif(F.regexp_extract(t, r"\d[\d,]*(?:\.\d+)?", 0), F.lit("")), ",", "").try_cast("double")
+    return F.regexp_replace(F.nullif(F.regexp_extract(t, X.FLAGS + V.EXPECTED_PRICE, 0), F.lit("")), ",", "").try_cast("double")
 
 
 def expected_quantity(text: Column) -> Column:
     """struct<amount, unit> in mg, g, kg, ml or l; null for anything else."""
     t = F.lower(F.trim(text))
-    for long, short in (("millilitres", "ml"), ("milliliters", "ml"), ("kilograms", "kg"), ("kilogram", "kg"), ("grams", "g"), ("gram", "g"), ("litres", "l"), ("liters", "l")):
+    for long, short in V.UNIT_WORDS.items():
         t = F.replace(t, F.lit(long), F.lit(short))
-    p = r"(\d+(?:\.\d+)?)\s*(mg|kg|ml|g|l)\b"
+    p = X.FLAGS + V.EXPECTED_QUANTITY
     amount = F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
     return F.when(amount.isNotNull(), F.struct(amount.cast("double").alias("amount"), F.regexp_extract(t, p, 2).alias("unit")))
 
@@ -50,5 +53,13 @@ def recall(expected: Column, actual: Column) -> Column:
     return F.size(F.array_intersect(want, word_set(actual))) / F.nullif(F.size(want), F.lit(0))
 
 
+def batch_recall(rows: DataFrame, least: float = V.RECALL_LEAST) -> DataFrame:
+    """One row for texts ``expected`` and ``actual``: how many, their mean recall, and how many reach ``least``; texts
+    without words don't count."""
+    share = recall(F.col("expected"), F.col("actual"))
+    scored = rows.select(share.alias("recall")).where("recall IS NOT NULL")
+    return scored.agg(F.count("*").alias("total"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.count_if(F.col("recall") >= least).alias("passed"))
+
+
 def relative_error(measured: Column, truth: Column) -> Column:
     return F.abs(measured - truth) / truth

@@ -1,252 +1,88 @@
 """Candidates for the five declared fields, and the best of each.
 
-Input: any DataFrame with a text column.  Each field's candidates come from one label x window x value scan per text, as
-array expressions in one row; nothing is shuffled.  Candidates have one shape for all fields.
+Input: any DataFrame with a text or a token column.  Texts are read in Arrow batches by :mod:`tagwise.functions.reading`, all
+fields in one pass over a text; nothing is shuffled, but for inputs so small that they would occupy a few cores only
+(:func:`tagwise.functions.text.spread`).  Candidates have one shape for all fields.
+
+Null texts and tokens count as empty; rows with equal keys are read each; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import layout, reading
 from ..functions import text as X
 from ..functions import vocabulary as V
 
-_EMPTY = {"amount": "double", "unit": "string", "text": "string", "date": "string", "phone": "string", "email": "string"}
-
-
-def _candidate(field: str, start: Column, end: Column, score: Column | float, label: Column, codes: Column, suppressed: Column, order: Column, low: Column | bool = False, **value: Column) -> Column:
-    score = score if isinstance(score, Column) else F.lit(float(score))
-    return F.struct(
-        F.lit(field).alias("field"),
-        *(value.get(k, F.lit(None)).cast(t).alias(k) for k, t in _EMPTY.items()),
-        label.alias("label_matched"),
-        F.round(score, 4).alias("score"),
-        start.cast("int").alias("start"),
-        end.cast("int").alias("end"),
-        codes.alias("reason_codes"),
-        suppressed.alias("suppressed"),
-        (low if isinstance(low, Column) else F.lit(low)).alias("forced_low"),
-        order.cast("int").alias("label_ord"),
-    )
-
-
-def _codes(*codes: str) -> Column:
-    return F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")
-
-
-def _labels(text: Column, labels: list[tuple[str, str]]) -> Column:
-    """Label matches in order of precedence, then of place."""
-    def row(i: int, name: str):
-        return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(name).alias("name"), F.lit(i).alias("ord"))
-
-    return F.flatten(F.array(*(F.transform(X.finditer(text, p), row(i, name)) for i, (p, name) in enumerate(labels))))
-
-
-def _window_end(text: Column, label: Column, bounds: Column, width: int) -> Column:
-    """The window after a label: at most ``width`` wide, ended by the first boundary behind the label's start."""
-    first = F.array_min(F.filter(bounds, lambda b: b > label["s"]))
-    return F.least(label["e"] + width, F.coalesce(first, F.length(text)), F.length(text))
-
-
-def _pats(labels: list[tuple[str, str]]) -> list[str]:
-    return [p for p, _ in labels]
-
-
-ALL_LABELS = V.MRP_LABELS + V.NET_QUANTITY_LABELS + V.MANUFACTURER_LABELS + V.DATE_LABELS + V.EXPIRY_LABELS + V.CARE_LABELS
-BOUNDARIES = {
-    "MRP": _pats(V.MRP_LABELS) + V.MRP_NEGATIVE,
-    "NET_QUANTITY": _pats(V.NET_QUANTITY_LABELS) + V.NET_QUANTITY_NEGATIVE,
-    "MANUFACTURER_ADDRESS": _pats(ALL_LABELS) + V.MRP_NEGATIVE + V.NET_QUANTITY_NEGATIVE + V.QUERY_BOUNDARIES,
-    "CONSUMER_CARE": _pats(ALL_LABELS) + V.MRP_NEGATIVE + V.NET_QUANTITY_NEGATIVE + V.QUERY_BOUNDARIES,
-    "MANUFACTURING_DATE": _pats(V.DATE_LABELS + V.EXPIRY_LABELS + V.MANUFACTURER_LABELS + V.CARE_LABELS) + V.DATE_NEGATIVE + V.MRP_NEGATIVE + V.NET_QUANTITY_NEGATIVE,
-}
-LABELS = {"MRP": V.MRP_LABELS, "NET_QUANTITY": V.NET_QUANTITY_LABELS, "MANUFACTURER_ADDRESS": V.MANUFACTURER_LABELS, "MANUFACTURING_DATE": V.DATE_LABELS, "CONSUMER_CARE": V.CARE_LABELS}
-
-
-def _conflict(codes: Column, hit: Column) -> Column:
-    return F.when(hit, F.concat(codes, _codes("CONFLICT_SUPPRESSED"))).otherwise(codes)
-
-
-def _bind(**columns: Column):
-    """Binds columns once: ``_bind(a=..., b=...)(lambda v: ...)``."""
-    return lambda f: X.let(F.struct(*(c.alias(n) for n, c in columns.items())), f)
-
-
-def _mrp_currency(text: Column, label: Column, bounds: Column) -> Column:
-    def one(m: Column) -> Column:
-        g = lambda k: X.group(m["m"], V.CURRENCY_AMOUNT, k)
-        end = label["e"] + m["e"]
-        negative = X.any_match(X.cut(text, label["s"], end), V.MRP_NEGATIVE)
-
-        def build(v: Column) -> Column:
-            bad = v["signed"] | v["junk"] | v["amount"].isNull()
-            score = V.LABEL_BASE + F.when(v["damaged"], V.RECOVERY_BONUS).otherwise(V.CURRENCY_BONUS) + X.proximity(m["s"])
-            found = F.when(v["damaged"], _codes("MRP_LABEL_MATCH", "OCR_CURRENCY_RECOVERY")).otherwise(_codes("MRP_LABEL_MATCH", "CURRENCY_MATCH"))
-            codes = (
-                F.when(v["signed"], _codes("MRP_LABEL_MATCH", "NEGATIVE_OR_SIGNED_REJECTED"))
-                .when(v["junk"], _codes("MRP_LABEL_MATCH", "TRAILING_ALPHA_REJECTED"))
-                .when(v["amount"].isNull(), _codes("MRP_LABEL_MATCH", "MALFORMED_NUMERIC_REJECTED"))
-                .otherwise(_conflict(found, v["negative"]))
-            )
-            return _candidate("MRP", label["s"], end, F.when(bad, 0.0).otherwise(score), label["name"], codes, bad | v["negative"], label["ord"], v["damaged"] & ~bad, amount=v["amount"])
-
-        return _bind(signed=g(1).isNotNull() | g(3).isNotNull(), junk=g(6).isNotNull(), damaged=g(2) == "?", amount=X.parse_amount(g(4)), negative=negative)(build)
-
-    window = X.cut(text, label["e"], _window_end(text, label, bounds, V.WINDOW))
-    return F.transform(X.finditer(window, V.CURRENCY_AMOUNT + V.CURRENCY_END), one)
-
-
-def _mrp_amount_only(text: Column, label: Column, bounds: Column) -> Column:
-    base = ("MRP_LABEL_MATCH", "AMOUNT_ONLY_FALLBACK")
-
-    def build(v: Column) -> Column:
-        end = label["e"] + F.length(v["whole"])
-        at = F.length(v["whole"]) - F.length(v["raw"]) - F.coalesce(F.length(v["sign"]), F.lit(0))
-        bad = v["sign"].isNotNull() | v["amount"].isNull()
-        negative = X.any_match(X.cut(text, label["s"], end), V.MRP_NEGATIVE)
-        codes = (
-            F.when(v["sign"].isNotNull(), _codes(*base, "NEGATIVE_OR_SIGNED_REJECTED"))
-            .when(v["amount"].isNull(), _codes(*base, "MALFORMED_NUMERIC_REJECTED"))
-            .otherwise(_conflict(_codes(*base), negative))
-        )
-        score = F.when(bad, 0.0).otherwise(V.LABEL_BASE + V.AMOUNT_BONUS + X.proximity(at))
-        return F.filter(F.array(_candidate("MRP", label["s"], end, score, label["name"], codes, bad | negative, label["ord"], True, amount=v["amount"])), lambda _: F.length(v["whole"]) > 0)
-
-    tight = X.cut(text, label["e"], _window_end(text, label, bounds, V.AMOUNT_ONLY_WINDOW))
-    part = lambda t, k: F.nullif(F.regexp_extract(t, X.FLAGS + V.AMOUNT_ONLY, k), F.lit(""))
-    return X.let(
-        tight,
-        lambda t: _bind(whole=F.regexp_extract(t, X.FLAGS + V.AMOUNT_ONLY, 0), sign=part(t, 1), raw=part(t, 2), amount=X.parse_amount(part(t, 2)))(build),
-    )
-
-
-def _first(window: Column, pattern: str) -> Column:
-    return F.get(X.finditer(window, pattern), F.lit(0))
-
-
-def _mrp_recovery(text: Column, label: Column, bounds: Column) -> Column:
-    codes = _codes("MRP_LABEL_MATCH", "OCR_CURRENCY_RECOVERY", "BROKEN_CURRENCY_LAYOUT_RECOVERY")
-
-    def build(m: Column) -> Column:
-        amount = F.concat_ws(".", X.group(m["m"], V.BROKEN_AMOUNT, 1), X.group(m["m"], V.BROKEN_AMOUNT, 2)).try_cast("double")
-        found = _candidate("MRP", label["s"], label["e"] + m["e"], V.LABEL_BASE + V.RECOVERY_BONUS, label["name"], codes, F.lit(False), label["ord"], True, amount=amount)
-        return F.filter(F.array(found), lambda c: c["end"].isNotNull())
-
-    return X.let(_first(X.cut(text, label["e"], _window_end(text, label, bounds, V.RECOVERY_WINDOW)), V.BROKEN_AMOUNT), build)
-
-
-def _quantity(text: Column, label: Column, bounds: Column) -> Column:
-    def one(m: Column) -> Column:
-        g = lambda k: X.group(m["m"], V.QUANTITY_VALUE, k)
-        end = label["e"] + m["e"]
-
-        def build(v: Column) -> Column:
-            codes = F.when(v["signed"], _codes("NET_QTY_LABEL_MATCH", "NEGATIVE_OR_SIGNED_REJECTED")).otherwise(_conflict(_codes("NET_QTY_LABEL_MATCH", "UNIT_MATCH"), v["negative"]))
-            score = F.when(v["signed"], 0.0).otherwise(V.LABEL_BASE + V.AMOUNT_BONUS + X.proximity(m["s"]) + V.UNIT_BONUS)
-            value = {"amount": F.when(~v["signed"], v["amount"]), "unit": F.when(~v["signed"], v["unit"])}
-            return _candidate("NET_QUANTITY", label["s"], end, score, label["name"], codes, v["signed"] | v["negative"], label["ord"], False, **value)
-
-        negative = X.any_match(X.cut(text, label["s"], end), V.NET_QUANTITY_NEGATIVE)
-        return _bind(signed=g(1).isNotNull(), amount=X.parse_quantity(g(2)), unit=X.normalize_unit(g(3)), negative=negative)(build)
-
-    window = X.cut(text, label["e"], _window_end(text, label, bounds, V.WINDOW))
-    found = F.transform(X.finditer(window, V.QUANTITY_START + V.QUANTITY_VALUE), one)
-    return F.filter(found, lambda c: (c["score"] == 0) | (c["amount"] > 0))
-
-
-def _manufacturer(text: Column, label: Column, bounds: Column) -> Column:
-    def build(end: Column) -> Column:
-        value = F.btrim(X.cut(text, label["e"], end), F.lit(" :,-\n\t"))
-        score = F.when(F.length(value) >= 8, 0.95).otherwise(0.6)
-        found = _candidate("MANUFACTURER_ADDRESS", label["s"], end, score, label["name"], _codes("MANUFACTURER_LABEL_MATCH"), F.lit(False), label["ord"], False, text=value)
-        return F.filter(F.array(found), lambda c: (F.length(c["text"]) >= 3) & c["text"].rlike("[A-Za-z]"))
-
-    return X.let(_window_end(text, label, bounds, V.MANUFACTURER_WINDOW), build)
+VALUES = {"amount": "double", "unit": "string", "text": "string", "date": "string", "phone": "string", "email": "string"}
+_VALUES = ",".join(f"{k}:{t}" for k, t in VALUES.items())
+CANDIDATE = f"struct<field:string,{_VALUES},label_matched:string,score:double,start:int,end:int,reason_codes:array<string>,suppressed:boolean,forced_low:boolean,label_ord:int>"
+RESOLVED = f"struct<norm:string,candidates:array<{CANDIDATE}>,best:{CANDIDATE},confidence:string,ambiguous:boolean>"
+_V_VALUES = ",".join(f"v_{k}:{t}" for k, t in VALUES.items())
+_ROW = f"field:string,{_V_VALUES},raw_evidence:string,label_matched:string,score:double,confidence:string,ambiguous:boolean,reason_codes:array<string>"
+MAPPED = f"array<struct<{_ROW}>>"
+POLYGONS = "array<array<array<double>>>"
+MAPPED_TOKENS = f"array<struct<{_ROW},language:string,bbox:{POLYGONS},second:struct<value:string,evidence:string,bbox:{POLYGONS}>>>"
 
 
-def _year(y: Column) -> Column:
-    n = y.try_cast("int")
-    return F.when(n < 100, n + 2000).otherwise(n)
+def _resolver(field: str, as_of: str | None):
+    def one(text: str | None) -> dict:
+        norm = reading.normalise(text)
+        found = reading.read(norm, [field])[field]
+        best, confidence, tie = reading.choose(found, as_of)
+        return {"norm": norm, "candidates": found, "best": best, "confidence": confidence, "ambiguous": tie}
 
+    return one
 
-def _day(y: Column, m: Column, d: Column) -> Column:
-    text = F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0"))
-    return F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd")
 
+def row(field: str, norm: str, found: list[dict], as_of: str | None) -> dict:
+    """The contents of a result row: value, evidence and how sure it is; confidence none without a candidate."""
+    best, confidence, tie = reading.choose(found, as_of)
+    out = {"field": field, "confidence": confidence, "ambiguous": tie}
+    if best:
+        out |= {f"v_{k}": best[k] for k in VALUES}
+        out |= {"raw_evidence": norm[best["start"] : best["end"]], "label_matched": best["label_matched"], "score": best["score"], "reason_codes": [*best["reason_codes"], "NEAREST_VALUE"]}
+    return out
 
-def _month(y: Column, m: Column) -> Column:
-    ok = (m >= 1) & (m <= 12)
-    return F.when(ok, F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0")))
 
+def _mapper(as_of: str | None):
+    def one(text: str | None) -> list[dict]:
+        norm = reading.normalise(text)
+        return [row(f, norm, found, as_of) for f, found in reading.read(norm).items()]
 
-def dates_in(window: Column) -> Column:
-    """array<struct<s, e, kind, iso>>: dates by place; a range covers what it holds, and day forms cover shorter ones."""
+    return one
 
-    def form(w: Column, kind: str, pattern: str, iso) -> Column:
-        one = lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lit(kind).alias("kind"), iso(lambda k: X.group(m["m"], pattern, k)).alias("iso"))
-        return F.transform(X.finditer(w, pattern), lambda m: one(m))
 
-    num = lambda c: c.try_cast("int")
-    in_century = lambda y: F.when((_year(y) >= 2000) & (_year(y) <= 2099), _year(y))
-    uncovered = lambda found, cover: F.filter(found, lambda x: ~F.exists(cover, lambda c: (x["s"] < c["e"]) & (x["e"] > c["s"])))
+def _token_mapper(as_of: str | None, second_pass: bool):
+    """One image's tokens: the fields read from the joined text; where the last three stand; and the second pass."""
 
-    def all_forms(w: Column) -> Column:
-        days = F.concat(
-            form(w, "dmy4", V.DATE_DMY4, lambda g: _day(num(g(3)), num(g(2)), num(g(1)))),
-            form(w, "ymd", V.DATE_YMD, lambda g: _day(num(g(1)), num(g(2)), num(g(3)))),
-            form(w, "dmonY", V.DATE_DMONY, lambda g: _day(_year(g(3)), X.lookup(V.MONTHS, F.lower(F.substring(g(2), 1, 3))), num(g(1)))),
-        )
-        short = form(w, "dmy2", V.DATE_DMY2, lambda g: _day(num(g(3)) + 2000, num(g(2)), num(g(1))))
-        months = form(w, "my", V.DATE_MY, lambda g: _month(num(g(2)), num(g(1))))
-        add = lambda so_far, more: X.let(so_far, lambda a: F.concat(a, uncovered(more, a)))
-        return F.array_sort(add(add(add(form(w, "range", V.DATE_RANGE, lambda g: _month(in_century(g(2)), num(g(1)))), days), short), months))
+    def one(tokens: list[dict] | None) -> list[dict]:
+        page = layout.Page(tokens or [])
+        norm, offsets = reading.normalise_with_offsets(page.text)
+        rows = {f: row(f, norm, found, as_of) | ({} if f in ("MRP", "NET_QUANTITY") else _evidence(page, offsets, found)) for f, found in reading.read(norm).items()}
+        for r in rows.values():
+            if r["confidence"] == "high" and (r.pop("ocr", None) or 1.0) < V.LOW_OCR:
+                r["confidence"] = "low"
+        for field, second in (page.second_pass() if second_pass else {}).items():
+            rows.setdefault(field, {"field": field, "confidence": "none", "ambiguous": False})["second"] = second
+        return list(rows.values())
 
-    return X.let(window, all_forms)
+    def _evidence(page: layout.Page, offsets: list[int], found: list[dict]) -> dict:
+        best, _, _ = reading.choose(found)
+        if not best:
+            return {}
+        near = page.supporting(*reading.original_span(offsets, best["start"], best["end"], len(page.text)))
+        return {"ocr": layout.mean_confidence(near), "language": layout.main_language(near), "bbox": [t.polygon for t in near if t.polygon is not None]}
 
-
-def _date(text: Column, label: Column, bounds: Column) -> Column:
-    def build(d: Column) -> Column:
-        end = label["e"] + d["e"]
-        negative = X.any_match(X.cut(text, label["s"], end), V.DATE_NEGATIVE)
-        codes = F.concat(_codes("MFG_DATE_LABEL_MATCH"), F.when(negative, _codes("CONFLICT_SUPPRESSED")).otherwise(_codes()), F.when(d["iso"].isNull(), _codes("MALFORMED_DATE_REJECTED")).otherwise(_codes()))
-        score = F.when(d["kind"].isin("dmy4", "ymd", "dmonY"), 0.95).otherwise(0.6)
-        found = _candidate("MANUFACTURING_DATE", label["s"], end, score, label["name"], codes, negative | d["iso"].isNull(), label["ord"], False, date=d["iso"])
-        return F.filter(F.array(found), lambda c: c["end"].isNotNull())
-
-    return X.let(F.get(dates_in(X.cut(text, label["e"], _window_end(text, label, bounds, V.DATE_WINDOW))), F.lit(0)), build)
-
-
-def _care(text: Column, label: Column, bounds: Column) -> Column:
-    def build(v: Column) -> Column:
-        phone, email = v["phone"], v["email"]
-        part = lambda m, code: F.when(m.isNotNull(), _codes(code)).otherwise(_codes())
-        codes = F.concat(_codes("CONSUMER_CARE_LABEL_MATCH"), part(phone, "PHONE_MATCH"), part(email, "EMAIL_MATCH"))
-        score = F.when(phone.isNotNull() & email.isNotNull(), 0.95).otherwise(0.6)
-        value = {"phone": phone["m"], "email": F.regexp_replace(email["m"], r"\s+", "")}
-        found = _candidate("CONSUMER_CARE", label["s"], label["e"] + F.greatest(phone["e"], email["e"]), score, label["name"], codes, F.lit(False), label["ord"], False, **value)
-        return F.filter(F.array(found), lambda c: c["phone"].isNotNull() | c["email"].isNotNull())
-
-    window = X.cut(text, label["e"], _window_end(text, label, bounds, V.CARE_WINDOW))
-    return X.let(window, lambda w: _bind(phone=_first(w, V.PHONE), email=_first(w, V.EMAIL))(build))
+    return one
 
 
 def candidates(df: DataFrame, field: str, text: str = "norm") -> DataFrame:
     """``df`` with ``candidates``: all of a field's candidates in a normalised text, in the order they are found."""
-    t, labels, bounds = F.col(text), F.col("__labels"), F.col("__bounds")
-    none = F.array().cast("array<int>")
-    out = df.withColumn("__labels", _labels(t, LABELS[field]))
-    # boundaries are looked for only in texts that have a label
-    out = out.withColumn("__bounds", F.when(F.size(labels) > 0, X.starts(t, BOUNDARIES[field])).otherwise(none))
-    if field != "MRP":
-        one = {"NET_QUANTITY": _quantity, "MANUFACTURER_ADDRESS": _manufacturer, "MANUFACTURING_DATE": _date, "CONSUMER_CARE": _care}[field]
-        return out.withColumn("candidates", F.flatten(F.transform(labels, lambda x: one(t, x, bounds)))).select(*df.columns, "candidates")
-    pair = lambda x, c: F.struct(x.alias("l"), c.alias("c"))
-    out = out.withColumn("__c", F.transform(labels, lambda x: pair(x, _mrp_currency(t, x, bounds))))
-    amount_only = lambda x: F.when(F.size(x["c"]) > 0, x["c"]).otherwise(_mrp_amount_only(t, x["l"], bounds))
-    out = out.withColumn("__c", F.transform("__c", lambda x: pair(x["l"], amount_only(x))))
-    recovered = lambda x: F.when(F.exists(x["c"], lambda y: ~y["suppressed"]), x["c"]).otherwise(F.concat(x["c"], _mrp_recovery(t, x["l"], bounds)))
-    return out.withColumn("candidates", F.flatten(F.transform("__c", lambda x: recovered(x)))).select(*df.columns, "candidates")
+    find = X.arrow(f"array<{CANDIDATE}>", lambda t: reading.read(t or "", [field])[field])
+    return df.withColumn("candidates", find(F.col(text)))
 
 
 def best(df: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -261,7 +97,7 @@ def best(df: DataFrame, as_of: str | None = None) -> DataFrame:
     def judge(v: Column) -> Column:
         top, next_ = v["top"], v["next"]
         same = F.lit(True)
-        for k in _EMPTY:
+        for k in VALUES:
             same = same & top[k].eqNullSafe(next_[k])
         low = top["forced_low"] | (top["score"] < V.HIGH_SCORE) | F.coalesce((top["field"] == "MRP") & (top["amount"] >= V.LARGE_PRICE), F.lit(False))
         if as_of:
@@ -276,29 +112,25 @@ def best(df: DataFrame, as_of: str | None = None) -> DataFrame:
 
 def resolve(df: DataFrame, field: str, text: str = "text", as_of: str | None = None) -> DataFrame:
     """``df`` with ``norm``, ``candidates``, ``best``, ``confidence`` and ``ambiguous`` for one field of its text."""
-    return best(candidates(df.withColumn("norm", X.normalize_text(F.col(text))), field), as_of)
+    found = X.spread(df).withColumn("__found", X.arrow(RESOLVED, _resolver(field, as_of))(F.col(text)))
+    return found.select(*df.columns, "__found.*")
+
+
+def _exploded(df: DataFrame, keys: list[str], rows: Column) -> DataFrame:
+    # every row has some: an inner explode would have the optimizer test that by reading the texts once more, before the deal
+    return X.spread(df).select(*keys, rows.alias("__rows")).select(*keys, F.explode_outer("__rows").alias("__r")).select(*keys, "__r.*")
 
 
 def map_fields(df: DataFrame, keys: list[str], text: str = "text", as_of: str | None = None) -> DataFrame:
     """Long form: a row per key and field with value, evidence, confidence; fields without a candidate have confidence none."""
-    out = df.select(*keys, X.normalize_text(F.col(text)).alias("norm"))
-    results = []
-    for field in V.FIELDS:
-        top = F.col("best")
-        row = F.struct(
-            F.lit(field).alias("field"),
-            *(top[k].alias(f"v_{k}") for k in _EMPTY),
-            X.cut(F.col("norm"), top["start"], top["end"]).alias("raw_evidence"),
-            top["label_matched"].alias("label_matched"),
-            top["score"].alias("score"),
-            F.col("confidence").alias("confidence"),
-            F.col("ambiguous").alias("ambiguous"),
-            F.when(top.isNotNull(), F.concat(top["reason_codes"], _codes("NEAREST_VALUE"))).alias("reason_codes"),
-        )
-        out = best(candidates(out, field), as_of).withColumn(f"__{field}", row).select(*keys, "norm", *(f"__{f}" for f in [*results, field]))
-        results.append(field)
-    # one pass over the texts; exploding keeps later filters from repeating the extraction
-    return out.select(*keys, F.explode(F.array(*(F.col(f"__{f}") for f in results))).alias("r")).select(*keys, "r.*")
+    return _exploded(df.select(*keys, text), keys, X.arrow(MAPPED, _mapper(as_of))(F.col(text)))
+
+
+def map_tokens(df: DataFrame, keys: list[str], tokens: str = "tokens", as_of: str | None = None, second_pass: bool = True) -> DataFrame:
+    """As :func:`map_fields` for rows of OCR tokens, an image each, with language and boxes of the evidence of the last three
+    fields, and ``second``: what the second pass finds for a field (value, evidence, boxes), or null.  A field that only the
+    second pass knows (the expiry date) has a row if it is found."""
+    return _exploded(df.select(*keys, tokens), keys, X.arrow(MAPPED_TOKENS, _token_mapper(as_of, second_pass))(F.col(tokens)))
 
 
 def finalize(df: DataFrame) -> DataFrame:
@@ -313,3 +145,15 @@ def finalize(df: DataFrame) -> DataFrame:
         .withColumn("bbox", F.filter(F.transform("evidence_tokens", lambda t: t["bbox"]), lambda b: b.isNotNull()))
         .withColumn("confidence", F.when((F.col("confidence") == "high") & (F.col("ocr_confidence") < V.LOW_OCR), "low").otherwise(F.col("confidence")))
     )
+
+
+def keywords(spark: SparkSession) -> DataFrame:
+    """The labels of each field as a table: field, label, pattern, in order of precedence."""
+    return spark.createDataFrame([(f, i, name, p) for f, labels in V.LABELS.items() for i, (p, name) in enumerate(labels)], "field string, label_ord int, label string, pattern string")
+
+
+def to_json(mapped: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key with ``fields``: a JSON object of the mapped rows by field; nulls are left out."""
+    rest = [c for c in mapped.columns if c not in (*keys, "field")]
+    entry = F.struct("field", F.struct(*rest).alias("value"))
+    return mapped.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["field"] < b["field"], -1).when(a["field"] > b["field"], 1).otherwise(0)))).alias("fields"))

@@ -9,6 +9,8 @@ from ..functions import text as X
 from ..functions import vocabulary as V
 
 MONTHS = {k.upper(): v for k, v in V.MONTHS.items()}
+#: Unicode's digits, letters and blanks, with regard to case.
+EXACT = "(?U)"
 
 
 def _nullif(c: Column) -> Column:
@@ -16,29 +18,27 @@ def _nullif(c: Column) -> Column:
 
 
 def normalize_mrp(value: Column) -> Column:
-    found = _nullif(F.regexp_extract(value, r"[\d,]+(?:\.\d{1,2})?", 0))
+    found = _nullif(F.regexp_extract(value, EXACT + V.SECOND_PRICE, 0))
     return F.regexp_replace(found, ",", "").try_cast("double")
 
 
 def normalize_quantity(value: Column) -> Column:
     """struct<amount, unit>, null for an unknown unit."""
-    p = r"(?i)(\d+(?:\.\d+)?)\s*(kg|g|mg|l|ml|cl|dl|pair(?:s)?|unit(?:s)?|number|nos?|pcs?|pieces?)\b"
-    amount, unit = (_nullif(F.regexp_extract(value, p, k)) for k in (1, 2))
-    singular = {"pairs": "pair", "units": "unit", "nos": "no", "pcs": "pc", "pieces": "piece"}
-    return F.when(amount.isNotNull(), F.struct(amount.try_cast("double").alias("amount"), F.coalesce(X.lookup(singular, F.lower(unit)), F.lower(unit)).alias("unit")))
+    amount, unit = (_nullif(F.regexp_extract(value, X.FLAGS + V.SECOND_QUANTITY, k)) for k in (1, 2))
+    return F.when(amount.isNotNull(), F.struct(amount.try_cast("double").alias("amount"), F.coalesce(X.lookup(V.SECOND_SINGULAR, F.lower(unit)), F.lower(unit)).alias("unit")))
 
 
 def normalize_date(value: Column) -> Column:
     """Day or month precision, without calendar checks; six bare digits are no date."""
     given = F.upper(F.trim(value))
-    text = F.regexp_replace(given, r"[\s.\-]+", "/")
-    g = lambda p, k: _nullif(F.regexp_extract(text, p, k))
+    text = F.regexp_replace(given, EXACT + r"[\s.\-]+", "/")
+    g = lambda p, k: _nullif(F.regexp_extract(text, EXACT + p, k))
     year = lambda y: F.lpad(F.when(y.cast("int") < 100, y.cast("int") + 2000).otherwise(y.cast("int")).cast("string"), 4, "0")
     two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
-    full, month, named = r"\b(\d{1,2})/(\d{1,2})/(\d{2,4})\b", r"\b(\d{1,2})/(\d{2,4})\b", r"\b([A-Z]{3,})/?(\d{2,4})\b"
+    full, month, named = (V.SECOND_DATES[k] for k in ("full", "month", "named"))
     number = X.lookup(MONTHS, F.substring(g(named, 1), 1, 3))
     return (
-        F.when(given.rlike(r"^\d{6}$"), F.lit(None))
+        F.when(given.rlike(EXACT + V.SECOND_DATES["refused"]), F.lit(None))
         .when(g(full, 1).isNotNull(), F.concat(year(g(full, 3)), F.lit("-"), two(g(full, 2)), F.lit("-"), two(g(full, 1))))
         .when(g(month, 1).cast("int").between(1, 12), F.concat(year(g(month, 2)), F.lit("-"), two(g(month, 1))))
         .when(number.isNotNull(), F.concat(year(g(named, 2)), F.lit("-"), two(number)))
@@ -47,9 +47,9 @@ def normalize_date(value: Column) -> Column:
 
 def normalize_care(value: Column) -> Column:
     """struct<phone, email>; two nulls for a text without either."""
-    phone = F.trim(_nullif(F.regexp_extract(value, r"(?:\+91[\s-]?)?(?:\(?\d{2,4}\)?[\s-]?)?\d{3,5}[\s-]?\d{3,5}[\s-]?\d{3,5}", 0)))
-    toll_free = F.trim(value).rlike(r"(?:^|[\s(])1[-\s]?[789]") & ~phone.startswith("1-")
-    email = _nullif(F.regexp_extract(value, r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", 0))
+    phone = F.trim(_nullif(F.regexp_extract(value, EXACT + V.SECOND_PHONE, 0)))
+    toll_free = F.trim(value).rlike(EXACT + V.TOLL_FREE) & ~phone.startswith("1-")
+    email = _nullif(F.regexp_extract(value, X.FLAGS + V.SECOND_EMAIL, 0))
     return F.when(value.isNotNull(), F.struct(F.when(toll_free, F.concat(F.lit("1-"), phone)).otherwise(phone).alias("phone"), email.alias("email")))
 
 
@@ -68,7 +68,7 @@ def _first(text: Column, key: str, k: int = 0, flags: str = X.FLAGS) -> Column:
 
 def sweep(text: Column) -> dict[str, Column]:
     """The first match of each field anywhere in a text, as text; the largest price."""
-    maker = F.trim(_first(text, "MANUFACTURER_ADDRESS", 1, "(?ius)"))
+    maker = F.trim(_first(text, "MANUFACTURER_ADDRESS", 1, "(?iusU)"))
     return {
         "MRP": sweep_mrp(text)["evidence"],
         "NET_QUANTITY": _first(text, "NET_QUANTITY"),
@@ -81,20 +81,28 @@ def sweep(text: Column) -> dict[str, Column]:
 VALUES = ("v_amount", "v_unit", "v_text", "v_date", "v_phone", "v_email")
 
 
-def normalized(rows: DataFrame, value: str = "value") -> DataFrame:
-    """Rows with ``field`` and a text value, to the value columns of the first pass."""
+def normalized(rows: DataFrame, value: str = "value", prefix: str = "v_") -> DataFrame:
+    """Rows with ``field`` and a text value, to the value columns of the first pass, and whether there is a value.  An
+    address is stripped, and none if blank; other fields than the five keep their text."""
     is_ = lambda f: F.col("field") == f
     v = F.col(value)
-    quantity, care = normalize_quantity(v), normalize_care(v)
+    blank = F.lit(" \t\n\r\x0b\x0c")
+    quantity, care, day = normalize_quantity(v), normalize_care(v), normalize_date(v)
+    price, maker = normalize_mrp(v), _nullif(F.btrim(v, blank))
+    other = ~F.col("field").isin(*V.FIELDS)
     return rows.withColumns(
         {
-            "v_amount": F.when(is_("MRP"), normalize_mrp(v)).when(is_("NET_QUANTITY"), quantity["amount"]),
-            "v_unit": F.when(is_("NET_QUANTITY"), quantity["unit"]),
-            "v_text": F.when(~F.col("field").isin("MRP", "NET_QUANTITY", "MANUFACTURING_DATE", "CONSUMER_CARE"), v),
-            "v_date": F.when(is_("MANUFACTURING_DATE"), normalize_date(v)),
-            "v_phone": F.when(is_("CONSUMER_CARE"), care["phone"]),
-            "v_email": F.when(is_("CONSUMER_CARE"), care["email"]),
-            "has_value": v.isNotNull() & (is_("CONSUMER_CARE") | ~is_("MRP") & ~is_("NET_QUANTITY") & ~is_("MANUFACTURING_DATE") | F.coalesce(normalize_mrp(v), quantity["amount"]).isNotNull() & ~is_("MANUFACTURING_DATE") | normalize_date(v).isNotNull() & is_("MANUFACTURING_DATE")),
+            f"{prefix}amount": F.when(is_("MRP"), price).when(is_("NET_QUANTITY"), quantity["amount"]),
+            f"{prefix}unit": F.when(is_("NET_QUANTITY"), quantity["unit"]),
+            f"{prefix}text": F.when(is_("MANUFACTURER_ADDRESS"), maker).when(other, v),
+            f"{prefix}date": F.when(is_("MANUFACTURING_DATE"), day),
+            f"{prefix}phone": F.when(is_("CONSUMER_CARE"), care["phone"]),
+            f"{prefix}email": F.when(is_("CONSUMER_CARE"), care["email"]),
+            "has_value": F.when(is_("MRP"), price.isNotNull())
+            .when(is_("NET_QUANTITY"), quantity["amount"].isNotNull())
+            .when(is_("MANUFACTURER_ADDRESS"), maker.isNotNull())
+            .when(is_("MANUFACTURING_DATE"), day.isNotNull())
+            .otherwise(v.isNotNull()),
         }
     )
 
@@ -102,7 +110,7 @@ def normalized(rows: DataFrame, value: str = "value") -> DataFrame:
 def sweep_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Long second-pass rows (keys, field, value) of the fields that a sweep finds."""
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), c.alias("value")) for f, c in sweep(F.col(text)).items()))
-    return df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").where("value IS NOT NULL")
+    return df.select(*keys, F.explode_outer(pairs).alias("p")).select(*keys, "p.*").where("value IS NOT NULL")
 
 
 def missing(confidence: str = "confidence") -> Column:
@@ -129,16 +137,37 @@ def override(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def overridden(mapped: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of :func:`tagwise.operators.extract.map_tokens` after the second pass: what it found in the same row replaces
+    the first pass wherever it can be normalized, whatever the confidence.  No join."""
+    rows = normalized(mapped.withColumn("__value", F.col("second.value")), "__value", "n_")
+    hit = F.col("has_value")
+    same = {v: F.when(hit, F.col(f"n_{v[2:]}")).otherwise(F.col(v)) for v in VALUES}
+    out = rows.select(
+        *keys,
+        "field",
+        *(c.alias(v) for v, c in same.items()),
+        F.when(hit, F.col("second.evidence")).otherwise(F.col("raw_evidence")).alias("raw_evidence"),
+        F.when(hit, "high").otherwise(F.col("confidence")).alias("confidence"),
+        F.when(hit | (F.col("confidence") != "none"), "regex").otherwise("none").alias("method"),
+        F.when(hit, F.col("second.bbox")).otherwise(F.col("bbox")).alias("bbox"),
+        *(F.when(~hit, F.col(c)).alias(c) for c in ("label_matched", "score", "ambiguous", "reason_codes", "language")),
+        hit.alias("__hit"),
+    )
+    return out.where(F.col("field").isin(*V.FIELDS) | F.col("__hit")).drop("__hit")
+
+
 def enrich(mapped: DataFrame, enrichment: DataFrame, keys: list[str]) -> DataFrame:
-    """Fills missing fields from an external long table (keys, field, value); present fields are left alone."""
+    """Fills missing fields from an external long table (keys, field, value); present fields are left alone.  Other columns
+    of ``mapped`` stay."""
     extra = normalized(enrichment).where("has_value").select(*keys, "field", *(F.col(v).alias(f"n{v}") for v in VALUES), F.col("value").alias("n_evidence"))
     joined = mapped.join(extra, [*keys, "field"], "left")
     fill = missing() & F.col("n_evidence").isNotNull()
-    return joined.select(
-        *keys,
-        "field",
-        *(F.when(fill, F.col(f"n{v}")).otherwise(F.col(v)).alias(v) for v in VALUES),
-        F.when(fill, F.col("n_evidence")).otherwise(F.col("raw_evidence")).alias("raw_evidence"),
-        F.when(fill, "high").otherwise(F.col("confidence")).alias("confidence"),
-        F.when(fill, "llm").otherwise(F.col("method")).alias("method"),
-    )
+    new = {v: F.when(fill, F.col(f"n{v}")).otherwise(F.col(v)) for v in VALUES}
+    new |= {
+        "raw_evidence": F.when(fill, F.col("n_evidence")).otherwise(F.col("raw_evidence")),
+        "confidence": F.when(fill, "high").otherwise(F.col("confidence")),
+        "method": F.when(fill, "llm").otherwise(F.col("method")),
+    }
+    rest = [c for c in mapped.columns if c not in (*keys, "field", *new)]
+    return joined.select(*keys, "field", *(c.alias(n) for n, c in new.items()), *rest)
