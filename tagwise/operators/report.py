@@ -15,17 +15,27 @@ def format_mrp(value: Column) -> Column:
 
 
 def format_quantity(amount: Column, unit: Column) -> Column:
-    """A number without needless zeros, and its unit."""
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", amount), "0+$", ""), "\\.$", "")
-    return F.coalesce(F.concat(plain, F.lit(" "), unit), F.lit("N/A"))
+    """The amount to six significant digits, without needless zeros and with an exponent below 1e-4 and from 1e6 on, and
+    its unit."""
+    exponent = F.regexp_extract(F.format_string("%.5e", amount), "e([+-][0-9]+)$", 1).try_cast("int")
+    zeros = lambda c: F.regexp_replace(F.regexp_replace(c, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    mantissa = zeros(F.regexp_extract(F.format_string("%.5e", amount), "^(-?[0-9.]+)e", 1))
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    places = 5 - exponent
+    plain = F.lit(None).cast("string")
+    for k in range(10):  # exponents -4 to 5
+        plain = F.when(places == k, zeros(F.format_string(f"%.{k}f", amount))).otherwise(plain)
+    number = F.when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
+    return F.coalesce(F.concat(number, F.lit(" "), unit), F.lit("N/A"))
 
 
 def format_date(value: Column) -> Column:
-    return F.coalesce(value, F.lit("N/A"))
+    return safe(value)
 
 
 def format_manufacturer(value: Column) -> Column:
-    return F.when(F.length(value) > 60, F.concat(F.substring(value, 1, 57), F.lit("..."))).otherwise(F.coalesce(value, F.lit("N/A")))
+    return safe(F.when(F.length(value) > 60, F.concat(F.substring(value, 1, 57), F.lit("..."))).otherwise(value))
 
 
 def commodity(name: Column) -> Column:

@@ -12,8 +12,9 @@ BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
 def rectangle(polygon: Column) -> Column:
-    """struct<xmin, ymin, xmax, ymax> of four corners or of flat [x1, y1, x2, y2] given as one point list."""
-    axis = lambda k: F.transform(polygon, lambda p: F.get(p, F.lit(k)))
+    """struct<xmin, ymin, xmax, ymax> of any number of corners, or of flat [x1, y1, x2, y2] given as the only point."""
+    points = F.when((F.size(polygon) == 1) & (F.size(F.get(polygon, F.lit(0))) == 4), F.array(F.slice(F.get(polygon, F.lit(0)), 1, 2), F.slice(F.get(polygon, F.lit(0)), 3, 2))).otherwise(polygon)
+    axis = lambda k: F.transform(points, lambda p: F.get(p, F.lit(k)))
     return F.when(F.size(polygon) > 0, F.struct(F.array_min(axis(0)).alias("xmin"), F.array_min(axis(1)).alias("ymin"), F.array_max(axis(0)).alias("xmax"), F.array_max(axis(1)).alias("ymax")))
 
 
@@ -71,7 +72,7 @@ def anchored(tokens: DataFrame, keys: list[str], field: str, value_pattern: str)
     """The first anchor token with a neighbour that matches, and its nearest such neighbour; tokens equal to the anchor in
     text and box don't count."""
     same = (F.col("a.text") == F.col("b.text")) & (F.col("a.xmin") == F.col("b.xmin")) & (F.col("a.ymin") == F.col("b.ymin"))
-    near = pairs(tokens, keys, in_window() & F.upper("a.text").rlike("(?u)" + V.ANCHORS[field]) & F.col("b.text").rlike(X.FLAGS + value_pattern) & ~same)
+    near = pairs(tokens, keys, in_window() & F.upper("a.text").rlike("(?uU)" + V.ANCHORS[field]) & F.col("b.text").rlike(X.FLAGS + value_pattern) & ~same)
     rows = near.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.token_index").alias("anchor"), F.col("b.token_index").alias("neighbour"), F.col("b.text").alias("evidence"), distance().alias("distance"))
     order = Window.partitionBy(*keys).orderBy("anchor", "distance", "neighbour")
     value = F.regexp_extract("evidence", X.FLAGS + value_pattern, 0)

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UUID = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
+_HEX = re.compile(r"(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})\}?", re.IGNORECASE)
+
+
+def _of_officer(scans: DataFrame, officer: str | int | None) -> Column | None:
+    """The scans of one officer; None, so all scans, for no id or one that can't be an id: not a number where ids are
+    numbers, not a UUID in any spelling where they are texts."""
+    text = str(officer if officer is not None else "").strip()
+    if scans.schema["officer_id"].dataType.typeName() != "string":
+        return F.col("officer_id") == int(text) if re.fullmatch(r"-?\d+", text) else None
+    m = _HEX.fullmatch(text)
+    return F.lower(F.replace("officer_id", F.lit("-"), F.lit(""))) == "".join(m.groups()).lower() if m else None
 
 
 def _percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.bround(part * 100.0 / F.nullif(whole, F.lit(0)), 1), F.lit(0.0))
 
 
-def metrics(scans: DataFrame, violations: DataFrame, officer: str | None = None) -> DataFrame:
-    """Total, pass rate and most frequent violation; the join is there only if an officer is given."""
-    if officer is not None:
-        scans = scans.where(F.col("officer_id") == officer)
+def metrics(scans: DataFrame, violations: DataFrame, officer: str | int | None = None) -> DataFrame:
+    """Total, pass rate and most frequent violation (of equally frequent ones the first by name); the join is there only if
+    an officer is given."""
+    if (own := _of_officer(scans, officer)) is not None:
+        scans = scans.where(own)
         violations = violations.join(scans.select("scan_id"), "scan_id")
     totals = scans.agg(F.count("*").alias("total"), F.count_if("is_compliant").alias("compliant"))
     top = violations.groupBy("field_name").count().orderBy(F.desc("count"), "field_name").limit(1).select(F.col("field_name").alias("top_violation"))
@@ -40,9 +53,12 @@ def history(scans: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
     return scans.orderBy(F.desc("created_at"), "scan_id").offset(offset).limit(limit).withColumn("product_name", named)
 
 
-def latest(scans: DataFrame, officer: str | None = None) -> DataFrame:
-    rows = scans if officer is None else scans.where(F.col("officer_id") == officer)
-    return rows.agg(F.max_by("scan_id", F.struct("created_at", (-F.col("scan_id")).alias("i"))).alias("scan_id"))
+def latest(scans: DataFrame, officer: str | int | None = None) -> DataFrame:
+    """The newest scan; of equally new ones the least id.  One row, null without scans."""
+    own = _of_officer(scans, officer)
+    rows = scans if own is None else scans.where(own)
+    age = -F.unix_micros(F.col("created_at").cast("timestamp"))
+    return rows.agg(F.min_by("scan_id", F.struct(age.alias("age"), "scan_id")).alias("scan_id"))
 
 
 def detail(scans: DataFrame, violations: DataFrame, scan: Column | None = None) -> DataFrame:
@@ -54,7 +70,9 @@ def detail(scans: DataFrame, violations: DataFrame, scan: Column | None = None)
 
 
 def prefix_lookup(scans: DataFrame, number: str, key: str = "scan_key") -> DataFrame:
-    """Scans whose id starts with a certificate number without its CERT- or CR- lead, and how many there are."""
+    """Scans whose id starts with a certificate number without its CERT- or CR- lead, and how many there are.
+
+    The count comes from a second, narrow scan: a window over all matches would put them into one task."""
     prefix = number.upper().replace("CERT-", "").replace("CR-", "").strip()
     found = scans.where(F.upper(key).startswith(prefix))
     return found.crossJoin(found.agg(F.count("*").alias("match_count")))  # one row
@@ -77,6 +95,25 @@ def apply_overrides(violations: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
+def apply_overrides_to_fields(fields: DataFrame, overrides: DataFrame, keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+    """Rows (keys, field, value, confidence) after the last override of each rule: PASS sets the evidence as a sure value,
+    FAIL takes the value away; ``manual_override`` is the status.  Rules that have no row get one."""
+    newest = overrides.groupBy(*keys, F.col("rule_key").alias("field")).agg(F.max_by(F.struct("status", "evidence"), "seq").alias("o"))
+    passed, touched = F.col("o.status") == "PASS", F.col("o").isNotNull()
+    value = F.when(touched, F.when(passed, F.col("o.evidence"))).otherwise(F.col("value"))
+    sure = F.when(touched, F.when(passed, "high").otherwise("none")).otherwise(F.col("confidence"))
+    return fields.join(newest, [*keys, "field"], "full").select(*keys, "field", value.alias("value"), sure.alias("confidence"), F.col("o.status").alias("manual_override"))
+
+
+def apply_verdicts(scans: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Score and verdict as an override gives them; ``verdicts``: scan_id, score, is_compliant, seq; the last counts."""
+    last = verdicts.groupBy("scan_id").agg(F.max_by(F.struct(F.col("score").cast("double").alias("score"), "is_compliant"), "seq").alias("__v"))
+    given = F.col("__v").isNotNull()
+    return scans.join(last, "scan_id", "left").withColumns(
+        {"compliance_score": F.when(given, F.col("__v.score")).otherwise(F.col("compliance_score")), "is_compliant": F.when(given, F.col("__v.is_compliant")).otherwise(F.col("is_compliant"))}
+    ).drop("__v")
+
+
 def pending(scans: DataFrame) -> DataFrame:
     """Scans that still have to be sent, in the shape that is sent."""
     return scans.where("sync_status = 'pending_sync'").select("scan_id", "officer_id", "is_compliant", "compliance_score", "created_at")

@@ -66,15 +66,24 @@ def detections_to_tokens(detections: Column) -> Column:
     return F.transform(some, lambda d: F.struct(d["text"].cast("string").alias("text"), d["bbox"].alias("bbox"), d["confidence"].try_cast("double").alias("confidence"), F.lit("en").alias("language")))
 
 
+def tokens_to_json(tokens: Column) -> Column:
+    """Tokens as a JSON text, as a recognizer hands them over."""
+    return F.to_json(tokens, {"ignoreNullFields": "false"})
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark can reach."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add rows; columns that the table has and ``df`` lacks are null."""
     spark = df.sparkSession
-    try:
-        schema = spark.read.parquet(path).schema
-    except Exception:  # no table yet
+    if not exists(spark, path):
         df.write.parquet(path)
         return
-    empty = spark.createDataFrame([], schema)
+    empty = spark.createDataFrame([], spark.read.parquet(path).schema)
     empty.unionByName(df, allowMissingColumns=True).write.mode("append").parquet(path)
 
 

@@ -17,10 +17,11 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract_stream(texts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Extracted fields of each micro-batch, appended; restarts go on from the checkpoint."""
+    """Extracted fields of each micro-batch in a folder of its own, which a repeated batch writes anew, so that no row comes
+    twice; restarts go on from the checkpoint."""
 
     def batch(df: DataFrame, number: int) -> None:
-        extract.map_fields(df, ["scan_id", "image_index"]).withColumn("batch", F.lit(number)).write.mode("append").parquet(target)
+        extract.map_fields(df, ["scan_id", "image_index"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
