@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import evaluate, extract, fontsize, merge, report, rules, secondpass, spatial, store
+from ..operators import evaluate, extract, fontsize, merge, pipeline, report, rules, secondpass, spatial, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,10 +113,9 @@ def extract_consumer_care(spark, sf_dir):
     return extract.resolve(rows, "CONSUMER_CARE").select("s_suppkey", _best("phone").alias("phone"), _best("email").alias("email"), "confidence")
 
 
-@query("SELECT doc_id, nullif(regexp_extract(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}'), '') AS email FROM documents")
+@query("SELECT doc_id, nullif(regexp_extract(text, '(?i)\\b[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}\\b'), '') AS email FROM documents")
 def document_contacts(spark, sf_dir):
-    found = F.regexp_extract("text", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", 0)
-    return _read(spark, sf_dir, "documents").select("doc_id", F.nullif(found, F.lit("")).alias("email"))
+    return _read(spark, sf_dir, "documents").select("doc_id", secondpass.normalize_care(F.col("text"))["email"].alias("email"))
 
 
 @query("SELECT p_partkey, round(p_retailprice, 2) AS amount, 1::BIGINT AS n_candidates FROM part")
@@ -131,17 +131,83 @@ def ambiguous_candidates(spark, sf_dir):
     return extract.resolve(rows, "MRP").select("p_partkey", _best("amount").alias("amount"), "ambiguous")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'NEGATIVE_OR_SIGNED_REJECTED' WHEN 1 THEN 'TRAILING_ALPHA_REJECTED' WHEN 2 THEN 'MALFORMED_NUMERIC_REJECTED' ELSE 'CONFLICT_SUPPRESSED' END AS reason,
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'NEGATIVE_OR_SIGNED_REJECTED' WHEN 1 THEN 'TRAILING_ALPHA_REJECTED' WHEN 2 THEN 'MALFORMED_NUMERIC_REJECTED' END AS reason,
   'none' AS confidence FROM part""")
 def rejected_prices(spark, sf_dir):
+    """Prices that don't count, and why; a price behind a bounding word is no candidate at all."""
     n = F.col("p_size").cast("string")
-    forms = F.array(_text("MRP Rs -", n, ".00"), _text("MRP Rs ", n, "abc"), _text("MRP Rs 1,23,", F.lpad((F.col("p_size") % 100).cast("string"), 2, "0")), _text("MRP Rs ", n, " Protein Offer"))
-    text = F.element_at(forms, (F.col("p_partkey") % 4 + 1).cast("int"))
-    text = F.when(F.col("p_partkey") % 4 == 3, F.lit("x")).otherwise(text)
-    rows = _read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    forms = F.array(_text("MRP Rs -", n, ".00"), _text("MRP Rs ", n, "abc"), _text("MRP Rs 1,23,", F.lpad((F.col("p_size") % 100).cast("string"), 2, "0")), _text("MRP Offer Rs ", n))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.element_at(forms, (F.col("p_partkey") % 4 + 1).cast("int")).alias("text"))
     out = extract.resolve(rows, "MRP")
-    reason = F.element_at(F.get("candidates", F.lit(0))["reason_codes"], -1)
-    return out.select("p_partkey", F.coalesce(reason, F.lit("CONFLICT_SUPPRESSED")).alias("reason"), "confidence")
+    return out.select("p_partkey", F.get(F.get("candidates", F.lit(0))["reason_codes"], F.lit(1)).alias("reason"), "confidence")
+
+
+@query("SELECT p_partkey, round(p_retailprice, 2) AS price, p_size::DOUBLE AS amount, 'g' AS unit FROM part")
+def unicode_blanks(spark, sf_dir):
+    """Labels and values set with no-break blanks."""
+    text = _text("MRP\u00a0Rs\u00a0", _fixed(F.col("p_retailprice")), " Net\u00a0Qty\u2003", F.col("p_size").cast("string"), "\u00a0g")
+    found = extract.map_fields(_read(spark, sf_dir, "part").select("p_partkey", text.alias("text")), ["p_partkey"])
+    return _wide(found, {"price": ("MRP", "v_amount"), "amount": ("NET_QUANTITY", "v_amount"), "unit": ("NET_QUANTITY", "v_unit")})
+
+
+def _wide(found: DataFrame, columns: dict[str, tuple[str, str]], key: str = "p_partkey") -> DataFrame:
+    """One row per key from long rows of fields."""
+    return found.groupBy(key).agg(*(F.max(F.when(F.col("field") == f, F.col(c))).alias(n) for n, (f, c) in columns.items()))
+
+
+#: Texts (``@``: a number, ``#``: it in two digits), the price found and how sure it is, and the quantity found.
+_MIXED = [
+    ("MRP ₹@49 | Offer ₹199 | Save ₹50 | Net Qty @ g", "n * 100 + 49", "high", "n", "g"),
+    ("MRP ₹0 Offer Price ₹199 Net Qty 0 g Protein 5 g", "NULL", "none", "NULL", None),
+    ("Net Quantity @ kg MRP: INR 1,0#.50", "1000.5 + n", "high", "n", "kg"),
+    ("MRP ₹@49-abc Net Qty 1.2.3 g", "NULL", "none", "NULL", None),
+    ("Net Qty 1,23,45,678 g MRP Rs 1,23,45,678", "12345678", "low", "12345678", "g"),
+    ("Net Qty 12,3456 g MRP Rs 12,3456", "NULL", "none", "NULL", None),
+    ("Protein 5 g Serving Size 30 g Net Wt. @ g", "NULL", "none", "n", "g"),
+    ("MRP -@.00 Net Qty +@ g", "NULL", "none", "NULL", None),
+    ("m.r.p. rs. @/- only NET WT @ ML", "n", "high", "n", "ml"),
+    ("अधिकतम खुदरा मूल्य ₹ @ Contents: @ tablets", "n", "high", "n", "tablets"),
+    ("MRP @ Servings 5 g", "n", "low", "NULL", None),
+    ("MRP ? @.00 Weight @ Kilograms", "n", "low", "n", "kg"),
+    ("Offer Price ₹9 MRP\nRs . @.50\nNet Vol. @ litres", "n + 0.5", "high", "n", "l"),
+    ("Maximum Retail Price see R= .@. 50 Pack of 3 pieces", "n + 0.5", "low", "NULL", None),
+]
+
+
+def _case(column: int, quote: bool) -> str:
+    value = lambda v: "NULL" if v is None else f"'{v}'" if quote else v
+    return "CASE p_partkey % " + str(len(_MIXED)) + "".join(f" WHEN {i} THEN {value(m[column])}" for i, m in enumerate(_MIXED)) + " END"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, 10 + p_size % 90 AS n FROM part)
+SELECT p_partkey, ({_case(1, False)})::DOUBLE AS price, {_case(2, True)} AS confidence, ({_case(3, False)})::DOUBLE AS amount, ({_case(4, True)})::VARCHAR AS unit FROM p""")
+def mixed_labels(spark, sf_dir):
+    """Several prices, quantities and bounding words on one label, malformed and damaged ones among them."""
+    n = (10 + F.col("p_size") % 90).cast("string")
+    form = F.element_at(F.array(*(F.lit(m[0]) for m in _MIXED)), (F.col("p_partkey") % len(_MIXED) + 1).cast("int"))
+    text = F.replace(F.replace(form, F.lit("@"), n), F.lit("#"), n)
+    found = extract.map_fields(_read(spark, sf_dir, "part").select("p_partkey", text.alias("text")), ["p_partkey"])
+    return _wide(found, {"price": ("MRP", "v_amount"), "confidence": ("MRP", "confidence"), "amount": ("NET_QUANTITY", "v_amount"), "unit": ("NET_QUANTITY", "v_unit")})
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS mfg_date, CASE WHEN o_orderdate >= TIMESTAMP '1995-06-18' THEN 'low' ELSE 'high' END AS confidence FROM orders")
+def future_dates(spark, sf_dir):
+    """Dates after a given day are not trusted."""
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", _text("MFD ", F.date_format("o_orderdate", "dd/MM/yyyy")).alias("text"))
+    out = extract.resolve(rows, "MANUFACTURING_DATE", as_of="1995-06-17")
+    return out.select("o_orderkey", _best("date").alias("mfg_date"), "confidence")
+
+
+@query(f"""SELECT * FROM (VALUES {", ".join(f"('{f}', {len(v)}::BIGINT, '{v[0][1]}')" for f, v in V.LABELS.items())}) t(field, n_labels, first_label)""")
+def label_keywords(spark, sf_dir):
+    return extract.keywords(spark).groupBy("field").agg(F.count("*").alias("n_labels"), F.min_by("label", "label_ord").alias("first_label"))
+
+
+@query("""SELECT p_partkey, '{"MRP":{"v_amount":' || p_size || '.5,"confidence":"high"},"NET_QUANTITY":{"confidence":"none"}}' AS fields FROM part""")
+def mapped_json(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select("p_partkey", _text("MRP Rs ", F.col("p_size").cast("string"), ".50").alias("text"))
+    found = extract.map_fields(rows, ["p_partkey"]).where("field IN ('MRP', 'NET_QUANTITY')").select("p_partkey", "field", "v_amount", "confidence")
+    return extract.to_json(found, ["p_partkey"])
 
 
 def _tokens(words: Column) -> Column:
@@ -150,24 +216,28 @@ def _tokens(words: Column) -> Column:
     return F.transform(words, lambda w, i: F.struct(w.alias("text"), none.alias("bbox"), (0.3 + (i % 2) * 0.4).cast("double").alias("confidence"), F.when(i % 3 == 2, "hi").otherwise("en").alias("language")))
 
 
-@query("""WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS w FROM part)
-SELECT p_partkey, i - 1 AS token_index, len(array_to_string(w[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS token_start, len(array_to_string(w[1:i], ' ')) AS token_end
-FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM w)""")
+_WORDS = """WITH w AS (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))),
+t AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM w)"""
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents as the tokens of a page."""
+    rows = _read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", _tokens(F.split("text", " ")).alias("tokens"))
+    return X.spread(rows).select("doc_id", X.token_index(F.col("tokens")).alias("t"))
+
+
+@query(f"""{_WORDS} SELECT doc_id, i - 1 AS token_index, (stop - 1 - length(x))::BIGINT AS token_start, (stop - 1)::BIGINT AS token_end FROM t""")
 def token_offsets(spark, sf_dir):
-    rows = _read(spark, sf_dir, "part").select("p_partkey", X.token_index(_tokens(F.split(F.concat_ws(" ", "p_name", "p_type"), " "))).alias("t"))
-    return rows.select("p_partkey", F.explode("t").alias("t")).select(
-        "p_partkey", F.col("t.i").cast("long").alias("token_index"), F.col("t.start").cast("long").alias("token_start"), F.col("t.end").cast("long").alias("token_end")
+    return _words(spark, sf_dir).select("doc_id", F.explode_outer("t").alias("t")).select(
+        "doc_id", F.col("t.i").cast("long").alias("token_index"), F.col("t.start").cast("long").alias("token_start"), F.col("t.end").cast("long").alias("token_end")
     )
 
 
-@query("""WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS w FROM part), t AS (
-  SELECT p_partkey, i, len(array_to_string(w[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS s, len(array_to_string(w[1:i], ' ')) AS e, w[i] AS x
-  FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM w)
-) SELECT p_partkey, string_agg(x, '|' ORDER BY i) AS evidence, round(avg(CASE WHEN i % 2 = 0 THEN 0.7 ELSE 0.3 END), 6) AS confidence FROM t WHERE e > 4 AND s < 9 GROUP BY p_partkey""")
+@query(f"""{_WORDS} SELECT doc_id, coalesce(string_agg(x, '|' ORDER BY i) FILTER (stop - 1 > 40 AND stop - 1 - length(x) < 90), '') AS evidence,
+  round(avg(CASE WHEN i % 2 = 0 THEN 0.7 ELSE 0.3 END) FILTER (stop - 1 > 40 AND stop - 1 - length(x) < 90), 6) AS confidence FROM t GROUP BY doc_id""")
 def span_overlap(spark, sf_dir):
-    index = X.token_index(_tokens(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")))
-    rows = _read(spark, sf_dir, "part").select("p_partkey", X.supporting(index, F.lit(4), F.lit(9)).alias("t"))
-    return rows.select("p_partkey", F.array_join(F.transform("t", lambda t: t["text"]), "|").alias("evidence"), F.round(X.mean_confidence(F.col("t")), 6).alias("confidence"))
+    rows = _words(spark, sf_dir).select("doc_id", X.supporting(F.col("t"), F.lit(40), F.lit(90)).alias("t"))
+    return rows.select("doc_id", F.array_join(F.transform("t", lambda t: t["text"]), "|").alias("evidence"), F.round(X.mean_confidence(F.col("t")), 6).alias("confidence"))
 
 
 @query("SELECT s_suppkey, s_name AS manufacturer, 1::BIGINT AS n_tokens, 'low' AS confidence, 'en' AS language FROM supplier")
@@ -195,13 +265,6 @@ def _scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select(k.alias("scan_id"), text.alias("text"))
 
 
-def check_scans(texts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Violations and scores of scans given as texts."""
-    fields = rules.contract(extract.map_fields(texts, keys), keys)
-    found = rules.violations(fields, texts, keys)
-    return found, rules.scores(texts, found, keys)
-
-
 _VIOLATIONS = """
 SELECT o_orderkey AS scan_id, field_name, severity, clause AS legal_reference FROM orders, (VALUES
   ('mrp', 5, 'critical', 'Rule 6(1)(e)'), ('net_quantity', 7, 'major', 'Rule 6(1)(c)'), ('manufacturer', 3, 'major', 'Rule 6(1)(a)'),
@@ -213,33 +276,24 @@ UNION ALL SELECT o_orderkey, 'net_quantity', 'major', 'Rule 6(1)(c) -- Section 3
 
 @query(_VIOLATIONS.replace("('FONT_SIZE', 1, 'major', NULL)", "('FONT_SIZE', 1, 'major', 'Rule 9(1)')"))
 def scan_violations(spark, sf_dir):
-    return check_scans(_scan_texts(spark, sf_dir), ["scan_id"])[0].select("scan_id", "field_name", "severity", "legal_reference")
+    return pipeline.check_scans(_scan_texts(spark, sf_dir), ["scan_id"])[0].select("scan_id", "field_name", "severity", "legal_reference")
 
 
 @query(f"SELECT field_name, severity, count(*) AS n FROM ({_VIOLATIONS}) GROUP BY ALL")
 def violations_by_field(spark, sf_dir):
-    return check_scans(_scan_texts(spark, sf_dir), ["scan_id"])[0].groupBy("field_name", "severity").agg(F.count("*").alias("n"))
+    return pipeline.check_scans(_scan_texts(spark, sf_dir), ["scan_id"])[0].groupBy("field_name", "severity").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT scan_id, count(*) AS n_violations, greatest(0, 100 - sum(CASE severity WHEN 'critical' THEN 30 WHEN 'major' THEN 15 ELSE 5 END))::DOUBLE AS score, FALSE AS is_compliant
 FROM ({_VIOLATIONS}) GROUP BY scan_id""")
 def compliance_score(spark, sf_dir):
-    return check_scans(_scan_texts(spark, sf_dir), ["scan_id"])[1]
-
-
-@query("""SELECT o_orderkey AS scan_id, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 3 = 0 THEN 'MANUFACTURER_ADDRESS,MRP' WHEN o_orderkey % 5 = 0 THEN 'MRP' ELSE 'MANUFACTURER_ADDRESS' END AS missing
-FROM orders WHERE (o_orderkey % 5 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 7 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0""")
-def missing_fields(spark, sf_dir):
-    k = F.col("scan_id")
-    texts = _scan_texts(spark, sf_dir).where((k % 7 != 0) & (k % 13 != 0) & (k % 17 != 0))
-    return secondpass.missing_fields(extract.map_fields(texts, ["scan_id"]), ["scan_id"]).select("scan_id", F.array_join("missing", ",").alias("missing"))
+    return pipeline.check_scans(_scan_texts(spark, sf_dir), ["scan_id"])[1]
 
 
 @query("""SELECT o_orderkey AS scan_id, concat_ws(',', CASE WHEN o_orderkey % 17 = 0 THEN 'CONSUMER_CARE' END, CASE WHEN o_orderkey % 3 = 0 THEN 'MANUFACTURER_ADDRESS' END,
   CASE WHEN o_orderkey % 13 = 0 THEN 'MANUFACTURING_DATE' END, CASE WHEN o_orderkey % 5 = 0 THEN 'MRP' END, CASE WHEN o_orderkey % 7 = 0 THEN 'NET_QUANTITY' END) AS missing
 FROM orders WHERE 0 IN (o_orderkey % 3, o_orderkey % 5, o_orderkey % 7, o_orderkey % 13, o_orderkey % 17)""")
-def missing_fields_all(spark, sf_dir):
-    """As :func:`missing_fields`, whose SQL leaves scans out by their key, over every scan."""
+def missing_fields(spark, sf_dir):
     found = secondpass.missing_fields(extract.map_fields(_scan_texts(spark, sf_dir), ["scan_id"]), ["scan_id"])
     return found.select("scan_id", F.array_join("missing", ",").alias("missing"))
 
@@ -341,8 +395,8 @@ def token_iou(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT *, (token_index * 7 % 5) / 10.0 AS confidence FROM ({_BOXES})) SELECT a.image_id, a.token_index FROM t a WHERE NOT EXISTS (
-  SELECT 1 FROM t b WHERE a.image_id = b.image_id AND a.token_index <> b.token_index AND {_OVERLAP} / (2400.0 - {_OVERLAP}) > 0.05
-  AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND b.token_index < a.token_index)))""".replace("0.05", "0.5"))
+  SELECT 1 FROM t b WHERE a.image_id = b.image_id AND a.token_index <> b.token_index AND {_OVERLAP} / (2400.0 - {_OVERLAP}) > 0.5
+  AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND b.token_index < a.token_index)))""")
 def merge_tokens(spark, sf_dir):
     tokens = _boxes(spark, sf_dir).withColumn("confidence", F.col("token_index") * 7 % 5 / 10.0)
     return spatial.merge_tokens(tokens, ["image_id"], dedupe=True).select("image_id", "token_index")
@@ -368,6 +422,135 @@ def anchor_pass(spark, sf_dir):
     return spatial.anchored(rows, ["p_partkey"], "MRP", V.SWEEP["MRP"])
 
 
+# --- pages of tokens: second pass, images of a scan, letter heights
+
+
+def _token(text: Column | str, x: float | None = None, y: float = 0.0, width: float = 50.0, height: Column | float = 20.0) -> Column:
+    """An OCR token; without ``x`` it has no box."""
+    box = F.lit(None).cast("array<array<double>>")
+    if x is not None:
+        at = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+        box = spatial.polygon(at(x), at(y), at(x + width), (F.lit(float(y)) + height).cast("double"))
+    return F.struct((text if isinstance(text, Column) else F.lit(text)).alias("text"), box.alias("bbox"), F.lit(0.9).alias("confidence"), F.lit("en").alias("language"))
+
+
+@query("""SELECT p_partkey, field, CASE field WHEN 'MRP' THEN 100.0 + p_size WHEN 'NET_QUANTITY' THEN p_size END::DOUBLE AS amount, CASE field WHEN 'NET_QUANTITY' THEN 'kg' END AS unit,
+  CASE field WHEN 'MANUFACTURER_ADDRESS' THEN 'Zed Foods Limited, Pune' WHEN 'EXPIRY_DATE' THEN '06/2027' END AS text, CASE field WHEN 'MANUFACTURING_DATE' THEN '2027-06' END AS date,
+  CASE field WHEN 'CONSUMER_CARE' THEN '1-1800-123-4567' END AS phone, 'high' AS confidence, CASE field WHEN 'MRP' THEN 100.0 WHEN 'EXPIRY_DATE' THEN 60.0 WHEN 'MANUFACTURING_DATE' THEN 0.0 END::DOUBLE AS x
+FROM part, (VALUES ('MRP'), ('NET_QUANTITY'), ('MANUFACTURER_ADDRESS'), ('MANUFACTURING_DATE'), ('CONSUMER_CARE'), ('EXPIRY_DATE')) f(field)""")
+def second_pass_page(spark, sf_dir):
+    """Values beside their anchors, else anywhere on the page, replace those of the first pass; the expiry date is a sixth field."""
+    n = F.col("p_size").cast("string")
+    tokens = F.array(
+        _token("Goods", 0, 0), _token("MRP", 0, 30), _token(_text("Rs ", (F.col("p_size") + 100).cast("string"), ".00"), 100, 30), _token("Rs 999.00", 300, 30), _token("EXP", 0, 60), _token("06/2027", 60, 60),
+        _token(_text("Net Wt ", n, " kg")), _token("Marketed by: Zed Foods Limited, Pune"), _token(_text("Customer Care 1800-123-4567 x", n, "@a.org")),
+    )
+    out = pipeline.map_images(_read(spark, sf_dir, "part").select("p_partkey", tokens.alias("tokens")), keys=["p_partkey"])
+    x = spatial.merged_box(F.col("bbox"))["xmin"]
+    return out.select("p_partkey", "field", F.col("v_amount").alias("amount"), F.col("v_unit").alias("unit"), F.col("v_text").alias("text"), F.col("v_date").alias("date"), F.col("v_phone").alias("phone"), "confidence", x.alias("x"))
+
+
+@query("""SELECT p_partkey, field, CASE field WHEN 'MRP' THEN 'USP ' || p_size WHEN 'NET_QUANTITY' THEN '3 pieces' WHEN 'MANUFACTURER_ADDRESS' THEN 'Zed Foods Limited' WHEN 'MANUFACTURING_DATE' THEN '05/06/2024'
+  ELSE '1800 123 4567' END AS value FROM part, (VALUES ('MRP'), ('NET_QUANTITY'), ('MANUFACTURER_ADDRESS'), ('MANUFACTURING_DATE'), ('CONSUMER_CARE')) f(field)""")
+def sweep_fields(spark, sf_dir):
+    """Values anywhere in a text, without labels."""
+    text = _text("USP ", F.col("p_size").cast("string"), " Sold as 3 pieces Packed by Zed Foods Limited FSSAI 10 made 05/06/2024 call 1800 123 4567")
+    return secondpass.sweep_rows(_read(spark, sf_dir, "part").select("p_partkey", text.alias("text")), ["p_partkey"])
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two images per order; declarations are left out by the key."""
+    k = F.col("o_orderkey")
+    some = lambda *parts: F.filter(F.array(*(F.when(k % n != 0, _token(t)) for n, t in parts)), lambda t: t.isNotNull())
+    first = F.concat(F.array(_token("Goods")), some((5, "MRP Rs 50.00"), (7, "Net Qty 5 g")))
+    second = some((3, "Manufactured by Acme Foods Ltd"), (13, "Mfg Date 05/06/2024"), (17, "Customer Care 1800-123-4567 a@example.com"))
+    return _read(spark, sf_dir, "orders").select(k.alias("scan_id"), F.posexplode(F.array(first, second)).alias("image_index", "tokens"))
+
+
+def _enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices known from elsewhere, for the first image of every other order."""
+    return _read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("scan_id"), F.lit(0).alias("image_index"), F.lit("MRP").alias("field"), F.lit("Rs 75").alias("value"))
+
+
+_OF_IMAGES = """SELECT o_orderkey AS scan_id, field_name, severity, CASE WHEN field_name <> 'FONT_SIZE' THEN 0 END AS image_index FROM orders, (VALUES
+  ('mrp', 5, 'critical'), ('net_quantity', 7, 'major'), ('manufacturer', 3, 'major'), ('mfg_date', 13, 'major'), ('consumer_care', 17, 'minor'), ('FONT_SIZE', 1, 'major')) v(field_name, n, severity)
+WHERE o_orderkey % n = 0 AND NOT (field_name = 'mrp' AND o_orderkey % 2 = 0)"""
+
+
+@query(_OF_IMAGES)
+def image_violations(spark, sf_dir):
+    """Tokens of images to violations: both passes, enrichment, merging, contract, rules."""
+    return pipeline.check_images(_images(spark, sf_dir), _enrichment(spark, sf_dir)).violations.select("scan_id", "field_name", "severity", "image_index")
+
+
+@query(f"""WITH s AS (SELECT scan_id, greatest(0, 100 - sum(CASE severity WHEN 'critical' THEN 30 WHEN 'major' THEN 15 ELSE 5 END))::DOUBLE AS score FROM ({_OF_IMAGES}) GROUP BY scan_id)
+SELECT o_orderkey AS scan_id, 'pending_sync' AS sync_status, FALSE AS is_compliant, score AS compliance_score,
+  concat_ws(' ', 'Goods', CASE WHEN o_orderkey % 5 <> 0 THEN 'MRP Rs 50.00' END, CASE WHEN o_orderkey % 7 <> 0 THEN 'Net Qty 5 g' END) || chr(10) || chr(10) || concat_ws(' ',
+  CASE WHEN o_orderkey % 3 <> 0 THEN 'Manufactured by Acme Foods Ltd' END, CASE WHEN o_orderkey % 13 <> 0 THEN 'Mfg Date 05/06/2024' END, CASE WHEN o_orderkey % 17 <> 0 THEN 'Customer Care 1800-123-4567 a@example.com' END) AS combined_text
+FROM orders JOIN s ON scan_id = o_orderkey""")
+def stored_scan_rows(spark, sf_dir):
+    images = _images(spark, sf_dir)
+    return pipeline.scan_rows(images, pipeline.check_images(images, _enrichment(spark, sf_dir))).select("scan_id", "sync_status", "is_compliant", "compliance_score", "combined_text")
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> pipeline.Checked:
+    """Labels whose price is set in letters of different height; every other one has a coin beside it."""
+    part = _read(spark, sf_dir, "part")
+    tokens = F.array(_token("MRP Rs 50.00", 0, 0, 100, F.col("p_size") + 5), _token("Net Qty 300 g", 0, 200, 100, 20))
+    images = part.select(F.col("p_partkey").alias("scan_id"), F.lit(0).alias("image_index"), tokens.alias("tokens"))
+    coins = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("scan_id"), F.lit("10_rupee").alias("coin_key"), F.lit(50.0).alias("coin_radius_px"))
+    return pipeline.check_images(images, calibrations=coins)
+
+
+@query("""SELECT p_partkey AS scan_id, field_name, CASE field_name WHEN 'mrp' THEN round((p_size + 5) * 0.27::DOUBLE, 3) ELSE 5.4 END::DOUBLE AS measured_mm, 2.0::DOUBLE AS required_mm,
+  field_name <> 'mrp' OR (p_size + 5) * 0.27::DOUBLE >= 2 AS is_compliant FROM part, (VALUES ('mrp'), ('net_quantity')) f(field_name) WHERE p_partkey % 2 = 0""")
+def font_fields(spark, sf_dir):
+    """Letter heights of the declared fields of calibrated scans."""
+    coins = _read(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("scan_id"), F.lit("10_rupee").alias("coin_key"), F.lit(50.0).alias("coin_radius_px"))
+    fields = _measured(spark, sf_dir).fields.where("field_name <> 'FONT_SIZE'")
+    return fontsize.of_fields(fields, coins, ["scan_id"]).select("scan_id", "field_name", "measured_mm", "required_mm", "is_compliant")
+
+
+@query(f"""SELECT p_partkey AS scan_id, CASE WHEN p_partkey % 2 = 1 THEN '{rules.NOT_MEASURED}' ELSE 'Text height (' || printf('%.3f', (p_size + 5) * 0.27::DOUBLE) || ' mm) is below the required statutory minimum.' END AS issue,
+  'major' AS severity, CASE WHEN p_partkey % 2 = 0 THEN printf('%.3f mm', (p_size + 5) * 0.27::DOUBLE) END AS measured_value, CASE WHEN p_partkey % 2 = 0 THEN (p_size + 5)::DOUBLE END AS ymax
+FROM part WHERE p_partkey % 2 = 1 OR (p_size + 5) * 0.27::DOUBLE < 2""")
+def font_rule(spark, sf_dir):
+    """Letters that are too small, and scans without a coin."""
+    found = _measured(spark, sf_dir).violations.where("field_name = 'FONT_SIZE'")
+    return found.select("scan_id", "issue", "severity", "measured_value", F.col("bbox.ymax").alias("ymax"))
+
+
+@query(f"""SELECT p_partkey, "field_name", issue, legal_reference, 'TEXT_CONTENT' AS violation_category FROM (SELECT p_partkey, 'mrp' AS field_name, '{rules.NO_TAXES.replace("'", "''")}' AS issue,
+  'Rule 6(1)(e) -- Section 36(1) of Legal Metrology Act, 2009' AS legal_reference FROM part WHERE p_partkey % 2 = 1)""")
+def mrp_rule(spark, sf_dir):
+    """A rule table with a pattern that the evidence of prices must match."""
+    text = F.when(F.col("p_partkey") % 2 == 1, "MRP Rs 50.00").otherwise("MRP ₹ 50.00")
+    rows = _read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    table = rules.rules(spark).withColumn("regex_pattern", F.when(F.col("field") == "mrp", "₹|incl.*taxes"))
+    found = rules.violations(rules.contract(extract.map_fields(rows, ["p_partkey"]), ["p_partkey"]), rows, ["p_partkey"], table, ("mrp",))
+    return found.select("p_partkey", "field_name", "issue", "legal_reference", "violation_category")
+
+
+@query("""SELECT p_partkey, kind, x AS xmin, 2.0::DOUBLE AS ymin, x + p_size AS xmax, 2.0::DOUBLE + p_size AS ymax FROM (SELECT p_partkey, p_size, (p_partkey % 100)::DOUBLE AS x FROM part), (VALUES ('flat'), ('corners'), ('several')) k(kind)""")
+def rectangles(spark, sf_dir):
+    """Flat boxes, polygons, and the rectangle around several polygons."""
+    x, y = (F.col("p_partkey") % 100).cast("double"), F.lit(2.0)
+    x2, y2 = x + F.col("p_size"), y + F.col("p_size")
+    several = F.array(spatial.polygon(x, y, x + 1, y + 1), spatial.polygon(x, y, x2, y2))
+    boxes = {"flat": spatial.rectangle(F.array(F.array(x, y, x2, y2))), "corners": spatial.rectangle(spatial.polygon(x, y, x2, y2)), "several": spatial.merged_box(several)}
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), b.alias("box")) for k, b in boxes.items())))
+    return _read(spark, sf_dir, "part").select("p_partkey", rows.alias("r")).select("p_partkey", "r.kind", "r.box.*")
+
+
+@query("""SELECT p_partkey, p_partkey % 4 <> 1 AS again FROM part""")
+def second_ocr_pass(spark, sf_dir):
+    """Pages that are to be read again: nothing found, no price or date, or unsure."""
+    sure = lambda c: F.array(F.struct(F.lit("MRP 5").alias("text"), F.lit(None).cast("array<array<double>>").alias("bbox"), F.lit(c).alias("confidence"), F.lit("en").alias("language")))
+    k = F.col("p_partkey") % 4
+    tokens = F.when(k == 0, F.array().cast(f"array<{sources.TOKEN}>")).when(k == 1, sure(0.9)).when(k == 2, sure(0.3)).otherwise(F.array(_token("Goods")))
+    return _read(spark, sf_dir, "part").select("p_partkey", spatial.needs_second_pass(tokens).alias("again"))
+
+
 # --- stored scans
 
 
@@ -478,6 +661,56 @@ def scan_address(spark, sf_dir):
     return store.with_address(scans, places).select("scan_id", "location_address")
 
 
+@query("""SELECT p_partkey AS scan_id, 'mrp' AS field_name, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS image_index, p_partkey % 3 > 0 AS has_box FROM part""")
+def field_images(spark, sf_dir):
+    """The image that each field was taken from; boxes of other images than the first are void."""
+    k = F.col("p_partkey")
+    box = F.array(F.array(F.lit(1.0), F.lit(2.0)))
+    image = lambda i, value: F.struct(F.lit(i).alias("image_index"), value.alias("value"), F.when(value.isNotNull(), "high").otherwise("none").alias("confidence"), box.alias("bbox"))
+    images = F.explode(F.array(image(0, F.when(k % 3 > 0, F.lit(1.0))), image(1, F.lit(2.0))))
+    rows = _read(spark, sf_dir, "part").select(k.alias("scan_id"), F.lit("MRP").alias("field"), images.alias("i")).select("scan_id", "field", "i.*")
+    merged = merge.primary_image_boxes(merge.merge_images(rows, ["scan_id"]))
+    return merge.field_images(merged).select("scan_id", "field_name", "image_index", F.col("bbox").isNotNull().alias("has_box"))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS scan_id, 'MRP' AS field, 'old' AS value, 'low' AS confidence FROM orders), o AS (
+  SELECT o_orderkey AS scan_id, CASE WHEN o_orderkey % 3 = 0 THEN 'MRP' ELSE 'mrp' END AS field, CASE WHEN o_orderkey % 4 = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders WHERE o_orderkey % 2 = 0)
+SELECT scan_id, field, CASE WHEN status IS NULL THEN value WHEN status = 'PASS' THEN 'seen' END AS value, CASE WHEN status IS NULL THEN confidence WHEN status = 'PASS' THEN 'high' ELSE 'none' END AS confidence, status AS manual_override
+FROM f FULL JOIN o USING (scan_id, field)""")
+def override_fields(spark, sf_dir):
+    """What overrides write to a scan's fields: keys as given, the last one counts."""
+    k = F.col("o_orderkey")
+    orders = _read(spark, sf_dir, "orders")
+    fields = orders.select(k.alias("scan_id"), F.lit("MRP").alias("field"), F.lit("old").alias("value"), F.lit("low").alias("confidence"))
+    one = orders.where(k % 2 == 0).select(k.alias("scan_id"), F.when(k % 3 == 0, "MRP").otherwise("mrp").alias("rule_key"), F.when(k % 4 == 0, "PASS").otherwise("FAIL").alias("status"), F.lit("seen").alias("evidence"), F.lit(2).alias("seq"))
+    earlier = one.withColumns({"status": F.lit("PASS"), "evidence": F.lit("before"), "seq": F.lit(1)})
+    return store.apply_overrides_to_fields(fields, one.unionByName(earlier))
+
+
+@query("""SELECT o_orderkey AS scan_id, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 100)::DOUBLE ELSE round(o_totalprice, 2) END AS compliance_score,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 100 >= 50 ELSE o_orderstatus = 'F' END AS is_compliant FROM orders""")
+def override_verdicts(spark, sf_dir):
+    scans, k = _scans(spark, sf_dir), F.col("scan_id")
+    given = scans.where(k % 2 == 0).select("scan_id", (k % 100).alias("score"), (k % 100 >= 50).alias("is_compliant"), F.lit(2).alias("seq"))
+    earlier = given.withColumns({"score": F.lit(1).cast("long"), "seq": F.lit(1)})
+    return store.apply_verdicts(scans, given.unionByName(earlier)).select("scan_id", "compliance_score", "is_compliant")
+
+
+@query(f"""WITH f AS ({_FOUND}), w AS (SELECT 'one' AS asked, * FROM orders WHERE o_custkey = 7 UNION ALL SELECT 'all', * FROM orders)
+SELECT asked, count(*) AS total, {_RATE} AS pass_rate, coalesce((SELECT field_name FROM f JOIN w x ON o_orderkey = scan_id WHERE x.asked = w.asked GROUP BY field_name ORDER BY count(*) DESC, field_name LIMIT 1), 'None') AS top_violation
+FROM w GROUP BY asked""")
+def officer_metrics(spark, sf_dir):
+    """Metrics of one officer, and of an id that can't be one, which is ignored."""
+    scans, found = _scans(spark, sf_dir), _found(spark, sf_dir)
+    ask = lambda name, officer: store.metrics(scans, found, officer).select(F.lit(name).alias("asked"), "*")
+    return ask("one", 7).unionByName(ask("all", "nobody"))
+
+
+@query("SELECT md5(o_orderkey::VARCHAR) AS scan_id FROM orders ORDER BY o_orderdate DESC, md5(o_orderkey::VARCHAR) LIMIT 1")
+def latest_text_id(spark, sf_dir):
+    return store.latest(_scans(spark, sf_dir).withColumn("scan_id", F.col("scan_key")))
+
+
 # --- font size, certificates, evaluation
 
 
@@ -519,3 +752,21 @@ def field_accuracy(spark, sf_dir):
 SELECT p_partkey, round(len(list_intersect(a, b)) / len(a), 6) AS recall FROM w""")
 def word_recall(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", F.round(evaluate.recall(F.concat_ws(" ", "p_name", "p_type"), _text(F.col("p_name"), " x9")), 6).alias("recall"))
+
+
+@query("""WITH q AS (SELECT *, CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.5 WHEN 2 THEN 1234567.0 WHEN 3 THEN 0.00001234 WHEN 4 THEN p_retailprice ELSE 0.0 END::DOUBLE AS amount,
+  repeat(p_name || ' ₹ ', CASE WHEN p_partkey % 2 = 0 THEN 9 ELSE 1 END) AS maker FROM part)
+SELECT p_partkey, printf('%g g', amount) AS quantity, regexp_replace(CASE WHEN length(maker) > 60 THEN maker[1:57] || '...' ELSE maker END, '₹', '?', 'g') AS manufacturer FROM q""")
+def report_values(spark, sf_dir):
+    """Quantities and makers as certificates print them."""
+    k = F.col("p_partkey")
+    amount = F.when(k % 6 == 0, F.col("p_size").cast("double")).when(k % 6 == 1, F.col("p_size") + 0.5).when(k % 6 == 2, 1234567.0).when(k % 6 == 3, 0.00001234).when(k % 6 == 4, F.col("p_retailprice")).otherwise(0.0)
+    maker = F.repeat(_text(F.col("p_name"), " ₹ "), F.when(k % 2 == 0, 9).otherwise(1))
+    return _read(spark, sf_dir, "part").select("p_partkey", report.format_quantity(amount, F.lit("g")).alias("quantity"), report.format_manufacturer(maker).alias("manufacturer"))
+
+
+@query("""WITH w AS (SELECT list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: len(x) >= 2)) AS a, list_distinct(list_filter(string_split(lower(p_name || ' x9'), ' '), lambda x: len(x) >= 2)) AS b FROM part),
+r AS (SELECT len(list_intersect(a, b)) / len(a) AS recall FROM w) SELECT count(*) AS total, round(avg(recall), 6) AS mean_recall, count(*) FILTER (recall >= 0.6) AS passed FROM r""")
+def recall_of_batch(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("expected"), _text(F.col("p_name"), " x9").alias("actual"))
+    return evaluate.batch_recall(rows)

@@ -14,7 +14,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_missing_fields_reports_every_scan(spark):
-    got = {r["scan_id"]: set(r["missing"].split(",")) for r in catalogue.queries()["missing_fields_all"](spark, SF).collect()}
+    got = {r["scan_id"]: set(r["missing"].split(",")) for r in catalogue.queries()["missing_fields"](spark, SF).collect()}
     keys = [r["o_orderkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").collect()]
     fields = {"MRP": 5, "NET_QUANTITY": 7, "MANUFACTURER_ADDRESS": 3, "MANUFACTURING_DATE": 13, "CONSUMER_CARE": 17}
     want = {k: {f for f, n in fields.items() if k % n == 0} for k in keys}

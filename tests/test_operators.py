@@ -1,14 +1,18 @@
 """Cases of our own for extraction, spans, merging, rules, sources and streaming."""
 
+import datetime
 import itertools
 import json
+import random
+import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from tagwise import sources, streaming
+from tagwise.functions import layout, reading
 from tagwise.functions import text as X
-from tagwise.operators import extract, merge, rules, secondpass, spatial, store
+from tagwise.functions import vocabulary as V
+from tagwise.operators import evaluate, extract, fontsize, merge, pipeline, report, rules, secondpass, spatial, store
 from tagwise.plans import catalogue
 
 
@@ -127,3 +131,160 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).where("field = 'MRP'").select("scan_id", "v_amount").collect()
     assert sorted(map(tuple, got)) == [(1, 1.0), (2, 2.0)]
+
+
+def test_reading_is_linear_in_the_text():
+    """1,600 labels with values, which took minutes as column functions."""
+    text = reading.normalise("MRP Rs 5.00 Net Qty 5 g Manufactured by Acme Foods Mfg Date 05/06/2024 Feedback a@b.com " * 1600)
+    start = time.time()
+    found = reading.read(text)
+    assert [len(found[f]) for f in V.FIELDS] == [1600, 1600, 1600, 3200, 1600] and time.time() - start < 2
+
+
+def test_labels_of_any_script_and_case():
+    marks = reading.Marks("\u017fave MR\u212a mrp NETQTY B.No bno अधिकतमखुदरा मूल्य")
+    assert [m.name for m in marks.labels("MRP")] == ["MRP", "Maximum Retail Price (Hindi)"]
+    assert len(marks.by["price words"]) == 1 and len(marks.labels("NET_QUANTITY")) == 1 and len(marks.by["batch words"]) == 2
+
+
+def test_marks_are_all_matches_of_all_patterns():
+    rng = random.Random(1)
+    parts = ["MRP", "Net", " ", "Qty", "Wt", ".", "Packed", "by", "On", "MFD", "Mfd", "Date", "exp", "Consumer", "Care", "No", "Details", "B", "LOT", "for", "queries", "customer", "é", "1", "\n", "Contact", "Us", "-", "_"]
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=20))
+        marks = reading.Marks(text)
+        for group, patterns in reading._GROUPS.items():
+            want = sorted((m.start(), m.end(), i) for i, (p, _) in enumerate(patterns) for m in reading.re.finditer(p, text, reading.re.IGNORECASE))
+            assert sorted((m.start, m.end, m.order) for m in marks.by.get(group, [])) == want
+
+
+def test_choice_as_columns_equals_the_one_in_rows(spark):
+    texts = ["MRP Rs 10.00 MRP Rs 11.00", "MRP 5 MRP Rs 5.00", "MRP Rs -1", "x", "MRP Rs 1000000", "MRP ? 5.00"]
+    df = spark.createDataFrame([(t, reading.normalise(t)) for t in texts], "text string, norm string")
+    by_column = extract.best(extract.candidates(df, "MRP")).select("text", "best", "confidence", "ambiguous").collect()
+    in_row = extract.resolve(df.select("text"), "MRP").select("text", "best", "confidence", "ambiguous").collect()
+    assert sorted(map(str, by_column)) == sorted(map(str, in_row))
+
+
+def test_tokens_and_texts_give_the_same_first_pass(spark):
+    tokens = [("Manufactured  by:", None, 0.3, "hi"), ("Zed Foods", [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0]], 0.4, "hi"), (None, None, None, None), ("MRP Rs 5.00", None, None, "en")]
+    df = spark.createDataFrame([(1, tokens), (2, []), (3, None), (3, None)], f"k int, tokens array<{sources.TOKEN}>")
+    got = extract.map_tokens(df, ["k"], second_pass=False)
+    rows = {r["field"]: r for r in got.where("k = 1").collect()}
+    plain = {r["field"]: r for r in extract.map_fields(df.withColumn("text", X.joined_text(F.col("tokens"))).where("k = 1"), ["k"]).collect()}
+    assert {f: (r["v_amount"], r["v_text"], r["raw_evidence"]) for f, r in rows.items()} == {f: (r["v_amount"], r["v_text"], r["raw_evidence"]) for f, r in plain.items()}
+    maker = rows["MANUFACTURER_ADDRESS"]
+    assert (plain["MANUFACTURER_ADDRESS"]["confidence"], maker["confidence"], maker["language"], len(maker["bbox"])) == ("high", "low", "hi", 1)
+    assert rows["MRP"]["confidence"] == "high" and rows["MRP"]["bbox"] is None
+    assert got.groupBy("k").count().orderBy("k").collect() == [(1, 5), (2, 5), (3, 10)] and extract.map_tokens(df.limit(0), ["k"]).count() == 0
+
+
+def test_sweeps_of_pages_equal_those_of_texts(spark):
+    rng = random.Random(3)
+    parts = ["USP 20", "Rs 1,249.50", "3 pieces", "Packed by Zed Foods Limited, Pune", "FSSAI", "05/06/2024", "EXP 06/27", "1800 123 4567", "a@b.in", "MRP", "é", "JAN 24", "₹ 7", "MFD. BY x", "Net", "12345678901"]
+    texts = [" ".join(rng.choices(parts, k=6)) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {(r["k"], r["field"]): r["value"] for r in secondpass.sweep_rows(df, ["k"]).collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        page = layout.Page([{"text": t, "bbox": None, "confidence": None, "language": None}])
+        want |= {(k, f): hit["evidence"] if f == "MRP" else hit["value"] for f in V.FIELDS if (hit := page.swept(f))}
+    assert got == want and len(got) > 150
+
+
+def test_anchors_in_rows_equal_those_of_tables(spark):
+    rng = random.Random(4)
+    words = ["MRP", "Rs 5.00", "Rs 7.00", "PRICE", "Goods", "MRP", "Net Wt", "5 kg", "7 ml"]
+    tables, want = [], {}
+    for k in range(60):
+        tokens = []
+        for i in range(8):
+            x, y, w = rng.randrange(0, 300, 10), rng.randrange(0, 120, 10), rng.choice(words)
+            tables.append((k, i, w, float(x), float(y), x + 50.0, y + 20.0))
+            tokens.append({"text": w, "bbox": [[x, y, x + 50, y + 20]], "confidence": 0.5 + i / 100, "language": "en"})
+        page = layout.Page(tokens)
+        want |= {(k, f): hit["value"] for f in ("MRP", "NET_QUANTITY") if (hit := page.anchored(f))}
+    df = spark.createDataFrame(tables, "k int, token_index int, text string, xmin double, ymin double, xmax double, ymax double")
+    got = {}
+    for f in ("MRP", "NET_QUANTITY"):
+        got |= {(r["k"], f): r["value"].strip() for r in spatial.anchored(df, ["k"], f, V.SWEEP[f]).collect()}
+    assert got.keys() == want.keys() and sum(got[k] == want[k] for k in got) > 0.9 * len(got) and len(got) > 30
+
+
+def test_boxes_of_any_form():
+    corners = [[1, 2], [5, 2], [5, 4], [1, 4]]
+    assert layout.bounds(corners) == layout.bounds([1, 2, 5, 4]) == layout.bounds([[1, 2, 5, 4]]) == (1, 2, 5, 4)
+    assert [layout.bounds(x) for x in (None, [], [[1, 2]], [[1, 2], None, [3, 4], [5, 6]], [1, 2])] == [None] * 5
+
+
+def test_blank_addresses_and_unknown_fields(spark):
+    df = spark.createDataFrame([("MANUFACTURER_ADDRESS", "   "), ("MANUFACTURER_ADDRESS", " Zed "), ("EXPIRY_DATE", "06/27"), ("CONSUMER_CARE", "x"), ("MRP", None)], "field string, value string")
+    assert [(r["v_text"], r["has_value"]) for r in secondpass.normalized(df).collect()] == [(None, False), ("Zed", True), ("06/27", True), (None, True), (None, False)]
+
+
+def test_officers_given_as_text(spark):
+    a, b = "12345678-1234-1234-1234-123456789abc", "00000000-0000-0000-0000-000000000001"
+    scans = spark.createDataFrame([("s1", a, True, datetime.datetime(2024, 1, 1)), ("s2", b, False, datetime.datetime(2024, 1, 2)), ("s0", b, False, datetime.datetime(2024, 1, 2))], "scan_id string, officer_id string, is_compliant boolean, created_at timestamp")
+    found = spark.createDataFrame([("s1", "mrp"), ("s2", "date")], "scan_id string, field_name string")
+    assert [store.metrics(scans, found, x).first()["total"] for x in (a, a.upper(), "{" + a + "}", a.replace("-", ""), "nobody", "", None)] == [1, 1, 1, 1, 3, 3, 3]
+    assert store.metrics(scans, found, a).first()["top_violation"] == "mrp"
+    assert [store.latest(scans, x).first()[0] for x in (None, a)] == ["s0", "s1"] and store.latest(scans.limit(0)).first()[0] is None
+
+
+def test_report_values(spark):
+    values = [0.0, 5.0, 1234567.0, 123456.7, 1e-7, 0.0001, 0.00012345678, 99999.93, 999999.7, 1e22, -2.5, 100.0, 0.1, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(report.format_quantity(F.col("v"), F.lit("g"))).collect()]
+    assert got == ["N/A" if v is None else f"{v:g} g" for v in values]
+    long = "x" * 58 + "₹yz"
+    assert spark.createDataFrame([(long,), ("a₹",), (None,)], "v string").select(report.format_manufacturer(F.col("v"))).collect() == [("x" * 57 + "...",), ("a?",), ("N/A",)]
+
+
+def test_repeated_scans_and_empty_images(spark):
+    page = [("MRP Rs 5.00", None, 0.9, "en")]
+    df = spark.createDataFrame([(1, 0, page), (1, 0, page), (2, 0, None), (2, 1, [])], f"scan_id int, image_index int, tokens array<{sources.TOKEN}>")
+    checked = pipeline.check_images(df)
+    assert {r["scan_id"]: (r["n_violations"], r["score"]) for r in checked.scores.collect()} == {1: (5, 35.0), 2: (6, 5.0)}
+    assert {r["image_index"] for r in checked.violations.where("field_name <> 'FONT_SIZE'").collect()} == {0}
+    assert pipeline.check_images(df.limit(0)).violations.count() == 0
+    rows = {r["scan_id"]: r for r in pipeline.scan_rows(df, checked).collect()}
+    assert rows[2]["combined_text"] == "\n\n" and json.loads(rows[1]["extracted_fields"])["MRP"]["v_amount"] == 5.0
+
+
+def test_counted_units_and_unknown_coins(spark):
+    box = {"xmin": 0.0, "ymin": 0.0, "xmax": 10.0, "ymax": 10.0}
+    rows = [(k, "net_quantity", raw, a, u, box) for k, raw, a, u in ((1, "10 pieces", 10.0, "pieces"), (2, "2 kg", 2.0, "kg"), (3, None, None, None))] + [(k, "mrp", "Rs 5", 5.0, None, box) for k in (1, 2, 3, 4, 5)]
+    fields = spark.createDataFrame(rows, f"scan_id int, field_name string, raw_value string, amount double, unit string, bbox {rules.BOX}")
+    coins = spark.createDataFrame([(k, "1_rupee" if k < 5 else "token", 21.93 / 2 if k != 4 else 0.0) for k in range(1, 6)], "scan_id int, coin_key string, coin_radius_px double")
+    got = {(r["scan_id"], r["field_name"]): (r["measured_mm"], r["required_mm"], r["confidence"], r["note"]) for r in fontsize.of_fields(fields, coins, ["scan_id"]).collect()}
+    assert {k for k, _ in got} == {1, 2, 3}
+    assert [got[k, "mrp"] for k in (1, 2, 3)] == [(10.0, 1.0, "high", "unit not supported"), (10.0, 4.0, "high", None), (10.0, None, "low", None)]
+
+
+def test_sources(spark, tmp_path):
+    page = {"scan_id": 1, "image_index": 0, "tokens": [{"text": "MRP 5", "bbox": [[1, 2], [3, 2], [3, 4], [1, 4]], "confidence": 0.5, "language": "en"}]}
+    (tmp_path / "t.json").write_text(json.dumps(page) + "\nbroken\n")
+    tokens = sources.read_tokens(spark, str(tmp_path / "t.json"))
+    assert tokens.count() == 1
+    out = json.loads(tokens.select(sources.tokens_to_json(F.col("tokens")).alias("j")).first()["j"])
+    assert out == page["tokens"]
+    found = spark.createDataFrame([([("a", [[1.0]], "0.5"), (None, [[1.0]], "1"), ("b", None, "1"), ("c", [[1.0]], "?")],)], "d array<struct<text:string,bbox:array<array<double>>,confidence:string>>")
+    assert [(t["text"], t["confidence"]) for t in found.select(sources.detections_to_tokens(F.col("d")).alias("t")).first()["t"]] == [("a", 0.5), ("c", None)]
+    (tmp_path / "x.JPG").write_bytes(b"1")
+    (tmp_path / "y.bin").write_bytes(b"2")
+    assert sorted((r["mime"] or "", bytes(r["content"])) for r in sources.read_images(spark, str(tmp_path / "[xy].*")).collect()) == [("", b"2"), ("image/jpeg", b"1")]
+    (tmp_path / "labels.json").write_text(json.dumps([{"image": "a.jpg", "MRP": "5"}]))
+    (tmp_path / "font.json").write_text(json.dumps([{"image": "a.jpg", "tap_point": [1, 2], "coin_key": "1_rupee", "ocr_bbox": [1, 2, 3, 4], "ground_truth_mm": 2.5}]))
+    assert sources.read_labels(spark, str(tmp_path / "labels.json")).first()["MRP"] == "5" and sources.read_font_labels(spark, str(tmp_path / "font.json")).first()["ground_truth_mm"] == 2.5
+
+
+def test_contacts_errors_and_public_keys(spark):
+    df = spark.createDataFrame([("1 2", " A@B.in", 2.0, 2.5, {"_a": 1, "_image_index": 2, "b": 3}), (None, None, None, 1.0, {})], "p string, e string, m double, t double, k map<string,int>")
+    got = df.select(evaluate.contact(F.col("p"), F.col("e")), F.round(evaluate.relative_error(F.col("m"), F.col("t")), 6), merge.public_keys(F.col("k"))).collect()
+    assert [tuple(r) for r in got] == [("1 2 / a@b.in", 0.2, {"_image_index": 2, "b": 3}), (None, None, {})]
+
+
+def test_repeated_batches_write_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, "MRP Rs 5.00")], "scan_id long, image_index int, text string")
+    for _ in range(2):
+        extract.map_fields(df, ["scan_id", "image_index"]).write.mode("overwrite").parquet(f"{tmp_path}/out/batch=0")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 5
