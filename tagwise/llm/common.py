@@ -17,9 +17,7 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows of an Arrow batch; with texts of 100 kB each a batch stays near 25 MB.
 BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:
     """Ship this package to the executors and bound the rows of Arrow batches of this session."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_tagwise_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        target = os.path.join(tempfile.mkdtemp(prefix="tagwise-"), "tagwise.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, str(p.relative_to(root.parent)))
-        sc.addPyFile(target)
-        sc._tagwise_shipped = True
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
@@ -59,8 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._tagwise_dir
 
 
+#: Folders written by this process, oldest first.
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tagwise/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/tagwise/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -69,7 +66,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     deleted_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tagwise_path = path
+    return out
 
 
 def _fs(spark: SparkSession, path: str):
@@ -91,8 +90,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialize` returned, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop_path(df.sparkSession, path)
+    drop_path(df.sparkSession, df._tagwise_path)
+
+
+def mark() -> int:
+    """For :func:`drop_since`: how much this process has written so far."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, start: int, *keep: DataFrame) -> None:
+    """Delete what was written since ``start`` but the tables ``keep``; only when no result of that time is still to be read."""
+    held = {df._tagwise_path for df in keep}
+    for path in [p for p in _written[start:] if p not in held]:
+        drop_path(spark, path)
+        _written.remove(path)
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
