@@ -9,11 +9,14 @@ character.
 Calibration: part of the labelled rows is left out of the counts.  A text is rejected if it has no letter, or if its
 cross-entropy under the best language is above what left-out rows of that language reach, plus a margin for short texts.
 
-Fit: the model is fitted on at most about ``max_rows`` labelled rows per language (those of the smallest hash of their
-id), so its size has a bound; every row is scored, over its whole text.
+Fit: the model is fitted on about ``max_rows`` labelled rows and ``max_bytes`` bytes of text per language at most, those of
+the smallest hash of their id, whole texts only (none longer than ``max_bytes``); so what comes to the driver has a bound.
+Every language that has a label is learned.  More than ``max_languages`` of them are an error, not a silent choice.  Every
+row is scored, over its whole text.
 
 Null text or no letters: ``und``, score 0, rejected.  Empty labelled set: every text is ``und``.  Repeated rows get equal
-results.
+results.  Columns of the input that are named like one of the results are replaced by it in :func:`identify`, and kept in
+:func:`drop_rejected`.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, prepare, tidied, worker_state
+from .common import aside, pieces, prepare, tidied, worker_state
 
 ORDER = 4
-#: Labelled rows per language that the model is fitted on, about; languages that a model may have.
-MAX_ROWS, MAX_LANGUAGES = 1_000, 256
+#: Labelled rows and bytes of text per language that the model is fitted on, about; languages that a model may have.
+MAX_ROWS, MAX_BYTES, MAX_LANGUAGES = 1_000, 8 << 20, 2_000
 #: One in so many of these rows calibrates.
 CALIBRATION = 5
 UNKNOWN = "und"
@@ -80,14 +83,15 @@ class Model:
     """Sorted hash arrays of orders 1 to ORDER; row i of ``logp[n]`` and ``logb[n]`` belongs to ``keys[n][i]``.
 
     ``logp``: log-probability of the n-gram's last character, backed off where a language hasn't seen the n-gram; ``logb``:
-    log of the back-off weight of the n-gram as a context, 0 where unseen.
+    log of the back-off weight of the n-gram as a context, 0 where unseen; ``floor``: by language, log-probability of a
+    character that it hasn't seen, before back-off weights.
     """
 
     languages: list[str]
     keys: list[np.ndarray]
     logp: list[np.ndarray]
     logb: list[np.ndarray]
-    floor: float
+    floor: np.ndarray
     limits: np.ndarray
 
     def cross_entropies(self, texts: list[str]) -> np.ndarray:
@@ -139,16 +143,18 @@ def _discounts(c: np.ndarray) -> float:
     return float(n1 / (n1 + 2 * n2)) if n1 and n2 else 0.5
 
 
-def estimate(counts: dict[str, list[dict]], alphabet: int) -> tuple[list[str], list, list, list, float]:
+def estimate(counts: dict[str, list[dict]], alphabet: int) -> tuple[list[str], list, list, list, np.ndarray]:
     """Interpolated Kneser-Ney per language from ``counts[lang][n - 1] = (key, context key, suffix key, count)`` arrays.
 
     Orders below the highest use continuation counts: in how many different characters' wake an n-gram was seen.
     """
     languages = sorted(counts)
-    keys = [np.unique(np.concatenate([counts[x][n][0] for x in languages])) for n in range(ORDER)]
+    # contexts that are no n-grams themselves, as they end before a text starts, have back-off weights too
+    keys = [np.unique(np.concatenate([counts[x][n][0] for x in languages] + [counts[x][n + 1][1] for x in languages if n + 1 < ORDER])) for n in range(ORDER)]
     logp = [np.full((len(k), len(languages)), np.nan, np.float32) for k in keys]
     logb = [np.zeros((len(k), len(languages)), np.float32) for k in keys]
-    floor = -np.log(max(alphabet, 2) * 2.0)
+    even = -np.log(max(alphabet, 2) * 2.0)  # the letters of all languages, and as much for all others together
+    floor = np.zeros(len(languages))
     for j, lang in enumerate(languages):
         lower: tuple[np.ndarray, np.ndarray] | None = None
         for n in range(1, ORDER + 1):
@@ -165,10 +171,11 @@ def estimate(counts: dict[str, list[dict]], alphabet: int) -> tuple[list[str], l
             total, kinds = np.bincount(inverse, c), np.bincount(inverse)
             back = d * kinds / total
             if lower is None:
-                base = np.full(len(key), np.exp(floor))
+                base = np.full(len(key), np.exp(even))
+                floor[j] = np.log(back[0]) + even
             else:
                 at, hit = find(lower[0], suffix)
-                base = np.where(hit, lower[1][at], np.exp(floor))
+                base = np.where(hit, lower[1][at], np.exp(floor[j]))
             p = (c - d) / total[inverse] + back[inverse] * base
             order = np.argsort(key)
             lower = (key[order], p[order])
@@ -176,13 +183,13 @@ def estimate(counts: dict[str, list[dict]], alphabet: int) -> tuple[list[str], l
             if n > 1:
                 at, hit = find(keys[n - 2], group)
                 logb[n - 2][at[hit], j] = np.log(back[hit])
-    fill(counts, keys, logp, logb, float(floor))
-    return languages, keys, logp, logb, float(floor)
+    fill(counts, keys, logp, logb, floor)
+    return languages, keys, logp, logb, floor
 
 
-def fill(counts: dict[str, list], keys: list, logp: list, logb: list, floor: float) -> None:
+def fill(counts: dict[str, list], keys: list, logp: list, logb: list, floor: np.ndarray) -> None:
     """Back-off worked out once for every n-gram that some language has seen and another hasn't."""
-    logp[0][np.isnan(logp[0])] = floor
+    logp[0] = np.where(np.isnan(logp[0]), floor, logp[0]).astype(np.float32)
     for n in range(2, ORDER + 1):
         context, suffix = np.zeros(len(keys[n - 1]), np.uint64), np.zeros(len(keys[n - 1]), np.uint64)
         for tables in counts.values():
@@ -208,14 +215,14 @@ def ngrams(texts: list[str], n: int) -> tuple[np.ndarray, ...]:
 
 
 def fit(rows: list[tuple[str, str, bool]]) -> Model:
-    """From (language, text, calibrates) rows."""
+    """From (language, text, calibrates) rows; a language without letters in its rows isn't learned."""
     by: dict[str, tuple[list[str], list[str]]] = {}
     for lang, text, held in rows:
         if clean := normalise(text):
             by.setdefault(lang, ([], []))[held].append(clean)
     by = {k: (a or b, b) for k, (a, b) in by.items() if a or b}
     if not by:
-        return Model([], [], [], [], 0.0, np.zeros(0))
+        return Model([], [], [], [], np.zeros(0), np.zeros(0))
     alphabet = len({c for a, _ in by.values() for t in a for c in t})
     counts = {k: [ngrams(a, n) for n in range(1, ORDER + 1)] for k, (a, _) in by.items()}
     model = Model(*estimate(counts, alphabet), np.zeros(len(by)))
@@ -228,18 +235,23 @@ def fit(rows: list[tuple[str, str, bool]]) -> Model:
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on the labelled rows of ``docs`` that meet ``where``: about ``max_rows`` per language, by a hash of the id."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES,
+    max_languages: int = MAX_LANGUAGES,
+) -> Model:
+    """Fit on the labelled rows of ``docs`` that meet ``where``: about ``max_rows`` and ``max_bytes`` per language at most, by
+    a hash of the id."""
+    size = F.octet_length(F.col(text_col))
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (size <= max_bytes))
     if where is not None:
         labelled = labelled.where(where)
-    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    share = F.lit(False)
-    for lang, n in sizes.items():
-        top = min(2**64 - 1, max_rows * 2**64 // n) - 2**63
-        share = share | ((F.col("lang") == lang) & (F.col("h") <= F.lit(top)))
-    rows = labelled.where(share).select("lang", "text", (F.pmod("h", F.lit(CALIBRATION)) == 0).alias("held"))
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("h"), size.alias("bytes"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages, and the driver's memory with it")
+    part = {r["lang"]: min(1.0, max_rows / r["n"], max_bytes / max(1, r["bytes"])) for r in sizes}
+    top = F.create_map(*(F.lit(x) for lang, p in part.items() for x in (lang, min(2**64 - 1, int(p * 2**64)) - 2**63))) if part else F.create_map(F.lit(""), F.lit(0))
+    rows = labelled.where(F.col("h") <= F.try_element_at(top, F.col("lang"))).select("lang", "text", (F.pmod("h", F.lit(CALIBRATION)) == 0).alias("held"))
     table = rows.toArrow()
     return fit(list(zip(*(table.column(c).to_pylist() for c in ("lang", "text", "held")), strict=True)))
 
@@ -271,6 +283,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """The documents that a model fitted on their own labelled rows accepts."""
-    model = train(docs, where=~held_out())
-    return identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    """The documents that a model fitted on their own labelled rows accepts, with all their columns."""
+    model = train(docs)
+    rows, back = aside(docs, "text")
+    return identify(rows, model).where(~F.col("rejected")).select(*back)
