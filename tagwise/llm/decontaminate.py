@@ -7,8 +7,12 @@ any substring.  Texts and items are compared in lower case with single blanks.
 
 The benchmark is taken in blocks of bounded size, each sent to all tasks and matched against every document.
 
-Null texts match nothing; null or blank items are skipped; items of fewer than ``EDIT_EVERY`` characters match exactly.
-Repeated rows and repeated items are reported each.  Empty tables give empty results.  No shuffle.
+Null texts match nothing; null or blank items are skipped.  Items of fewer than ``EDIT_EVERY`` characters match without
+edits and as whole words only, so that an item of one letter isn't found in every text that has the letter.  Of several
+places of equal distance the first that is found counts, which is the leftmost one of those without edits.  Repeated rows and
+repeated items are reported each; ids may be null and of any type.  Empty tables give empty results.  No shuffle.
+
+The driver streams the benchmark, a block at a time; a benchmark of several blocks takes a pass over the documents for each.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import pieces, prepare, worker_state
 
@@ -67,6 +72,12 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether neither side of a span cuts a word."""
+    cut = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not cut(start) and not cut(end)
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
@@ -91,6 +102,8 @@ class Matcher:
             for n, at in where:
                 _, item, k, masks = self.items[n]
                 start = last + 1 - size - at
+                if not k and not whole_words(text, start, start + len(item)):
+                    continue
                 if (n, start) in seen or (n in best and best[n][0] == 0):
                     continue
                 seen.add((n, start))
@@ -121,8 +134,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(id, item_id, distance, end): each item that occurs in each whole text."""
     spark = docs.sparkSession
     prepare(spark)
-    kind, item = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, item_id {item}, distance int, end long"
+    item = benchmark.schema["item_id"].dataType
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item_id", item), T.StructField("distance", T.IntegerType()), T.StructField("end", T.LongType())])
+    arrow = to_arrow_type(item)
     out = spark.createDataFrame([], schema)
     for block in blocks(benchmark):
         held = spark.sparkContext.broadcast(block)  # at most BLOCK_CHARS
@@ -140,7 +154,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 if rows:
                     at, items, d, e = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("id").take(pa.array(at)), pa.array(items), pa.array(d, pa.int32()), pa.array(e, pa.int64())], [id_col, "item_id", "distance", "end"]
+                        [b.column("id").take(pa.array(at)), pa.array(items, arrow), pa.array(d, pa.int32()), pa.array(e, pa.int64())], [id_col, "item_id", "distance", "end"]
                     )
 
         part = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
