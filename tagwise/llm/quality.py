@@ -1,11 +1,14 @@
 """Quality rules combined by weak supervision, in DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0).  Expectation-maximisation over the counts of vote patterns estimates
-how often each rule votes each way on good and on bad texts; the posterior probability of "good" replaces the usual
-"all rules must pass".  There are at most ``3 ** len(RULES)`` patterns whatever the input, so that the iterations need no
-cluster; the counts and features come from all texts.
-
-Null text: no words, all figures 0.  Empty tables give empty results.  Repeated rows are judged each, and alike.
+Each rule votes good (1), bad (-1) or abstains (0).  A text is good or of one of several kinds of junk, as many as there are
+rules: kinds hardly overlap, so that most rules call any junk text good, and one class of "bad" texts would be taken over by
+the commonest kind.  Expectation-maximisation over the counts of vote patterns estimates how often each rule votes each way
+on good texts and on each kind; nothing bounds the estimates.  The posterior probability of "good" replaces the usual "all
+rules must pass".  There are at most ``3 ** len(RULES)`` patterns whatever the input, so that the iterations need no cluster;
+the counts and features come from all texts.
+
+Null text: no words, all figures 0.  Empty tables give empty results.  Repeated rows are judged each, and alike.  Other
+columns, whatever their names, are not looked at, and the id may have any name but those of the results.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from .common import materialize, prepare
 #: Fixed sets of characters.
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-ITERATIONS, SMOOTHING, PRIOR_GOOD = 40, 1.0, 0.8
-#: A rule's bad vote is taken to be wrong for this share of good texts at most, whatever the votes suggest: kinds of junk
-#: hardly overlap, so that most rules call any junk text good.
-FALSE_ALARM = 0.005
+#: Texts that each class is thought to have seen before; spread over the votes of a rule.
+ITERATIONS, SMOOTHING = 60, 1.0
+#: Where the iterations start: the share of good texts; votes (1, 0, -1) of a rule on its own kind of junk, and on all others.
+PRIOR_GOOD, OWN, OTHER = 0.8, (0.15, 0.15, 0.7), (0.84, 0.15, 0.01)
 VOTES = (1, 0, -1)
 
 #: name, votes bad if, votes good if (else it abstains); per cent of words, characters or lines.
@@ -42,9 +45,9 @@ def _repeat_words(w: Column) -> tuple[Column, Column]:
     windows = F.array_sort(
         F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i")))
     )
-    n = "size(s)"
+    n = "size(__s)"
     places = F.expr(
-        f"array_sort(transform(filter(sequence(0, {n} - 1), j -> (j > 0 AND s[j - 1].h = s[j].h) OR (j < {n} - 1 AND s[j + 1].h = s[j].h)), j -> s[j].i))"
+        f"array_sort(transform(filter(sequence(0, {n} - 1), j -> (j > 0 AND __s[j - 1].h = __s[j].h) OR (j < {n} - 1 AND __s[j + 1].h = __s[j].h)), j -> __s[j].i))"
     )
     return windows, places
 
@@ -54,28 +57,29 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     t = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    windows, places = _repeat_words(F.col("w"))
+    windows, places = _repeat_words(F.col("__w"))
     return (
-        docs.select(F.col(id_col), t.alias("t"), words.alias("w"), lines.alias("lines"))
+        docs.select(F.col(id_col).alias("__id"), t.alias("__t"), words.alias("__w"), lines.alias("__lines"))
         .select(
-            id_col,
-            F.size("w").cast("long").alias("n_words"),
-            F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"),
-            (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            F.size("lines").cast("long").alias("n_lines"),
-            F.length(F.regexp_replace("t", "[^\\p{Lu}]+", "")).cast("long").alias("n_capitals"),
-            F.when(F.size("w") >= 3, windows).alias("s"),
+            "__id",
+            F.size("__w").cast("long").alias("n_words"),
+            F.length(F.translate("__t", BLANKS, "")).cast("long").alias("word_chars"),
+            (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+            F.size("__lines").cast("long").alias("n_lines"),
+            F.length(F.regexp_replace("__t", "[^\\p{Lu}]+", "")).cast("long").alias("n_capitals"),
+            F.when(F.size("__w") >= 3, windows).alias("__s"),
         )
-        .withColumn("p", F.when(F.col("s").isNotNull(), places))
+        .withColumn("__p", F.when(F.col("__s").isNotNull(), places))
         .withColumn(
             "n_repeat_words",
             F.when(
-                F.size("p") > 0,
-                F.expr("aggregate(transform(sequence(1, size(p)), j -> CASE WHEN j = size(p) THEN 3L ELSE least(3L, CAST(p[j] - p[j - 1] AS LONG)) END), 0L, (a, x) -> a + x)"),
+                F.size("__p") > 0,
+                F.expr("aggregate(transform(sequence(1, size(__p)), j -> CASE WHEN j = size(__p) THEN 3L ELSE least(3L, CAST(__p[j] - __p[j - 1] AS LONG)) END), 0L, (a, x) -> a + x)"),
             ).otherwise(F.lit(0).cast("long")),
         )
-        .drop("s", "p")
+        .drop("__s", "__p")
+        .withColumnRenamed("__id", id_col)
     )
 
 
@@ -83,36 +87,47 @@ def vote(rule: tuple[str, str, str]) -> Column:
     return F.expr(f"CASE WHEN {rule[1]} THEN -1 WHEN {rule[2]} THEN 1 ELSE 0 END").alias(f"vote_{rule[0]}")
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """EM over (votes, count): the share of good texts, and for each rule and vote its probability if good and if bad.
+#: Logarithms of the classes' shares, good first, and for each class and rule of the probability of each vote.
+Model = tuple[list[float], list[list[dict[int, float]]]]
 
-    Starts from bad votes that are rarely wrong, so that "good" stays the side that good votes point to; the estimated
-    false alarms stay under :data:`FALSE_ALARM`.
-    """
-    prior = PRIOR_GOOD
-    table = [{1: (0.795, 0.5), 0: (0.2, 0.2), -1: (FALSE_ALARM, 0.3)} for _ in range(rules)]
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> Model:
+    """EM over (votes, count).  Class 0 is good, class r the kind of junk that rule r - 1 is made for; that is where the
+    iterations start from, and what keeps "good" the class in which no rule stands out."""
+    log = math.log
+    shares = [log(PRIOR_GOOD)] + [log((1 - PRIOR_GOOD) / rules)] * rules
+    table = [[dict(zip(VOTES, map(log, OWN if k == r + 1 else OTHER), strict=True)) for r in range(rules)] for k in range(rules + 1)]
     for _ in range(ITERATIONS):
-        sums = [{v: [SMOOTHING, SMOOTHING] for v in VOTES} for _ in range(rules)]
-        total = [SMOOTHING, SMOOTHING]
+        total = [SMOOTHING] * len(shares)
+        sums = [[dict.fromkeys(VOTES, SMOOTHING / 10) for _ in range(rules)] for _ in shares]
         for votes, n in patterns:
-            g = posterior(prior, table, votes)
-            for side, share in enumerate((g, 1 - g)):
-                total[side] += n * share
+            for k, p in enumerate(posterior((shares, table), votes)):
+                total[k] += n * p
                 for r, v in enumerate(votes):
-                    sums[r][v][side] += n * share
-        prior = min(0.99, max(0.01, total[0] / (total[0] + total[1])))
-        table = [
-            {v: tuple(s[v][side] / sum(s[u][side] for u in VOTES) for side in (0, 1)) for v in VOTES} for s in sums
-        ]
-        for t in table:
-            t[-1] = (min(t[-1][0], FALSE_ALARM), t[-1][1])
-    return prior, table
+                    sums[k][r][v] += n * p
+        shares = [log(x / sum(total)) for x in total]
+        table = [[{v: log(s[v] / sum(s.values())) for v in VOTES} for s in by_rule] for by_rule in sums]
+    return shares, table
+
+
+def posterior(model: Model, votes: tuple[int, ...]) -> list[float]:
+    """Probability of each class given the votes."""
+    logs = [share + sum(t[v] for t, v in zip(by_rule, votes, strict=True)) for share, by_rule in zip(*model, strict=True)]
+    weights = [math.exp(x - max(logs)) for x in logs]
+    return [w / sum(weights) for w in weights]
 
 
-def posterior(prior: float, table: list[dict[int, tuple[float, float]]], votes: tuple[int, ...]) -> float:
-    """Probability of "good" given the votes."""
-    x = math.log(prior / (1 - prior)) + sum(math.log(table[r][v][0] / table[r][v][1]) for r, v in enumerate(votes))
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
+def p_good(model: Model, names: list[str]) -> Column:
+    """Probability of the first class as a column over vote columns."""
+    shares, table = model
+    others = F.lit(0.0)
+    for k in range(1, len(shares)):
+        lead = F.lit(shares[k] - shares[0])
+        for r, name in enumerate(names):
+            d = {v: table[k][r][v] - table[0][r][v] for v in VOTES}
+            lead = lead + F.when(F.col(name) == 1, d[1]).when(F.col(name) == -1, d[-1]).otherwise(d[0])
+        others = others + F.exp(F.least(lead, F.lit(700.0)))
+    return F.round(1 / (1 + others), 6)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, threshold: float = 0.5) -> DataFrame:
@@ -125,11 +140,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     names = [f"vote_{r[0]}" for r in rules]
     rows = materialize(features(docs, id_col, text_col).select("*", *map(vote, rules)), "quality")
     counts = rows.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
-    prior, table = fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counts), len(names))
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for name, t in zip(names, table, strict=True):
-        w = {v: math.log(t[v][0] / t[v][1]) for v in VOTES}
-        odds = odds + F.when(F.col(name) == 1, F.lit(w[1])).when(F.col(name) == -1, F.lit(w[-1])).otherwise(F.lit(w[0]))
+    model = fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counts), len(names))
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
-    good = F.round(1 / (1 + F.exp(-odds)), 6)
+    good = p_good(model, names)
     return rows.withColumn("base_failed", failed).withColumn("p_good", good).withColumn("kept", ~failed & (good >= threshold))
