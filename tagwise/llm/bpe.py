@@ -5,8 +5,9 @@ of minimum rank again and again: rows (word, position, token) join the merge tab
 joins.  Decoding joins ids with the vocabulary and concatenates with an ordered aggregation.  A task keeps the words it
 has seen in a bounded table.  No shuffle; memory depends on the batch, not on the input.
 
-A match longer than ``LONG_WORD`` bytes (a run of blanks or letters, say) would need that many recursion steps; it is
-merged by the same rule with a heap, in ``n log n``.
+A match longer than ``LONG_WORD`` bytes that is no token (a run of letters without blanks, say) would need that many recursion
+steps, each of which leaves its rows behind: time and memory quadratic in its length.  It is merged by the same rule with a
+heap, in ``n log n``.  Recursive queries hold so few words that what they leave behind is bounded.
 
 Null text: encoded as an empty text (no ids, zero bytes).  Empty tables give empty results.  Repeated rows are encoded
 each.  Bytes that are not UTF-8 are replaced by U+FFFD before encoding.
@@ -30,38 +31,41 @@ from pyspark.sql import types as T
 from .common import pieces, prepare, worker_state
 
 #: Longer matches are merged with a heap instead of a recursion step for each merge.
-LONG_WORD = 48
-#: Words in each of the two generations that a task remembers, and new words in one recursive query.
-CACHE_WORDS, QUERY_WORDS = 500_000, 20_000
+LONG_WORD = 256
+#: Words in each of the two generations that a task remembers; new words in one recursive query, and rows that it may leave
+#: behind (half the square of a word's bytes at most).
+CACHE_WORDS, QUERY_WORDS, QUERY_ROWS = 500_000, 20_000, 2_000_000
 #: Ids in one decoding query, about; a document stays whole.
 DECODE_IDS = 500_000
 #: A vocabulary file above this size is refused: it is sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
 
-#: ``p`` packs the word, the position of the token's first byte (8 bits) and the token (16 bits), so that one sort puts
+#: Bits of a token id and of a position in a word.
+TOKEN_BITS, PLACE_BITS = 20, 16
+#: ``p`` packs the word, the position of the token's first byte (16 bits) and the token (20 bits), so that one sort puts
 #: neighbours side by side.
 ENCODE_SQL = """
 WITH RECURSIVE bpe(step, p) AS (
-  SELECT 0, (w * 256 + pos) * 65536 + tok FROM start_tokens
+  SELECT 0, (w * 65536 + pos) * 1048576 + tok FROM start_tokens
   UNION ALL
   SELECT * FROM (
     WITH next AS (
       SELECT step, p, lead(p) OVER (ORDER BY p) AS r FROM bpe
     ), pair AS (
       SELECT n.*, m.merged FROM next n
-      LEFT JOIN merges m ON m.pair = (n.p & 65535) * 65536 + (n.r & 65535) AND (n.r >> 24) = (n.p >> 24)
+      LEFT JOIN merges m ON m.pair = (n.p & 1048575) * 1048576 + (n.r & 1048575) AND (n.r >> 36) = (n.p >> 36)
     ), best AS (
-      SELECT p >> 24 AS w, min(merged * 256 + ((p >> 16) & 255)) AS least, arg_min(r, merged * 256 + ((p >> 16) & 255)) AS gone
-      FROM pair WHERE merged IS NOT NULL GROUP BY p >> 24
+      SELECT p >> 36 AS w, min(merged * 65536 + ((p >> 20) & 65535)) AS least, arg_min(r, merged * 65536 + ((p >> 20) & 65535)) AS gone
+      FROM pair WHERE merged IS NOT NULL GROUP BY p >> 36
     )
-    SELECT p.step + 1, CASE WHEN ((p.p >> 16) & 255) = (b.least & 255) THEN (p.p - (p.p & 65535)) + (b.least >> 8) ELSE p.p END
-    FROM pair p JOIN best b ON (p.p >> 24) = b.w WHERE p.p <> b.gone
+    SELECT p.step + 1, CASE WHEN ((p.p >> 20) & 65535) = (b.least & 65535) THEN (p.p - (p.p & 1048575)) + (b.least >> 16) ELSE p.p END
+    FROM pair p JOIN best b ON (p.p >> 36) = b.w WHERE p.p <> b.gone
   )
 ), last AS (
-  SELECT p >> 24 AS w, max(step) AS step FROM bpe GROUP BY p >> 24
+  SELECT p >> 36 AS w, max(step) AS step FROM bpe GROUP BY p >> 36
 )
-SELECT w, list(p & 65535 ORDER BY p) AS ids
-FROM bpe b JOIN last l ON b.step = l.step AND (b.p >> 24) = l.w GROUP BY w ORDER BY w
+SELECT w, list(p & 1048575 ORDER BY p) AS ids
+FROM bpe b JOIN last l ON b.step = l.step AND (b.p >> 36) = l.w GROUP BY w ORDER BY w
 """
 
 DECODE_SQL = """
@@ -117,8 +121,8 @@ class Codec:
         #: int32 ids of the words seen
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        if max(self.ranks.values()) >= 1 << 16:
-            raise ValueError("token ids of more than 16 bits")
+        if max(self.ranks.values()) >= 1 << TOKEN_BITS:
+            raise ValueError(f"token ids of more than {TOKEN_BITS} bits")
 
     def _table(self, name: str) -> None:
         """Make a table when it is first needed: a worker may only encode, or only decode."""
@@ -133,7 +137,7 @@ class Codec:
                 if (a := self.ranks.get(tok[:i])) is not None and (b := self.ranks.get(tok[i:])) is not None
             ]
             l, r, m = (pa.array(x, pa.int64()) for x in zip(*found, strict=True)) if found else [pa.array([], pa.int64())] * 3
-            rows = pa.table({"pair": pc.add(pc.multiply(l, 1 << 16), r), "merged": m})
+            rows = pa.table({"pair": pc.add(pc.multiply(l, 1 << TOKEN_BITS), r), "merged": m})
         else:
             rows = pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]})
         self.db.register("rows", rows)
@@ -152,8 +156,8 @@ class Codec:
                 self.known[w] = array("i", heap_merge(b, self.ranks)).tobytes()
             else:
                 raw.append((w, b))
-        for s in range(0, len(raw), QUERY_WORDS):
-            part = raw[s : s + QUERY_WORDS]
+        raw.sort(key=lambda x: len(x[1]))  # words that need as many steps together
+        for part in _parts(raw):
             size = np.array([len(b) for _, b in part])
             start_tokens = pa.table(
                 {
@@ -200,6 +204,20 @@ class Codec:
         return out
 
 
+def _parts(words: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+    """Words for one recursive query each."""
+    held, rows = [], 0
+    for x in words:
+        n = len(x[1]) ** 2 // 2
+        if held and (len(held) >= QUERY_WORDS or rows + n > QUERY_ROWS):
+            yield held
+            held, rows = [], 0
+        held.append(x)
+        rows += n
+    if held:
+        yield held
+
+
 def _codec(vocabulary: bytes, pattern: str) -> Codec:
     return worker_state(("bpe", hash(vocabulary), pattern), lambda: Codec(vocabulary, pattern))
 
