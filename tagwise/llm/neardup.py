@@ -1,18 +1,20 @@
 """Near-duplicate classes with DartMinHash signatures, banded joining and exact verification.
 
-A text is the set of its 5-word shingles (or the multiset, with ``weights="count"``).  Signature: each shingle throws
-darts, the points of a Poisson process over weight and rank that only its hash determines; the darts below its weight
-count, and each of ``K`` coordinates keeps the dart of least rank.  Work is proportional to the number of shingles plus
-``K log K``, whatever the weights.
+A text is the multiset of its 5-word shingles: a shingle's weight is how often it occurs (``weights="binary"``: 1).
+Signature: each shingle throws darts, the points of a Poisson process over weight and rank that only its hash determines; the
+darts below its weight count, and each of ``K`` coordinates keeps the dart of least rank.  Work is proportional to the number
+of shingles plus ``K log K``, whatever the weights.
 
-Two coordinates agree with the (weighted) Jaccard similarity as probability; ``BANDS`` bands of ``ROWS`` coordinates find a
+Two coordinates agree with the weighted Jaccard similarity as probability; ``BANDS`` bands of ``ROWS`` coordinates find a
 pair of similarity 0.8 but for a chance of 3 in a million.  Texts that share a band share that band's hub, its most
-connected text, and meet once per hub: there similarities are computed exactly and linked texts united.  A hub's texts are
-split into blocks of bounded size, and blocks meet pairwise, so that a group of any size fits; pairs are never emitted.
-Equal word sequences are one node throughout.  Classes are connected components of links of ``threshold`` or more.
+connected text.  First every text is compared with its hubs, in blocks of a few texts, each with a copy of the hub: linear in
+the group.  What isn't linked to the hub then meets all texts of the group, in pairs of blocks of bounded size; pairs of texts
+are never emitted.  Similarities are computed exactly.  Equal word sequences are one node throughout.  Classes are connected
+components of links of ``threshold`` or more.
 
 Texts with fewer than five words have one shingle, all their words.  Null texts and texts without words are classes of
-their own.  Rows with equal id and text are copies; ties go to the smaller id.  Empty tables give empty results.
+their own.  Rows with equal id and text are copies; ties go to the smaller id.  Empty tables give empty results.  Other
+columns, whatever their names, are not looked at; :func:`keep_one` keeps them all.
 """
 
 from __future__ import annotations
@@ -26,15 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, pieces, prepare, row_key, runs, tidied, worker_state
+from .common import aside, drop_table, materialize, partitions, pieces, prepare, row_key, runs, tidied, worker_state
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
 K = BANDS * ROWS
-#: Words of the texts in one block of a hub's group.
-BLOCK_WORDS = 1_500_000
-#: Hubs of several blocks that may be broadcast; a longer list is shuffled.
-BROADCAST_ROWS = 100_000
+#: Words of the texts that meet a copy of their hub, and of each block of texts that meet each other.
+HUB_WORDS, BLOCK_WORDS = 1 << 14, 750_000
 MAX_ROUNDS = 60
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -165,9 +165,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weights: str) -> Dat
     return rows.mapInArrow(tidied(run), f"id {kind}, key binary, node binary, n long, bands array<long>")
 
 
-def linked(sets: list[np.ndarray], threshold: float) -> list[int]:
-    """For each set the first set of its connected component; set 0 is the hub.  Exact; quadratic only in sets that are
-    not linked to the hub."""
+def linked(sets: list[np.ndarray], threshold: float, asking: list[int]) -> list[int]:
+    """For each set the first set of its connected component, by the links of the sets ``asking`` to all.  Exact; a set that
+    is already linked to the first one need not ask."""
     root = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -181,9 +181,7 @@ def linked(sets: list[np.ndarray], threshold: float) -> list[int]:
     member = np.repeat(np.arange(len(sets)), size)[np.argsort(inverse, kind="stable")]
     ptr = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(values)))])
     at = np.cumsum(size) - size
-    for i in range(len(sets)):
-        if i and find(i) == find(0):
-            continue
+    for i in asking:
         ids = inverse[at[i] : at[i] + size[i]]
         n = ptr[ids + 1] - ptr[ids]
         place = np.repeat(ptr[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -195,34 +193,39 @@ def linked(sets: list[np.ndarray], threshold: float) -> list[int]:
     return [find(i) for i in range(len(sets))]
 
 
-def _links(batches: Iterator[pa.RecordBatch], threshold: float, weights: str) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str], weights: str) -> Iterator[tuple[bytes, list[bytes], list[np.ndarray], dict[bytes, bool]]]:
+    """(hub, nodes, their sets, which of them ask) of each group."""
     worker_state("neardup")
     known = _Words()
-    a: list[bytes] = []
-    b: list[bytes] = []
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    for t in runs(batches, ["hub", "i", "j"]):
-        hub = t.column("hub")[0].as_py()
+    for t in runs(batches, key):
         rows = dict(zip(t.column("node").to_pylist(), t.column("text").to_pylist(), strict=True))
-        if len(rows) < 2 or hub not in rows:
-            continue
-        nodes = [hub, *sorted(x for x in rows if x != hub)]
+        asking: dict[bytes, bool] = {}
+        for node, asks in zip(t.column("node").to_pylist(), t.column("asks").to_pylist(), strict=True):
+            asking[node] = asking.get(node, False) or asks
         if len(known) > 300_000:
             known = _Words()
+        hub = t.column("hub")[0].as_py()
+        nodes = sorted(rows, key=lambda x: (x != hub, x))
         found = [shingles(rows[x].split(), known) for x in nodes]
-        sets = [expand(*s) if weights == "count" else s[0] for s in found]
-        for i, r in enumerate(linked(sets, threshold)):
-            if i != r:
-                a.append(nodes[i])
-                b.append(nodes[r])
-        if len(a) > 10_000:
-            yield out()
-            a, b = [], []
-    if a:
-        yield out()
+        yield hub, nodes, [expand(*s) if weights == "count" else s[0] for s in found], asking
+
+
+def _to_hub(batches: Iterator[pa.RecordBatch], threshold: float, weights: str) -> Iterator[pa.RecordBatch]:
+    """(hub, node, linked) of all members of a block."""
+    for hub, nodes, sets, _ in _groups(batches, ["hub", "i"], weights):
+        if nodes[0] == hub and len(nodes) > 1:
+            root = linked(sets, threshold, [0])
+            columns = [hub] * (len(nodes) - 1), nodes[1:], [r == 0 for r in root[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["hub", "node", "linked"])
+
+
+def _to_all(batches: Iterator[pa.RecordBatch], threshold: float, weights: str) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect the asking nodes of two blocks with whatever they are linked to there."""
+    for _, nodes, sets, asking in _groups(batches, ["hub", "i", "j"], weights):
+        root = linked(sets, threshold, [i for i, x in enumerate(nodes) if asking[x]])
+        ends = [(nodes[i], nodes[r]) for i, r in enumerate(root) if i != r]
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*ends, strict=True)], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,7 +238,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = ordered(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
-        now = materialize(ordered(small), "edges")
+        before, now = now, materialize(ordered(small), "edges")
+        drop_table(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -243,11 +247,33 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weights: str = "binary") -> DataFrame:
+def _blocks(members: DataFrame, words: int, name: str) -> DataFrame:
+    """(hub, ``name``): into how many blocks the members of each hub are cut."""
+    return members.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / words)).cast("int").alias(name))
+
+
+def _links(met: DataFrame, texts: DataFrame, threshold: float, weights: str) -> DataFrame:
+    """Links (a, b) whose connected components are those of all links within the groups ``met`` (hub, node, n)."""
+    parts = partitions(met.sparkSession)
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    is_hub = F.col("hub") == F.col("node")
+    dealt = met.join(_blocks(met, HUB_WORDS, "blocks"), "hub").withColumn("i", F.explode(F.when(is_hub, every("blocks")).otherwise(F.array(block("blocks")))))
+    groups = dealt.select("hub", "i", "node", is_hub.alias("asks")).join(texts, "node").repartition(parts, "hub", "i").sortWithinPartitions("hub", "i")
+    near = materialize(groups.mapInArrow(tidied(lambda it: _to_hub(it, threshold, weights)), "hub binary, node binary, linked boolean"), "dart-near-hub")
+    # what isn't linked to its hub asks all members of the group
+    asking = met.join(near.where("NOT linked").select("hub", "node"), ["hub", "node"])
+    cuts = _blocks(asking, BLOCK_WORDS, "rows").join(_blocks(met, BLOCK_WORDS, "columns"), "hub")
+    asks = asking.join(cuts, "hub").select("hub", "node", block("rows").alias("i"), F.explode(every("columns")).alias("j"), F.lit(True).alias("asks"))
+    answers = met.join(cuts, "hub").select("hub", "node", F.explode(every("rows")).alias("i"), block("columns").alias("j"), F.lit(False).alias("asks"))
+    pairs = asks.unionByName(answers).join(texts, "node").repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    rest = pairs.mapInArrow(tidied(lambda it: _to_all(it, threshold, weights)), "a binary, b binary")
+    return near.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(rest)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weights: str = "count") -> DataFrame:
     """(id, key, class_id, representative): for each row the least id of its class and the key of the row that stays."""
-    spark = docs.sparkSession
-    prepare(spark)
-    parts = partitions(spark)
+    prepare(docs.sparkSession)
     rows = materialize(signatures(docs, id_col, text_col, weights), "dart-signatures")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.min("key").alias("key"))
     nodes = materialize(nodes, "dart-nodes")
@@ -259,23 +285,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     mates = held.groupBy("node").agg(F.sum(F.col("c") - 1).alias("mates"))
     ranked = held.join(mates, "node")
     hubs = ranked.groupBy("h").agg(F.max(F.struct("mates", "node")).alias("m")).select("h", F.col("m.node").alias("hub"))
-    met = materialize(ranked.join(hubs, "h").select("hub", "node").distinct().join(nodes.select("node", "n", "key"), "node"), "dart-met")
-    # blocks of bounded size; every two blocks of a hub meet, with the hub itself
-    blocks = met.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_WORDS).cast("int").alias("blocks")).where("blocks > 1")
-    large = materialize(blocks, "dart-large-hubs")
-    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    is_hub = F.col("hub") == F.col("node")
-    numbered = met.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = numbered.select("hub", "node", "key", "blocks", own.alias("own"), is_hub.alias("is_hub"))
-    pairs = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
-        "y", F.explode(F.when(F.col("is_hub"), F.sequence(F.col("x"), F.col("blocks") - 1)).otherwise(F.array("own")))
-    )
-    meet = pairs.select("key", "hub", "node", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    met = materialize(ranked.join(hubs, "h").select("hub", "node").distinct().join(nodes.select("node", "n"), "node"), "dart-met")
     texts = docs.select(F.unhex(row_key(id_col, text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    joined = meet.join(texts, "key").select("hub", "i", "j", "node", "text")
-    groups = joined.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    edges = groups.mapInArrow(tidied(lambda it: _links(it, threshold, weights)), "a binary, b binary")
+    if rows.groupBy("key").count().where("count > 1").head(1):  # equal rows: one of them before the texts move
+        texts = texts.dropDuplicates(["key"])
+    wanted = nodes.select("node", "key").join(met.select("node").distinct(), "node")
+    texts = materialize(wanted.join(texts, "key").select("node", "text"), "dart-texts")
+    edges = _links(met, texts, threshold, weights)
     roots = components(edges)
     # least id of each class, node by node, so that copies are summed up before they move
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
@@ -293,8 +309,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that represent their class: one of each, that with the least id."""
-    named = {f"__c{i}": c for i, c in enumerate(docs.columns)}
-    stays = classes(docs, id_col, text_col).where("key = representative").select("key").distinct()
-    rows = docs.select(F.unhex(row_key(id_col, text_col)).alias("key"), *(F.col(c).alias(n) for n, c in named.items()))
-    once = rows.join(stays, "key", "left_semi").dropDuplicates(["key"])
-    return once.select(*(F.col(n).alias(c) for n, c in named.items()))
+    stays = classes(docs, id_col, text_col).where("key = representative").select(F.col("key").alias("__key")).distinct()
+    rows, back = aside(docs, id_col, text_col)
+    keyed = rows.withColumn("__key", F.unhex(row_key(id_col, text_col)))
+    return keyed.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).select(*back)
