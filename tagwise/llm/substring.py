@@ -5,13 +5,15 @@ their ``grams``-word pieces) travel as one packed string to the minimiser's buck
 each bucket counts its windows exactly and alone: hashes are sorted, and rows of equal hash are compared word by word.
 Words covered by a window that occurs at least twice are then cut from their documents.
 
-A task packs equal strings once with the list of their places, so that thousands of copies cost little more than one, and
-compresses what goes to a bucket.  A bucket whose windows exceed :data:`PASS_WORDS` is counted in several passes, each over
-one residue class of the window hashes.  Documents move once, compressed, to be joined with their spans.
+A task packs equal strings once.  A string that it meets twice repeats for certain: its places are written down at once, and
+only the string goes to the bucket, so that thousands of copies don't bring their places to one task.  What goes to a bucket
+is compressed.  There are as many buckets as the bytes of the texts ask for, at least; one whose windows exceed
+:data:`PASS_WORDS` is counted in several passes, each over one residue class of the window hashes.  Documents move once,
+compressed, to be joined with their spans.
 
 Words are maximal runs of ``[^\\x20\\x09-\\x0D]``, unchanged.  Null text: no words, stays null.  Documents with fewer words
 than a window keep all.  Rows with equal id and text are copies of each other and lose all their windows.  Empty tables
-give empty results.
+give empty results.  Columns of the input named ``n_words`` or ``n_removed`` are replaced by those of the result.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, pieces, prepare, row_key, runs, tidied, worker_state
+from .common import partitions, pieces, prepare, row_key, runs, text_bytes, tidied, worker_state
 
 WIDTH, GRAMS = 35, 4
 #: Buckets per shuffle partition; bytes that a task packs before it sends; words of one counting pass.
 BUCKETS_PER_PARTITION, FLUSH_BYTES, PASS_WORDS = 8, 40 << 20, 8_000_000
-#: Buckets in one batch that a task sends.
-SEND_ROWS = 64
+#: Bytes of text for each shuffle partition, about, where the session asks for fewer partitions.
+PARTITION_BYTES = 256 << 20
+#: Buckets in one batch that a task sends; places known at once in one row.
+SEND_ROWS, SEND_PLACES = 64, 50_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
@@ -101,15 +105,36 @@ class Packer:
         self.bytes += total
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        rows = [
-            (b, self.zip.compress(b"\n".join(x[0])), self.zip.compress(np.array(x[1], np.int32).tobytes()), b"".join(x[2]), self.zip.compress(np.array(x[3], np.int32).tobytes()))
-            for b, x in self.held.items()
-        ]
+        """For each bucket: strings met once with their places, and strings met more often; and, under numbers that are no
+        buckets, the places of the latter."""
+        rows, known = [], []
+        for b, (strings, which, keys, places) in self.held.items():
+            which, places = np.array(which, np.int64), np.array(places, np.int32)
+            often = np.bincount(which, minlength=len(strings)) > 1
+            once, names = np.flatnonzero(~often[which]), list(strings)
+            own = [names[i] for i in which[once].tolist()]
+            twice = [names[i] for i in np.flatnonzero(often).tolist()]
+            rows.append((b, self._packed(own), b"".join(keys[i] for i in once.tolist()), self._array(places[once]), self._packed(twice)))
+            if twice:
+                size = np.array([x.count(b" ") + 1 if o else 0 for x, o in zip(names, often.tolist(), strict=True)])
+                again = np.flatnonzero(often[which])
+                known.append((b"".join(keys[i] for i in again.tolist()), places[again], places[again] + size[which[again]].astype(np.int32)))
         self.held, self.bytes = {}, 0
+        if known:
+            keys, first, end = b"".join(x[0] for x in known), *(np.concatenate([x[k] for x in known]) for k in (1, 2))
+            for s in range(0, len(first), SEND_PLACES):
+                e = s + SEND_PLACES
+                rows.append((self.n + zlib.crc32(keys[16 * s : 16 * e]) % self.n, None, keys[16 * s : 16 * e], self._array(first[s:e]), self._array(end[s:e])))
         kinds = (pa.int64(), *[pa.binary()] * 4)
         for s in range(0, len(rows), SEND_ROWS):
             cols = zip(*rows[s : s + SEND_ROWS], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "strings", "which", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "strings", "keys", "places", "twice"])
+
+    def _packed(self, strings: list[bytes]) -> bytes:
+        return self.zip.compress(b"\n".join(strings))
+
+    def _array(self, x: np.ndarray) -> bytes:
+        return self.zip.compress(np.ascontiguousarray(x, np.int32).tobytes())
 
 
 def _word_ids(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,37 +199,48 @@ def repeated(strings: list[bytes], times: np.ndarray, width: int = WIDTH) -> tup
     return string[first], first - starts[string[first]], end - starts[string[first]]
 
 
-def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _spans(keys: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    key = pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys).tobytes())]).cast(pa.binary())
+    out = pa.RecordBatch.from_arrays([key, *(pa.array(x.astype(np.int32)) for x in (first, end))], ["key", "first", "end"])
+    for s in range(0, len(keys), SEND_PLACES):
+        yield out.slice(s, SEND_PLACES)
+
+
+def _count(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     worker_state("substring")
+    unzip = zstandard.ZstdDecompressor().decompress
+    array = lambda x: np.frombuffer(unzip(x), np.int32)
     for t in runs(batches, ["bucket"]):
-        unzip = zstandard.ZstdDecompressor().decompress
+        if t.column("bucket")[0].as_py() >= buckets:  # places known at once
+            for row in t.select(["keys", "places", "twice"]).to_pylist():
+                yield from _spans(np.frombuffer(row["keys"], "V16"), array(row["places"]), array(row["twice"]))
+            continue
         strings: dict[bytes, int] = {}
-        which, keys, places = [], [], []
-        for row in t.select(["strings", "which", "keys", "places"]).to_pylist():
-            own = np.array([strings.setdefault(s, len(strings)) for s in unzip(row["strings"]).split(b"\n")], np.int64)
-            which.append(own[np.frombuffer(unzip(row["which"]), np.int32)])
+        which, keys, places, twice = [], [], [], []
+        for row in t.select(["strings", "keys", "places", "twice"]).to_pylist():
+            lines = lambda x: raw.split(b"\n") if (raw := unzip(x)) else []
+            which.append(np.array([strings.setdefault(s, len(strings)) for s in lines(row["strings"])], np.int64))
+            twice += [strings.setdefault(s, len(strings)) for s in lines(row["twice"])]
             keys.append(np.frombuffer(row["keys"], "V16"))
-            places.append(np.frombuffer(unzip(row["places"]), np.int32))
+            places.append(array(row["places"]))
         which, keys, places = np.concatenate(which), np.concatenate(keys), np.concatenate(places)
-        string, first, end = repeated(list(strings), np.bincount(which, minlength=len(strings)), width)
-        if not len(string):
-            continue
+        if not len(which):
+            continue  # all places are known
+        times = np.bincount(which, minlength=len(strings)) + 2 * np.bincount(np.array(twice, np.int64), minlength=len(strings))
+        string, first, end = repeated(list(strings), times, width)
         order = np.argsort(which, kind="stable")
         lo, hi = np.searchsorted(which[order], string), np.searchsorted(which[order], string, "right")
         n = hi - lo
-        row = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        at = places[row]
-        key = pa.Array.from_buffers(pa.binary(16), len(row), [None, pa.py_buffer(np.ascontiguousarray(keys[row]).tobytes())]).cast(pa.binary())
-        out = pa.RecordBatch.from_arrays([key, *(pa.array((at + np.repeat(x, n)).astype(np.int32)) for x in (first, end))], ["key", "first", "end"])
-        for s in range(0, len(row), 50_000):
-            yield out.slice(s, 50_000)
+        if n.sum():
+            row = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            yield from _spans(keys[row], places[row] + np.repeat(first, n), places[row] + np.repeat(end, n))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, spans): for each :func:`row_key`, as 16 bytes, the word spans covered by repeated windows."""
     spark = docs.sparkSession
     prepare(spark)
-    parts = partitions(spark)
+    parts = max(partitions(spark), -(-text_bytes(docs, text_col) // PARTITION_BYTES))
     buckets = parts * BUCKETS_PER_PARTITION
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,10 +254,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             yield from packer.flush()
 
     packed = docs.select(F.unhex(row_key(id_col, text_col)).alias("key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        tidied(pack), "bucket long, strings binary, which binary, keys binary, places binary"
+        tidied(pack), "bucket long, strings binary, keys binary, places binary, twice binary"
     )
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(tidied(lambda it: _count(it, width)), "key binary, first int, end int")
+    found = dealt.mapInArrow(tidied(lambda it: _count(it, width, buckets)), "key binary, first int, end int")
     return found.groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
