@@ -10,7 +10,7 @@ pointer jumping finds where each candidate's chain leaves the split; across spli
 start.  Only records that this chain reaches are kept, so a magic inside a payload is rejected even if a complete record
 follows it.  Payloads that hold a magic are put together again from their pieces.
 
-Null html: empty payload.  Null url: empty.  A null page id is written empty and read as null.  Rows that repeat the
+Null html: empty payload.  Null url: empty.  Line ends in urls and ids, and a magic at their end, are percent-encoded.  A null page id is written empty and read as null.  Rows that repeat the
 smallest page id of a payload are all responses.  Empty tables give empty results.  A file that does not start with a
 record, or whose chain breaks, gives the records up to there.
 """
@@ -22,21 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, prepare
+from .common import deleted_at_exit, materialize, new_path, prepare
 
 MAGIC, SEPARATOR = "WARC/1.0\r\n", "\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
 REVISIT_BYTES = 100
-#: Rows of the list of revisits (or of pieces) that may be broadcast; longer lists are shuffled.
-BROADCAST_ROWS = 100_000
+#: Bytes of chunks in one batch of a task, about.
+BATCH_BYTES = 8 << 20
 
 
-def _join_small(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join with a written table, broadcast only if its row count is within the bound."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+def in_header(value: Column) -> Column:
+    """A text as it may stand in a header line: percent-encoded where it would end the line or hold the magic."""
+    out = F.replace(F.replace(F.coalesce(value, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.regexp_replace(out, "WARC/1\\.0$", "WARC/1%2E0")
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -45,7 +46,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(
         F.col(id_col).alias("page_id"),
-        F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "[\r\n]", "").alias("url"),
+        in_header(F.col(url_col)).alias("url"),
         html.alias("html"),
         F.sha2(html.cast("binary"), 256).alias("digest"),
         F.octet_length(html).cast("long").alias("bytes"),
@@ -56,9 +57,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         known.join(first, "digest").where("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(),
         "warc-revisits",
     )
-    typed = _join_small(rows, again, ["page_id", "digest"], "left")
+    typed = rows.join(again, ["page_id", "digest"], "left")  # written tables: the optimizer knows their size
     revisit = F.col("refers_to").isNotNull()
-    as_id = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    as_id = lambda c: F.concat(F.lit("<urn:page:"), in_header(F.col(c).cast("string")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     record = F.concat(
         F.lit(MAGIC),
@@ -206,9 +207,10 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     meta = [c for c in _NAMES if c != "payload" or with_payload]
     raw = materialize(candidates(spark, path, with_payload).select(*meta), "warc-candidates")
     # a split's first chunk follows the last one of the splits before it: the bytes of chunks and magics add up
+    # one row for each split of a file
     sizes = raw.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
-    before = sizes.alias("a").join(sizes.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("b.block") < F.col("a.block")), "left")
-    base = before.groupBy(F.col("a.file").alias("file"), F.col("a.block").alias("block")).agg(F.coalesce(F.sum("b.bytes"), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
     found = raw.join(base, ["file", "block"]).withColumns(
         {"pos": F.col("rel") + F.col("base"), "exit": F.when(F.col("exit") >= 0, F.col("exit") + F.col("base")).otherwise(-1)}
     )
@@ -248,19 +250,35 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
 def _reassemble(spark: SparkSession, path: str, found: DataFrame, open_: DataFrame) -> DataFrame:
     """(file, pos, whole_digest, whole) of the records whose payload holds a magic, from a second read of their pieces."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # the last open record before a chunk: in the chunk's split, else the last one of the splits before, a row for each split
+    within = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = open_.select("file", "block", "seq", F.struct("pos", "total").alias("own"))
-    owned = found.select("file", "block", "seq", "pos").join(starts, ["file", "block", "seq"], "left").withColumn("own", F.last("own", True).over(order))
+    last = starts.groupBy("file", "block").agg(F.max("own").alias("own"))
+    carried = found.select("file", "block").distinct().join(last, ["file", "block"], "left").select("file", "block", F.last("own", True).over(before).alias("carried"))
+    owned = found.select("file", "block", "seq", "pos").join(starts, ["file", "block", "seq"], "left").join(carried, ["file", "block"], "left")
+    owned = owned.withColumn("own", F.coalesce(F.last("own", True).over(within), "carried"))
     parts = materialize(
         owned.where(F.col("pos") < F.col("own.pos") + F.col("own.total")).select("file", "block", "seq", "pos", F.col("own.pos").alias("owner"), F.col("own.total").alias("total")),
         "warc-parts",
     )
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "block", "seq", "value"])
+
         for row in _splits(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["file", "block", "seq", "value"])
+            rows.append(row)
+            size += len(row[3]) + 64
+            if size > BATCH_BYTES:
+                yield out()
+                rows, size = [], 0
+        if rows:
+            yield out()
 
     def glue(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("pos")
@@ -270,11 +288,12 @@ def _reassemble(spark: SparkSession, path: str, found: DataFrame, open_: DataFra
         return pa.table({"file": [key[0].as_py()], "pos": [key[1].as_py()], "whole_digest": [hashlib.sha256(payload).hexdigest()], "whole": pa.array([payload], pa.binary())})
 
     pieces = _chunks(spark, path).mapInArrow(number, "file string, block long, seq long, value binary")
-    return _join_small(pieces, parts, ["file", "block", "seq"], "inner").groupBy("file", "owner").applyInArrow(glue, "file string, pos long, whole_digest string, whole binary")
+    return pieces.join(parts, ["file", "block", "seq"]).groupBy("file", "owner").applyInArrow(glue, "file string, pos long, whole_digest string, whole binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back."""
     path = new_path(pages.sparkSession, "warc")
     write(pages, path)
+    deleted_at_exit(pages.sparkSession, path)
     return read(pages.sparkSession, path)
