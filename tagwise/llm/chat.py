@@ -66,7 +66,7 @@ class Template:
         return {v: k for k, v in self.names}[name]
 
 
-SEGMENTS = "conv_id {id}, turn long, segment int, role string, text string, loss boolean, valid boolean"
+SEGMENTS = "conv_id {id}, turn long, place long, segment int, role string, text string, loss boolean, valid boolean"
 
 
 def _machine(template: Template):
@@ -84,28 +84,30 @@ def format_chats(chats: DataFrame, template: Template = Template()) -> DataFrame
     """Segments in order: for each turn the template's opening, the text and the closing, each with its loss flag.
 
     ``chats`` needs ``conv_id, turn, role, text``.  Concatenating a conversation's segments gives its formatted text.
-    The rows of a conversation are contiguous and sorted within one partition.
+    The rows of a conversation are contiguous and sorted within one partition; ``place`` numbers its turns as they come, so
+    that the order can be found again.
     """
     prepare(chats.sparkSession)
     kind = chats.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, state, last, fresh = _machine(template), (START, True), None, True
+        step, state, last, fresh, place = _machine(template), (START, True), None, True, 0
         for b in batches:
             out: list[tuple] = []
             for conv, turn, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
                 if fresh or conv != last:
-                    state, last, fresh = (START, True), conv, False
+                    state, last, fresh, place = (START, True), conv, False, 0
                 role = role or ""
                 state = step(state, role)
                 loss = role in template.loss_roles
                 head = template.open_turn + template.name(role) + template.after_role
                 for k, (s, has_loss) in enumerate(((head, False), (template.escaped(text or ""), loss), (template.close_turn, False))):
-                    out.append((conv, turn, k, role, s, has_loss, state[1]))
-            cols = list(zip(*out, strict=True)) if out else [()] * 7
-            types = [b.schema.field("conv_id").type, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+                    out.append((conv, turn, place, k, role, s, has_loss, state[1]))
+                place += 1
+            cols = list(zip(*out, strict=True)) if out else [()] * 8
+            types = [b.schema.field("conv_id").type, pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["conv_id", "turn", "segment", "role", "text", "loss", "valid"]
+                [pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["conv_id", "turn", "place", "segment", "role", "text", "loss", "valid"]
             )
 
     rows = chats.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -157,9 +159,13 @@ def parse(formatted: str, template: Template = Template()) -> list[tuple[str, st
 DIGEST = "conv_id {id}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
-def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row per conversation, from the output of :func:`format_chats` (same partitions): counts and digests of the
-    turns and of the text under the loss mask, unescaped; and whether the turn order was valid."""
+def read_back(segments: DataFrame, template: Template = Template(), in_order: bool = False) -> DataFrame:
+    """One row per conversation, from the segments of :func:`format_chats`, in whatever order: counts and digests of the
+    turns and of the text under the loss mask, unescaped; and whether the turn order was valid.
+
+    ``in_order``: they come straight from :func:`format_chats`, so that they need not be dealt and sorted again."""
+    if not in_order:
+        segments = segments.repartition(partitions(segments.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place", "segment")
     kind = segments.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
