@@ -64,7 +64,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], given.schema)
-    return chat.read_back(chat.format_chats(given.unionByName(extra)))
+    return chat.read_back(chat.format_chats(given.unionByName(extra)), in_order=True)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
