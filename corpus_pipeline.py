@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwise.llm import bpe, decontaminate, langid, neardup, substring
-from tagwise.llm.common import materialize, prepare
+from tagwise.llm.common import aside, drop_since, drop_table, mark, materialize, prepare
 
 VOCABULARY, PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
 #: Fewer than the operator's own: earlier stages leave less memory to the tokenizer's workers.
@@ -15,7 +15,7 @@ CACHE_WORDS = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language models reject go."""
+    """Documents that the language models, fitted on the documents' own labels, reject go."""
     return langid.drop_rejected(docs)
 
 
@@ -25,11 +25,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat anywhere are cut; documents of which nothing is left go."""
-    cut = substring.remove_repeats(docs)
+    """Passages that repeat anywhere are cut; documents of which nothing is left go.  ``n_chars`` of a cut text is counted
+    anew; all other columns stay as they are, whatever their names."""
+    rows, back = aside(docs, "doc_id", "text", "n_chars")
+    cut = substring.remove_repeats(rows)
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_words"))
     text = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return cut.where(~emptied).withColumn("n_chars", text.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return cut.where(~emptied).withColumn("n_chars", text.cast(docs.schema["n_chars"].dataType)).select(*back)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written and read again, and what a stage wrote for itself is deleted
+    when its result is written."""
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        start = mark()
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_since(spark, start, docs)
+        if name != STAGES[0][0]:
+            drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
