@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, drop_table, materialize, partitions, pieces, prepare, row_key, runs, tidied, worker_state
+from .common import aside, drop_table, materialize, partitions, pieces, prepare, row_key, runs, tidied, trim, worker_state
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
@@ -36,6 +36,8 @@ K = BANDS * ROWS
 #: Words of the texts that meet a copy of their hub, and of each block of texts that meet each other.
 HUB_WORDS, BLOCK_WORDS = 1 << 14, 750_000
 MAX_ROUNDS = 60
+#: Elements of a batch that throw one dart at a time.
+MANY = 4096
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -104,17 +106,26 @@ def dart_minhash(elements: list[np.ndarray], weights: list[np.ndarray], k: int =
         strip, low, width = 0, 0.0, 1.0
         while (own := np.flatnonzero(w > low)).size:
             rank, arrival = np.zeros(len(own)), 0
+            partly = w[own] < low + width  # the others' darts count wherever they fall in the strip
             seed = _mixed(e[own] + _times(strip, _MIX2))
             while own.size:
-                arrival += 1
-                d = _mixed(seed + _times(arrival, _MIX))
-                rank = rank - np.log(_uniform(d)) / width
-                near = rank <= limit[own]
-                own, rank, seed, d = own[near], rank[near], seed[near], d[near]
-                hit = low + _uniform(_mixed(d ^ _MIX2)) * width <= w[own] if w.max() > 1 else slice(None)
-                slot = doc[own[hit]] * k + (_mixed(d[hit] + _MIX) % np.uint64(k)).astype(np.int64)
-                np.minimum.at(best, slot, rank[hit])
-                darts.append((slot, rank[hit], d[hit]))
+                # few elements: several arrivals at once, added up in the same order
+                step = 1 if own.size > MANY else 32
+                steps = np.arange(arrival + 1, arrival + step + 1, dtype=np.uint64) * _MIX
+                d = _mixed(seed[:, None] + steps)
+                ranks = np.cumsum(np.concatenate([rank[:, None], -np.log(_uniform(d)) / width], axis=1), axis=1)[:, 1:]
+                near = ranks <= limit[own][:, None]
+                i, j = np.nonzero(near)
+                who, at, when = own[i], d[i, j], ranks[i, j]
+                slot = doc[who] * k + (_mixed(at + _MIX) % np.uint64(k)).astype(np.int64)
+                if partly.any():
+                    hit = ~partly[i]
+                    hit[~hit] = low + _uniform(_mixed(at[~hit] ^ _MIX2)) * width <= w[who[~hit]]
+                    slot, at, when = slot[hit], at[hit], when[hit]
+                np.minimum.at(best, slot, when)
+                darts.append((slot, when, at))
+                go = near[:, -1]
+                own, rank, seed, partly, arrival = own[go], ranks[go, -1], seed[go], partly[go], arrival + step
             strip, low, width = strip + 1, low + width, max(1.0, low + width)
         sig = np.zeros(len(left) * k, np.uint64)
         for slot, rank, d in darts:
@@ -160,6 +171,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weights: str) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("key"), nodes, counts, pa.array(lists, pa.list_(pa.int64()))], ["id", "key", "node", "n", "bands"]
             )
+            trim()
 
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(row_key(id_col, text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(tidied(run), f"id {kind}, key binary, node binary, n long, bands array<long>")
