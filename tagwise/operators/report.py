@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,5 +54,22 @@ def verdict(compliant: Column) -> Column:
     return F.when(compliant, "PASS").otherwise("FAIL")
 
 
+def format_score(value: Column) -> Column:
+    """Without decimals; halves go to the even neighbour."""
+    return F.coalesce(F.bround(value, 0).cast("long").cast("string"), F.lit("N/A"))
+
+
+def certificates(scans: DataFrame, violations: DataFrame, key: str = "scan_key") -> DataFrame:
+    """A certificate for each scan (scan_id, ``key``, created_at, is_compliant, compliance_score, product_name): numbers, date,
+    verdict, score, commodity, and its violations as lines in order of their fields; empty for a scan without any."""
+    lines = violations.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("field_name", "severity", "issue"))).alias("__v"))
+    none = F.array().cast("array<string>")
+    return scans.join(lines, "scan_id", "left").select(
+        "scan_id", certificate_number(F.col(key)).alias("certificate"), report_number(F.col(key), F.col("created_at")).alias("report"), F.date_format("created_at", "dd-MM-yyyy").alias("issued"),
+        verdict(F.col("is_compliant")).alias("verdict"), format_score(F.col("compliance_score")).alias("score"), safe(commodity(F.col("product_name"))).alias("commodity"),
+        F.coalesce(violation_lines(F.col("__v")), none).alias("violations"),
+    )
+
+
 def violation_lines(violations: Column) -> Column:
     return F.transform(violations, lambda v: F.concat(F.lit("["), F.upper(v["severity"]), F.lit("] "), v["field_name"], F.lit(": "), v["issue"]))

@@ -737,6 +737,14 @@ def certificate_rows(spark, sf_dir):
     )
 
 
+@query(f"""SELECT o_orderkey AS scan_id, 'CERT-' || upper(md5(o_orderkey::VARCHAR)[1:8]) AS certificate, 'CR-' || year(o_orderdate) || '-' || upper(md5(o_orderkey::VARCHAR)[1:8]) AS report,
+  strftime(o_orderdate, '%d-%m-%Y') AS issued, CASE WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS verdict, round_even(round(o_totalprice, 2), 0)::BIGINT::VARCHAR AS score,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'Packaged Product' END AS commodity, coalesce(string_agg('[' || upper(severity) || '] ' || field_name || ': ' || issue, chr(10) ORDER BY field_name), '') AS violations
+FROM orders LEFT JOIN ({_FOUND}) ON scan_id = o_orderkey GROUP BY ALL""")
+def certificates(spark, sf_dir):
+    return report.certificates(_scans(spark, sf_dir), _found(spark, sf_dir)).withColumn("violations", F.array_join("violations", "\n"))
+
+
 @query("""SELECT coalesce(field, 'ALL') AS field, count(*) AS total, sum(ok)::BIGINT AS correct, round(avg(ok), 4) AS accuracy FROM (
   SELECT 'MRP' AS field, CASE WHEN p_partkey % 10 > 0 THEN 1 ELSE 0 END AS ok FROM part UNION ALL SELECT 'NET_QUANTITY', CASE WHEN p_partkey % 4 > 0 THEN 1 ELSE 0 END FROM part) GROUP BY ROLLUP (field)""")
 def field_accuracy(spark, sf_dir):

@@ -288,3 +288,13 @@ def test_repeated_batches_write_once(spark, tmp_path):
     for _ in range(2):
         extract.map_fields(df, ["scan_id", "image_index"]).write.mode("overwrite").parquet(f"{tmp_path}/out/batch=0")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
+def test_values_on_certificates(spark):
+    df = spark.createDataFrame([("a", datetime.datetime(2024, 5, 6), True, 84.5, "Tea ₹"), (None, None, None, None, None)], "scan_key string, created_at timestamp, is_compliant boolean, compliance_score double, product_name string")
+    df = df.withColumn("scan_id", F.monotonically_increasing_id())
+    got = report.certificates(df, spark.createDataFrame([], "scan_id long, field_name string, severity string, issue string")).orderBy(F.col("scan_key").isNull()).collect()
+    assert (got[0]["certificate"], got[0]["report"], got[0]["issued"], got[0]["verdict"], got[0]["score"], got[0]["commodity"], got[0]["violations"]) == ("CERT-A", "CR-2024-A", "06-05-2024", "PASS", "84", "Tea ?", [])
+    assert (got[1]["verdict"], got[1]["score"], got[1]["commodity"]) == ("FAIL", "N/A", "Packaged Product")
+    values = spark.createDataFrame([("2024-05",), (None,), ("₹",)], "v string")
+    assert [r[0] for r in values.select(report.format_date(F.col("v"))).collect()] == ["2024-05", "N/A", "?"]
