@@ -90,8 +90,108 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
-#: DuckDB SQL where it can express a query: words of 35-word windows, chat segments, archive records.
+_RULES = len(quality.RULES)
+_NAMES = ", ".join(f"v{i}" for i in range(_RULES))
+_VOTES = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{i}" for i, (_, bad, good) in enumerate(quality.RULES))
+
+#: DuckDB SQL where it can express a query: figures and EM over vote patterns, all pairs of texts that share a shingle, edit
+#: distance row by row to texts that hold a piece of an item, 35-word windows, chat segments, archive records.
 ORACLES = {
+    "op3_quality": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), win AS (
+  SELECT doc_id, i, concat_ws(chr(10), w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT * FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)) GROUP BY doc_id
+), f AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)
+), v AS MATERIALIZED (
+  SELECT *, {_VOTES} FROM f
+), pat AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY {_NAMES}) AS id, *, [{_NAMES}] AS votes FROM (SELECT {_NAMES}, count(*) AS n FROM v GROUP BY ALL)
+), vote AS MATERIALIZED (
+  SELECT id, n, r, votes[r + 1] AS x FROM (SELECT *, unnest(range(0, {_RULES})) AS r FROM pat)
+), em(it, k, r, x, p) AS (
+  SELECT 0, k, r, x, p FROM (
+    SELECT k, -1 AS r, 0 AS x, CASE WHEN k = 0 THEN {quality.PRIOR_GOOD} ELSE {1 - quality.PRIOR_GOOD} / {_RULES} END::DOUBLE AS p FROM range(0, {_RULES + 1}) a(k)
+    UNION ALL SELECT k, r, x, CASE WHEN k = r + 1 THEN own ELSE other END::DOUBLE FROM range(0, {_RULES + 1}) a(k), range(0, {_RULES}) b(r), (VALUES {", ".join(f"({v}, {o}, {t})" for v, o, t in zip(quality.VOTES, quality.OWN, quality.OTHER))}) c(x, own, other))
+  UNION ALL
+  SELECT * FROM (
+    WITH cur AS (
+      SELECT * FROM em WHERE it < {quality.ITERATIONS}
+    ), fit AS (
+      SELECT vote.id, vote.n, c.k, sum(ln(c.p)) AS s FROM vote JOIN cur c ON c.r = vote.r AND c.x = vote.x GROUP BY ALL
+    ), post AS (
+      SELECT id, n, k, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM (SELECT f.id, f.n, f.k, f.s + ln(c.p) AS s FROM fit f JOIN cur c ON c.r = -1 AND c.k = f.k)
+    ), share AS (
+      SELECT id, k, n * e / sum(e) OVER (PARTITION BY id) AS m FROM post
+    ), total AS (
+      SELECT k, -1 AS r, 0 AS x, {quality.SMOOTHING} + sum(m) AS m FROM share GROUP BY k
+      UNION ALL SELECT s.k, vote.r, vote.x, sum(s.m) FROM share s JOIN vote ON vote.id = s.id GROUP BY ALL
+    ), new AS (
+      SELECT c.it + 1 AS it, c.k, c.r, c.x, coalesce(t.m, 0) + CASE WHEN c.r < 0 THEN 0 ELSE {quality.SMOOTHING / 10} END AS m FROM cur c LEFT JOIN total t ON t.k = c.k AND t.r = c.r AND t.x = c.x
+    )
+    SELECT it, k, r, x, m / sum(m) OVER (PARTITION BY r, CASE WHEN r < 0 THEN 0 ELSE k END) FROM new
+  )
+), last AS MATERIALIZED (
+  SELECT k, r, x, p FROM em WHERE it = {quality.ITERATIONS}
+), odds AS (
+  SELECT id, k, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM (
+    SELECT f.id, f.k, f.s + ln(c.p) AS s FROM (SELECT vote.id, c.k, sum(ln(c.p)) AS s FROM vote JOIN last c ON c.r = vote.r AND c.x = vote.x GROUP BY ALL) f JOIN last c ON c.r = -1 AND c.k = f.k)
+), good AS (
+  SELECT id, round(sum(e) FILTER (k = 0) / sum(e), 6) AS p_good FROM odds GROUP BY id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND p_good >= 0.5 AS kept, p_good
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM v) JOIN pat USING ({_NAMES}) JOIN good USING (id)
+""",
+    "op4_neardup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h, count(*) AS n FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0) GROUP BY ALL
+), size AS (
+  SELECT doc_id, sum(n) AS t FROM g GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS common FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM met JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE common >= 0.8 * (x.t + y.t - common) - 1e-9
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM d
+  UNION SELECT r.doc_id, l.other FROM reach r JOIN (SELECT a, b AS other FROM link UNION ALL SELECT b, a FROM link) l ON l.a = r.other
+)
+SELECT doc_id, min(other) AS class_id, min(other) = doc_id AS kept FROM reach GROUP BY doc_id
+""",
+    "op6_decontaminate": r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL
+), item AS (
+  SELECT *, length(p) // 14 AS k FROM (SELECT item_id, trim(regexp_replace(lower(text), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')) AS p FROM benchmark WHERE text IS NOT NULL) WHERE p <> ''
+), piece AS (
+  SELECT item_id, p, k, p[i * length(p) // (k + 1) + 1 : (i + 1) * length(p) // (k + 1)] AS x FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM item)
+), pair AS (
+  SELECT DISTINCT doc_id, item_id, p, k, t FROM piece JOIN doc ON contains(t, x)
+), place AS (
+  SELECT row_number() OVER (ORDER BY doc_id, item_id) AS id, * FROM pair
+), spot AS (
+  SELECT id, j, t[j] AS c FROM (SELECT id, t, unnest(range(0, length(t) + 1)) AS j FROM place)
+), dp(i, id, j, v) AS (
+  SELECT 0, id, j, 0::BIGINT FROM spot
+  UNION ALL
+  SELECT * FROM (
+    WITH up AS (
+      SELECT d.i, d.id, d.j, d.v, lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j) AS diagonal FROM dp d
+    ), step AS (
+      SELECT u.i + 1 AS i, u.id, u.j, CASE WHEN u.j = 0 THEN u.i + 1 ELSE least(u.v + 1, u.diagonal + CASE WHEN s.c = x.p[u.i + 1] THEN 0 ELSE 1 END) END AS v
+      FROM up u JOIN place x ON x.id = u.id JOIN spot s ON s.id = u.id AND s.j = u.j WHERE u.i < length(x.p)
+    )
+    SELECT i, id, j, min(v - j) OVER (PARTITION BY id ORDER BY j) + j FROM step
+  )
+)
+SELECT doc_id, item_id, min(v)::INTEGER AS distance FROM dp JOIN place USING (id) WHERE i = length(p) GROUP BY doc_id, item_id, k HAVING min(v) <= k
+""",
     "op7_substring": r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
