@@ -94,9 +94,57 @@ _RULES = len(quality.RULES)
 _NAMES = ", ".join(f"v{i}" for i in range(_RULES))
 _VOTES = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{i}" for i, (_, bad, good) in enumerate(quality.RULES))
 
-#: DuckDB SQL where it can express a query: figures and EM over vote patterns, all pairs of texts that share a shingle, edit
-#: distance row by row to texts that hold a piece of an item, 35-word windows, chat segments, archive records.
+#: The vocabulary's tokens in hex; the matches of the pattern in each text, in order; the distinct ones.  RE2 has no look-ahead:
+#: a private character is put before the last blank of each run, where the pattern would stop, and the pattern without it.
+_MATCHES = r"""
+vocab AS MATERIALIZED (
+  SELECT hex(from_base64(a)) AS h, b AS id FROM read_csv('{path}', delim = ' ', header = false, quote = '', escape = '', columns = {{'a': 'VARCHAR', 'b': 'BIGINT'}})
+), piece AS (
+  SELECT doc_id, i, m[i] AS x FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(regexp_replace(text, '([\s\x0B\x{{85}}\p{{Z}}][^\s\x0B\x{{85}}\p{{Z}}])', chr(57344) || '\1', 'g'),
+      '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\x0B\x{{85}}\p{{Z}}\p{{L}}\p{{N}}\x{{E000}}]+|[\s\x0B\x{{85}}\p{{Z}}]+') AS m FROM documents WHERE text IS NOT NULL))
+), word AS MATERIALIZED (
+  SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT x FROM piece)
+)""".format(path=public_tokenizers.path(VOCABULARY))
+
+#: DuckDB SQL where it can express a query: merges pair by pair, best ways through words, figures and EM over vote patterns,
+#: all pairs of texts that share a shingle, edit distance row by row to texts that hold a piece of an item, 35-word windows,
+#: chat segments, archive records.
 ORACLES = {
+    "op1_bpe": f"WITH RECURSIVE {_MATCHES}"
+    r""", bpe(step, x, l) AS (
+  SELECT 0, x, list_transform(range(0, length(h) // 2), lambda i: h[2 * i + 1 : 2 * i + 2]) FROM word ANTI JOIN vocab USING (h)
+  UNION ALL
+  SELECT step + 1, x, l[: best % 65536 - 1] || [l[best % 65536] || l[best % 65536 + 1]] || l[best % 65536 + 2 :] FROM (
+    SELECT step, x, l, min(v.id * 65536 + i) AS best FROM (SELECT step, x, l, unnest(range(1, len(l))) AS i FROM bpe) b JOIN vocab v ON v.h = l[i] || l[i + 1] GROUP BY ALL)
+), done AS (
+  SELECT x, unnest(range(1, len(l) + 1)) AS j, l FROM (SELECT x, arg_max(l, step) AS l FROM bpe GROUP BY x) UNION ALL SELECT x, 1, [h] FROM word SEMI JOIN vocab USING (h)
+), ids AS (
+  SELECT x, count(*) AS n, string_agg(v.id::VARCHAR, ',' ORDER BY j) AS s FROM done JOIN vocab v ON v.h = l[j] GROUP BY x
+), line AS (
+  SELECT doc_id, sum(n)::BIGINT AS n, string_agg(s, ',' ORDER BY i) AS s FROM piece JOIN ids USING (x) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, sha256(coalesce(s, '')) AS ids_sha256, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents LEFT JOIN line USING (doc_id)
+""",
+    "op2_token_counts": f"WITH RECURSIVE {_MATCHES}"
+    r""", edge AS MATERIALIZED (
+  SELECT x, s, e, -ln(id + 2) AS p FROM (SELECT x, h, s, unnest(range(s + 1, least(length(h) // 2, s + (SELECT max(length(h)) // 2 FROM vocab)) + 1)) AS e FROM (SELECT *, unnest(range(0, length(h) // 2)) AS s FROM word)) c
+  JOIN vocab v ON v.h = c.h[2 * s + 1 : 2 * e]
+), dp(x, e, best, n) AS (
+  SELECT x, 0::BIGINT, [0.0::DOUBLE], [0::BIGINT] FROM word
+  UNION ALL
+  SELECT * FROM (
+    WITH way AS (
+      SELECT d.x, d.e + 1 AS e, any_value(d.best) AS best, any_value(d.n) AS n, max(d.best[g.s + 1] + g.p) AS top, list((d.best[g.s + 1] + g.p, d.n[g.s + 1] + 1)) AS ways
+      FROM dp d JOIN edge g ON g.x = d.x AND g.e = d.e + 1 GROUP BY d.x, d.e
+    )
+    SELECT x, e, list_append(best, top), list_append(n, list_min(list_transform(list_filter(ways, lambda y: y[1] > top - 1e-9), lambda y: y[2]))) FROM way
+  )
+), cost AS (
+  SELECT x, arg_max(n, e)[-1] AS n FROM dp GROUP BY x
+)
+SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS n_tokens FROM documents LEFT JOIN (SELECT doc_id, n FROM piece JOIN cost USING (x)) USING (doc_id) GROUP BY doc_id
+""",
     "op3_quality": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
