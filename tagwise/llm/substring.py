@@ -7,9 +7,10 @@ Words covered by a window that occurs at least twice are then cut from their doc
 
 A task packs equal strings once.  A string that it meets twice repeats for certain: its places are written down at once, and
 only the string goes to the bucket, so that thousands of copies don't bring their places to one task.  What goes to a bucket
-is compressed.  There are as many buckets as the bytes of the texts ask for, at least; one whose windows exceed
-:data:`PASS_WORDS` is counted in several passes, each over one residue class of the window hashes.  Documents move once,
-compressed, to be joined with their spans.
+is compressed.  There are as many buckets as the bytes of the texts ask for, at least.  A first pass weighs them: a bucket that
+would be far larger than others, for a minimiser that is very common, is split by another minimiser of its windows.  One whose
+windows exceed :data:`PASS_WORDS` all the same is counted in several passes, each over one residue class of the window hashes.
+Documents move once, compressed, to be joined with their spans.
 
 Words are maximal runs of ``[^\\x20\\x09-\\x0D]``, unchanged.  Null text: no words, stays null.  Documents with fewer words
 than a window keep all.  Rows with equal id and text are copies of each other and lose all their windows.  Empty tables
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, pieces, prepare, row_key, runs, text_bytes, tidied, worker_state
+from .common import materialize, partitions, pieces, prepare, row_key, runs, text_bytes, tidied, worker_state
 
 WIDTH, GRAMS = 35, 4
 #: Buckets per shuffle partition; bytes that a task packs before it sends; words of one counting pass.
@@ -38,7 +39,9 @@ BUCKETS_PER_PARTITION, FLUSH_BYTES, PASS_WORDS = 8, 40 << 20, 8_000_000
 PARTITION_BYTES = 256 << 20
 #: Buckets in one batch that a task sends; places known at once in one row.
 SEND_ROWS, SEND_PLACES = 64, 50_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A bucket is split that has this many words, and this many times the words of a bucket on average.
+HEAVY_WORDS, HEAVY_TIMES = 2_000_000, 4
+_MIX, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -47,52 +50,93 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def super_kmers(texts: list[bytes | None], width: int = WIDTH, grams: int = GRAMS):
-    """(minimiser, bytes, document, first word's place) of each run of windows that share a minimiser."""
-    docs = [(t or b"").split() for t in texts]
-    size = np.array([len(d) for d in docs], np.int64)
-    words = [w for d in docs for w in d]
-    if len(words) < width:
-        return
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    start = np.cumsum(lens + 1) - (lens + 1)
-    data = b" ".join(words)
-    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    g = h[: len(h) - grams + 1]
-    for k in range(1, grams):
-        g = _mixed(g) + h[k : len(h) - grams + 1 + k]
-    g = _mixed(g)
-    left, step = width - grams + 1, 1
-    while left > 1:  # least of `left` neighbours, by doubling
+def _least(g: np.ndarray, left: int) -> np.ndarray:
+    """Least of ``left`` neighbours, by doubling."""
+    step = 1
+    while left > 1:
         step = min(step, left - 1)
         g = np.minimum(g[:-step], g[step:])
         left, step = left - step, step * 2
-    doc = np.repeat(np.arange(len(docs)), size)
-    own = doc[: len(g)] == doc[width - 1 :]
-    first = own.copy()
-    first[1:] &= ~own[:-1] | (g[1:] != g[:-1])
-    s = np.flatnonzero(first)
-    if not len(s):
-        return
-    n = np.bincount(np.cumsum(first)[own] - 1, minlength=len(s))
-    last = s + n + width - 2
-    at, to = start[s].tolist(), (start[last] + lens[last]).tolist()
-    place = s - (np.cumsum(size) - size)[doc[s]]
-    yield from zip(g[s].tolist(), (data[a:b] for a, b in zip(at, to, strict=True)), doc[s].tolist(), place.tolist(), strict=True)
+    return g
+
+
+class Windows:
+    """All windows of some texts: the minimiser of each, and which lie within one document."""
+
+    def __init__(self, texts: list[bytes | None], width: int = WIDTH, grams: int = GRAMS):
+        docs = [(t or b"").split() for t in texts]
+        self.size, self.words = np.array([len(d) for d in docs], np.int64), [w for d in docs for w in d]
+        self.width, self.left = width, width - grams + 1
+        self.doc = np.repeat(np.arange(len(docs)), self.size)
+        if len(self.words) < width:
+            self.grams = self.minimiser = np.zeros(0, np.uint64)
+            self.within = np.zeros(0, bool)
+            return
+        h = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
+        g = h[: len(h) - grams + 1]
+        for k in range(1, grams):
+            g = _mixed(g) + h[k : len(h) - grams + 1 + k]
+        self.grams = _mixed(g)
+        self.minimiser = _least(self.grams, self.left)
+        self.within = self.doc[: len(self.minimiser)] == self.doc[width - 1 :]
+
+    def second(self) -> np.ndarray:
+        """Another minimiser of each window, by another order of the same pieces."""
+        return _least(_mixed(self.grams ^ _OTHER), self.left)
+
+    def starts(self, route: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First windows and lengths of the runs that share minimiser and route."""
+        first = self.within.copy()
+        first[1:] &= ~self.within[:-1] | (self.minimiser[1:] != self.minimiser[:-1]) | (route[1:] != route[:-1])
+        s = np.flatnonzero(first)
+        return s, np.bincount(np.cumsum(first)[self.within] - 1, minlength=len(s))
+
+    def super_kmers(self, route: np.ndarray):
+        """(route, bytes, document, first word's place) of each run."""
+        s, n = self.starts(route)
+        if not len(s):
+            return
+        lens = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        start = np.cumsum(lens + 1) - (lens + 1)
+        data = b" ".join(self.words)
+        last = s + n + self.width - 2
+        at, to = start[s].tolist(), (start[last] + lens[last]).tolist()
+        place = s - (np.cumsum(self.size) - self.size)[self.doc[s]]
+        yield from zip(route[s].tolist(), (data[a:b] for a, b in zip(at, to, strict=True)), self.doc[s].tolist(), place.tolist(), strict=True)
+
+
+class Router:
+    """Buckets of windows: by minimiser, and those of a bucket that would be too large by another minimiser as well; equal
+    windows agree in both."""
+
+    def __init__(self, buckets: int, heavy: dict[int, int]):
+        self.n, self.heavy = buckets, np.array(sorted(heavy), np.int64)
+        self.parts = np.array([heavy[b] for b in sorted(heavy)], np.int64)
+        self.base = buckets + np.cumsum(self.parts) - self.parts
+        self.total = buckets + int(self.parts.sum())
+
+    def __call__(self, windows: Windows) -> np.ndarray:
+        route = (windows.minimiser % np.uint64(self.n)).astype(np.int64)
+        if len(self.heavy) and len(route):
+            k = np.minimum(np.searchsorted(self.heavy, route), len(self.heavy) - 1)
+            split = np.flatnonzero(self.heavy[k] == route)
+            if len(split):
+                k = k[split]
+                route[split] = self.base[k] + (windows.second()[split] % self.parts[k].astype(np.uint64)).astype(np.int64)
+        return route
 
 
 class Packer:
     """Collects super-k-mers per bucket; equal strings are kept once."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int) -> None:
         self.n, self.bytes = buckets, 0
         self.held: dict[int, tuple[dict[bytes, int], list[int], list[bytes], list[int]]] = {}
         self.zip = zstandard.ZstdCompressor(level=3)
 
     def add(self, keys: list[bytes], found) -> None:
         held, total = self.held, 0
-        for minimiser, text, doc, place in found:
-            b = minimiser % self.n
+        for b, text, doc, place in found:
             if (x := held.get(b)) is None:
                 x = held[b] = ({}, [], [], [])
             if (i := x[0].get(text)) is None:
@@ -243,21 +287,43 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     parts = max(partitions(spark), -(-text_bytes(docs, text_col) // PARTITION_BYTES))
     buckets = parts * BUCKETS_PER_PARTITION
 
+    texts = docs.select(F.unhex(row_key(id_col, text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words that go to each bucket."""
+        worker_state("substring")
+        words = np.zeros(buckets, np.int64)
+        for b in pieces(batches, "text", 4 << 20):
+            w = Windows(b.column("text").to_pylist(), width)
+            route = (w.minimiser % np.uint64(buckets)).astype(np.int64)
+            s, n = w.starts(route)
+            np.add.at(words, route[s], n + width - 1)
+        used = np.flatnonzero(words)
+        for s in range(0, len(used), SEND_PLACES):
+            part = used[s : s + SEND_PLACES]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part])], ["bucket", "words"])
+
+    weights = texts.select("text").mapInArrow(tidied(weigh), "bucket long, words long").groupBy("bucket").agg(F.sum("words").alias("words"))
+    weights = materialize(weights, "bucket-words")
+    most = max(HEAVY_WORDS, HEAVY_TIMES * (weights.agg(F.sum("words")).first()[0] or 0) // buckets)
+    # less than one in HEAVY_TIMES buckets
+    route = Router(buckets, {r["bucket"]: -(-r["words"] // most) * HEAVY_TIMES for r in weights.where(F.col("words") > most).collect()})
+    held, total = spark.sparkContext.broadcast(route), route.total
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("substring")
-        packer = Packer(buckets)
+        packer = Packer(total)
         for b in pieces(batches, "text", 4 << 20):
-            packer.add(b.column("key").to_pylist(), super_kmers(b.column("text").to_pylist(), width))
+            windows = Windows(b.column("text").to_pylist(), width)
+            packer.add(b.column("key").to_pylist(), windows.super_kmers(held.value(windows)))
             if packer.bytes >= FLUSH_BYTES:
                 yield from packer.flush()
         if packer.held:
             yield from packer.flush()
 
-    packed = docs.select(F.unhex(row_key(id_col, text_col)).alias("key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        tidied(pack), "bucket long, strings binary, keys binary, places binary, twice binary"
-    )
+    packed = texts.mapInArrow(tidied(pack), "bucket long, strings binary, keys binary, places binary, twice binary")
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(tidied(lambda it: _count(it, width, buckets)), "key binary, first int, end int")
+    found = dealt.mapInArrow(tidied(lambda it: _count(it, width, total)), "key binary, first int, end int")
     return found.groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 

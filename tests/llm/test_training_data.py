@@ -379,14 +379,18 @@ def test_substring_dedup_equals_brute_force(docs):
 
 
 @pytest.mark.parametrize("parts", [1, 5])
-def test_passages_met_often_in_one_task(spark, parts):
+def test_passages_met_often_in_one_task(spark, parts, monkeypatch):
     """Places that are known at once, and windows of such passages that others share in part."""
     rng = random.Random(11)
     say = lambda n: " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(n))
     passage = say(80)
     rows = [(i, say(rng.randint(0, 40)) + " " + passage + " " + say(rng.randint(0, 40))) for i in range(30)] + [(100, say(50) + " " + " ".join(passage.split()[10:60])), (101, say(60)), (102, passage), (102, passage)]
     seen = collections.Counter(tuple(w[j : j + 35]) for w in (words(t) for _, t in rows) for j in range(len(w) - 34))
-    got = collections.Counter((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = collections.Counter((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(df).collect())
+    monkeypatch.setattr(substring, "HEAVY_WORDS", 100)  # buckets are split
+    monkeypatch.setattr(substring, "HEAVY_TIMES", 2)
+    assert got == collections.Counter((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(df).collect())
     assert got == collections.Counter((i, len({j + k for j in range(len(w) - 34) for k in range(35) if seen[tuple(w[j : j + 35])] > 1})) for i, w in ((i, words(t)) for i, t in rows))
 
 
@@ -629,3 +633,21 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=RANKS, special_tokens={})
     assert {i: r["ids"] for i, r in steps[4].items()} == {i: enc.encode_ordinary(r["text"] or "") for i, r in steps[3].items()}
     assert all(r["round_trip"] for r in steps[4].values())
+
+
+def test_split_buckets_hold_equal_windows_together():
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("abcd") for _ in range(120)).encode() for _ in range(20)]
+    texts += texts[:3]
+    windows = substring.Windows(texts)
+    whole, split = substring.Router(4, {}), substring.Router(4, {0: 3, 2: 5})
+    a, b = whole(windows), split(windows)
+    assert set(a[windows.within]) <= set(range(4)) and set(b[windows.within]) - set(a) and b.max() < split.total == 12
+    by = collections.defaultdict(set)
+    for i in np.flatnonzero(windows.within):
+        by[tuple(windows.words[i : i + substring.WIDTH])].add(b[i])
+    assert all(len(x) == 1 for x in by.values())
+    # runs cover every window once
+    found = list(windows.super_kmers(b))
+    assert sum(len(t.split()) - substring.WIDTH + 1 for _, t, _, _ in found) == windows.within.sum()
+    assert all(t == b" ".join(texts[d].split()[p : p + len(t.split())]) for _, t, d, p in found)
