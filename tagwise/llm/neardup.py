@@ -270,12 +270,15 @@ def _links(met: DataFrame, texts: DataFrame, threshold: float, weights: str) ->
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     is_hub = F.col("hub") == F.col("node")
-    dealt = met.join(_blocks(met, HUB_WORDS, "blocks"), "hub").withColumn("i", F.explode(F.when(is_hub, every("blocks")).otherwise(F.array(block("blocks")))))
+    # hubs of several blocks are few: written, their size is known, and the members need not move by hub
+    large = materialize(_blocks(met, HUB_WORDS, "blocks").where("blocks > 1"), "dart-large-hubs")
+    numbered = met.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = numbered.withColumn("i", F.explode(F.when(is_hub, every("blocks")).otherwise(F.array(block("blocks")))))
     groups = dealt.select("hub", "i", "node", is_hub.alias("asks")).join(texts, "node").repartition(parts, "hub", "i").sortWithinPartitions("hub", "i")
     near = materialize(groups.mapInArrow(tidied(lambda it: _to_hub(it, threshold, weights)), "hub binary, node binary, linked boolean"), "dart-near-hub")
     # what isn't linked to its hub asks all members of the group
     asking = met.join(near.where("NOT linked").select("hub", "node"), ["hub", "node"])
-    cuts = _blocks(asking, BLOCK_WORDS, "rows").join(_blocks(met, BLOCK_WORDS, "columns"), "hub")
+    cuts = materialize(_blocks(asking, BLOCK_WORDS, "rows").join(_blocks(met, BLOCK_WORDS, "columns"), "hub"), "dart-cuts")
     asks = asking.join(cuts, "hub").select("hub", "node", block("rows").alias("i"), F.explode(every("columns")).alias("j"), F.lit(True).alias("asks"))
     answers = met.join(cuts, "hub").select("hub", "node", F.explode(every("rows")).alias("i"), block("columns").alias("j"), F.lit(False).alias("asks"))
     pairs = asks.unionByName(answers).join(texts, "node").repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
