@@ -298,3 +298,88 @@ def test_values_on_certificates(spark):
     assert (got[1]["verdict"], got[1]["score"], got[1]["commodity"]) == ("FAIL", "N/A", "Packaged Product")
     values = spark.createDataFrame([("2024-05",), (None,), ("₹",)], "v string")
     assert [r[0] for r in values.select(report.format_date(F.col("v"))).collect()] == ["2024-05", "N/A", "?"]
+
+
+def _png_of(a, filters=(0, 1, 2, 3, 4), extra=b""):
+    """A PNG image whose rows take all filters in turn."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    h, w = a.shape[:2]
+    n = 1 if a.ndim == 2 else a.shape[2]
+    rows, flat = b"", a.reshape(h, w * n).astype(int)
+    for y in range(h):
+        up = flat[y - 1] if y else np.zeros(w * n, int)
+        left, corner = np.concatenate([np.zeros(n, int), flat[y][:-n]]), np.concatenate([np.zeros(n, int), up[:-n]])
+        p = left + up - corner
+        paeth = np.array([min((a_, b_, c_), key=lambda v: abs(q - v)) for a_, b_, c_, q in zip(left, up, corner, p)])
+        k = filters[y % len(filters)]
+        rows += bytes([k]) + bytes(((flat[y] - (0, left, up, (left + up) // 2, paeth)[k]) % 256).tolist())
+    chunk = lambda name, data: len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[n], 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_images_are_decoded_and_turned():
+    import numpy as np
+
+    from tagwise.operators import pixels
+
+    rng = np.random.default_rng(0)
+    for shape in ((7, 5), (6, 9, 3), (5, 4, 4)):
+        a = rng.integers(0, 256, shape).astype(np.uint8)
+        assert (pixels.decode(_png_of(a)) == a).all()
+    a = rng.integers(0, 256, (4, 3, 3)).astype(np.uint8)
+    assert (pixels.decode(b"P6\n# x\n3 4\n255\n" + a.tobytes()) == a).all()
+    tiff = b"MM\0*\0\0\0\x08\0\x01" + b"\x01\x12\0\x03\0\0\0\x01\0\x06\0\0" + b"\0\0\0\0"
+    jpeg = b"\xff\xd8\xff\xe1" + (len(tiff) + 8).to_bytes(2, "big") + b"Exif\0\0" + tiff + b"\xff\xda"
+    assert pixels.orientation(jpeg) == 6 and pixels.orientation(b"\xff\xd8\xff\xda") == pixels.orientation(b"x") == 1
+    one = np.array([[1, 2], [3, 4]])
+    assert [pixels.upright(one, k).tolist() for k in range(1, 9)] == [
+        [[1, 2], [3, 4]], [[2, 1], [4, 3]], [[4, 3], [2, 1]], [[3, 4], [1, 2]], [[1, 3], [2, 4]], [[3, 1], [4, 2]], [[4, 2], [3, 1]], [[2, 4], [1, 3]],
+    ]
+    assert pixels.rotate(one, 90).tolist() == [[3, 1], [4, 2]] and pixels.rotate(one, 270).tolist() == [[2, 4], [1, 3]]
+    small = pixels.shrink(np.arange(64, dtype=np.uint8).reshape(8, 8), 4)
+    assert small.tolist() == [[round((16 * i + 2 * j) + 4.5) for j in range(4)] for i in range(4)]
+    assert pixels.shrink(np.zeros((30, 10, 3), np.uint8), 7).shape == (7, 2, 3) and pixels.shrink(one, 2) is one
+
+
+def test_faint_strokes_stand_out():
+    import numpy as np
+
+    from tagwise.operators import pixels
+
+    a = np.full((64, 64), 120, np.uint8)
+    a[20:44, 30:33] = 100  # a faint stroke
+    out = pixels.stamped(a)
+    assert (out[22:42, 31] == 255).all() and (out[:, :20] == 0).mean() > 0.9 and set(np.unique(out)) <= {0, 255}
+    dots = np.full((64, 64), 200, np.uint8)
+    dots[10:50:2, 30] = 40
+    assert (pixels.stamped(dots)[12:48, 30] == 255).all()  # gaps of one pixel are closed
+    assert pixels.stamped(np.zeros((1, 1), np.uint8)).shape == (1, 1)
+
+
+def test_tokens_of_images(spark):
+    import numpy as np
+
+    from tagwise.operators import pixels
+
+    def marks_reader():
+        """Reads "MRP 5" where the upper left pixel is bright; fails on arrays that are higher than wide."""
+
+        def read(a, faint):
+            if a.shape[0] > a.shape[1]:
+                raise ValueError("too high")
+            if faint:
+                return [([[0, 0], [1, 1]], "x", 0.5), ("malformed",)]
+            return [([[0, 0], [1, 0], [1, 1], [0, 1]], "MRP 5" if a[0, 0].max() > 200 else "?", 0.9)]
+
+        return read
+
+    a = np.zeros((4, 6, 3), np.uint8)
+    a[-1, -1] = 255  # upside down
+    df = spark.createDataFrame([(1, bytearray(_png_of(a))), (2, bytearray(b"broken")), (3, None)], "k int, content binary")
+    got = {r["k"]: r["tokens"] for r in pixels.recognise(df, marks_reader, ["k"]).collect()}
+    assert [t["text"] for t in got[1]] == ["MRP 5", "x"] and got[2] == got[3] == []
+    assert pixels.recognise(df.limit(0), marks_reader, ["k"]).count() == 0
