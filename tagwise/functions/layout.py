@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from . import vocabulary as V
 
-_ANCHORS = {field: re.compile(p) for field, p in V.ANCHORS.items()}
+_ANCHORS = {field: re.compile("|".join(words)) for field, words in V.ANCHORS.items()}
 _SWEEP = {field: re.compile(p, re.IGNORECASE | (re.DOTALL if field == "MANUFACTURER_ADDRESS" else 0)) for field, p in V.SWEEP.items()}
 _DATES = ("DATE_STRICT", "DATE_MONTH_YEAR")
 #: Patterns of a field's value, the first that matches counts.

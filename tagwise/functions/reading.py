@@ -153,8 +153,8 @@ BOUNDED_BY = {
 # --- values
 
 _INTEGER = re.compile(V.INTEGER)
-_CURRENCY, _BARE, _BROKEN = (re.compile(p, re.IGNORECASE) for p in (V.CURRENCY_AMOUNT + V.CURRENCY_END, V.AMOUNT_ONLY, V.BROKEN_AMOUNT))
-_QUANTITY = re.compile(V.QUANTITY_START + V.QUANTITY_VALUE, re.IGNORECASE)
+_CURRENCY, _BARE, _BROKEN = (re.compile(p, re.IGNORECASE) for p in (V.CURRENCY_AMOUNT, V.AMOUNT_ONLY, V.BROKEN_AMOUNT))
+_QUANTITY = re.compile(V.QUANTITY_VALUE, re.IGNORECASE)
 _PHONE, _EMAIL = re.compile(V.PHONE, re.IGNORECASE), re.compile(V.EMAIL, re.IGNORECASE)
 _PRICE_WORDS, _FOOD_WORDS, _DATE_WORDS = _any(V.MRP_NEGATIVE), _any(V.NET_QUANTITY_NEGATIVE), _any(V.DATE_NEGATIVE)
 _LETTER, _BLANKS = re.compile("[A-Za-z]"), re.compile(r"\s+")

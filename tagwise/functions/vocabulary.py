@@ -58,16 +58,16 @@ BATCH_NEGATIVE = [r"\bBatch\b", r"\bBatch\s*No\.?\b", r"\bB\.?NO\.?\b", r"\bLOT\
 DATE_NEGATIVE = [p for p, _ in EXPIRY_LABELS] + BATCH_NEGATIVE
 QUERY_BOUNDARIES = [r"\bfor\s+customer\s+queries\b", r"\bfor\s+consumer\s+queries\b", r"\bfor\s+queries\b", r"\bcustomer\s+queries\b", r"\bconsumer\s+queries\b"]
 
-# Value patterns.  Groups are numbered.
-CURRENCY_AMOUNT = r"([+-])?\s*(₹|Rs\.?|INR|\?)\s*([+-])?\s*(\d[\d,]*(?:\.\d+)?)(/-)?([A-Za-z]+)?"
-CURRENCY_END = r"(?![A-Za-z0-9_]|-\w|%\w)"
+# Value patterns.  Groups are numbered, as the second-pass patterns are used by Java too, which has no names
+# with underscores.
+CURRENCY_AMOUNT = r"([+-])?\s*(₹|Rs\.?|INR|\?)\s*([+-])?\s*(\d[\d,]*(?:\.\d+)?)(/-)?([A-Za-z]+)?(?![A-Za-z0-9_]|-\w|%\w)"
 AMOUNT_ONLY = r"^[\s:]*([+-])?(\d[\d,]*(?:\.\d+)?)(?!\w)"
 BROKEN_AMOUNT = r"\bR\s*=\s*\.?\s*(\d{2,4})\s*[\.\s]+\s*(\d{2})\b"
 UNIT = (
     r"(milligrams?|kilograms?|millilitres?|milliliters?|litres?|liters?|grams?|mg|kg|g|ml|l|"
     r"pieces?|pcs?|units?|u|n|numbers?|cigarettes?|sticks?|tablets?|pills?|pairs?)"
 )
-QUANTITY_START, QUANTITY_VALUE = r"(?<![\d.,])", r"([+-])?\s*(\d[\d,]*(?:\.\d+)?)\s*" + UNIT + r"\b"
+QUANTITY_VALUE = r"(?<![\d.,])([+-])?\s*(\d[\d,]*(?:\.\d+)?)\s*" + UNIT + r"\b"
 INTEGER = r"(?:\d{1,3}(?:,\d{3})+|\d{1,3}(?:,\d{2})+,\d{3}|\d+)"
 UNITS = {
     "l": "l", "litre": "l", "litres": "l", "liter": "l", "liters": "l", "ml": "ml", "millilitre": "ml", "millilitres": "ml", "milliliter": "ml", "milliliters": "ml",
@@ -109,10 +109,10 @@ SWEEP = {
     "MANUFACTURER_ADDRESS": r"(?:MANUFACTURED|MARKETED|PACKED|MFD\.?|MKTD\.?)[\s\.]*BY[\s:,\-]+(.*?)(?=\b(?:FSSAI|LIC\b|CONSUMER|CUSTOMER|NET\b|MRP|BATCH|STORE|ALLERGEN|FOR\s|ISO\b|@|1800)|$)",
 }
 ANCHORS = {
-    "MRP": "MRP|MAX.*RETAIL|PRICE|INCL.*TAXES|USP",
-    "MANUFACTURING_DATE": r"MFD|MFG|MANUFACTURED|MFO|^M\s+|BATCH NO",
-    "EXPIRY_DATE": r"EXP|USE BY|BEST BEFORE|^U\s+",
-    "NET_QUANTITY": "NET QTY|NET WT|WEIGHT|VOLUME|CONTENT",
+    "MRP": ["MRP", "MAX.*RETAIL", "PRICE", "INCL.*TAXES", "USP"],
+    "MANUFACTURING_DATE": ["MFD", "MFG", "MANUFACTURED", "MFO", r"^M\s+", "BATCH NO"],
+    "EXPIRY_DATE": ["EXP", "USE BY", "BEST BEFORE", r"^U\s+"],
+    "NET_QUANTITY": ["NET QTY", "NET WT", "WEIGHT", "VOLUME", "CONTENT"],
 }
 MAX_LEFT, MAX_RIGHT, MAX_DOWN, MAX_UP = 40, 400, 60, 40
 

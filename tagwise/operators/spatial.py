@@ -72,7 +72,7 @@ def anchored(tokens: DataFrame, keys: list[str], field: str, value_pattern: str)
     """The first anchor token with a neighbour that matches, and its nearest such neighbour; tokens equal to the anchor in
     text and box don't count."""
     same = (F.col("a.text") == F.col("b.text")) & (F.col("a.xmin") == F.col("b.xmin")) & (F.col("a.ymin") == F.col("b.ymin"))
-    near = pairs(tokens, keys, in_window() & F.upper("a.text").rlike("(?uU)" + V.ANCHORS[field]) & F.col("b.text").rlike(X.FLAGS + value_pattern) & ~same)
+    near = pairs(tokens, keys, in_window() & F.upper("a.text").rlike("(?uU)" + "|".join(V.ANCHORS[field])) & F.col("b.text").rlike(X.FLAGS + value_pattern) & ~same)
     rows = near.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.token_index").alias("anchor"), F.col("b.token_index").alias("neighbour"), F.col("b.text").alias("evidence"), distance().alias("distance"))
     order = Window.partitionBy(*keys).orderBy("anchor", "distance", "neighbour")
     value = F.regexp_extract("evidence", X.FLAGS + value_pattern, 0)
