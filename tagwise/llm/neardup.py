@@ -33,8 +33,9 @@ from .common import aside, drop_table, materialize, partitions, pieces, prepare,
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
 K = BANDS * ROWS
-#: Words of the texts that meet a copy of their hub, and of each block of texts that meet each other.
-HUB_WORDS, BLOCK_WORDS = 1 << 14, 750_000
+#: Words of the texts that meet a copy of their hub, and at most of each block of texts that meet each other; such blocks are
+#: as small as the former as long as there are no more than this many.
+HUB_WORDS, BLOCK_WORDS, SMALL_BLOCKS = 1 << 14, 750_000, 16
 MAX_ROUNDS = 60
 #: Elements of a batch that throw one dart at a time.
 MANY = 4096
@@ -259,9 +260,12 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _blocks(members: DataFrame, words: int, name: str) -> DataFrame:
+def _blocks(members: DataFrame, words: int, name: str, small: int | None = None) -> DataFrame:
     """(hub, ``name``): into how many blocks the members of each hub are cut."""
-    return members.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / words)).cast("int").alias(name))
+    n = F.greatest(F.lit(1), F.ceil(F.sum("n") / words))
+    if small:
+        n = F.greatest(n, F.least(F.lit(SMALL_BLOCKS), F.ceil(F.sum("n") / small)))
+    return members.groupBy("hub").agg(n.cast("int").alias(name))
 
 
 def _links(met: DataFrame, texts: DataFrame, threshold: float, weights: str) -> DataFrame:
@@ -278,7 +282,7 @@ def _links(met: DataFrame, texts: DataFrame, threshold: float, weights: str) ->
     near = materialize(groups.mapInArrow(tidied(lambda it: _to_hub(it, threshold, weights)), "hub binary, node binary, linked boolean"), "dart-near-hub")
     # what isn't linked to its hub asks all members of the group
     asking = met.join(near.where("NOT linked").select("hub", "node"), ["hub", "node"])
-    cuts = materialize(_blocks(asking, BLOCK_WORDS, "rows").join(_blocks(met, BLOCK_WORDS, "columns"), "hub"), "dart-cuts")
+    cuts = materialize(_blocks(asking, BLOCK_WORDS, "rows", HUB_WORDS).join(_blocks(met, BLOCK_WORDS, "columns", HUB_WORDS), "hub"), "dart-cuts")
     asks = asking.join(cuts, "hub").select("hub", "node", block("rows").alias("i"), F.explode(every("columns")).alias("j"), F.lit(True).alias("asks"))
     answers = met.join(cuts, "hub").select("hub", "node", F.explode(every("rows")).alias("i"), block("columns").alias("j"), F.lit(False).alias("asks"))
     pairs = asks.unionByName(answers).join(texts, "node").repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
