@@ -13,8 +13,9 @@ from . import layout, reading
 
 #: Case-insensitive, with Unicode's letters, digits and blanks.
 FLAGS = "(?iuU)"
-#: Inputs of fewer bytes for each core are dealt anew before work that is bound by the processor.
-SPREAD_BYTES = 16 << 20
+#: Inputs of fewer bytes for each core are dealt anew before work that is bound by the processor, but not more thinly than the
+#: latter.
+SPREAD_BYTES, LEAST_BYTES = 16 << 20, 64 << 10
 
 _BBOX = "array<array<double>>"
 INDEX = f"array<struct<start:int,end:int,i:int,text:string,confidence:double,language:string,bbox:{_BBOX}>>"
@@ -32,7 +33,8 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    parts = min(cores, size // LEAST_BYTES)
+    return df.repartition(parts) if parts > 1 and size < cores * SPREAD_BYTES else df
 
 
 def arrow(result: str, one):
