@@ -16,6 +16,8 @@ FLAGS = "(?iuU)"
 #: Inputs of fewer bytes for each core are dealt anew before work that is bound by the processor, but not more thinly than the
 #: latter.
 SPREAD_BYTES, LEAST_BYTES = 16 << 20, 64 << 10
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE_ROWS = 256
 
 _BBOX = "array<array<double>>"
 INDEX = f"array<struct<start:int,end:int,i:int,text:string,confidence:double,language:string,bbox:{_BBOX}>>"
@@ -44,7 +46,9 @@ def arrow(result: str, one):
 
     @F.arrow_udf(returnType=result)
     def call(column: pa.Array) -> pa.Array:
-        return pa.array([one(x) for x in column.to_pylist()], kind)
+        # some rows at a time: as Python objects they take many times the room
+        parts = [pa.array([one(x) for x in column.slice(s, SLICE_ROWS).to_pylist()], kind) for s in range(0, len(column), SLICE_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return call
 
