@@ -383,3 +383,10 @@ def test_tokens_of_images(spark):
     got = {r["k"]: r["tokens"] for r in pixels.recognise(df, marks_reader, ["k"]).collect()}
     assert [t["text"] for t in got[1]] == ["MRP 5", "x"] and got[2] == got[3] == []
     assert pixels.recognise(df.limit(0), marks_reader, ["k"]).count() == 0
+
+
+def test_batches_longer_than_a_slice(spark):
+    df = spark.range(1000).coalesce(1).select("id", F.concat(F.lit("MRP Rs "), (F.col("id") + 1).cast("string"), F.lit(".00")).alias("norm"))
+    found = extract.candidates(df, "MRP").select("id", F.get("candidates", F.lit(0))["amount"].alias("amount")).collect()
+    assert len(found) == 1000 and all(r["amount"] == r["id"] + 1 for r in found)
+    assert X.spread(spark.range(10)).count() == 10
