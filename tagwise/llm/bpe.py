@@ -37,6 +37,8 @@ LONG_WORD = 256
 CACHE_WORDS, QUERY_WORDS, QUERY_ROWS = 500_000, 20_000, 2_000_000
 #: Ids in one decoding query, about; a document stays whole.
 DECODE_IDS = 500_000
+#: Bytes of text that are encoded and decoded at a time where one worker does both, about; a document stays whole.
+CHECK_BYTES = 1 << 20
 #: A vocabulary file above this size is refused: it is sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -252,6 +254,27 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str =
     return docs.select(*kept, F.col(text_col).cast("binary").alias(raw)).mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", same_col: str = "round_trip", keep: list[str] | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """As :func:`encode`, with ``same_col`` boolean: whether the ids decode to the bytes of the text; both in one worker."""
+    prepare(docs.sparkSession)
+    held = _vocabulary(docs.sparkSession, vocabulary_path)
+    kept = [c for c in docs.columns if c not in (out_col, same_col) and (keep is None or c in keep)]
+    raw = "__text_bytes"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(held.value, pattern)
+        for b in pieces(batches, raw, CHECK_BYTES):
+            texts = [t or b"" for t in b.column(raw).to_pylist()]
+            ids = codec.encode(texts, cache_words)
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            same = [x == t for x, t in zip(codec.decode(lists), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), lists, pa.array(same, pa.bool_())], [*kept, out_col, same_col])
+
+    schema = T.StructType([docs.schema[c] for c in kept]).add(out_col, T.ArrayType(T.IntegerType())).add(same_col, T.BooleanType())
+    return docs.select(*kept, F.col(text_col).cast("binary").alias(raw)).mapInArrow(run, schema)
+
+
 def decode(docs: DataFrame, vocabulary_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``docs`` with ``out_col`` binary: the bytes that the ids stand for.  Ids outside the vocabulary give no bytes."""
     prepare(docs.sparkSession)
