@@ -41,10 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
-    path = public_tokenizers.path(VOCABULARY)
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, PATTERN, cache_words=CACHE_WORDS), path, PATTERN)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    out = bpe.encode_checked(docs, public_tokenizers.path(VOCABULARY), PATTERN, keep=["doc_id", "lang", "source"], cache_words=CACHE_WORDS)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
