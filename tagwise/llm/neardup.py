@@ -308,9 +308,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts = docs.select(F.unhex(row_key(id_col, text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
     if rows.groupBy("key").count().where("count > 1").head(1):  # equal rows: one of them before the texts move
         texts = texts.dropDuplicates(["key"])
-    # written, so that its size decides whether it goes to the texts or the texts move
+    # merged at every size, so that a small input shows what a large one takes
     wanted = materialize(nodes.select("node", "key").join(met.select("node").distinct(), "node"), "dart-wanted")
-    texts = materialize(wanted.join(texts, "key").select("node", "text"), "dart-texts")
+    texts = materialize(wanted.hint("merge").join(texts, "key").select("node", "text"), "dart-texts")
     edges = _links(met, texts, threshold, weights)
     roots = components(edges)
     # least id of each class, node by node, so that copies are summed up before they move
@@ -330,7 +330,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that represent their class: one of each, that with the least id."""
     kept = classes(docs, id_col, text_col).where("key = representative").groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("__n"))
-    kept = materialize(kept, "kept-keys")
+    kept = materialize(kept, "kept-keys").hint("merge")
     rows, back = aside(docs, id_col, text_col)
     keyed = rows.withColumn("__key", F.unhex(row_key(id_col, text_col)))
     once = keyed.join(kept.where("__n = 1"), "__key", "left_semi")
