@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,10 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
+def all_null(*columns: str) -> Column:
+    return reduce(Column.__and__, (F.col(c).isNull() for c in columns))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores if the input is so small that its files may give fewer partitions than cores; a larger input
     stays as it is read."""
@@ -39,6 +45,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(parts) if parts > 1 and size < cores * SPREAD_BYTES else df
 
 
+def parts_by_key(df: DataFrame) -> int:
+    """Partitions for rows that are dealt by a key before work that is bound by the processor: as many as the session shuffles
+    to, for all cores at least; fewer for an input that isn't worth them."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(least, size // LEAST_BYTES))
+
+
 def arrow(result: str, one):
     """An Arrow function: ``one`` of each value, null included, gives a value of the type ``result``."""
     ship(SparkSession.active())

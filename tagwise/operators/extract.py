@@ -27,6 +27,10 @@ POLYGONS = "array<array<array<double>>>"
 MAPPED_TOKENS = f"array<struct<{_ROW},language:string,bbox:{POLYGONS},second:struct<value:string,evidence:string,bbox:{POLYGONS}>>>"
 
 
+#: Pages without boxes that a task remembers, and the characters that such a page has at most.
+PAGES, PAGE_CHARS = 4096, 2000
+
+
 def _resolver(field: str, as_of: str | None):
     def one(text: str | None) -> dict:
         norm = reading.normalise(text)
@@ -39,7 +43,10 @@ def _resolver(field: str, as_of: str | None):
 
 def row(field: str, norm: str, found: list[dict], as_of: str | None) -> dict:
     """The contents of a result row: value, evidence and how sure it is; confidence none without a candidate."""
-    best, confidence, tie = reading.choose(found, as_of)
+    return _row(field, norm, *reading.choose(found, as_of))
+
+
+def _row(field: str, norm: str, best: dict | None, confidence: str, tie: bool) -> dict:
     out = {"field": field, "confidence": confidence, "ambiguous": tie}
     if best:
         out |= {f"v_{k}": best[k] for k in VALUES}
@@ -58,21 +65,39 @@ def _mapper(as_of: str | None):
 def _token_mapper(as_of: str | None, second_pass: bool):
     """One image's tokens: the fields read from the joined text; where the last three stand; and the second pass."""
 
+    read: dict[tuple, list[dict]] = {}
+
     def one(tokens: list[dict] | None) -> list[dict]:
+        """As :func:`whole`; pages without boxes that say the same are read once as long as they are remembered."""
+        said, length = [], 0
+        for t in tokens or ():
+            if t is not None and (text := t["text"]) is not None:
+                if t["bbox"] is not None or (length := length + len(text)) > PAGE_CHARS:
+                    return whole(tokens)
+                said.append((text, t["confidence"], t["language"]))
+        key = tuple(said)
+        if (out := read.get(key)) is None:
+            if len(read) >= PAGES:
+                read.clear()
+            out = read[key] = whole(tokens)
+        return out
+
+    def whole(tokens: list[dict] | None) -> list[dict]:
         page = layout.Page(tokens or [])
         norm, offsets = reading.normalise_with_offsets(page.text)
-        rows = {f: row(f, norm, found, as_of) | ({} if f in ("MRP", "NET_QUANTITY") else _evidence(page, offsets, found)) for f, found in reading.read(norm).items()}
-        for r in rows.values():
+        rows = {}
+        for f, found in reading.read(norm).items():
+            best, confidence, tie = reading.choose(found, as_of)
+            r = rows[f] = _row(f, norm, best, confidence, tie)
+            if best and f not in ("MRP", "NET_QUANTITY"):
+                r |= _evidence(page, offsets, best)
             if r["confidence"] == "high" and (r.pop("ocr", None) or 1.0) < V.LOW_OCR:
                 r["confidence"] = "low"
         for field, second in (page.second_pass() if second_pass else {}).items():
             rows.setdefault(field, {"field": field, "confidence": "none", "ambiguous": False})["second"] = second
         return list(rows.values())
 
-    def _evidence(page: layout.Page, offsets: list[int], found: list[dict]) -> dict:
-        best, _, _ = reading.choose(found)
-        if not best:
-            return {}
+    def _evidence(page: layout.Page, offsets: list[int], best: dict) -> dict:
         near = page.supporting(*reading.original_span(offsets, best["start"], best["end"], len(page.text)))
         return {"ocr": layout.mean_confidence(near), "language": layout.main_language(near), "bbox": [t.polygon for t in near if t.polygon is not None]}
 
@@ -116,9 +141,9 @@ def resolve(df: DataFrame, field: str, text: str = "text", as_of: str | None = N
     return found.select(*df.columns, "__found.*")
 
 
-def _exploded(df: DataFrame, keys: list[str], rows: Column) -> DataFrame:
+def _exploded(df: DataFrame, keys: list[str], rows: Column, spread: bool = True) -> DataFrame:
     # every row has some: an inner explode would have the optimizer test that by reading the texts once more, before the deal
-    return X.spread(df).select(*keys, rows.alias("__rows")).select(*keys, F.explode_outer("__rows").alias("__r")).select(*keys, "__r.*")
+    return (X.spread(df) if spread else df).select(*keys, rows.alias("__rows")).select(*keys, F.explode_outer("__rows").alias("__r")).select(*keys, "__r.*")
 
 
 def map_fields(df: DataFrame, keys: list[str], text: str = "text", as_of: str | None = None) -> DataFrame:
@@ -126,11 +151,11 @@ def map_fields(df: DataFrame, keys: list[str], text: str = "text", as_of: str |
     return _exploded(df.select(*keys, text), keys, X.arrow(MAPPED, _mapper(as_of))(F.col(text)))
 
 
-def map_tokens(df: DataFrame, keys: list[str], tokens: str = "tokens", as_of: str | None = None, second_pass: bool = True) -> DataFrame:
+def map_tokens(df: DataFrame, keys: list[str], tokens: str = "tokens", as_of: str | None = None, second_pass: bool = True, spread: bool = True) -> DataFrame:
     """As :func:`map_fields` for rows of OCR tokens, an image each, with language and boxes of the evidence of the last three
     fields, and ``second``: what the second pass finds for a field (value, evidence, boxes), or null.  A field that only the
-    second pass knows (the expiry date) has a row if it is found."""
-    return _exploded(df.select(*keys, tokens), keys, X.arrow(MAPPED_TOKENS, _token_mapper(as_of, second_pass))(F.col(tokens)))
+    second pass knows (the expiry date) has a row if it is found.  ``spread``: deal small inputs to all cores first."""
+    return _exploded(df.select(*keys, tokens), keys, X.arrow(MAPPED_TOKENS, _token_mapper(as_of, second_pass))(F.col(tokens)), spread)
 
 
 def finalize(df: DataFrame) -> DataFrame:

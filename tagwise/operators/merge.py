@@ -13,7 +13,7 @@ def merge_images(mapped: DataFrame, keys: list[str], image: str = "image_index",
     """Per key and field the best image: one with a value, then the surer, then the earlier.
 
     One aggregation with a map-side part, equal to folding the images in order."""
-    has = F.coalesce(*(F.col(v).cast("string") for v in values)).isNotNull()
+    has = ~X.all_null(*values)
     rank = F.when(has, F.coalesce(X.lookup(V.CONFIDENCE_RANK, F.col("confidence")), F.lit(0))).otherwise(F.lit(0))
     rest = [c for c in mapped.columns if c not in (*keys, "field")]
     best = F.max_by(F.struct(*rest), F.struct(has.alias("has"), rank.alias("rank"), (-F.col(image)).alias("image")))

@@ -17,8 +17,11 @@ SCAN, IMAGE = ["scan_id"], ["scan_id", "image_index"]
 def map_images(images: DataFrame, enrichment: DataFrame | None = None, as_of: str | None = None, keys: list[str] = IMAGE) -> DataFrame:
     """Fields of each image (keys, tokens): the first pass, replaced by what the second pass finds in the same row, and what
     is missing still filled from ``enrichment`` (keys, field, value; an image without rows there stays as it is)."""
-    mapped = secondpass.overridden(extract.map_tokens(images, keys, as_of=as_of), keys)
-    return mapped if enrichment is None else secondpass.enrich(mapped, enrichment, keys)
+    if enrichment is None:
+        return secondpass.overridden(extract.map_tokens(images, keys, as_of=as_of), keys)
+    rows = secondpass.with_given(images, enrichment, keys, X.parts_by_key(images))
+    carried = [*keys, secondpass.GIVEN]
+    return secondpass.enrich_given(secondpass.overridden(extract.map_tokens(rows, carried, as_of=as_of, spread=False), carried), keys)
 
 
 @dataclass
@@ -37,9 +40,8 @@ def check(merged: DataFrame, calibrations: DataFrame | None = None, rule_rows: D
     fields = rules.contract(merged, SCAN)
     if calibrations is not None:
         fields = fields.unionByName(fontsize.contract_rows(fontsize.of_fields(fields, calibrations, SCAN), SCAN, fields))
-    scans = merged.where(F.col("field") == V.FIELDS[0]).select(*SCAN)  # one row of each scan
-    found = rules.violations(fields, scans, SCAN, rule_rows, mandatory)
-    return Checked(merged, fields, found, rules.scores(scans, found, SCAN))
+    # every scan has contract rows, so that they are also the list of scans: the texts are read once for each result
+    return Checked(merged, fields, rules.violations(fields, None, SCAN, rule_rows, mandatory), rules.scores_of_fields(fields, SCAN, rule_rows, mandatory))
 
 
 def check_images(

@@ -29,7 +29,7 @@ def contract(mapped: DataFrame, keys: list[str]) -> DataFrame:
     method = F.col("method") if "method" in mapped.columns else F.lit(None).cast("string")
     box = spatial.merged_box(F.col("bbox")) if "bbox" in mapped.columns else F.lit(None).cast(BOX)
     image = F.col("image_index").cast("int") if "image_index" in mapped.columns else F.lit(None).cast("int")
-    present = F.coalesce(*(F.col(f"v_{k}").cast("string") for k in ("amount", "text", "date", "phone", "email"))).isNotNull()
+    present = ~X.all_null(*(f"v_{k}" for k in ("amount", "text", "date", "phone", "email")))
     own = F.struct(
         name.alias("field_name"),
         F.when(present, F.col("raw_evidence")).alias("raw_value"),
@@ -70,13 +70,18 @@ def is_present() -> Column:
     return F.col("raw_value").isNotNull() & (F.col("method") != "none")
 
 
-def violations(fields: DataFrame, scans: DataFrame, keys: list[str], rule_rows: DataFrame | None = None, mandatory: tuple[str, ...] = V.MANDATORY) -> DataFrame:
-    """One row per broken rule.  ``fields``: contract rows; ``scans``: all keys, so that a scan without fields counts.
+def violations(fields: DataFrame, scans: DataFrame | None, keys: list[str], rule_rows: DataFrame | None = None, mandatory: tuple[str, ...] = V.MANDATORY) -> DataFrame:
+    """One row per broken rule.  ``fields``: contract rows; ``scans``: all keys, so that a scan without fields counts; None if
+    each has some.
 
     ``image_index`` is the image that the field was taken from, ``measured_value`` what was measured if it is too small.  One
     aggregation of the contract rows per scan gathers present names and wrong formats; the gaps are an array difference.  The
-    rule table is left to the optimizer, which broadcasts it if it is as small as rule tables are."""
-    rule = (rule_rows if rule_rows is not None else rules(fields.sparkSession)).select(
+    built-in rules are broadcast; a table of rules is left to the optimizer, which does so by its size."""
+    return _violations(fields, scans, keys, rule_rows, mandatory, F.explode)
+
+
+def _violations(fields: DataFrame, scans: DataFrame | None, keys: list[str], rule_rows: DataFrame | None, mandatory: tuple[str, ...], explode) -> DataFrame:
+    rule = (rule_rows if rule_rows is not None else F.broadcast(rules(fields.sparkSession))).select(
         F.lower("field").alias("rule_field"), "clause", "penalty_ref", F.col("severity").alias("rule_severity"), "valid_units", "regex_pattern"
     )
     with_rule = lambda df: df.join(rule, F.lower("field_name") == F.col("rule_field"), "left")
@@ -109,7 +114,8 @@ def violations(fields: DataFrame, scans: DataFrame, keys: list[str], rule_rows:
         return F.struct(f.alias("field_name"), empty["issue"], image.alias("image_index"), empty["bbox"], empty["measured_value"])
 
     every = F.concat(F.transform(gaps, absent).cast(kind), F.coalesce("wrong", nothing(kind)))
-    rows = scans.select(*keys).join(gathered, keys, "left").select(*keys, F.explode(every).alias("v")).select(*keys, "v.*")
+    of_scans = gathered if scans is None else scans.select(*keys).join(gathered, keys, "left")
+    rows = of_scans.select(*keys, explode(every).alias("v")).select(*keys, "v.*")
     missing = F.when(F.col("field_name") == "FONT_SIZE", NOT_MEASURED).otherwise(said(MISSING, F.col("field_name")))
     reference = F.when(F.col("issue").isNull(), F.col("clause")).otherwise(legal_reference(F.col("clause"), F.col("penalty_ref")))
     return with_rule(rows).select(
@@ -118,10 +124,23 @@ def violations(fields: DataFrame, scans: DataFrame, keys: list[str], rule_rows:
     )
 
 
+def _deduction() -> Column:
+    return F.coalesce(X.lookup(V.DEDUCTION, F.col("severity")), F.lit(0))
+
+
 def scores(scans: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Per scan: violations, score (100 less deductions, 0 at least) and verdict; clean scans have 100."""
-    lost = found.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.coalesce(X.lookup(V.DEDUCTION, F.col("severity")), F.lit(0))).alias("lost"))
+    lost = found.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(_deduction()).alias("lost"))
+    return _verdicts(scans.select(*keys).join(lost, keys, "left"), keys)
+
+
+def scores_of_fields(fields: DataFrame, keys: list[str], rule_rows: DataFrame | None = None, mandatory: tuple[str, ...] = V.MANDATORY) -> DataFrame:
+    """As :func:`scores` of all scans that have contract rows, without a list of them."""
+    broken = F.col("field_name").isNotNull()  # a clean scan has one row without a violation
+    found = _violations(fields, None, keys, rule_rows, mandatory, F.explode_outer)
+    return _verdicts(found.groupBy(*keys).agg(F.count_if(broken).alias("n"), F.sum(F.when(broken, _deduction())).alias("lost")), keys)
+
+
+def _verdicts(lost: DataFrame, keys: list[str]) -> DataFrame:
     n = F.coalesce("n", F.lit(0)).cast("long")
-    return scans.select(*keys).join(lost, keys, "left").select(
-        *keys, n.alias("n_violations"), F.greatest(F.lit(0.0), 100.0 - F.coalesce("lost", F.lit(0))).alias("score"), (n == 0).alias("is_compliant")
-    )
+    return lost.select(*keys, n.alias("n_violations"), F.greatest(F.lit(0.0), 100.0 - F.coalesce("lost", F.lit(0))).alias("score"), (n == 0).alias("is_compliant"))

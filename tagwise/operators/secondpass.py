@@ -18,39 +18,42 @@ def _nullif(c: Column) -> Column:
 
 
 def normalize_mrp(value: Column) -> Column:
-    found = _nullif(F.regexp_extract(value, EXACT + V.SECOND_PRICE, 0))
-    return F.regexp_replace(found, ",", "").try_cast("double")
+    return X.let(F.regexp_extract(value, EXACT + V.SECOND_PRICE, 0), lambda found: F.translate(found, ",", "").try_cast("double"))
 
 
 def normalize_quantity(value: Column) -> Column:
     """struct<amount, unit>, null for an unknown unit."""
-    amount, unit = (_nullif(F.regexp_extract(value, X.FLAGS + V.SECOND_QUANTITY, k)) for k in (1, 2))
-    return F.when(amount.isNotNull(), F.struct(amount.try_cast("double").alias("amount"), F.coalesce(X.lookup(V.SECOND_SINGULAR, F.lower(unit)), F.lower(unit)).alias("unit")))
+    amount, unit = (F.regexp_extract(value, X.FLAGS + V.SECOND_QUANTITY, k) for k in (1, 2))
+    known = X.let(F.lower(unit), lambda u: F.coalesce(X.lookup(V.SECOND_SINGULAR, u), u))
+    return X.let(amount, lambda a: F.when(a != "", F.struct(a.try_cast("double").alias("amount"), known.alias("unit"))))
 
 
 def normalize_date(value: Column) -> Column:
     """Day or month precision, without calendar checks; six bare digits are no date."""
     given = F.upper(F.trim(value))
-    text = F.regexp_replace(given, EXACT + r"[\s.\-]+", "/")
-    g = lambda p, k: _nullif(F.regexp_extract(text, EXACT + p, k))
-    year = lambda y: F.lpad(F.when(y.cast("int") < 100, y.cast("int") + 2000).otherwise(y.cast("int")).cast("string"), 4, "0")
-    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
-    full, month, named = (V.SECOND_DATES[k] for k in ("full", "month", "named"))
-    number = X.lookup(MONTHS, F.substring(g(named, 1), 1, 3))
-    return (
-        F.when(given.rlike(EXACT + V.SECOND_DATES["refused"]), F.lit(None))
-        .when(g(full, 1).isNotNull(), F.concat(year(g(full, 3)), F.lit("-"), two(g(full, 2)), F.lit("-"), two(g(full, 1))))
-        .when(g(month, 1).cast("int").between(1, 12), F.concat(year(g(month, 2)), F.lit("-"), two(g(month, 1))))
-        .when(number.isNotNull(), F.concat(year(g(named, 2)), F.lit("-"), two(number)))
-    )
+    full, month, named = (EXACT + V.SECOND_DATES[k] for k in ("full", "month", "named"))
+    year = lambda y: X.let(y.try_cast("int"), lambda n: F.lpad(F.when(n < 100, n + 2000).otherwise(n).cast("string"), 4, "0"))
+    two = lambda x: F.lpad(x.try_cast("int").cast("string"), 2, "0")
+
+    def read(text: Column) -> Column:
+        g = lambda p, k: F.regexp_extract(text, p, k)
+        number = X.lookup(MONTHS, F.substring(g(named, 1), 1, 3))
+        return (
+            F.when(text.rlike(full), F.concat(year(g(full, 3)), F.lit("-"), two(g(full, 2)), F.lit("-"), two(g(full, 1))))
+            .when(text.rlike(month) & g(month, 1).try_cast("int").between(1, 12), F.concat(year(g(month, 2)), F.lit("-"), two(g(month, 1))))
+            .otherwise(X.let(number, lambda n: F.when(n.isNotNull(), F.concat(year(g(named, 2)), F.lit("-"), two(n)))))
+        )
+
+    return F.when(~given.rlike(EXACT + V.SECOND_DATES["refused"]), X.let(F.regexp_replace(given, EXACT + r"[\s.\-]+", "/"), read))
 
 
 def normalize_care(value: Column) -> Column:
     """struct<phone, email>; two nulls for a text without either."""
-    phone = F.trim(_nullif(F.regexp_extract(value, EXACT + V.SECOND_PHONE, 0)))
-    toll_free = F.trim(value).rlike(EXACT + V.TOLL_FREE) & ~phone.startswith("1-")
-    email = _nullif(F.regexp_extract(value, X.FLAGS + V.SECOND_EMAIL, 0))
-    return F.when(value.isNotNull(), F.struct(F.when(toll_free, F.concat(F.lit("1-"), phone)).otherwise(phone).alias("phone"), email.alias("email")))
+    toll_free = F.trim(value).rlike(EXACT + V.TOLL_FREE)
+    numbered = lambda p: F.when(p != "", F.when(toll_free & ~p.startswith("1-"), F.concat(F.lit("1-"), p)).otherwise(p))
+    phone = X.let(F.trim(F.regexp_extract(value, EXACT + V.SECOND_PHONE, 0)), numbered)
+    email = X.let(F.regexp_extract(value, X.FLAGS + V.SECOND_EMAIL, 0), _nullif)
+    return F.when(value.isNotNull(), F.struct(phone.alias("phone"), email.alias("email")))
 
 
 def sweep_mrp(text: Column) -> Column:
@@ -87,23 +90,33 @@ def normalized(rows: DataFrame, value: str = "value", prefix: str = "v_") -> Dat
     is_ = lambda f: F.col("field") == f
     v = F.col(value)
     blank = F.lit(" \t\n\r\x0b\x0c")
-    quantity, care, day = normalize_quantity(v), normalize_care(v), normalize_date(v)
-    price, maker = normalize_mrp(v), _nullif(F.btrim(v, blank))
-    other = ~F.col("field").isin(*V.FIELDS)
-    return rows.withColumns(
-        {
-            f"{prefix}amount": F.when(is_("MRP"), price).when(is_("NET_QUANTITY"), quantity["amount"]),
-            f"{prefix}unit": F.when(is_("NET_QUANTITY"), quantity["unit"]),
-            f"{prefix}text": F.when(is_("MANUFACTURER_ADDRESS"), maker).when(other, v),
-            f"{prefix}date": F.when(is_("MANUFACTURING_DATE"), day),
-            f"{prefix}phone": F.when(is_("CONSUMER_CARE"), care["phone"]),
-            f"{prefix}email": F.when(is_("CONSUMER_CARE"), care["email"]),
-            "has_value": F.when(is_("MRP"), price.isNotNull())
-            .when(is_("NET_QUANTITY"), quantity["amount"].isNotNull())
-            .when(is_("MANUFACTURER_ADDRESS"), maker.isNotNull())
-            .when(is_("MANUFACTURING_DATE"), day.isNotNull())
-            .otherwise(v.isNotNull()),
-        }
+    quantity, care = F.col("__quantity"), F.col("__care")
+    # a column for each field, so that a value is normalized once and the code for it stays small enough to be compiled
+    each = {
+        "__price": F.when(is_("MRP"), normalize_mrp(v)),
+        "__quantity": F.when(is_("NET_QUANTITY"), normalize_quantity(v)),
+        "__text": F.when(is_("MANUFACTURER_ADDRESS"), X.let(F.btrim(v, blank), _nullif)).when(~F.col("field").isin(*V.FIELDS), v),
+        "__day": F.when(is_("MANUFACTURING_DATE"), normalize_date(v)),
+        "__care": F.when(is_("CONSUMER_CARE"), normalize_care(v)),
+    }
+    return (
+        rows.withColumns(each)
+        .withColumns(
+            {
+                f"{prefix}amount": F.coalesce("__price", quantity["amount"]),
+                f"{prefix}unit": quantity["unit"],
+                f"{prefix}text": F.col("__text"),
+                f"{prefix}date": F.col("__day"),
+                f"{prefix}phone": care["phone"],
+                f"{prefix}email": care["email"],
+                "has_value": F.when(is_("MRP"), F.col("__price").isNotNull())
+                .when(is_("NET_QUANTITY"), quantity["amount"].isNotNull())
+                .when(is_("MANUFACTURER_ADDRESS"), F.col("__text").isNotNull())
+                .when(is_("MANUFACTURING_DATE"), F.col("__day").isNotNull())
+                .otherwise(v.isNotNull()),
+            }
+        )
+        .drop(*each)
     )
 
 
@@ -115,7 +128,7 @@ def sweep_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 def missing(confidence: str = "confidence") -> Column:
     """A field without value or without confidence."""
-    return F.coalesce(*(F.col(v).cast("string") for v in VALUES)).isNull() | F.col(confidence).isin("none", "low")
+    return X.all_null(*VALUES) | F.col(confidence).isin("none", "low")
 
 
 def missing_fields(mapped: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,16 +165,43 @@ def overridden(mapped: DataFrame, keys: list[str]) -> DataFrame:
         F.when(hit | (F.col("confidence") != "none"), "regex").otherwise("none").alias("method"),
         F.when(hit, F.col("second.bbox")).otherwise(F.col("bbox")).alias("bbox"),
         *(F.when(~hit, F.col(c)).alias(c) for c in ("label_matched", "score", "ambiguous", "reason_codes", "language")),
-        hit.alias("__hit"),
+        F.col("__value").isNotNull().alias("__found"),
     )
-    return out.where(F.col("field").isin(*V.FIELDS) | F.col("__hit")).drop("__hit")
+    # what is no field of the first pass has a value if the second pass found one
+    return out.where(F.col("field").isin(*V.FIELDS) | F.col("__found")).drop("__found")
 
 
 def enrich(mapped: DataFrame, enrichment: DataFrame, keys: list[str]) -> DataFrame:
     """Fills missing fields from an external long table (keys, field, value); present fields are left alone.  Other columns
     of ``mapped`` stay."""
     extra = normalized(enrichment).where("has_value").select(*keys, "field", *(F.col(v).alias(f"n{v}") for v in VALUES), F.col("value").alias("n_evidence"))
-    joined = mapped.join(extra, [*keys, "field"], "left")
+    return _filled(mapped.join(extra, [*keys, "field"], "left"), mapped.columns, keys)
+
+
+GIVEN = "given"
+
+
+def with_given(images: DataFrame, enrichment: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Images (keys, tokens) with :data:`GIVEN`, the normalized rows of ``enrichment`` for each of them, dealt by the first key.
+
+    One shuffle of tokens and of short rows in place of one of all fields of all images; null keys match nothing."""
+    found = normalized(enrichment.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))).where("has_value")
+    value = F.struct("field", F.col("value").alias("n_evidence"), *(F.col(v).alias(f"n{v}") for v in VALUES))
+    pages = images.select(*keys, F.struct("tokens").alias("page")).withColumn("value", F.lit(None).cast(found.select(value.alias("v")).schema["v"].dataType))
+    rows = pages.unionByName(found.select(*keys, value.alias("value")), allowMissingColumns=True).repartition(parts, keys[0])
+    each = rows.groupBy(*keys).agg(F.collect_list("page").alias("pages"), F.array_sort(F.collect_list("value")).alias(GIVEN))
+    return each.select(*keys, F.explode("pages").alias("page"), GIVEN).select(*keys, "page.tokens", GIVEN)
+
+
+def enrich_given(mapped: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`enrich` with what :func:`with_given` has put into the rows.  Of several values for a field the least counts."""
+    one = F.get(F.filter(GIVEN, lambda g: g["field"] == F.col("field")), F.lit(0))
+    names = ["n_evidence", *(f"n{v}" for v in VALUES)]
+    rows = mapped.withColumn("__one", one).select(*mapped.columns, *(F.col("__one")[n].alias(n) for n in names))
+    return _filled(rows, [c for c in mapped.columns if c != GIVEN], keys)
+
+
+def _filled(joined: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     fill = missing() & F.col("n_evidence").isNotNull()
     new = {v: F.when(fill, F.col(f"n{v}")).otherwise(F.col(v)) for v in VALUES}
     new |= {
@@ -169,5 +209,5 @@ def enrich(mapped: DataFrame, enrichment: DataFrame, keys: list[str]) -> DataFra
         "confidence": F.when(fill, "high").otherwise(F.col("confidence")),
         "method": F.when(fill, "llm").otherwise(F.col("method")),
     }
-    rest = [c for c in mapped.columns if c not in (*keys, "field", *new)]
+    rest = [c for c in columns if c not in (*keys, "field", *new)]
     return joined.select(*keys, "field", *(c.alias(n) for n, c in new.items()), *rest)

@@ -390,3 +390,38 @@ def test_batches_longer_than_a_slice(spark):
     found = extract.candidates(df, "MRP").select("id", F.get("candidates", F.lit(0))["amount"].alias("amount")).collect()
     assert len(found) == 1000 and all(r["amount"] == r["id"] + 1 for r in found)
     assert X.spread(spark.range(10)).count() == 10
+
+
+def test_pages_are_read_once(spark):
+    for name in ("image_violations", "stored_scan_rows"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, name
+        assert "SortMergeJoin [lower(field_name" not in plan, name
+
+
+def test_enrichment_in_the_row(spark):
+    page = [("MRP Rs 5.00", None, 0.9, "en"), ("Expiry 06/2027", [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]], 0.9, "en")]
+    images = spark.createDataFrame([(1, 0, page), (1, 0, page), (1, 1, None), (2, 0, []), (None, 0, page), (4, None, page)], f"scan_id int, image_index int, tokens array<{sources.TOKEN}>")
+    extra = [(1, 0, "MRP", "Rs 9"), (1, 1, "MRP", "Rs 7"), (2, 0, "NET_QUANTITY", "3 kg"), (2, 0, "NET_QUANTITY", "?"), (2, 5, "MRP", "1"), (3, 0, "MRP", "1"), (None, 0, "NET_QUANTITY", "2 g"), (4, None, "NET_QUANTITY", "2 g"), (2, 0, "MRP", None)]
+    given = spark.createDataFrame(extra, "scan_id int, image_index int, field string, value string")
+    want = secondpass.enrich(pipeline.map_images(images), given, pipeline.IMAGE)
+    got = pipeline.map_images(images, given)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    scores = {r["scan_id"]: r["n_violations"] for r in pipeline.check_images(images, given).scores.collect()}
+    assert scores == {1: 4, 2: 5, None: 4, 4: 4}
+
+
+def test_pages_that_say_the_same(spark):
+    box = [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]]
+    say = lambda c, lang, b=None: [("Manufactured by Acme Foods Ltd", b, c, lang)]
+    pages = [say(0.9, "en"), say(0.1, "en"), say(0.9, "hi"), say(0.9, "en", box), say(0.9, "en"), [(None, None, 0.9, "en"), *say(0.9, "en")]]
+    df = spark.createDataFrame(list(enumerate(pages)), f"k int, tokens array<{sources.TOKEN}>").coalesce(1)
+    rows = {r["k"]: r for r in extract.map_tokens(df, ["k"], second_pass=False, spread=False).where("field = 'MANUFACTURER_ADDRESS'").collect()}
+    assert [(rows[k]["confidence"], rows[k]["language"], rows[k]["bbox"]) for k in range(6)] == [("high", "en", []), ("low", "en", []), ("high", "hi", []), ("high", "en", [box]), ("high", "en", []), ("high", "en", [])]
+
+
+def test_second_pass_values_that_are_no_numbers(spark):
+    values = ["13/2024", "05/13/2024", "JAN24", "FOO24", "123456", "5.6.24", "١٢/٢٠٢٤", "", None, "x"]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(secondpass.normalize_date(F.col("v"))).collect()]
+    assert got == [None, "2024-13-05", "2024-01", None, None, "2024-06-05", None, None, None, None]
