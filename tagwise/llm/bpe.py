@@ -275,6 +275,27 @@ def encode_checked(docs: DataFrame, vocabulary_path: str, pattern: str, text_col
     return docs.select(*kept, F.col(text_col).cast("binary").alias(raw)).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", keep: list[str] | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """As :func:`decode` of :func:`encode`, both in one worker: the ids don't travel in between, and all workers of an executor
+    remember words, where else some would be taken for decoding."""
+    prepare(docs.sparkSession)
+    held = _vocabulary(docs.sparkSession, vocabulary_path)
+    kept = [c for c in docs.columns if c not in (ids_col, out_col) and (keep is None or c in keep)]
+    raw = "__text_bytes"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(held.value, pattern)
+        for b in pieces(batches, raw, CHECK_BYTES):
+            ids = codec.encode(b.column(raw).to_pylist(), cache_words)
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            decoded = pa.array(codec.decode(lists), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), lists, decoded], [*kept, ids_col, out_col])
+
+    schema = T.StructType([docs.schema[c] for c in kept]).add(ids_col, T.ArrayType(T.IntegerType())).add(out_col, T.BinaryType())
+    return docs.select(*kept, F.col(text_col).cast("binary").alias(raw)).mapInArrow(run, schema)
+
+
 def decode(docs: DataFrame, vocabulary_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``docs`` with ``out_col`` binary: the bytes that the ids stand for.  Ids outside the vocabulary give no bytes."""
     prepare(docs.sparkSession)

@@ -17,9 +17,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(VOCABULARY)
-    ids = bpe.encode(_read(spark, sf_dir, "documents"), path, PATTERN, keep=["doc_id"])
-    out = bpe.decode(ids, path, PATTERN)
+    out = bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), PATTERN, keep=["doc_id"])
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

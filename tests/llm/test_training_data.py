@@ -651,3 +651,15 @@ def test_split_buckets_hold_equal_windows_together():
     found = list(windows.super_kmers(b))
     assert sum(len(t.split()) - substring.WIDTH + 1 for _, t, _, _ in found) == windows.within.sum()
     assert all(t == b" ".join(texts[d].split()[p : p + len(t.split())]) for _, t, d, p in found)
+
+
+def test_bpe_round_trip_in_one_worker(spark):
+    docs = spark.createDataFrame([(1, "A b  c\nरु"), (2, None), (3, ""), (3, ""), (None, "x" * 700 + " 12 z"), (4, "word " * 300_000)], "doc_id long, text string")
+    want = bpe.decode(bpe.encode(docs, PATH, PATTERN, keep=["doc_id"]), PATH, PATTERN)
+    got = bpe.round_trip(docs, PATH, PATTERN, keep=["doc_id"])
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert bpe.round_trip(docs.limit(0), PATH, PATTERN).count() == 0
+    from tagwise.llm import queries
+
+    plan = queries.op1_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
