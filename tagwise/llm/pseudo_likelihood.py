@@ -230,17 +230,20 @@ class Network:
             at += a.size
         return out
 
-    def forward(self, token: np.ndarray, slots: np.ndarray):
-        """Log-probability of each token between the first and last REACH ones (pads excepted), and what the gradient needs.
+    def forward(self, token: np.ndarray, slots: np.ndarray, scored: bool = True):
+        """Log-probability of each token between the first and last REACH ones (pads excepted), unless not ``scored``, and what
+        the gradient needs.
 
         ``slots``: -1 for a token without."""
         n = len(token) - 2 * REACH
         near = self.inner[token]
         kept = np.flatnonzero(slots >= 0)
-        near[kept] += self.extra[slots[kept]][:, None, :]
-        h = near[:n, 0].copy()
+        also = np.zeros((len(token), HIDDEN), np.float32)  # the same at every offset
+        also[kept] = self.extra[slots[kept]]
+        h = near[:n, 0] + also[:n]
         for k, o in enumerate((*range(1, REACH), *range(REACH + 1, 2 * REACH + 1)), 1):
             h += near[o : o + n, k]
+            h += also[o : o + n]
         target = token[REACH : REACH + n]
         c = (target // CLASSES).astype(np.int8)
         c[target == PAD] = CLASSES  # pads come last
@@ -259,8 +262,9 @@ class Network:
         ones = np.ones(CLASSES, np.float32)
         sum_c, sum_w = pc @ ones, pw @ ones
         at, w, c = np.arange(len(order)), target[order] % CLASSES, c[order]
-        logp = np.full(n, 0.0)
-        logp[order] = np.log(pc[at, c] / sum_c) + np.log(pw[at, w] / sum_w)
+        logp = np.full(n, 0.0) if scored else None
+        if scored:
+            logp[order] = np.log(pc[at, c] / sum_c) + np.log(pw[at, w] / sum_w)
         return logp, (token, slots, kept, order, cuts, h, c, w, pc, pw, sum_c, sum_w)
 
     def backward(self, state) -> tuple[list[np.ndarray], tuple, tuple]:
@@ -273,13 +277,14 @@ class Network:
         pc[at, c] -= 1 / m
         pw[at, w] -= 1 / m
         dh = pc @ self.cls.T
+        ones = np.ones(len(order), np.float32)
         down, down_bias = np.zeros_like(self.own), np.zeros_like(self.own_bias)
         for k in range(CLASSES):
             s, e = cuts[k], cuts[k + 1]
             if e > s:
                 g = pw[s:e]
                 np.matmul(h[s:e].T, g, out=down[k])
-                down_bias[k] = g.sum(0)
+                np.matmul(ones[s:e], g, out=down_bias[k])
                 dh[s:e] += g @ self.own[k].T
         dh *= 1 - h * h
         n = len(token) - 2 * REACH
@@ -289,8 +294,11 @@ class Network:
         for k, o in enumerate((*range(REACH), *range(REACH + 1, 2 * REACH + 1))):
             by_place[o : o + n, k] = centre
         inner = grouped(token, by_place.reshape(len(token), -1))
-        extra = grouped(slots[kept], by_place[kept].sum(1))
-        return [h.T @ pc, pc.sum(0), down, down_bias], inner, extra
+        whole = by_place[:, 0].copy()
+        for k in range(1, 2 * REACH):
+            whole += by_place[:, k]
+        extra = grouped(slots[kept], whole[kept])
+        return [h.T @ pc, ones @ pc, down, down_bias], inner, extra
 
 
 def grouped(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +322,7 @@ class Trainer:
         net = self.net
         for s in range(0, len(token) - 2 * REACH, BATCH):
             e = min(s + BATCH + 2 * REACH, len(token))
-            dense, inner, extra = net.backward(net.forward(token[s:e], slots[s:e])[1])
+            dense, inner, extra = net.backward(net.forward(token[s:e], slots[s:e], False)[1])
             for a, q, g in zip(net.arrays()[1:5], self.squares[1:5], dense, strict=True):
                 q += g * g
                 a -= RATE * g / np.sqrt(q)
@@ -408,7 +416,8 @@ def score_cells(cells: DataFrame, words: Words, net: Network, id_col: str, kind:
     named = cells.select("cell", "part", "words").mapInArrow(tidied(rare), "cell long, part int, i int, word binary")
     # a word of one cell only has been counted there
     shared = words.table if foreign else words.table.where("cells > 1")
-    met = named.join(shared.select("word", F.col("n").alias("c")), "word").groupBy("cell", "part").agg(F.collect_list("i").alias("i"), F.collect_list("c").alias("c"))
+    # a partition's words are few enough to be looked up; sorting both sides took longer
+    met = named.join(shared.select("word", F.col("n").alias("c")).hint("shuffle_hash"), "word").groupBy("cell", "part").agg(F.collect_list("i").alias("i"), F.collect_list("c").alias("c"))
     joined = cells.select("cell", "part", "id", "words", "n", "shapes", "slots", "at", "sizes").join(met, ["cell", "part"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

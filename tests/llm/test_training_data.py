@@ -663,3 +663,22 @@ def test_bpe_round_trip_in_one_worker(spark):
 
     plan = queries.op1_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_lm_gradient_without_scores(spark):
+    net = pseudo_likelihood.Network.start(np.ones(pseudo_likelihood.SIZE))
+    rng = np.random.default_rng(3)
+    net.extra += rng.normal(0, 0.1, net.extra.shape).astype(np.float32)
+    token = np.concatenate([[pseudo_likelihood.PAD] * 2, rng.integers(0, pseudo_likelihood.SIZE, 50), [pseudo_likelihood.PAD] * 2]).astype(np.int16)
+    slots = np.where(token >= pseudo_likelihood.FREQUENT, rng.integers(0, 9, len(token)), -1).astype(np.int32)
+    slots[token == pseudo_likelihood.PAD] = -1
+    logp, state = net.forward(token, slots)
+    none, same = net.forward(token, slots, scored=False)
+    assert none is None and all(np.array_equal(a, b) for a, b in zip(state, same, strict=True))
+    # plainly: the hidden layer of one word
+    i, r = 20, pseudo_likelihood.REACH
+    h = sum(net.inner[token[i + o], k] + (net.extra[slots[i + o]] if slots[i + o] >= 0 else 0) for k, o in enumerate((*range(-r, 0), *range(1, r + 1))))
+    pc = np.exp(np.tanh(h) @ net.cls + net.cls_bias)
+    c, w = divmod(int(token[i]), pseudo_likelihood.CLASSES)
+    pw = np.exp(np.tanh(h) @ net.own[c] + net.own_bias[c])
+    assert abs(logp[i - r] - np.log(pc[c] / pc.sum() * pw[w] / pw.sum())) < 1e-5
