@@ -60,11 +60,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _written[-1]
 
 
+#: For tables written to a local folder (other stores are written as ever): without Hadoop's native library its file system
+#: starts ``chmod`` for each file and for the checksum file beside it, and until a child process has started its program it
+#: counts with all the memory of the executor's JVM.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
     deleted_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tagwise_path = path

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import zlib
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from sqltwin import check
 
 from tagwise.llm import bpe, chat, decontaminate, langid, neardup, pseudo_likelihood, quality, queries, substring, token_counts, warc
+from tagwise.llm.common import drop_table, materialize
 
 SF = "/root/testdata/sf0.001"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -682,3 +684,18 @@ def test_lm_gradient_without_scores(spark):
     c, w = divmod(int(token[i]), pseudo_likelihood.CLASSES)
     pw = np.exp(np.tanh(h) @ net.own[c] + net.own_bias[c])
     assert abs(logp[i - r] - np.log(pc[c] / pc.sum() * pw[w] / pw.sum())) < 1e-5
+
+
+def test_written_tables_start_no_process_for_each_file(spark, tmp_path):
+    def local(folder):
+        return sorted(p.name for p in pathlib.Path(folder.removeprefix("file://")).iterdir())
+
+    rows = spark.range(1000).repartition(6).selectExpr("id", "CAST(id AS string) AS text")
+    table = materialize(rows, "plain")
+    files = local(table._tagwise_path)
+    assert len([f for f in files if f.startswith("part-")]) == 6 and not [f for f in files if f.endswith(".crc")]
+    assert bag(table.collect()) == bag(rows.collect())
+    rows.write.parquet(f"file://{tmp_path}/own")  # what a caller writes in the same session stays as it was
+    assert [f for f in local(f"file://{tmp_path}/own") if f.endswith(".crc")]
+    drop_table(table)
+    assert not pathlib.Path(table._tagwise_path.removeprefix("file://")).exists()
